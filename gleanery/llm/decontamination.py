@@ -126,6 +126,7 @@ def blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | N
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, spans (word and character ranges that are hit) and items of each document."""
+    common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     source = docs.select("doc_id", "text")
     parts = [source.mapInArrow(_scan(sc.broadcast((block, window))), FOUND) for block in blocks(benchmark, most_bytes)]
@@ -179,6 +180,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
+    common.bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for block in blocks(benchmark, most_bytes):
         docs = docs.mapInArrow(_filter(sc.broadcast((block, window))), docs.schema)

@@ -234,6 +234,7 @@ def _predict(model: Broadcast) -> Callable:
 
 
 def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
+    common.bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_predict(model), SCHEMA)
 
 
@@ -247,6 +248,7 @@ def keep_known(docs: DataFrame, model: Broadcast, least: float = 0.5) -> DataFra
                 langs, scores = identify(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
+    common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
