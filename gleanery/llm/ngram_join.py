@@ -44,37 +44,18 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .hashing import hash_runs, mix
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS, CHUNKS = 22, 64
 LONG = 32
-BLOCK = 1024
+BLOCK = 256
 BITMAP_BITS = 24
 SLICE = 1 << 20
 ENTRY = np.dtype([("s", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse, modulo 2**64, for i below n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE * 2)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def shingles(texts: list[str | None]) -> list[tuple[int, np.ndarray] | None]:
@@ -87,23 +68,20 @@ def shingles(texts: list[str | None]) -> list[tuple[int, np.ndarray] | None]:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return [None] * len(texts)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    word = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    word = hash_runs(data, starts, ends)
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     first = np.searchsorted(starts, bounds)
     counts = np.diff(first)
     place = (np.arange(len(word)) - np.repeat(first[:-1], counts)).astype(np.uint64)
-    placed = _mix(word + place * np.uint64(0xA0761D6478BD642F))
+    placed = mix(word + place * np.uint64(0xA0761D6478BD642F))
     sums = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(placed, out=sums[1:])
-    nodes = _mix((sums[first[1:]] - sums[first[:-1]]) ^ _mix(counts.astype(np.uint64))).view(np.int64)
+    nodes = mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(counts.astype(np.uint64))).view(np.int64)
     if len(word) >= WORDS:
         many = len(word) - WORDS + 1
         grams = np.zeros(many, np.uint64)
         for k in range(WORDS):
-            grams = _mix(grams * np.uint64(_BASE) + word[k : k + many])
+            grams = mix(grams * np.uint64(_BASE) + word[k : k + many])
     out: list[tuple[int, np.ndarray] | None] = []
     for d, (a, n) in enumerate(zip(first[:-1].tolist(), counts.tolist(), strict=True)):
         if not n:
@@ -232,7 +210,7 @@ def _second_scan(counts: Broadcast, buckets: int) -> Callable:
 
         def flush() -> pa.RecordBatch:
             entries = np.concatenate(held)
-            bucket = (_mix(entries["s"]) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(entries["s"]) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
             entries = entries[at]
             which, begin = np.unique(bucket[at], return_index=True)
@@ -410,6 +388,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, node, n) and all links needed to connect nodes (a, b). docs: doc_id, text."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    common.bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = common.staged(source.mapInArrow(_first_scan, NODES), "ngram-nodes")
     told = first.where("kind = 0").select("doc_id", "node", "n")
