@@ -1,23 +1,395 @@
-"""The engine's queries on the driver's tables, and the SQL of each."""
+"""The engine's queries on the driver's tables, each over whole tables, and the SQL of each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import dates, numbers, similarity, text, urls
+from .operators import evaluate, export, filters, history, merge, resolve
+from .plans import scan
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]  # the tables' times are UTC, as the session is
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+
+
+WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{WS}', ' ', 'g')) AS text FROM documents")
+def q01_collapse_whitespace(s, d):
+    return t(s, d, "documents").select("doc_id", text.normalize_space(F.col("text")).alias("text"))
+
+
+@query(r"SELECT p_partkey AS id, array_to_string(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+(?:[+#][a-z0-9]+)?'), ' ') AS tokens FROM part UNION ALL SELECT -s_suppkey, array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+(?:[+#][a-z0-9]+)?'), ' ') FROM supplier")
+def q02_tokenize(s, d):
+    a = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("x"))
+    b = t(s, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("x"))
+    return a.union(b).select("id", F.array_join(text.tokens(F.col("x")), " ").alias("tokens"))
+
+
+@query("""WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' full time GmbH'), '[a-z0-9]+') AS w FROM part)
+SELECT p_partkey, array_to_string(list_filter(w, lambda x: x NOT IN ('full', 'time')), ' ') AS title, array_to_string(list_filter(w, lambda x: x <> 'gmbh'), ' ') AS company FROM w""")
+def q03_drop_noise_tokens(s, d):
+    x = F.concat("p_name", F.lit(" full time GmbH"))
+    return t(s, d, "part").select("p_partkey", text.normalize_title(x).alias("title"), text.normalize_company(x).alias("company"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_brand, p_name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part)
+SELECT a.p_brand, a.p_name AS a_name, b.p_name AS b_name, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap
+FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name""")
+def q04_jaccard_pairs(s, d):
+    n = t(s, d, "part").select("p_brand", "p_name").distinct().withColumn("w", text.tokens(F.col("p_name")))
+    a, b = (n.select("p_brand", F.col("p_name").alias(f"{x}_name"), F.col("w").alias(x)) for x in "ab")
+    return a.join(b, "p_brand").where("a_name < b_name").select("p_brand", "a_name", "b_name", F.round(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
+HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<\s*br\s*/?\s*>', chr(10), 'g'), '(?i)<\s*li[^>]*>', chr(10) || '* ', 'g'), '(?i)</\s*(p|div|li|ul|ol|h[1-6]|tr|section|article)\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"""
+TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t\r\f\x0b]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+DECODE = "{x}"
+for _name, _to in text.ENTITIES.items():
+    DECODE = f"replace({DECODE}, '{_name}', '{_to.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT page_id, {TIDY.format(x=HTML.format(x='html'))} AS text FROM pages")
+def q05_html_to_text(s, d):
+    return t(s, d, "pages").select("page_id", text.tidy_lines(text.strip_tags(F.col("html"))).alias("text"))
+
+
+@query(f"SELECT page_id, {TIDY.format(x=DECODE.format(x=HTML.format(x='html')))} AS text FROM pages")
+def q06_html_entities(s, d):
+    return t(s, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\.', '') AS h,
+  lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '/+$', '')) AS p,
+  string_split(regexp_extract(url, '\?([^#]*)', 1), '&') AS q FROM pages),
+k AS (SELECT page_id, h, p, list_sort(list_transform(list_filter(q, lambda x: regexp_extract(x, '=(.*)$', 1) <> '' AND lower(split_part(x, '=', 1)) NOT IN ('from', 'ref', 'refid', 'rltr', 'src', 'trk', 'trackingid')
+  AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_')), lambda x: lower(split_part(x, '=', 1)) || '=' || regexp_extract(x, '=(.*)$', 1))) AS q FROM p)
+SELECT page_id, '//' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM k""")
+def q07_canonical_url(s, d):
+    return t(s, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url_key"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'linkedin:job:' WHEN 1 THEN 'indeed:job:' WHEN 2 THEN 'stepstone:job:' ELSE 'xing:job:' END || (page_id + 1000) AS url_key FROM pages""")
+def q08_url_provider_key(s, d):
+    n = (F.col("page_id") + 1000).cast("string")
+    k = F.col("page_id") % 4
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://www.linkedin.com/jobs/view/some-title-"), n, F.lit("/?trk=x")))
+        .when(k == 1, F.concat(F.lit("https://de.indeed.com/viewjob?from=serp&jk="), n))
+        .when(k == 2, F.concat(F.lit("https://www.stepstone.de/stellenangebote--Some-Title--"), n, F.lit("-inline.html")))
+        .otherwise(F.concat(F.lit("https://www.xing.com/jobs/berlin-title-"), n))
+    )
+    return t(s, d, "pages").select("page_id", urls.canonical_url(url).alias("url_key"))
+
+
+@query("SELECT event_id, ts AS iso, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS seconds, make_timestamp(epoch_us(ts) // 1000 * 1000) AS millis FROM events")
+def q09_parse_timestamp(s, d):
+    ts = F.col("ts")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return t(s, d, "events").select("event_id", *(dates.parse_datetime(x).alias(n) for n, x in (("iso", iso), ("seconds", F.unix_seconds(ts).cast("string")), ("millis", F.unix_millis(ts).cast("string")))))
+
+
+@query("""SELECT event_id, CASE WHEN prev IS NULL THEN 0.75 WHEN g <= 3 THEN 1.0 WHEN g <= 14 THEN 0.85 WHEN g <= 45 THEN 0.55 ELSE 0.0 END::DOUBLE AS score
+FROM (SELECT event_id, prev, abs(epoch_us(ts) - epoch_us(prev)) / 86400000000.0 AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events))""")
+def q10_posted_similarity(s, d):
+    prev = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return t(s, d, "events").withColumn("prev", prev).select("event_id", dates.posted_similarity(F.col("ts"), F.col("prev")).alias("score"))
+
+
+@query(f"""SELECT event_id, CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 3 WHEN n <= 7 THEN 7 WHEN n <= 14 THEN 14 END AS four, CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 3 WHEN n <= 7 THEN 7 END AS three
+FROM (SELECT event_id, ceil(greatest(1, epoch_us({NOW}) // 1000000 - epoch_us(ts) // 1000000) / 86400.0) AS n FROM events)""")
+def q11_posted_day_bucket(s, d):
+    age = F.greatest(F.lit(1), F.unix_seconds(F.expr(NOW)) - F.unix_seconds("ts"))
+    said = dates.window_seconds(F.concat(F.lit("r"), age.cast("string")))
+    return t(s, d, "events").select("event_id", dates.day_bucket(said, [1, 3, 7, 14]).alias("four"), dates.day_bucket(said, [1, 3, 7]).alias("three"))
+
+
+@query("""SELECT p_partkey, CASE WHEN n BETWEEN 1000 AND 1000000 THEN n::DOUBLE END AS minimum, CASE WHEN n + 5000 BETWEEN 1000 AND 1000000 THEN n + 5000 END::DOUBLE AS maximum, 'EUR' AS currency, 'year' AS period
+FROM (SELECT p_partkey, round(p_retailprice)::BIGINT + 1000 AS n FROM part)""")
+def q12_parse_salary(s, d):
+    n = F.floor(F.round("p_retailprice")).cast("long") + 1000
+    said = F.concat(n.cast("string"), F.lit(" - "), (n + 5000).cast("string"), F.lit(" EUR per year"))
+    got = t(s, d, "part").select("p_partkey", numbers.parse_salary(said).alias("x"))
+    return got.select("p_partkey", "x.minimum", "x.maximum", "x.currency", "x.period")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), json_extract_string(props, '$.k')) AS first FROM events")
+def q13_json_props(s, d):
+    raw = F.try_parse_json("props")
+    got = t(s, d, "events").withColumn("raw", raw)
+    at = lambda p: F.try_variant_get(F.col("raw"), p, "string")
+    return got.select("event_id", at("$.k").cast("long").alias("k"), F.coalesce(at("$.none"), at("$.k")).alias("first"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'old') OR contains(lower(p_name), 'hot'))")
+def q14_exclude_terms(s, d):
+    return filters.exclude_terms(t(s, d, "part"), "p_name", ["old", "Hot"]).select("p_partkey", "p_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE NOT contains(regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g'), 'supplier00000000')")
+def q15_exclude_terms_alnum(s, d):
+    return filters.exclude_terms(t(s, d, "supplier"), "s_name", ["supplier 00.000.000"]).select("s_suppkey", "s_name")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' OR value <= 50")
+def q16_cap_filter_null_kept(s, d):
+    return filters.cap(t(s, d, "events"), F.when(F.col("event_type") != "error", F.col("value")), 50).select("event_id")
+
+
+@query("""SELECT p_partkey, p_size::BIGINT + 1 AS over, p_size::BIGINT + 1 AS plus, p_size::BIGINT * 1000 + 200 AS thousands, greatest(p_size, 7)::BIGINT AS two FROM part""")
+def q17_applicant_parse(s, d):
+    n = F.col("p_size").cast("string")
+    said = {"over": F.concat(F.lit("Over "), n, F.lit(" applicants")), "plus": F.concat(n, F.lit("+")), "thousands": F.concat(n, F.lit(".2k applicants")), "two": F.concat(F.lit("7 of "), n)}
+    return t(s, d, "part").select("p_partkey", *(numbers.applicant_count(c).alias(k) for k, c in said.items()))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' OR ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00'")
+def q18_posted_window(s, d):
+    ts = F.when(F.col("event_type") != "error", F.col("ts"))
+    return filters.within(t(s, d, "events"), ts, F.expr("TIMESTAMP '2024-01-10'"), F.expr(NOW)).select("event_id")
+
+
+@query("""WITH a AS (SELECT contains(lower(p_name), 'old') AS x, p_brand = 'Brand#11' AS y, p_size > 30 AS z FROM part)
+SELECT 'title' AS step, count(*) FILTER (x) AS n FROM a UNION ALL SELECT 'company', count(*) FILTER (NOT x AND y) FROM a
+UNION ALL SELECT 'cap', count(*) FILTER (NOT x AND NOT y AND z) FROM a UNION ALL SELECT 'kept', count(*) FILTER (NOT x AND NOT y AND NOT z) FROM a""")
+def q19_filter_counters(s, d):
+    steps = [("title", ~text.matches_terms(F.col("p_name"), ["old"])), ("company", F.col("p_brand") != "Brand#11"), ("cap", F.col("p_size") <= 30)]
+    return filters.step_counts(t(s, d, "part"), steps)
+
+
+@query(f"SELECT max(ts) AS high_water_mark FROM events WHERE ts <= {NOW}")
+def q20_high_water_mark(s, d):
+    return history.high_water_mark(t(s, d, "events"), "ts", F.expr(NOW))
+
+
+def _part_listing(s, d) -> DataFrame:
+    return t(s, d, "part").select(F.col("p_partkey").alias("idx"), F.lit("LinkedIn | Xing").alias("source_label"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"), F.lit(None).cast("string").alias("job_type"), F.lit("2024-01-02T03:04:05Z").alias("posted"), F.concat(F.lit("https://jobs.example.com/a/"), F.col("p_partkey").cast("string"), F.lit("?utm_source=x")).alias("apply_url"))
+
+
+_LOWER = r"array_to_string(regexp_extract_all(lower({x}), '[a-z0-9]+(?:[+#][a-z0-9]+)?'), ' ')"
+
+
+@query(f"""SELECT p_partkey AS idx, unnest(['apply|//jobs.example.com/a/' || p_partkey, 'profile|any|' || {_LOWER.format(x='p_brand')} || '|' || {_LOWER.format(x='p_name')} || '|' || {_LOWER.format(x='p_type')} || '||2024-01-02',
+ 'profile|linkedin|' || lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) || '||2024-01-02', 'profile|xing|' || lower(p_name) || '|' || lower(p_brand) || '|' || lower(p_type) || '||2024-01-02']) AS key FROM part""")
+def q21_identity_keys(s, d):
+    return _part_listing(s, d).select("idx", F.explode(history.identity_keys()).alias("key"))
+
+
+def _halves(s, d):
+    rows = t(s, d, "part").select("p_partkey", F.array(F.lower("p_name"), F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string"))).alias("keys"))
+    old = rows.where("p_partkey % 7 = 0").select(F.explode("keys").alias("key")).where("key like 'Brand%'").distinct()
+    return rows, old
+
+
+_HALVES = "WITH k AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS key FROM part), o AS (SELECT DISTINCT key FROM k WHERE p_partkey % 7 = 0) "
+
+
+@query(_HALVES + "SELECT p_partkey FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.key = k.key)")
+def q22_history_anti_join(s, d):
+    rows, old = _halves(s, d)
+    return history.not_seen(rows, F.col("keys"), old, "p_partkey").select("p_partkey")
+
+
+@query(_HALVES + "SELECT p_partkey FROM k WHERE EXISTS (SELECT 1 FROM o WHERE o.key = k.key)")
+def q23_history_semi_join(s, d):
+    rows, old = _halves(s, d)
+    return history.seen(rows, F.col("keys"), old, "p_partkey")
+
+
+@query(_HALVES + "SELECT key FROM k EXCEPT SELECT key FROM o")
+def q24_seen_key_except(s, d):
+    rows, old = _halves(s, d)
+    return history.new_keys(rows.select(F.explode("keys").alias("key")).where("key like 'Brand%'"), old)
+
+
+@query(f"""SELECT p_partkey, unnest(['profile|xing|' || p_name || '|' || p_brand || '|' || p_type, 'profile|any|' || {_LOWER.format(x='p_brand')} || '|' || {_LOWER.format(x='p_name')} || '|' || {_LOWER.format(x='p_type')} || '||']) AS key FROM part""")
+def q25_legacy_key_expand(s, d):
+    key = F.concat_ws("|", F.lit("profile|xing"), "p_name", "p_brand", "p_type")
+    return t(s, d, "part").select("p_partkey", F.explode(history.expand_legacy(key)).alias("key"))
+
+
+@query("""WITH s AS (SELECT unnest(['linkedin', 'indeed', 'stepstone', 'xing']) AS source, unnest([1, 2, 3, 4]) AS r), k AS (SELECT r_regionkey AS pos, r_name AS keyword FROM region)
+SELECT row_number() OVER (ORDER BY r, pos) - 1 AS search_idx, source, keyword FROM (SELECT source, r, pos, keyword FROM s, k WHERE source <> 'xing' UNION ALL SELECT 'xing', 4, 0, '')""")
+def q26_scan_plan_cross(s, d):
+    sources = s.createDataFrame([("linkedin", None), ("indeed", None), ("stepstone", None), ("xing", "https://www.xing.com/jobs/search?x=1")], "source string, direct_url string")
+    keywords = t(s, d, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("keyword"))
+    return scan.searches(sources, keywords).select(F.col("search_idx").cast("long").alias("search_idx"), "source", "keyword")
+
+
+@query("SELECT p_partkey AS idx, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_type) AS cluster_id FROM part")
+def exact_profile_dedupe(s, d):
+    return resolve.exact_profiles(resolve.features(_part_listing(s, d).drop("apply_url")))
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS i, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part WHERE p_size <= 5),
+k AS (SELECT i, p_brand, w, unnest(w) AS k FROM f), p AS (SELECT DISTINCT a.i AS a, b.i AS b, a.w AS aw, b.w AS bw FROM k a JOIN k b ON a.k = b.k AND a.p_brand = b.p_brand AND a.i < b.i)
+SELECT a, b, round(len(list_intersect(aw, bw)) / len(list_distinct(list_concat(aw, bw))), 6) AS title_overlap FROM p""")
+def q28_blocked_pairs_scored(s, d):
+    rows = t(s, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"))
+    keys = F.transform("t_title", lambda w: F.concat_ws("|", F.lit("company_role"), F.col("n_company"), w))
+    return resolve.scored_pairs(resolve.features(rows), keys).select("a", "b", F.round("title_overlap", 6).alias("title_overlap"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS i, unnest(['n' || p_name || '|' || p_brand, 't' || p_type || '|' || p_brand || '|' || p_size]) AS k FROM part),
+m AS (SELECT k, min(i) AS r FROM e GROUP BY 1), g AS (SELECT DISTINCT i AS a, r AS b FROM e JOIN m USING (k)), l AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+t(v, c) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT l.b, t.c FROM t JOIN l ON l.a = t.v) SELECT v AS idx, min(c) AS comp FROM t GROUP BY 1""")
+def q29_block_components(s, d):
+    keys = F.array(F.concat_ws("|", F.concat(F.lit("n"), "p_name"), "p_brand"), F.concat_ws("|", F.concat(F.lit("t"), "p_type"), "p_brand", F.col("p_size").cast("string")))
+    return resolve.block_components(t(s, d, "part").select(F.col("p_partkey").alias("idx"), keys.alias("blocking_keys")))
+
+
+@query()
+def q30_greedy_clusters(s, d):
+    """Title, company and place words with a difflib ratio: no SQL form; held against a plain greedy in the tests."""
+    return resolve.clusters(resolve.features(_part_listing(s, d).drop("apply_url").withColumn("company", F.concat_ws(" ", "company", "location")))).select("idx", "cluster_id")
+
+
+@query("""SELECT conv_id, turn AS richest_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations) WHERE r = 1""")
+def q31_richest_row(s, d):
+    rows = t(s, d, "conversations")
+    return rows.groupBy("conv_id").agg(merge.richest(F.col("turn"), F.col("text"), F.lit(1), F.col("turn")).alias("richest_turn"))
+
+
+@query("""WITH r AS (SELECT conv_id, role, min(turn) AS o FROM conversations GROUP BY 1, 2), p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o FROM orders GROUP BY 1, 2)
+SELECT conv_id AS id, string_agg(role, ', ' ORDER BY o) AS listed FROM r GROUP BY 1 UNION ALL SELECT -o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o) FROM p GROUP BY 1""")
+def q32_merge_ordered_distinct(s, d):
+    roles = t(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(merge.ordered_distinct(F.col("role"), F.col("turn")), ", ").alias("listed"))
+    kinds = t(s, d, "orders").groupBy((-F.col("o_custkey")).alias("id")).agg(F.array_join(merge.ordered_distinct(F.col("o_orderpriority"), F.col("o_orderkey")), ", ").alias("listed"))
+    return roles.union(kinds)
+
+
+@query("""SELECT d.doc_id, CASE WHEN length(trim(text)) > 49000 THEN substr(trim(text), 1, 48980) || ' ... [truncated]' WHEN regexp_matches(trim(text), '^[=+\\-@]') THEN '''' || trim(text) WHEN trim(text) = '' THEN 'N/A' ELSE trim(text) END AS cell,
+CASE WHEN p.url IS NULL THEN 'N/A' ELSE '=HYPERLINK("' || replace(p.url, '"', '""') || '", "Open Job")' END AS link FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""".replace("\\\\", "\\"))
+def q33_export_projection(s, d):
+    rows = t(s, d, "documents").join(t(s, d, "pages"), F.col("doc_id") == F.col("page_id"), "left")
+    return rows.select("doc_id", text.sheet_safe(F.col("text")).alias("cell"), text.hyperlink_formula(F.col("url"), "Open Job").alias("link"))
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN '0000' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END DESC, event_id) AS place FROM events""")
+def q34_sort_posted_desc(s, d):
+    key = F.when(F.col("event_type") == "error", "0000").otherwise(dates.format_posted(F.col("ts")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(key.desc(), "event_id"))
+    return t(s, d, "events").select("event_id", place.cast("long").alias("place"))
+
+
+@query("SELECT page_id, url, 'Open Job' AS label FROM pages")
+def q35_hyperlink_roundtrip(s, d):
+    formula = text.hyperlink_formula(F.col("url"), "Open Job")
+    return t(s, d, "pages").select("page_id", text.hyperlink_url(formula).alias("url"), text.hyperlink_label(formula).alias("label"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'skipped' WHEN length(text) < 20 THEN 'unusable' WHEN quality = 0 THEN CASE WHEN toxic = 0 THEN 'skipped' ELSE 'queued' END ELSE 'queued' END AS state
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def q36_work_queue(s, d):
+    rows = t(s, d, "documents").join(t(s, d, "labels"), "doc_id", "left")
+    q, x = F.col("quality"), F.col("toxic")
+    verdict = F.when((q == 1) & (x == 1), "Not Suitable").when((q == 0) & (x == 0), "Suitable").when((q == 0) & (x == 1), "Error").when(q == 1, "Suitable")
+    pdf = F.when((q == 0) & (x == 0), "link")
+    return rows.select("doc_id", evaluate.state(verdict, F.lit("plain"), pdf, F.col("text")).alias("state"))
+
+
+@query("""SELECT c_custkey, concat_ws(chr(10), 'c_name: ' || c_name, 'c_mktsegment: ' || c_mktsegment, 'n_name: ' || n_name) AS ad FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def q37_advertisement_text(s, d):
+    rows = t(s, d, "customer").join(F.broadcast(t(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return rows.select("c_custkey", evaluate.advertisement(["c_name", "c_mktsegment", "n_name"]).alias("ad"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'Error' WHEN toxic = 1 THEN 'Not Suitable' ELSE 'Suitable' END AS verdict, CASE WHEN NOT (toxic = 1 AND quality = 1) THEN (doc_id % 20)::INT END AS fit_score,
+CASE WHEN toxic = 1 THEN 'No SQL; Too far' || chr(10) || '- no remote' ELSE '' END AS unsuitable_reasons FROM labels""")
+def q38_parse_verdict(s, d):
+    q, x = F.col("quality"), F.col("toxic")
+    said = F.when((x == 1) & (q == 1), "Suitable, maybe").when(x == 1, "❌ Not Suitable").otherwise("✅ Suitable")
+    reasons = F.when(x == 1, "\nUnsuitable Reasons: No SQL; Too far\n- no remote\n").otherwise("\n")
+    response = F.concat(F.lit("1. Fit Evaluation\nVerdict: "), said, F.lit("\nFit Score: "), (F.col("doc_id") % 20).cast("string"), F.lit("/26"), reasons)
+    got = t(s, d, "labels").select("doc_id", evaluate.parse_response(response).alias("r"))
+    return got.select("doc_id", "r.verdict", "r.fit_score", "r.unsuitable_reasons")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_labels, user_id % 2 = 0 AND count(DISTINCT event_type) <> 1 AS removed FROM events GROUP BY 1")
+def q39_rejection_label_policy(s, d):
+    rows = t(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("reasons"))
+    verdict = F.when(F.col("user_id") % 2 == 0, "Not suitable").otherwise("Suitable")
+    return rows.select("user_id", evaluate.label_count(F.col("reasons")).cast("long").alias("n_labels"), evaluate.is_rejected(verdict, F.col("reasons")).alias("removed"))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'Not Suitable' ELSE 'Suitable' END AS verdict, count(*) AS n FROM labels GROUP BY 1")
+def q40_verdict_counts(s, d):
+    return evaluate.verdict_counts(t(s, d, "labels").select(F.when(F.col("toxic") == 1, "Not Suitable").otherwise("Suitable").alias("verdict")), "verdict")
+
+
+@query("SELECT d.doc_id, d.source, coalesce(l.q, d.lang) AS lang FROM documents d LEFT JOIN (SELECT doc_id, 'q' || quality AS q FROM labels) l ON l.doc_id = d.doc_id")
+def q41_evaluation_upsert(s, d):
+    new = t(s, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"))
+    return evaluate.upsert(t(s, d, "documents").select("doc_id", "source", "lang"), new, "doc_id", ["lang"])
+
+
+@query(f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H-00-00') AS run, count(*) FILTER (event_type = 'error') AS queued, count(*) FILTER (event_type <> 'error') AS skipped
+FROM events WHERE date_trunc('hour', ts) <= {NOW} AND ts::DATE = ({NOW})::DATE GROUP BY date_trunc('hour', ts) HAVING count(*) FILTER (event_type = 'error') > 0 ORDER BY date_trunc('hour', ts) DESC LIMIT 1""")
+def q42_resume_newest_incomplete(s, d):
+    rows = t(s, d, "events").withColumn("run", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH-00-00")).withColumn("started", dates.run_started_at(F.col("run")))
+    return history.newest_incomplete(rows, "run", "started", F.col("event_type") == "error", F.expr(NOW))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def q43_incremental_dedupe(s, d):
+    """The event table as a stream, one pass over what is there."""
+    import uuid
+
+    from .session import shared_dir
+    from .streaming import incremental
+
+    schema = t(s, d, "events").schema
+    rows = s.readStream.schema(schema).parquet(f"{d}/events.parq*").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    fresh = incremental.first_seen(rows, "key").select("user_id", "event_type")
+    fresh.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{at}/out")
+
+
+@query("SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 40 AS batch FROM part")
+def q44_batch_tiling(s, d):
+    return scan.tiles(t(s, d, "part"), "p_partkey", 40, "p_brand").select("p_partkey", "batch")
+
+
+@query()
+def q45_canonical_rows(s, d):
+    """Resolution and merge in one plan; held against a plain greedy in the tests."""
+    listing = _part_listing(s, d).withColumns({"source": F.lit("linkedin"), "job_id": F.col("idx").cast("string"), "description": F.lit(None).cast("string"), "salary": F.lit(None).cast("string"), "job_url": F.col("apply_url"), "keyword": F.col("title")})
+    feats = resolve.features(listing.withColumn("source_label", F.lit("LinkedIn")))
+    got = merge.merge(feats.join(resolve.exact_profiles(feats), "idx"))
+    return got.select("cluster_id", "input_rows", "title", "company", "location", "app", "source_count")
 
 
-def exact_profile_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.groupBy("p_name", "p_brand", "p_type").agg(F.min("p_partkey").alias("cluster_id"), F.count("*").alias("n"))
+@query("""SELECT p_partkey, p_name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)""")
+def q46_unique_names(s, d):
+    return export.unique_names(t(s, d, "part"), "p_name", "p_partkey").select("p_partkey", "unique_name")
 
 
 def queries() -> dict[str, Query]:
-    return {"exact_profile_dedupe": exact_profile_dedupe}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"exact_profile_dedupe": "SELECT p_name, p_brand, p_type, min(p_partkey) AS cluster_id, count(*) AS n FROM part GROUP BY 1, 2, 3"}
+    return dict(_SQL)
