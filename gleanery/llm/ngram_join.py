@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from ..operators.components import components
 from .hashing import hash_runs, mix
 
 WORDS = 5
