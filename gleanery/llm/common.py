@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def give_back() -> None:
+    """Makes this process return large freed blocks to the system, which workers of a small executor need."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD: larger blocks are mapped, and unmapped when freed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+give_back()
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps between tasks, made when asked for first. One thing at a time: the next one takes its place."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

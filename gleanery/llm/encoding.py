@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 
+from .common import kept
 from .hashing import HashTable, hash_runs
 
 LONG = 1 << 20
@@ -72,7 +73,7 @@ def _units(data: np.ndarray, bounds: np.ndarray, spaced: bool) -> tuple[np.ndarr
 class UnitEncoder:
     """Encodes lists of texts. most_units: of the cache."""
 
-    def __init__(self, path: str, most_units: int = 1_500_000):
+    def __init__(self, path: str, most_units: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -173,11 +174,6 @@ class UnitEncoder:
         return np.concatenate(ids), np.array(counts, np.int64)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return kept(path, lambda: UnitEncoder(path))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _PLACES = 1 << 16
 
 

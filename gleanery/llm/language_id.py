@@ -146,7 +146,7 @@ def learn(samples: list[tuple[str, str]], pieces: dict[str, int], rounds: int =
 
 
 class Identifier:
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, most_words: int = 400_000):
+    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, most_words: int = 300_000):
         self.langs, self.p, self.most_words = langs, p, most_words
         self.pieces = load_pieces(vocabulary)
         self.forget()
@@ -190,16 +190,10 @@ class Identifier:
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), sizes.tolist(), strict=True)], np.where(sizes > 0, score, 0.0)
 
 
-_IDENTIFIERS: dict[str, Identifier] = {}
-
-
 def _identifier(model: Broadcast) -> Identifier:
     """One for each model and Python worker."""
     key, langs, p, vocabulary = model.value
-    if key not in _IDENTIFIERS:
-        _IDENTIFIERS.clear()
-        _IDENTIFIERS[key] = Identifier(langs, p, vocabulary)
-    return _IDENTIFIERS[key]
+    return common.kept(key, lambda: Identifier(langs, p, vocabulary))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | None = None) -> Broadcast:

@@ -52,7 +52,7 @@ SKETCH_BITS, CHUNKS = 22, 64
 LONG = 32
 BLOCK = 256
 BITMAP_BITS = 24
-SLICE = 1 << 20
+SLICE = 1 << 19
 ENTRY = np.dtype([("s", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -127,6 +127,7 @@ def least_distance(a: bytes, b: bytes) -> int:
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    common.kept(None, lambda: None)  # what other operators have kept goes
     for whole in batches:
         for batch in common.slices(whole, "text", SLICE):
             yield batch, shingles(batch.column("text").to_pylist())
@@ -170,7 +171,7 @@ def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if f and new(f[0]):
                 held.append(f[1])
                 n_held += len(f[1])
-        if n_held > 1 << 21:
+        if n_held > 1 << 20:
             add()
             held, n_held = [], 0
         k = len(found)
@@ -230,7 +231,7 @@ def _second_scan(counts: Broadcast, buckets: int) -> Callable:
             if some:
                 k = len(some)
                 yield _table(ENTRIES, [pa.array([-1] * k, pa.int32()), pa.array([f[0] for f in some], pa.int64()), pa.array([len(f[1]) for f in some], pa.int32()), pa.array([signature(f[1]) for f in some], pa.binary())])
-            if n_held > 1 << 20:
+            if n_held > 1 << 19:
                 yield flush()
                 held, n_held = [], 0
         if held:

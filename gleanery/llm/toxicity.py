@@ -259,7 +259,7 @@ def score_windows(p: Params, gates: tuple[np.ndarray, np.ndarray], codes: np.nda
 class Scorer:
     """Scores texts; what a word brings to the gates is computed once and kept, up to most_words words."""
 
-    def __init__(self, p: Params | None, most_words: int = 300_000):
+    def __init__(self, p: Params | None, most_words: int = 200_000):
         self.p, self.most_words = p, most_words
         self.forget()
 
@@ -300,16 +300,10 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Broadcast) -> Scorer:
     """One for each model and Python worker."""
     key, p = model.value
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(p)
-    return _SCORERS[key]
+    return common.kept(key, lambda: Scorer(p))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Broadcast:
