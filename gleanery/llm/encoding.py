@@ -48,8 +48,8 @@ def _units(data: np.ndarray, bounds: np.ndarray, spaced: bool) -> tuple[np.ndarr
     kind = CLASS[data]
     latin = np.zeros(n, bool)  # the second byte of a Latin character
     latin[1:] = (kind[1:] == 8) & (kind[:-1] == 7)
-    sign = np.zeros(n, bool)  # of the two that are no letters
-    sign[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    sign = np.zeros(n, bool)  # of the two that are no letters, and of the one whose lower case ends in a mark
+    sign[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
     letter_end = (kind == 1) | (latin & ~sign)
     cut = np.zeros(n + 1, bool)
     cut[1:n] = (kind[1:] == 3) & letter_end[:-1]
