@@ -30,7 +30,7 @@ def canonical(rows: DataFrame) -> DataFrame:
 
 def gather(items: DataFrame, seen_keys: DataFrame, title_terms: list[str] = (), company_terms: list[str] = (), most_applicants: int = 0, first=None, last=None) -> DataFrame:
     """Canonical listings that pass all filters and that no earlier run has reported, newest first."""
-    out = canonical(listings(items))
+    out = cut(canonical(cut(listings(items))))  # each stage is written before the next one's plan is made
     out = filters.exclude_terms(out, "title", list(title_terms))
     out = filters.exclude_terms(out, "company", list(company_terms))
     if "applicants" in out.columns:

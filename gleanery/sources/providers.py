@@ -96,18 +96,21 @@ def _row(source: str, **columns: Column) -> list[Column]:
 
 
 def indeed(df: DataFrame) -> DataFrame:
-    tags = text.unique_ordered(F.concat(F.slice(values("attributes"), 1, 40), F.slice(values("benefits"), 1, 12), F.slice(values("jobTypes"), 1, 8), F.slice(values("employerAttributes"), 1, 12)))
-    df = df.withColumn("tags", tags)
+    lists = ("attributes", "benefits", "jobTypes", "employerAttributes")
+    df = df.withColumns({f"_{c}": values(c) for c in lists})
+    df = df.withColumn("tags", text.unique_ordered(F.concat(*(F.slice(f"_{c}", 1, n) for c, n in zip(lists, (40, 12, 8, 12), strict=True)))))
     t = F.col("tags")
-    seniority = F.get(F.filter(t, lambda x: F.contains(F.lower(x), F.lit("level")) & tag_is(x, fixed.SENIORITY_WORDS)), 0)
-    skills = F.slice(F.filter(t, lambda x: is_skill(x) & ~tag_is(x, fixed.BENEFIT_WORDS) & ~tag_is(x, fixed.TAG_JOB_TYPES) & ~tag_is(x, fixed.EDUCATION_WORDS) & ~is_experience(x)), 1, 12)
-    education, experience = F.slice(F.filter(t, lambda x: tag_is(x, fixed.EDUCATION_WORDS)), 1, 5), F.slice(F.filter(t, is_experience), 1, 5)
     place = F.coalesce(text.none_if_blank(F.array_join(text.unique_ordered(F.array_compact(F.array(field("location.city"), field("location.admin1Code"), first_field("location.countryName", "location.countryCode")))), ", ")), first_field("location.streetAddress", "location.formatted", "location.name", "location"))
-    kinds = F.array_join(text.or_else(values("jobTypes"), F.filter(values("employerAttributes"), lambda x: tag_is(x, fixed.TAG_JOB_TYPES))), ", ")
     salary = F.coalesce(money_range(number("baseSalary.minValue"), number("baseSalary.maxValue"), field("baseSalary.currencyCode"), field("baseSalary.unitOfWork")), first_field("baseSalary", "salary", "salaryText"))
-    mode = work_mode(F.concat_ws(" ", place, F.array_join(t, " ")))
+    skills = F.slice(F.filter(t, lambda x: is_skill(x) & ~tag_is(x, fixed.BENEFIT_WORDS) & ~tag_is(x, fixed.TAG_JOB_TYPES) & ~tag_is(x, fixed.EDUCATION_WORDS) & ~is_experience(x)), 1, 12)
+    df = df.withColumns({"_place": place, "_salary": salary, "_skills": skills})
+    df = df.withColumn("_mode", work_mode(F.concat_ws(" ", "_place", F.array_join(t, " "))))
+    place, salary, skills, mode = (F.col(c) for c in ("_place", "_salary", "_skills", "_mode"))
+    seniority = F.get(F.filter(t, lambda x: F.contains(F.lower(x), F.lit("level")) & tag_is(x, fixed.SENIORITY_WORDS)), 0)
+    education, experience = F.slice(F.filter(t, lambda x: tag_is(x, fixed.EDUCATION_WORDS)), 1, 5), F.slice(F.filter(t, is_experience), 1, 5)
+    kinds = F.array_join(text.or_else(F.col("_jobTypes"), F.filter("_employerAttributes", lambda x: tag_is(x, fixed.TAG_JOB_TYPES))), ", ")
     rating = F.concat(field("employer.ratingsValue"), F.coalesce(F.concat(F.lit(" ("), field("employer.ratingsCount"), F.lit(" reviews)")), F.lit("")))
-    lines = [("Salary", salary), ("Work mode", mode), ("Seniority", seniority), ("Skills", F.array_join(skills, ", ")), ("Experience", F.array_join(experience, ", ")), ("Education", F.array_join(education, ", ")), ("Benefits", F.array_join(F.slice(values("benefits"), 1, 12), ", ")), ("Employer rating", rating), ("Company size", field("employer.employeesCount")), ("Industry", field("employer.industry"))]
+    lines = [("Salary", salary), ("Work mode", mode), ("Seniority", seniority), ("Skills", F.array_join(skills, ", ")), ("Experience", F.array_join(experience, ", ")), ("Education", F.array_join(education, ", ")), ("Benefits", F.array_join(F.slice("_benefits", 1, 12), ", ")), ("Employer rating", rating), ("Company size", field("employer.employeesCount")), ("Industry", field("employer.industry"))]
     key = F.coalesce(first_field("key", "jobKey", "jobId", "job_id", "id"), *(text.none_if_blank(F.regexp_extract(field(u), r"[?&]jk=([^&#]+)", 1)) for u in ("url", "jobUrl", "link")))
     row = _row("indeed", job_id=key, title=first_field("title", "name"), company=first_field("employer.name", "companyName"), company_url=first_field("employer.url"), location=place, job_type=text.none_if_blank(kinds), description=with_lines(first_field("description.text", "description", "summary", "snippet"), "Indeed", lines), posted=first_field("datePublished", "dateOnIndeed", "postedAt"), salary=salary, work_mode=mode, skills=skills, tags=t, job_url=first_field("url", "link"), apply_url=first_field("jobUrl", "applyUrl"))
     return df.select(*_keep(df), *row)
@@ -150,7 +153,7 @@ def plain(df: DataFrame, source: str = "linkedin") -> DataFrame:
 
 
 def _keep(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in LISTING]
+    return [c for c in df.columns if c not in LISTING and not c.startswith("_")]
 
 
 NORMALISERS = {"linkedin": plain, "indeed": indeed, "stepstone": stepstone, "xing": xing}

@@ -213,10 +213,10 @@ def test_pipeline(spark):
     items = [(0, "indeed", "GIS", 0, INDEED), (1, "linkedin", "Data", 0, {"title": "Data Engineer", "companyName": "Acme Data GmbH", "location": "Berlin, BE, Germany", "employmentType": "Full-time", "postedAt": "2026-05-06", "applyUrl": "https://acme.example/apply?utm_source=l"}), (2, "xing", "Plan", 0, XING)]
     df = spark.createDataFrame([(a, b, c, d, json.dumps(e)) for a, b, c, d, e in items], "search_idx int, source string, keyword string, pos int, json string")
     seen = spark.createDataFrame([], "key string")
-    got = pipeline.gather(df, seen, title_terms=["nothing"]).collect()
-    assert sorted(r.app for r in got) == ["LinkedIn | Indeed", "Xing"]
-    keys = pipeline.canonical(pipeline.listings(df)).select(F.explode(history.identity_keys(source="app")).alias("key"))
-    assert pipeline.gather(df, keys).count() == 0
+    got = pipeline.gather(df, seen, title_terms=["nothing"])
+    assert sorted(r.app for r in got.collect()) == ["LinkedIn | Indeed", "Xing"]
+    keys = got.select(F.explode(history.identity_keys(source="app")).alias("key"))
+    assert history.not_seen(got, history.identity_keys(source="app"), keys, "cluster_id").count() == 0
 
 
 def fake_fetch(source, keyword, payload, n):
