@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language_id, ngram_join, packing, sharding, token_files, topk, toxicity
+from . import chat, decontamination, language_id, ngram_join, packing, sharding, token_counts, token_files, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_chat_formatting": chat.query,
         "op4_exact_topk": topk.query,
         "op5_benchmark_decontamination": decontamination.query,
+        "op6_token_counts": token_counts.query,
         "op7_packing": packing.query,
         "op8_sharding": sharding.query,
         "op9_token_files": token_files.query,
