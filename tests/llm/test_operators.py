@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, common, decontamination, encoding, hashing, language_id, ngram_join, packing, sharding, token_files, topk, toxicity
+from gleanery.llm import chat, common, decontamination, encoding, hashing, language_id, ngram_join, packing, sharding, token_counts, token_files, topk, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "ta re mi no sol du ka pe lor in vas ten qui ab ek um".split()
@@ -52,6 +52,7 @@ def test_every_operator_takes_odd_tables(spark):
         assert packing.pack(df).where("offset <> 0").count() == 0
         assert packing.pack(df).agg(F.count_distinct("sequence_id")).first()[0] == packing.pack(df).count()
         assert sharding.shard(df).count() == n
+        assert token_counts.count(df).select("doc_id", "section").count() == n
         uri = common.fresh_path(spark, "odd")
         assert token_files.read(token_files.write(df, uri, parts=2), uri).count() == n
         assert decontamination.find(df, bench).count() == n and decontamination.keep_clean(df, bench).columns == df.columns
@@ -117,6 +118,34 @@ def test_packing_and_token_files(spark):
         start += len(ids)
 
 
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(encoding.vocabulary_path("byte_bpe_50k.json"))
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice(["the cat", ".", "\n", "\n\n", "\n\n\n", " x", "  "]) for _ in range(rnd.randint(0, 12)))) for i in range(80)]
+    got: dict = {}
+    for r in token_counts.count(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.first_char, r.n_chars, r.n_tokens)
+    crossed = 0
+    for i, t in rows:
+        lines = t.split("\n")
+        sections = [len(x) + (k + 1 < len(lines)) for k, x in enumerate(lines)]
+        begins = [sum(sections[:k]) for k in range(len(sections))]
+        n = [0] * len(sections)
+        for a, b in plain.encode(t, add_special_tokens=False).offsets:
+            held = [max(0, min(b, s + m) - max(a, s)) for s, m in zip(begins, sections, strict=True)]
+            crossed += sum(h > 0 for h in held) > 1
+            n[held.index(max(held))] += 1
+        assert got[i] == {k: (begins[k], sections[k], n[k]) for k in range(len(n))}
+    assert crossed > 20
+    rows = corpus()
+    sums = {r.doc_id: r.n_tokens for r in token_counts.per_document(token_counts.count(frame(spark, rows), separator=". ")).collect()}
+    assert sums == {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    wide = token_counts.count(frame(spark, [(1, "é😀\nß")])).orderBy("section").collect()
+    assert [(r.first_char, r.n_chars) for r in wide] == [(0, 3), (3, 1)]
+
+
 def test_pfor_blocks():
     rng = np.random.default_rng(0)
     for top, share in ((1, 0), (7, 0.01), (50_257, 0.5), (2**32 - 1, 0.1), (2**32 - 1, 1)):
