@@ -53,3 +53,19 @@ DETAIL_COLUMNS = ["Job Description", "Description", "Details", "Job Details"]
 EXPORT_COLUMNS = ["Application Status", "App", "Job Title", "Company", "Location", "Job Type", "Job Description", "Posted", "Applicants", "Keywords Matched", "Job URL", "Apply URL", *AI_COLUMNS]
 MAX_SCORE = 26
 MIN_ADVERTISEMENT = 20
+#: Sections of a CV that a model may not change: title, other titles that a model gives it, and sections that it belongs before.
+PROTECTED_SECTIONS = ["Ausbildung"]
+EDUCATION_TITLES = ["Ausbildung", "Education", "Bildung", "Qualifikation", "Qualifikationen"]
+EDUCATION_BEFORE = ["Berufserfahrung", "Experience", "Projekte", "Projects", "Technische Fähigkeiten", "Technical Skills", "Sprachen", "Languages"]
+NO_CV = ["n/a", "na", "none", "null", "not applicable"]
+COMPANY_SUFFIXES = "ag co company corp corporation gmbh group inc kg limited llc ltd mbh se ug".split()
+UNSAFE_LATEX = "input include includeonly import subimport openin openout read write write18 catcode csname newread newwrite".split()
+FONT_BLOCK = r"""\usepackage{fontspec}
+\defaultfontfeatures{Ligatures=TeX}
+\setmainfont{lmroman10-regular.otf}[
+  BoldFont=lmroman10-bold.otf,
+  ItalicFont=lmroman10-italic.otf,
+  BoldItalicFont=lmroman10-bolditalic.otf
+]"""
+MAX_LOG, MAX_STEM, MAX_FILE_NAME = 4000, 156, 120
+MAX_PAGES, SHORTENINGS = 2, 2

@@ -25,6 +25,10 @@ def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def none_if_blank(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import text
-
-LATEX = r"(?s)\\documentclass|\\begin\{document\}"
+from ..functions import latex, text
+from ..session import cut
 
 
 def advertisement(columns: list[str]) -> Column:
@@ -34,7 +33,7 @@ def display_name(title: Column, company: Column, row_number: Column) -> Column:
 def state(verdict: Column, cv: Column, pdf: Column, ad: Column, again: bool = False) -> Column:
     """queued, skipped (done before) or unusable."""
     v = F.lower(text.clean_cell(verdict))
-    no_cv = (v == "suitable") & ~F.coalesce(cv.rlike(LATEX), F.lit(False)) & (text.clean_cell(pdf) == "")
+    no_cv = (v == "suitable") & ~latex.looks_like_cv(cv) & (text.clean_cell(pdf) == "")
     done = (v != "") & (v != "error") & ~no_cv
     return F.when(F.lit(not again) & done, "skipped").when(F.length(F.coalesce(ad, F.lit(""))) < fixed.MIN_ADVERTISEMENT, "unusable").otherwise("queued")
 
@@ -43,6 +42,31 @@ def prompt(master: str, ad: Column, cv: str) -> Column:
     return F.concat(F.lit(master.strip() + "\n\n# Job advertisement\n\n"), ad, F.lit("\n\n# Master CV (LaTeX)\n\n" + cv.strip()))
 
 
+def retry_prompt(master: str, ad: Column, cv: str, response: Column) -> Column:
+    """For a suitable row whose answer holds no CV."""
+    task = "# Missing CV\n\nYour answer below calls this job suitable, but holds no CV that can be used. Keep the verdict. Write the whole tailored LaTeX CV now, from the master CV alone: first the three machine-readable lines, then `Customized CV (LaTeX):` and one latex code block."
+    return F.concat(F.lit(f"{master.rstrip()}\n\n{task}\n\n# Previous answer\n\n"), text.strip(response), F.lit("\n\n# Job advertisement\n\n"), text.strip(ad), F.lit(f"\n\n# Master CV (LaTeX)\n\n{cv.strip()}"))
+
+
+def shorten_prompt(source: str, pages: int, most: int = fixed.MAX_PAGES) -> str:
+    """Of the tasks that fit documents to a number of pages, so a plain text."""
+    return f"This LaTeX CV has {pages} pages and may have {most}. Tighten its bullet points and phrases and drop minor items. Keep the education section, all headings, contact data, the document class and the packages. Answer with the whole source in one latex code block.\n\n```latex\n{source.strip()}\n```"
+
+
+def response_text(raw: Column) -> Column:
+    """The text of a model's JSON answer: output_text, else all texts of its output's contents, by lines."""
+    got = F.from_json(raw, "output_text string, output array<struct<content: array<struct<text: string>>>>")
+    items = F.flatten(F.filter(F.transform(F.coalesce(got["output"], F.array()), lambda o: o["content"]), lambda c: c.isNotNull()))
+    lines = F.filter(F.transform(items, lambda c: c["text"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return text.strip(F.coalesce(F.nullif(got["output_text"], F.lit("")), F.array_join(lines, "\n")))
+
+
+def cv_of_response(response: Column) -> Column:
+    """The tailored CV, else the first code block, else the whole answer, whichever looks like a CV first; else empty."""
+    tries = [parse_cv(response), latex.fenced(response), text.strip(response)]
+    return F.coalesce(*(F.when(latex.looks_like_cv(x), x) for x in tries), F.lit(""))
+
+
 CV_SECTION = r"(?is)\n?\s*(?:\d+\.\s*)?Customized\s+CV\s*\(LaTeX\)\s*:\s*"
 VERDICT = r"(?im)^\s*Verdict\s*:\s*(.+?)\s*$"
 SCORE = r"(?im)^\s*Fit\s+Score\s*:\s*(\d{1,2})(?:\s*(?:points?|/26|%))?\s*$"
@@ -63,14 +87,17 @@ def _tidy(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def parse_cv(response: Column) -> Column:
+    """What stands under the CV's heading, without its code fence."""
+    rest = text.strip(F.coalesce(F.get(F.split(response, CV_SECTION, 2), 1), F.lit("")))
+    return F.coalesce(latex.fenced(rest), rest)
+
+
 def parse_response(response: Column) -> Column:
     """A struct of verdict, fit_score, reason, unsuitable_reasons, raw_verdict, tailored_cv and error."""
     parts = F.split(response, CV_SECTION, 2)
     body = F.get(parts, 0)
-    edges = r"^\s+|\s+$"
-    rest = F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), edges, "")
-    fenced = r"(?is)```(?:latex)?\s*(.*?)```"
-    cv = F.when(rest.rlike(fenced), F.regexp_replace(F.regexp_extract(rest, fenced, 1), edges, "")).otherwise(rest)
+    cv = parse_cv(response)
     raw = F.when(response.rlike(VERDICT), F.regexp_extract(response, VERDICT, 1))
     score = F.regexp_extract(response, SCORE, 1).try_cast("int")
     lines = F.split(body, r"\r?\n")
@@ -131,15 +158,15 @@ def verdict_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def evaluate(queue: DataFrame, model: Callable[[str], str], master: str, cv: str, per_second: float = 0.0, attempts: int = 3) -> DataFrame:
-    """row_number and response of queued rows (row_number, advertisement). The model is a function of a prompt; it is called in
+def answers(prompts: DataFrame, model: Callable[[str], str], per_second: float = 0.0, attempts: int = 3) -> DataFrame:
+    """row_number and response of rows (row_number, prompt). The model is a function of a prompt; it is called in
     the tasks, at most per_second times a second over all of them, and again after an error; the last error becomes the response."""
-    tasks = max(1, queue.rdd.getNumPartitions()) if per_second else 1
+    tasks = max(1, prompts.rdd.getNumPartitions()) if per_second else 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pause, last = (tasks / per_second if per_second else 0.0), 0.0
         for frame in frames:
-            answers = []
+            given = []
             for p in frame["prompt"]:
                 said = ""
                 for k in range(attempts):
@@ -153,10 +180,37 @@ def evaluate(queue: DataFrame, model: Callable[[str], str], master: str, cv: str
                     except Exception as e:  # a model may fail in any way; the row then says so and waits for the next run
                         said = f"Error: {e}"
                         time.sleep(0 if k + 1 == attempts else 0.01 * 2**k)
-                answers.append(said)
-            yield pd.DataFrame({"row_number": frame["row_number"], "response": answers})
+                given.append(said)
+            yield pd.DataFrame({"row_number": frame["row_number"], "response": given})
 
-    return queue.select("row_number", prompt(master, F.col("advertisement"), cv).alias("prompt")).mapInPandas(run, "row_number long, response string")
+    return prompts.select("row_number", "prompt").mapInPandas(run, "row_number long, response string")
+
+
+def evaluate(queue: DataFrame, model: Callable[[str], str], master: str, cv: str, per_second: float = 0.0, attempts: int = 3) -> DataFrame:
+    """row_number and response of queued rows (row_number, advertisement), by answers()."""
+    return answers(queue.select("row_number", prompt(master, F.col("advertisement"), cv).alias("prompt")), model, per_second, attempts)
+
+
+def evaluations(queue: DataFrame, model: Callable[[str], str], master: str, cv: str, per_second: float = 0.0, attempts: int = 3) -> DataFrame:
+    """row_number and the fields of parse_response of queued rows. Suitable rows without a CV are asked for once more; those
+    that still have none are errors; the others get the master's protected sections. Answers are checkpointed: none is paid twice."""
+    parsed = lambda df: df.select("row_number", "response", parse_response(F.col("response")).alias("r"))
+    first = parsed(cut(evaluate(queue, model, master, cv, per_second, attempts)))
+    open_ = (F.col("r.verdict") == "Suitable") & ~latex.looks_like_cv(F.col("r.tailored_cv"))
+    again = first.where(open_).join(queue.select("row_number", "advertisement"), "row_number")
+    asked = again.select("row_number", retry_prompt(master, F.col("advertisement"), cv, F.col("response")).alias("prompt"))
+    second = cut(answers(asked, model, per_second, attempts)).select("row_number", cv_of_response(F.col("response")).alias("repaired"))
+    both = first.join(second, "row_number", "left")
+    source = F.when(open_, F.coalesce("repaired", F.lit(""))).otherwise(F.col("r.tailored_cv"))
+    whole = both.select("row_number", "r", source.alias("cv"))
+    has = latex.looks_like_cv(F.col("cv"))
+    lost = (F.col("r.verdict") == "Suitable") & ~has
+    return whole.select(
+        "row_number", F.when(lost, "Error").otherwise(F.col("r.verdict")).alias("verdict"), F.when(~lost, F.col("r.fit_score")).alias("fit_score"), "r.reason",
+        F.when(lost, "").otherwise(F.col("r.unsuitable_reasons")).alias("unsuitable_reasons"), "r.raw_verdict",
+        F.when(lost, "").when(has, latex.protect(F.col("cv"), F.lit(cv))).otherwise(F.col("cv")).alias("tailored_cv"),
+        F.when(lost, "Suitable, but without a usable CV after a second answer.").otherwise(F.col("r.error")).alias("error"),
+    )
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:

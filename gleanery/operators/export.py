@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from datetime import UTC, datetime
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -44,3 +48,15 @@ def write_run(rows: DataFrame, keys: DataFrame, run_name: str, path: str, histor
             raise
         seen = spark.createDataFrame([], "key string")
     history.new_keys(keys, seen).write.mode("append").parquet(history_path)
+
+
+def write_report(spark: SparkSession, path: str, status: str, category: str, details: Any) -> None:
+    """A run's report as one JSON file, wherever Hadoop's file systems reach. details: what JSON can hold, such as an Observation's values."""
+    told = {"status": status, "category": category, "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "details": details}
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(json.dumps(told, indent=2, sort_keys=True).encode())
+    finally:
+        out.close()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import dates, numbers, similarity, text, urls
+from . import fixed
+from .functions import dates, filenames, latex, numbers, similarity, text, urls
 from .operators import evaluate, export, filters, history, merge, resolve
 from .plans import scan
 
@@ -387,6 +388,59 @@ def q46_unique_names(s, d):
     return export.unique_names(t(s, d, "part"), "p_name", "p_partkey").select("p_partkey", "unique_name")
 
 
+def _sources(s, d) -> DataFrame:
+    """A small LaTeX source of each part; every third lacks the education section, every fifth the one that it belongs before."""
+    k = F.col("p_partkey")
+    study = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("\\section{Education}\nat "), F.col("p_brand"), F.lit("\n")))
+    work = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("  \\section*{Berufserfahrung}\n"), F.col("p_name"), F.lit("\n")))
+    return t(s, d, "part").select("p_partkey", F.concat(F.lit("\\documentclass{cv}\n\\begin{document}\n"), study, work, F.lit("\\end{document}")).alias("cv"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 36 END AS start_at, CASE WHEN p_partkey % 3 <> 0 THEN 60 + length(p_brand) END AS end_at,
+36 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 24 + length(p_brand) END AS insert_at FROM part WHERE p_partkey % 5 <> 0 UNION ALL
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 36 END, CASE WHEN p_partkey % 3 <> 0 THEN 74 + length(p_brand) END, 36 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 24 + length(p_brand) END FROM part WHERE p_partkey % 5 = 0""")
+def q47_section_span(s, d):
+    span = latex.section_span(F.col("cv"), fixed.EDUCATION_TITLES)
+    return _sources(s, d).select("p_partkey", span["start"].alias("start_at"), span["end"].alias("end_at"), latex.insertion_place(F.col("cv"), fixed.EDUCATION_BEFORE).alias("insert_at"))
+
+
+@query(r"""SELECT p_partkey, '\documentclass{cv}' || chr(10) || '\begin{document}' || chr(10) || chr(10) || '\section{Ausbildung}' || chr(10) || 'Dresden' ||
+CASE WHEN p_partkey % 5 = 0 THEN '' ELSE chr(10) || chr(10) || '  \section*{Berufserfahrung}' || chr(10) || p_name END ||
+CASE WHEN p_partkey % 5 <> 0 THEN chr(10) || '\end{document}' WHEN p_partkey % 3 = 0 THEN chr(10) || chr(10) || '\end{document}' ELSE '' END AS cv FROM part""")
+def q48_protected_sections(s, d):
+    master = F.lit("\\begin{document}\n\\section{Ausbildung}\nDresden\n\n\\section{Sprachen}\nDeutsch\n\\end{document}")
+    return _sources(s, d).select("p_partkey", latex.protect(F.col("cv"), master).alias("cv"))
+
+
+@query("""SELECT s_suppkey, s_suppkey || '_CV_Ada_Lovelace_' || regexp_replace(s_name, '[^A-Za-z0-9]+', '_', 'g') || '_Nation_' || s_nationkey || '.pdf' AS file_name,
+regexp_replace(s_name, '[^A-Za-z0-9]+', '_', 'g') AS token, trim(regexp_replace(s_name || ': ' || s_nationkey || '/x', '[:/ ]+', ' ', 'g')) AS stem FROM supplier""")
+def q49_document_names(s, d):
+    nation = F.col("s_nationkey").cast("string")
+    name = F.concat("s_name", F.lit(" / Nation "), nation, F.lit(" GmbH"))
+    stem = filenames.safe_stem(F.concat(F.lit(" ._"), F.col("s_name"), F.lit(": "), nation, F.lit("/x")))
+    return t(s, d, "supplier").select("s_suppkey", filenames.document_name(F.col("s_suppkey"), name, "Ada Lovelace").alias("file_name"), filenames.safe_token(F.col("s_name")).alias("token"), stem.alias("stem"))
+
+
+@query("""SELECT doc_id, length(text) AS n_chars, CASE WHEN length(t) <= 4000 THEN t ELSE '[truncated]' || chr(10) || right(t, 4000) END AS log_tail
+FROM (SELECT *, regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g') AS t FROM documents)""".replace("\\\\", "\\"))
+def q50_log_tail(s, d):
+    return t(s, d, "documents").select("doc_id", F.length("text").alias("n_chars"), latex.tail(F.col("text")).alias("log_tail"))
+
+
+@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM conversations WHERE text <> '' GROUP BY 1""")
+def q51_response_text(s, d):
+    """A conversation as a model's nested JSON answer, read back as lines."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    contents = F.transform(turns, lambda x: F.struct(F.array(F.struct(x["text"].alias("text"))).alias("content")))
+    raw = t(s, d, "conversations").where("text <> ''").groupBy("conv_id").agg(contents.alias("output"))
+    return raw.select("conv_id", evaluate.response_text(F.to_json(F.struct("output"))).alias("answer"))
+
+
+@query("""SELECT event_id, CASE WHEN n >= 3600 THEN (n // 3600) || 'h ' ELSE '' END || CASE WHEN n >= 60 THEN (n % 3600 // 60) || 'm ' ELSE '' END || (n % 60) || 's' AS took FROM (SELECT event_id, event_id % 9000 AS n FROM events)""")
+def q52_duration(s, d):
+    return t(s, d, "events").select("event_id", filenames.duration((F.col("event_id") % 9000).cast("double")).alias("took"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
