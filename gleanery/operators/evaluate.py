@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -137,6 +138,27 @@ def is_rejected(verdict_: Column, reasons: Column) -> Column:
     return (F.lower(F.trim(F.coalesce(verdict_, F.lit("")))) == "not suitable") & (label_count(reasons) != 1)
 
 
+def without_rejected(df: DataFrame, verdict_: str, reasons: str, remove: bool = True) -> DataFrame:
+    """df without the rows that go after evaluation, where the policy says so."""
+    return df.where(~is_rejected(F.col(verdict_), F.col(reasons))) if remove else df
+
+
+def category(verdict_: Column) -> Column:
+    return F.when(verdict_ == "Suitable", "Relevant").when(verdict_ == "Not Suitable", "Irrelevant").otherwise("Error")
+
+
+def rejection_reasons(verdict_: Column, reasons: Column, reason: Column) -> Column:
+    """Of rows that don't suit: the labelled reasons, else the whole reason."""
+    said = F.coalesce(F.nullif(reasons, F.lit("")), reason)
+    return F.when(verdict_ == "Not Suitable", said).otherwise("")
+
+
+def header_places(headers: list[str]) -> dict[str, int]:
+    """Where each header stands, by its letters and digits alone; the first of a kind wins."""
+    names = [" ".join(re.findall("[a-z0-9]+", (h or "").casefold())) for h in headers]
+    return {name: names.index(name) for name in names if name}
+
+
 def dropped_columns(columns: list[str], with_cv: bool = False) -> list[str]:
     gone = {c.lower() for c in [*fixed.LEGACY_AI_COLUMNS, *fixed.DETAIL_COLUMNS, *(["AI Tailored CV"] if with_cv else [])]}
     return [c for c in columns if c.lower() in gone]

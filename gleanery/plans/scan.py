@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from datetime import datetime
 from typing import NamedTuple
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +63,27 @@ def payload(source: str, keyword: str, place: str = "", seconds: int | None = No
     return {k: v for k, v in (known | more).items() if v not in (None, "")}
 
 
+def search_url(keyword: str, place: str = "", seconds: int | None = None, geo_id: str = "", levels: list[str] = (), kinds: list[str] = ()) -> str:
+    """The address of a LinkedIn search, whose time window, levels and kinds of contract are pushed down."""
+    asked = {"keywords": keyword, "location": place, "geoId": geo_id, "f_E": ",".join(levels), "f_JT": ",".join(kinds), "position": 1, "pageNum": 0}
+    return "https://www.linkedin.com/jobs/search/?" + urlencode(asked | ({"f_TPR": f"r{seconds}"} if seconds else {}))
+
+
+def batch_payload(urls: list[str], max_items: int = 500, country: str = "", **more: bool) -> dict:
+    """One scan of several LinkedIn searches, whose rows attributed() tells apart. It is split by place if a country is given."""
+    split = {"splitByLocation": True, "splitCountry": country} if country else {"splitByLocation": False}
+    return {"urls": list(urls), "count": max_items * len(urls), **split, **more}
+
+
+def direct_payload(source: str, urls: list[str], max_items: int = 500) -> dict:
+    """One scan of addresses that are configured, in place of keywords."""
+    if source == "stepstone":
+        return {"startUrls": list(urls), "maxItems": max_items}
+    if source == "xing" and len(urls) == 1:
+        return {"startUrl": urls[0], "maxItems": max_items}
+    raise ValueError(f"{source} takes no {len(urls)} direct addresses")
+
+
 def providers(said: str) -> list[str]:
     """Aliases, comma separated, to providers in fixed order; without a known one, linkedin."""
     words = [w.strip().lower() for w in said.replace("+", ",").split(",") if w.strip()]
@@ -97,3 +120,20 @@ def attributed(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
     return lines.select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("keyword"))
+
+
+def text_asset(spark: SparkSession, path: str, label: str) -> str:
+    """A configuration text, such as a prompt or a master CV, that may not be blank."""
+    rows = spark.read.text(path, wholetext=True).take(1)
+    found = rows[0].value.strip() if rows else ""
+    if not found:
+        raise ValueError(f"{label} is empty: {path}")
+    return found
+
+
+def filter_config(spark: SparkSession, path: str) -> dict:
+    """The filters' configuration, one JSON object."""
+    found = json.loads(text_asset(spark, path, "the filter configuration"))
+    if not isinstance(found, dict):
+        raise ValueError(f"no JSON object: {path}")
+    return found

@@ -441,6 +441,20 @@ def q52_duration(s, d):
     return t(s, d, "events").select("event_id", filenames.duration((F.col("event_id") % 9000).cast("double")).alias("took"))
 
 
+@query("""SELECT doc_id, CASE WHEN toxic = 0 THEN 'Relevant' WHEN quality = 0 THEN 'Irrelevant' ELSE 'Error' END AS category, CASE WHEN toxic = 1 AND quality = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'far' ELSE 'long' END ELSE '' END AS reasons FROM labels""")
+def q53_category_and_reasons(s, d):
+    verdict = F.when(F.col("toxic") == 0, "Suitable").when(F.col("quality") == 0, "Not Suitable").otherwise("Error")
+    said = F.when(F.col("doc_id") % 2 == 0, "far").otherwise("")
+    return t(s, d, "labels").select("doc_id", evaluate.category(verdict).alias("category"), evaluate.rejection_reasons(verdict, said, F.lit("long")).alias("reasons"))
+
+
+@query("SELECT user_id FROM events GROUP BY 1 HAVING NOT (user_id % 2 = 0 AND count(DISTINCT event_type) <> 1)")
+def q54_rejected_rows_removed(s, d):
+    rows = t(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("reasons"))
+    rows = rows.withColumn("verdict", F.when(F.col("user_id") % 2 == 0, "Not suitable").otherwise("Suitable"))
+    return evaluate.without_rejected(rows, "verdict", "reasons").select("user_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

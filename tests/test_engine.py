@@ -180,6 +180,14 @@ def test_scan_plan(spark):
     assert scan.pushed_window("since_previous_run", now, before) == (25 * 3600 + 3600, True)
     assert scan.payload("indeed", "k", seconds=90_000, max_items=1500) == {"title": "k", "limit": 1000, "datePosted": "3"}
     assert "datePosted" not in scan.payload("indeed", "k", seconds=2_592_000)
+    assert scan.search_url("a b", "Köln", 3600, "7", ["2", "3"], ["F"]) == "https://www.linkedin.com/jobs/search/?keywords=a+b&location=K%C3%B6ln&geoId=7&f_E=2%2C3&f_JT=F&position=1&pageNum=0&f_TPR=r3600"
+    assert "f_TPR" not in scan.search_url("a")
+    assert scan.batch_payload(["u", "v"], 50) == {"urls": ["u", "v"], "count": 100, "splitByLocation": False}
+    assert scan.batch_payload(["u"], 50, "DE")["splitCountry"] == "DE"
+    assert scan.direct_payload("stepstone", ["u", "v"], 9) == {"startUrls": ["u", "v"], "maxItems": 9}
+    assert scan.direct_payload("xing", ["u"], 9) == {"startUrl": "u", "maxItems": 9}
+    with pytest.raises(ValueError):
+        scan.direct_payload("indeed", ["u"])
     rows = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["c"])], "id int, candidate_urls array<string>")
     plan = spark.createDataFrame([("a", 0), ("b", 1)], "url string, search_idx int")
     assert {r.id: r.search_idx for r in scan.attributed(rows, plan).collect()} == {1: 0, 2: None, 3: None}
@@ -187,6 +195,16 @@ def test_scan_plan(spark):
         scan.window_name("someday")
 
 
+def test_configuration(spark, tmp_path):
+    for name, said in {"good.json": '{"final_filters": {"max_applicants": 3}}', "list.json": "[1]", "bad.json": "{", "empty.txt": " \n"}.items():
+        (tmp_path / name).write_text(said)
+    assert scan.filter_config(spark, f"{tmp_path}/good.json")["final_filters"] == {"max_applicants": 3}
+    for name in ("list.json", "bad.json", "empty.txt"):
+        with pytest.raises(ValueError):
+            scan.filter_config(spark, f"{tmp_path}/{name}")
+    assert evaluate.header_places(["Job Title", "", "job-title", "App", None]) == {"job title": 0, "app": 3}
+
+
 INDEED = {"key": "abc123", "url": "https://de.indeed.com/viewjob?jk=abc123", "jobUrl": "https://acme.example/apply", "title": "Data Engineer", "employer": {"name": "Acme Data", "ratingsValue": 4.1, "ratingsCount": 120}, "location": {"city": "Berlin", "admin1Code": "BE", "countryName": "Germany"}, "description": {"text": "Build."}, "datePublished": "2026-05-06", "baseSalary": {"minValue": 75000, "maxValue": "95000", "currencyCode": "EUR", "unitOfWork": "YEAR"}, "jobTypes": {"a": "Full-time"}, "attributes": {"0": "Python", "1": "SQL", "2": "3+ years experience", "3": "Hybrid work"}}
 STEPSTONE = {"id": 12424623, "title": "GIS Analyst (Full-time)", "labels": [{"label": "Schnelle Bewerbung", "type": "x"}], "topLabels": ["Top Job"], "url": "/stellenangebote--x--12424623-inline.html", "companyName": "GeoCo", "location": "Berlin", "unifiedSalary": {"min": 60000, "max": 76000, "currency": "EUR", "period": "year"}, "workFromHome": "Remote"}
 XING = {"job_id": "148355491.3c4997", "title": "Planner", "company": "City", "location": "Berlin", "location_country": "Germany", "matching_facts": [{"label": "Hybrid work"}], "url": "https://www.xing.com/jobs/x-1", "top_job": True}
