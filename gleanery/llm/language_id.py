@@ -209,7 +209,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | Non
         shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, share double")
         chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
         chosen = usable.join(F.broadcast(shares), "lang").where((chance < F.col("share")) & (F.octet_length("text") <= LONGEST_SAMPLE))
-        samples = sorted((r.text, r.lang) for r in chosen.select("text", "lang").collect())  # about per_language documents a language
+        once = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # rows that share an id are one document, however many
+        samples = sorted((r.text, r.lang) for r in once.select("text", "lang").collect())  # about per_language documents a language
     langs, p = learn(samples, load_pieces(path))
     return spark.sparkContext.broadcast((uuid.uuid4().hex, langs, p, path))
 

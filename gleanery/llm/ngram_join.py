@@ -438,7 +438,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with all its columns; and all documents without an id."""
+    """One document of each component, that of the smallest doc_id, with all its columns; and all documents
+    without an id. Rows that share the kept doc_id are one document and stay together."""
     first = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

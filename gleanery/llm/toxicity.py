@@ -319,7 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     if rows:
         asked = F.broadcast(spark.createDataFrame(list(rows.items()), "doc_id long, toxic int"))
         texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST_SAMPLE).join(asked, "doc_id")
-        samples = sorted((r.text, r.toxic) for r in texts.select("text", "toxic").collect())
+        once = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # rows that share an id are one document, however many
+        samples = sorted((r.text, r.toxic) for r in once.select("text", "toxic").where("text is not null").collect())
     return spark.sparkContext.broadcast((uuid.uuid4().hex, train(samples)))
 
 

@@ -353,3 +353,20 @@ def test_toxicity_learns_words_and_stems():
     scores = scorer.score([t for t, _ in rows[400:]])
     right = (scores >= toxicity.THRESHOLD) == np.array([y for _, y in rows[400:]], bool)
     assert right.mean() > 0.95 and scorer.score([None, "", "..."]).tolist() == [0, 0, 0]
+
+
+def test_samples_take_an_id_once(spark, monkeypatch):
+    """Rows that share an id, or have none, come to the driver once, however many they are."""
+    rows = [(1, f"first text {k}") for k in range(300)] + [(None, f"nobody {k}") for k in range(300)] + [(k, f"plain text {k}") for k in range(2, 12)]
+    df, labels = frame(spark, rows), spark.createDataFrame([(k, 1, k % 2) for k in range(1, 12)], "doc_id long, quality int, toxic int")
+    seen: dict = {}
+    learn = language_id.learn
+    monkeypatch.setattr(language_id, "learn", lambda samples, pieces: seen.update(lang=samples) or learn(samples, pieces))
+    monkeypatch.setattr(toxicity, "train", lambda samples: seen.update(toxic=samples))
+    language_id.fit(df, per_language=10_000)
+    toxicity.fit(df, labels)
+    learned = sorted(k for k in range(2, 12) if not common.is_held_out(k))
+    plain = {f"plain text {k}" for k in learned}
+    once = {"first text 0"} - ({"first text 0"} if common.is_held_out(1) else set())
+    assert len(seen["lang"]) == len({t for t, _ in seen["lang"]}) and {t for t, _ in seen["lang"]} == plain | once | {"nobody 0"}
+    assert len(seen["toxic"]) == len(plain | once) and {t for t, _ in seen["toxic"]} == plain | once
