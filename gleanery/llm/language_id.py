@@ -41,6 +41,8 @@ LONGEST_PIECE = 10
 ROUNDS = 4
 SMOOTH = 0.05
 OUTSIDE = 1e-8
+#: A probability below 1 / LIFT is multiplied by it. A power of two, so that nothing is rounded.
+LIFT = 2.0**300
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,37 +86,58 @@ class Lattice:
         single = self.ids[:, :, 0]
         single[single == none] = none + 1
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[position, word, language]; p: probability of each piece number in each language."""
+    def forward(self, p: np.ndarray, lifts: np.ndarray | None = None) -> np.ndarray:
+        """alpha[position, word, language]; p: probability of each piece number in each language. With lifts, of alpha's shape, no value underflows: lifts counts how often each has been multiplied by LIFT."""
         alpha = np.zeros((self.n + 1, len(self.ids), p.shape[1]))
         alpha[0] = 1
         for j in range(1, self.n + 1):
             for l in range(1, min(self.most, j) + 1):
                 alpha[j] += alpha[j - l] * p[self.ids[:, j - l, l - 1]]
+            if lifts is not None:
+                lift(alpha, lifts, j, j - 1, slice(max(0, j + 1 - self.most), j + 1))
         return alpha
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
+    def backward(self, p: np.ndarray, lifts: np.ndarray | None = None) -> np.ndarray:
         beta = np.zeros((self.n + 1, len(self.ids), p.shape[1]))
         beta[self.n] = 1
         for i in range(self.n - 1, -1, -1):
             for l in range(1, min(self.most, self.n - i) + 1):
                 beta[i] += beta[i + l] * p[self.ids[:, i, l - 1]]
+            if lifts is not None:
+                lift(beta, lifts, i, i + 1, slice(i, i + self.most))
         return beta
 
+    def log_probability(self, p: np.ndarray) -> np.ndarray:
+        """Of each word in each language."""
+        lifts = np.zeros((self.n + 1, len(self.ids), p.shape[1]), np.int16)
+        return np.log(self.forward(p, lifts)[self.n]) - lifts[self.n] * np.log(LIFT)
+
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces; weight[word, language]: how often each word occurs."""
-        alpha, beta = self.forward(p), self.backward(p)
-        scale = weight / alpha[self.n]
+        up, down = (np.zeros((self.n + 1, len(self.ids), p.shape[1]), np.int16) for _ in range(2))
+        alpha, beta = self.forward(p, up), self.backward(p, down)
+        scale, lifted = weight / alpha[self.n], bool(up.any() or down.any())
         out = np.zeros_like(p)
         for i in range(self.n):
             for l in range(1, min(self.most, self.n - i) + 1):
                 ids = self.ids[:, i, l - 1]
                 mass = alpha[i] * p[ids] * beta[i + l] * scale
+                if lifted:
+                    mass *= LIFT ** (up[self.n] - up[i] - down[i + l]).astype(float)
                 for k in range(p.shape[1]):
                     out[:, k] += np.bincount(ids, mass[:, k], len(p))
         return out
 
 
+def lift(values: np.ndarray, lifts: np.ndarray, at: int, before: int, reach: slice) -> None:
+    """Multiplies by LIFT where values[at] is small, over the positions that the next step still reads. What is summed at a position has the lifts of the one before."""
+    lifts[at] = lifts[before]
+    low = values[at] < 1 / LIFT
+    if low.any():
+        values[reach] *= np.where(low, LIFT, 1.0)
+        lifts[reach] += low
+
+
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
     """Numbers of words of one length, at most `most` at a time."""
     groups: dict[int, list[int]] = {}
@@ -161,8 +184,7 @@ class Identifier:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for g in by_length(words):
             lattice = Lattice([words[i] for i in g], self.pieces)
-            with np.errstate(divide="ignore"):
-                self.scores[n + np.array(g)] = np.log(lattice.forward(self.p)[lattice.n])
+            self.scores[n + np.array(g)] = lattice.log_probability(self.p)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -313,6 +313,21 @@ def test_segmentations_are_summed():
     assert expected[1, 0] == pytest.approx(2 * 0.2 / whole)
 
 
+def test_long_runs_outside_the_vocabulary():
+    path = encoding.vocabulary_path("piece_bpe_32k.model")
+    pieces, run = language_id.load_pieces(path), "\ua500" * 48
+    samples = [("the cat sat on the mat and the dog was there " + run, "en"), ("der hund und die katze sind nicht hier gewesen", "de")]
+    langs, p = language_id.learn(samples, pieces)
+    assert langs == ["de", "en"] and np.isfinite(p).all() and p[: len(pieces)].sum(axis=0) == pytest.approx(1)
+    said, scores = language_id.Identifier(langs, p, path).identify([f"{run} the dog sat there", f"der hund {run}{run} nicht", run])
+    assert said[:2] == ["en", "de"] and (scores[:2] > 0.9).all() and ((scores >= 0) & (scores <= 1)).all()
+    rare = np.full((len(pieces) + 2, 1), 1e-7)
+    rare[-2:] = [[0.0], [1e-8]]
+    lattice = language_id.Lattice([run], pieces)
+    assert lattice.log_probability(rare)[0, 0] == pytest.approx(np.log(1e-7) + 48 * np.log(1e-8))
+    assert lattice.expected(rare, np.array([[3.0]]))[[pieces["▁"], -1], 0] == pytest.approx([3, 144])
+
+
 def test_toxicity_gradients_and_windows():
     rng = np.random.default_rng(1)
     features = toxicity.word_features(["abc", "de", "idiot", "x", "foo", "scum"])
