@@ -37,7 +37,6 @@ UNKNOWN = "und"
 PER_LANGUAGE = 300
 LONGEST_SAMPLE = 100_000
 LONGEST = 48
-LONGEST_PIECE = 10
 ROUNDS = 4
 SMOOTH = 0.05
 OUTSIDE = 1e-8
@@ -55,13 +54,17 @@ def load_pieces(path: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
-        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or not piece or len(piece) > LONGEST_PIECE:
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or not piece:
             continue
         if piece == piece.lower() and (piece[0] == "▁" or piece[0].isalpha()) and "▁" not in piece[1:]:
             found.setdefault(piece, len(found))
     return found
 
 
+def longest_piece(pieces: dict[str, int]) -> int:
+    return max(map(len, pieces), default=1)
+
+
 def text_words(text: str | None) -> list[str]:
     found = WORD.findall((text or "").lower())
     if not any(c.isalpha() for w in found for c in w):
@@ -74,9 +77,10 @@ def text_words(text: str | None) -> list[str]:
 class Lattice:
     """The pieces of words of one length: ids[w, i, l - 1] is the piece of l characters from i, or the number of pieces if there is none; a single character that is no piece has the number after that."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
+    def __init__(self, words: list[str], pieces: dict[str, int], longest: int | None = None):
+        """longest: characters of the longest piece, if known."""
         n, get, none = len(words[0]) + 1, pieces.get, len(pieces)
-        most = min(LONGEST_PIECE, n)
+        most = min(longest or longest_piece(pieces), n)
         spans = [(i, l) for i in range(n) for l in range(1, min(most, n - i) + 1)]
         flat = [get(m[i : i + l], none) for w in words for m in ("▁" + w,) for i, l in spans]
         self.n, self.most = n, most
@@ -161,7 +165,8 @@ def learn(samples: list[tuple[str, str]], pieces: dict[str, int], rounds: int =
     p[size], p[size + 1] = 0, OUTSIDE
     if not langs:
         return [], p
-    lattices = [(Lattice([words[i] for i in g], pieces), weight[g]) for g in by_length(words)]
+    longest = longest_piece(pieces)
+    lattices = [(Lattice([words[i] for i in g], pieces, longest), weight[g]) for g in by_length(words)]
     for _ in range(rounds):
         total = sum(lattice.expected(p, w) for lattice, w in lattices)[:size] + SMOOTH
         p[:size] = total / total.sum(axis=0) * (1 - OUTSIDE)
@@ -172,6 +177,7 @@ class Identifier:
     def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, most_words: int = 300_000):
         self.langs, self.p, self.most_words = langs, p, most_words
         self.pieces = load_pieces(vocabulary)
+        self.longest = longest_piece(self.pieces)
         self.forget()
 
     def forget(self) -> None:
@@ -183,7 +189,7 @@ class Identifier:
         while n + len(words) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for g in by_length(words):
-            lattice = Lattice([words[i] for i in g], self.pieces)
+            lattice = Lattice([words[i] for i in g], self.pieces, self.longest)
             self.scores[n + np.array(g)] = lattice.log_probability(self.p)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 

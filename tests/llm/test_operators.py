@@ -313,6 +313,14 @@ def test_segmentations_are_summed():
     assert expected[1, 0] == pytest.approx(2 * 0.2 / whole)
 
 
+def test_long_pieces_count():
+    pieces = language_id.load_pieces(encoding.vocabulary_path("piece_bpe_32k.model"))
+    assert {"▁government", "▁information", "▁development"} <= set(pieces)
+    p = np.full((len(pieces) + 2, 1), 1e-9)
+    p[-2:], p[pieces["▁government"]] = [[0.0], [1e-8]], 0.25
+    assert language_id.Lattice(["government"], pieces).forward(p)[-1, 0, 0] == pytest.approx(0.25)
+
+
 def test_long_runs_outside_the_vocabulary():
     path = encoding.vocabulary_path("piece_bpe_32k.model")
     pieces, run = language_id.load_pieces(path), "\ua500" * 48
