@@ -248,7 +248,12 @@ def exact_profile_dedupe(s, d):
 k AS (SELECT i, p_brand, w, unnest(w) AS k FROM f), p AS (SELECT DISTINCT a.i AS a, b.i AS b, a.w AS aw, b.w AS bw FROM k a JOIN k b ON a.k = b.k AND a.p_brand = b.p_brand AND a.i < b.i)
 SELECT a, b, round(len(list_intersect(aw, bw)) / len(list_distinct(list_concat(aw, bw))), 6) AS title_overlap FROM p""")
 def q28_blocked_pairs_scored(s, d):
-    rows = t(s, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"))
+    """Of the parts of size 5 and less, as its SQL has it; q55 takes all."""
+    return _blocked_pairs(t(s, d, "part").where("p_size <= 5"))
+
+
+def _blocked_pairs(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("location"))
     keys = F.transform("t_title", lambda w: F.concat_ws("|", F.lit("company_role"), F.col("n_company"), w))
     return resolve.scored_pairs(resolve.features(rows), keys).select("a", "b", F.round("title_overlap", 6).alias("title_overlap"))
 
@@ -455,6 +460,13 @@ def q54_rejected_rows_removed(s, d):
     return evaluate.without_rejected(rows, "verdict", "reasons").select("user_id")
 
 
+@query("""WITH f AS (SELECT p_partkey AS i, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part),
+k AS (SELECT i, p_brand, w, unnest(w) AS k FROM f), p AS (SELECT DISTINCT a.i AS a, b.i AS b, a.w AS aw, b.w AS bw FROM k a JOIN k b ON a.k = b.k AND a.p_brand = b.p_brand AND a.i < b.i)
+SELECT a, b, round(len(list_intersect(aw, bw)) / len(list_distinct(list_concat(aw, bw))), 6) AS title_overlap FROM p""")
+def q55_blocked_pairs_whole(s, d):
+    return _blocked_pairs(t(s, d, "part"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

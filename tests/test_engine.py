@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery import fixed
+from gleanery import fixed, queries
 from gleanery.functions import dates, numbers, similarity, text, urls
 from gleanery.operators import components, evaluate, export, filters, history, merge, resolve
 from gleanery.plans import pipeline, scan
@@ -124,6 +124,13 @@ def test_greedy_equals_one_global_pass(spark):
     assert got == dict(zip(whole.idx.tolist(), whole.cluster_id.tolist(), strict=True))
 
 
+def test_blocked_pairs_of_all_parts(spark, sf):
+    parts = [(r.p_partkey, r.p_brand, set(r.p_name.split())) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, m, x in parts for b, n, y in parts if a < b and m == n and x & y}
+    got = {(r.a, r.b): r.title_overlap for r in queries.queries()["q55_blocked_pairs_whole"](spark, sf).collect()}
+    assert got == want and len(want) == 176
+
+
 def test_ratio_is_asymmetric_and_blended(spark):
     df = spark.createDataFrame([("abcd", "bcde", ["a"], ["a", "b"])], "a string, b string, x array<string>, y array<string>")
     r = df.select(similarity.sequence_ratio("a", "b").alias("r"), similarity.jaccard(F.col("x"), F.col("y")).alias("j"), similarity.blend(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("m")).first()
