@@ -40,6 +40,8 @@ def merge(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     fields = ["title", "company", "location", "job_type", "description", "posted", "salary", "job_url", "apply_url"]
     filled = sum((F.when(text.is_meaningful(F.col(c)), 1).otherwise(0) for c in fields), F.lit(0))
     idx = F.col("idx")
+    at = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    told = {"applicants": at("applicants", "string"), "applicant_count": at("applicant_count", "long")}
     df = df.withColumns({"_rank": rank, "_filled": filled})
     by_source = lambda c: F.min_by(F.when(text.is_meaningful(F.col(c)), F.col(c)), F.when(text.is_meaningful(F.col(c)), F.struct("_rank", "source_label", "idx")))
     external = F.min_by("apply_url", F.when(F.col("apply_key").isNotNull(), F.struct("_rank", "source_label", "idx")))
@@ -52,6 +54,7 @@ def merge(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
         F.coalesce(external, by_source("apply_url")).alias("apply_url"),
         F.coalesce(newest(F.col("posted"), F.col("posted_at"), idx), richest(F.col("posted"), F.col("description"), F.col("_filled"), idx)).alias("posted"),
         F.max_by("salary", F.when(text.is_meaningful(F.col("salary")), F.struct(F.length("salary"), -idx))).alias("salary"),
+        *(richest(c, F.col("description"), F.col("_filled"), idx).alias(name) for name, c in told.items()),
         ordered_distinct(F.col("keyword"), idx).alias("keywords"),
         F.array_sort(F.collect_set(F.struct("_rank", "source", "source_label"))).alias("_sources"),
         F.array_sort(F.collect_set(origin)).alias("_provenance"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, numbers
+from ..functions import dates
 from ..operators import export, filters, history, merge, resolve
 from ..session import cut
 from ..sources import providers
@@ -33,8 +33,7 @@ def gather(items: DataFrame, seen_keys: DataFrame, title_terms: list[str] = (),
     out = cut(canonical(cut(listings(items))))  # each stage is written before the next one's plan is made
     out = filters.exclude_terms(out, "title", list(title_terms))
     out = filters.exclude_terms(out, "company", list(company_terms))
-    if "applicants" in out.columns:
-        out = filters.cap(out, numbers.applicant_count(F.col("applicants")), most_applicants)
+    out = filters.cap(out, F.col("applicant_count"), most_applicants)
     if first is not None:
         out = filters.within(out, dates.parse_datetime(F.col("posted")), first, last)
     out = history.not_seen(out, history.identity_keys(source="app"), seen_keys, "cluster_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import text, urls
+from ..functions import numbers, text, urls
 
 TEXT = "string"
 
@@ -86,11 +86,39 @@ def with_lines(description: Column, source: str, lines: list[tuple[str, Column]]
     return text.none_if_blank(F.concat_ws("\n\n", text.none_if_blank(description), block))
 
 
-LISTING = ["source", "source_label", "job_id", "title", "company", "company_url", "location", "job_type", "description", "posted", "salary", "work_mode", "skills", "tags", "job_url", "apply_url"]
+def applicants() -> Column:
+    """The first meaningful value as text; lists and objects as JSON."""
+    said = lambda k: F.when(F.schema_of_variant(F.try_variant_get("raw", f"$.{k}", "variant")) != "BOOLEAN", F.try_variant_get("raw", f"$.{k}", TEXT))
+    return F.coalesce(*(text.meaningful(text.normalize_space(said(k))) for k in fixed.APPLICANT_KEYS))
+
+
+def applicant_count() -> Column:
+    """The count of the first key that has one. Of a list or an object, the largest in it, down to three lists or objects in one another."""
+    named = text.words([*fixed.APPLICANT_KEYS, "count", "value", "text", "label"])
+
+    def items(v: Column) -> Column:
+        fields = F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.array_contains(named, k)))
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), fields, F.array(v))
+
+    def count(v: Column) -> Column:
+        kind, n = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+        return F.when(kind == "STRING", numbers.applicant_count(F.try_variant_get(v, "$", TEXT))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (n >= 0), n.cast("long"))
+
+    def largest(v: Column) -> Column:
+        inner = items(v)
+        for _ in range(2):
+            inner = F.flatten(F.transform(inner, items))
+        return F.array_max(F.transform(inner, count))
+
+    said = F.array(*(F.try_variant_get(F.col("raw"), f"$.{k}", "variant") for k in fixed.APPLICANT_KEYS))
+    return F.get(F.array_compact(F.transform(F.array_compact(said), largest)), 0)
+
+
+LISTING = ["source", "source_label", "job_id", "title", "company", "company_url", "location", "job_type", "description", "posted", "salary", "work_mode", "skills", "tags", "job_url", "apply_url", "applicants", "applicant_count"]
 
 
 def _row(source: str, **columns: Column) -> list[Column]:
-    columns = {"source": F.lit(source), "source_label": F.lit(fixed.SOURCE_LABELS[source])} | columns
+    columns = {"source": F.lit(source), "source_label": F.lit(fixed.SOURCE_LABELS[source]), "applicants": applicants(), "applicant_count": applicant_count()} | columns
     none = {"skills": F.array().cast("array<string>"), "tags": F.array().cast("array<string>")}
     return [(columns[c] if c in columns else none.get(c, F.lit(None).cast("string"))).alias(c) for c in LISTING]
 

@@ -244,6 +244,18 @@ def test_pipeline(spark):
     assert history.not_seen(got, history.identity_keys(source="app"), keys, "cluster_id").count() == 0
 
 
+def test_applicant_cap(spark):
+    said = [{"applicantsCount": "51 applicants"}, {"applicantsCount": 50}, {}, {"applicantsLabel": "be early", "applicants": {"count": 20, "id": 999}}, {"applicants": [{"label": "Over 50 applicants"}]}, {"numApplicants": True}]
+    items = [(i, s, "k", 0, json.dumps({"title": f"Role{i} {'abcdef'[i] * 8}", "companyName": f"Co{'uvwxyz'[i] * 6}", "company": f"Co{'uvwxyz'[i] * 6}", "location": "Berlin"} | a)) for i, (s, a) in enumerate(zip(["linkedin", "indeed", "xing", "stepstone", "linkedin", "indeed"], said, strict=True))]
+    df = spark.createDataFrame(items, "search_idx int, source string, keyword string, pos int, json string")
+    none = spark.createDataFrame([], "key string")
+    got = pipeline.gather(df, none).collect()
+    assert {r.title[:5]: r.applicant_count for r in got} == {"Role0": 51, "Role1": 50, "Role2": None, "Role3": 20, "Role4": 51, "Role5": None}
+    kept = pipeline.gather(df, none, most_applicants=50)
+    told = {r["Job Title"][:5]: r["Applicants"] for r in export.export_rows(kept).collect()}
+    assert told == {"Role1": "50", "Role2": "N/A", "Role3": "be early", "Role5": "N/A"}
+
+
 def fake_fetch(source, keyword, payload, n):
     if source == "xing":
         raise ConnectionError("down")
