@@ -31,6 +31,12 @@ def identity_keys(source: str = "source_label", title: str = "title", company: s
     return F.array_distinct(F.array_compact(F.concat(more, F.coalesce(per_source, F.array().cast("array<string>")))))
 
 
+def canonical_keys() -> Column:
+    """The keys of a canonical row, for the anti-join and for what is appended: those of the row, and one for each apply link outside the job boards in its provenance."""
+    links = F.transform("provenance", lambda p: F.concat(F.lit("apply|"), urls.external_apply_key(p["apply_url"])))
+    return F.array_distinct(F.concat(identity_keys(source="app"), F.array_compact(F.coalesce(links, F.array().cast("array<string>")))))
+
+
 def expand_legacy(key: Column) -> Column:
     """A key of five parts also stands for the key without a source."""
     parts = F.split(key, r"\|")

@@ -60,7 +60,10 @@ def merge(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
         F.array_sort(F.collect_set(origin)).alias("_provenance"),
     )
     labels = F.transform("_sources", lambda s: s["source_label"])
-    provenance = F.transform(F.filter("_provenance", lambda p, i: F.array_position(F.transform("_provenance", lambda q: F.concat_ws("|", q["source"], q["job_key"], q["job_url"])), F.concat_ws("|", p["source"], p["job_key"], p["job_url"])) == i + 1), lambda p: p.dropFields("_rank", "job_key"))
+    # rows of one source, job and link are one, with the first apply link among them; an apply link stands in for a missing link
+    same = lambda p: F.concat_ws("|", p["source"], p["job_key"], F.coalesce(p["job_url"], p["apply_url"]))
+    apply_link = lambda p: F.get(F.array_compact(F.transform(F.filter("_provenance", lambda q: same(q) == same(p)), lambda q: q["apply_url"])), 0)
+    provenance = F.transform(F.filter("_provenance", lambda p, i: F.array_position(F.transform("_provenance", same), same(p)) == i + 1), lambda p: p.withField("apply_url", apply_link(p)).dropFields("_rank", "job_key"))
     return out.select(
         "*", F.array_join(F.array_distinct(F.transform("_sources", lambda s: s["source"])), "|").alias("sources"), F.array_join(F.array_distinct(labels), " | ").alias("app"),
         F.size(F.array_distinct(labels)).alias("source_count"), provenance.alias("provenance"),

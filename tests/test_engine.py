@@ -164,6 +164,17 @@ def test_history(spark, tmp_path):
     assert spark.read.parquet(old).count() == seen.distinct().count() and spark.read.parquet(out).count() == 2
 
 
+def test_history_of_all_apply_links(spark):
+    rows = listing(spark).where("idx < 3").withColumns({"apply_url": F.concat(F.lit("https://apply.example/"), F.when(F.col("idx") != 1, F.col("idx"))), "cluster_id": F.lit(0), "job_id": F.when(F.col("idx") == 0, F.lit("7")), "source": F.lit("linkedin")})
+    again = rows.where("idx = 0").withColumns({"idx": F.lit(9), "apply_url": F.lit(None).cast("string"), "job_id": F.lit("7")})
+    more = rows.where("idx = 2").withColumns({"idx": F.lit(8), "apply_url": F.lit("https://apply.example/8")})
+    merged = merge.merge(resolve.features(rows.union(more).unionByName(again)))
+    got = merged.select(history.canonical_keys().alias("k")).first().k
+    assert sorted(k for k in got if k.startswith("apply|")) == [f"apply|//apply.example/{i}" for i in (0, 2, 8)]
+    seen = spark.createDataFrame([("apply|//apply.example/8",)], "key string")
+    assert history.not_seen(merged, history.canonical_keys(), seen, "cluster_id").count() == 0
+
+
 def test_evaluation(spark):
     response = "1. Fit Evaluation\nVerdict: ❌ Not Suitable\nFit Score: 7/26\nGood, but far.\n\n\nUnsuitable Reasons: No SQL; Too far\n- no remote\nCustomized CV (LaTeX):\n```latex\n\\documentclass{x}\n```"
     r = one(spark, response, evaluate.parse_response)
