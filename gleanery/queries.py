@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .functions import dates, filenames, latex, numbers, similarity, text, urls
 from .operators import evaluate, export, filters, history, merge, resolve
-from .plans import scan
+from .plans import pipeline, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -383,9 +383,7 @@ def q44_batch_tiling(s, d):
 def q45_canonical_rows(s, d):
     """Resolution and merge in one plan; held against a plain greedy in the tests."""
     listing = _part_listing(s, d).withColumns({"source": F.lit("linkedin"), "job_id": F.col("idx").cast("string"), "description": F.lit(None).cast("string"), "salary": F.lit(None).cast("string"), "job_url": F.col("apply_url"), "keyword": F.col("title")})
-    feats = resolve.features(listing.withColumn("source_label", F.lit("LinkedIn")))
-    got = merge.merge(feats.join(resolve.exact_profiles(feats), "idx"))
-    return got.select("cluster_id", "input_rows", "title", "company", "location", "app", "source_count")
+    return pipeline.canonical(listing.withColumn("source_label", F.lit("LinkedIn"))).select("cluster_id", "input_rows", "title", "company", "location", "app", "source_count")
 
 
 @query("""SELECT p_partkey, p_name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)""")

@@ -131,6 +131,27 @@ def test_blocked_pairs_of_all_parts(spark, sf):
     assert got == want and len(want) == 176
 
 
+def test_canonical_rows_equal_a_plain_greedy(spark, tmp_path):
+    """Each row against all clusters so far that hold a row of its brand with a word of its name, without components."""
+    import random
+
+    rnd = random.Random(5)
+    parts = [(1, "cold bolt", "Brand#1", "STEEL"), (2, "old bolt", "Brand#1", "STEEL"), (3, "cold bolt", "Brand#2", "STEEL")]
+    parts += [(i, f"{rnd.choice(['cold', 'old', 'gold', 'red'])} {rnd.choice(['bolt', 'bolts', 'nut'])}", rnd.choice(["Brand#1", "Brand#2"]), rnd.choice(["STEEL", "TIN"])) for i in range(4, 40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found: dict[int, list] = {}
+    for i, name, brand, kind in parts:
+        mine = (name, brand.lower(), kind.lower(), "", 0.0, f"//jobs.example.com/a/{i}", None)
+        near = {c: rows for c, rows in found.items() if any(old[1][1] == mine[1] and set(old[0].split()) & set(name.split()) for old in rows)}
+        scored = {c: max((d[1] for old in rows if (d := resolve.decide(mine, old[1]))[0]), default=0.0) for c, rows in near.items()}
+        best = max(sorted(scored), key=scored.get, default=None)
+        found.setdefault(best if best is not None and scored[best] > 0 else i, []).append((name, mine))
+    want = {c: len(rows) for c, rows in found.items()}
+    got = {r.cluster_id: r for r in queries.queries()["q45_canonical_rows"](spark, str(tmp_path)).collect()}
+    assert {c: r.input_rows for c, r in got.items()} == want
+    assert 2 not in got and 3 in got and {c: r.company for c, r in got.items()} == {c: dict((p[0], p[2]) for p in parts)[c] for c in want}
+
+
 def test_ratio_is_asymmetric_and_blended(spark):
     df = spark.createDataFrame([("abcd", "bcde", ["a"], ["a", "b"])], "a string, b string, x array<string>, y array<string>")
     r = df.select(similarity.sequence_ratio("a", "b").alias("r"), similarity.jaccard(F.col("x"), F.col("y")).alias("j"), similarity.blend(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("m")).first()
