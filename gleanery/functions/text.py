@@ -214,7 +214,8 @@ def matches_terms(c: Column, terms: list[str]) -> Column:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0", "&copy;": "©", "&reg;": "®", "&euro;": "€", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&amp;": "&"}
 
 
-def decode_entities(c: Column) -> Column:
+def decode_listed_entities(c: Column) -> Column:
+    """Only those of ENTITIES, which SQL can say too; html_unescape takes all."""
     for name, ch in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(ch))
     return c
@@ -242,7 +243,12 @@ def tidy_lines(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    return tidy_lines(decode_entities(strip_tags(c)))
+    return tidy_lines(html_unescape(strip_tags(c)))
+
+
+def html_to_text_listed(c: Column) -> Column:
+    """html_to_text with the entities of ENTITIES alone."""
+    return tidy_lines(decode_listed_entities(strip_tags(c)))
 
 
 def format_money(c: Column) -> Column:

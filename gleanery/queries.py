@@ -79,7 +79,8 @@ def q05_html_to_text(s, d):
 
 @query(f"SELECT page_id, {TIDY.format(x=DECODE.format(x=HTML.format(x='html')))} AS text FROM pages")
 def q06_html_entities(s, d):
-    return t(s, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    """With the entities that its SQL lists; export and normalisers decode all."""
+    return t(s, d, "pages").select("page_id", text.html_to_text_listed(F.col("html")).alias("text"))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\.', '') AS h,

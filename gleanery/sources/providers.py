@@ -157,7 +157,8 @@ def stepstone(df: DataFrame) -> DataFrame:
     salary = F.coalesce(field("salary"), money_range(number("unifiedSalary.min"), number("unifiedSalary.max"), field("unifiedSalary.currency"), field("unifiedSalary.period")))
     skills = F.slice(values("skills"), 1, 16)
     lines = [("Salary", salary), ("Work mode", mode), ("Labels", F.array_join(labels, ", ")), ("Skills", F.array_join(skills, ", ")), ("Category", first_field("category", "industry", "section"))]
-    body = text.normalize_space(text.decode_entities(F.regexp_replace(first_field("description", "descriptionText", "textSnippet"), "<[^>]+>", " ")))
+    df = df.withColumn("_body", text.normalize_space(text.html_unescape(F.regexp_replace(first_field("description", "descriptionText", "textSnippet"), "<[^>]+>", " "))))
+    body = F.col("_body")
     link = lambda *p: urls.absolute(first_field(*p), STEPSTONE)
     return df.select(*_keep(df), *_row("stepstone", job_id=first_field("id", "jobId", "job_id", "harmonisedId"), title=first_field("title", "jobTitle", "name"), company=first_field("companyName", "company"), company_url=link("companyUrl"), location=first_field("location", "formattedLocation"), job_type=text.none_if_blank(F.array_join(text.or_else(explicit, heard), ", ")), description=with_lines(body, "Stepstone", lines), posted=first_field("datePosted", "publishFromDate", "periodPostedDate", "postedAt"), salary=salary, work_mode=mode, skills=skills, tags=labels, job_url=link("url", "jobUrl", "link"), apply_url=link("applyUrl", "applicationUrl", "applicationLink")))
 
@@ -165,7 +166,8 @@ def stepstone(df: DataFrame) -> DataFrame:
 def xing(df: DataFrame) -> DataFrame:
     facts, keywords = F.slice(values("matching_facts"), 1, 12), F.slice(values("keywords"), 1, 20)
     place = text.none_if_blank(F.array_join(text.unique_ordered(F.array_compact(F.array(field("location"), field("location_region"), field("location_country")))), ", "))
-    html = text.normalize_space(text.decode_entities(F.regexp_replace(field("description_html"), "<[^>]+>", " ")))
+    df = df.withColumn("_html", text.normalize_space(text.html_unescape(F.regexp_replace(field("description_html"), "<[^>]+>", " "))))  # a column of its own, since lambdas can't hold Python
+    html = F.col("_html")
     mode = F.coalesce(work_mode(F.concat_ws(" ", field("remote"), field("title"), field("location"), field("description_text"), html, F.array_join(facts, " "))), field("remote"))
     lines = [("Salary", field("salary")), ("Work mode", mode), ("Discipline", field("discipline")), ("Category", field("job_category")), ("Company size", field("company_size")), ("Company industry", field("company_industry")), ("Language", field("language")), ("Application method", field("application_type")), ("Active until", field("active_until")), ("Keywords", F.array_join(keywords, ", ")), ("Matching facts", F.array_join(facts, ", "))]
     key = F.coalesce(first_field("job_id", "jobId", "id", "global_id", "globalId", "slug"), text.none_if_blank(F.regexp_extract(field("url"), r"(\d+(?:\.[0-9a-f]+)?)$", 1)))

@@ -27,6 +27,15 @@ def test_html(spark):
     assert one(spark, "a &lt;b&gt; &amp;amp; &eacute;", text.html_unescape) == "a <b> &amp; é"
 
 
+def test_all_entities(spark):
+    said = "<p>Caf&eacute; &Auml;rzte&rsquo;s &#228;&#8211;&#x20AC; &amp;lt;</p>"
+    want = "Café Ärzte’s ä–€ &lt;"
+    assert one(spark, said, text.html_to_text) == want
+    for source, key in (("stepstone", "description"), ("xing", "description_html")):
+        items = spark.createDataFrame([(json.dumps({"title": "T", key: said}),)], "json string")
+        assert providers.normalise(items, source).first().description.split("\n\n")[0] == want
+
+
 @pytest.mark.parametrize(("value", "want"), [("1e999", None), ("2026-05-06T07:15:00Z", datetime(2026, 5, 6, 7, 15)), ("1767225600", datetime(2026, 1, 1)), ("1767225600000", datetime(2026, 1, 1)), ("3 days ago", None), ("20260512", datetime(1970, 8, 23, 11, 55, 12)), (None, None)])
 def test_dates(spark, value, want):
     assert one(spark, value, dates.parse_datetime) == want
