@@ -261,15 +261,15 @@ def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(model), SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: Broadcast, least: float = 0.5) -> DataFrame:
-    """The documents whose language is one of the model's, with a score of at least `least`; all their columns."""
+def keep_known(docs: DataFrame, model: Broadcast) -> DataFrame:
+    """The documents whose language is one of the model's, whatever the score; all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identify = _identifier(model).identify
         for whole in batches:
             for batch in common.slices(whole, "text"):
-                langs, scores = identify(batch.column("text").to_pylist())
-                yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+                langs, _ = identify(batch.column("text").to_pylist())
+                yield batch.filter(pa.array([k != UNKNOWN for k in langs], pa.bool_()))
 
     common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -313,6 +313,16 @@ def test_segmentations_are_summed():
     assert expected[1, 0] == pytest.approx(2 * 0.2 / whole)
 
 
+def test_short_documents_stay(spark):
+    said = {"de": "hund", "en": "dog", "es": "perro", "fr": "chien"}
+    rows = [(i, said[k] + " taxi", k) for i, k in enumerate(list(said) * 8)]
+    rows += [(900, "taxi", None), (901, "12 …", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert {r.doc_id: r.score for r in language_id.predict(df, model).collect()}[900] < 0.5
+    assert {r.doc_id for r in language_id.keep_known(df, model).collect()} == {r[0] for r in rows} - {901}
+
+
 def test_long_pieces_count():
     pieces = language_id.load_pieces(encoding.vocabulary_path("piece_bpe_32k.model"))
     assert {"▁government", "▁information", "▁development"} <= set(pieces)
