@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import dates, text
+from ..session import exists
 from . import history
 
 
@@ -41,12 +42,7 @@ def write_run(rows: DataFrame, keys: DataFrame, run_name: str, path: str, histor
     """Writes the run's partition whole, then appends the keys that the history lacks: a crash between reports again, and loses nothing."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/run_name={run_name}")
-    try:
-        seen = spark.read.parquet(history_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = spark.createDataFrame([], "key string")
+    seen = spark.read.parquet(history_path) if exists(spark, history_path) else spark.createDataFrame([], "key string")
     history.new_keys(keys, seen).write.mode("append").parquet(history_path)
 
 

@@ -1,8 +1,9 @@
-"""Session settings that the engine relies on, and the shared folder."""
+"""Session settings that the engine relies on, the shared folder, and tables that are staged there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_STAGED: list[str] = []
 
 
 def session(name: str = "gleanery", **more: str) -> SparkSession:
@@ -22,15 +24,58 @@ def session(name: str = "gleanery", **more: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, local mode
+    takes a folder of its own, since there is one machine; any other master is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="gleanery-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing before it.
+    It stays until discard() or clean()."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what staged() has written for these, once nothing reads them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._staged_at)
+        _STAGED.remove(df._staged_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this driver has staged. Call it when the results that rest on it have been read or written."""
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: lineage ends there."""
     shared_dir(df.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history
+from ..session import exists
 
 
 def first_seen(stream: DataFrame, key: str, ts: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -20,12 +21,8 @@ def new_listings(stream: DataFrame, keys: Column, row_id: str, history_path: str
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(history_path).where(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = spark.createDataFrame([], "key string, batch long")
+        known = exists(spark, history_path)
+        seen = spark.read.parquet(history_path).where(F.col("batch") < number) if known else spark.createDataFrame([], "key string, batch long")
         fresh = history.not_seen(batch, keys, seen, row_id).persist()
         fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         added = history.new_keys(fresh.select(F.explode(keys).alias("key")), seen)
