@@ -1,11 +1,14 @@
-"""What the operators of this subpackage share: tables, the shared folder, crc32 splits, Arrow slices."""
+"""What the operators of this subpackage share: tables, the shared folder, crc32 splits, Arrow slices.
+
+Texts reach Python in Arrow batches of at most spark.sql.execution.arrow.maxBytesPerBatch
+(64 MB unless the session says otherwise), and are worked on in slices of a few MB; no
+operator changes a setting of the session.
+"""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import clean, cut, discard, fresh_path, shared_dir, staged
+
+__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "shared_dir", "slices", "staged", "table"]
+
 
 def give_back() -> None:
     """Makes this process return large freed blocks to the system, which workers of a small executor need."""
@@ -46,42 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gleanery-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows per Arrow batch, since a batch of texts has to fit in a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
-
-
 def held_out(doc_id: Column) -> Column:
     """The documents that no model learns from: crc32(doc_id as text) mod 4 is 2. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -1,118 +1,189 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark texts and documents are normalised alike (A-Z lower-cased, words of ASCII
-letters, digits and all non-ASCII characters, one space between words). The automaton
-holds every window of ``window`` consecutive words of every item (an item with fewer
-words is one window), with a space at either end. A document is scanned once; what is
-found is mapped back to word numbers and to character offsets of the original text.
-
-The automaton is built from a broadcast of at most ``most_bytes`` of benchmark text. A
-larger benchmark is taken in blocks of that size, one scan of the documents each.
+letters, digits and all non-ASCII characters, one space between words). A window is
+``window`` consecutive words of an item (an item with fewer words is one window).
+Every window holds one of the blocks of (window + 1) // 2 words that an item is cut
+into from its first word on, so the automaton holds the blocks, each word of the
+benchmark once, and short items whole. A document is scanned once; where a block
+ends, the windows around it are looked up by hash in a table of all windows and held
+against the item's own bytes. What is found is mapped back to word numbers and to
+character offsets of the original text.
+
+A worker's memory is bounded by ``most_bytes`` of benchmark text: the automaton takes
+about 40 bytes a byte of text at most, the table of windows about 5. A larger benchmark
+is taken in parts of that size, one scan of the documents each, whose hits (not texts)
+are merged.
 
 Cases: a null or wordless text has no words and no hits; an item without words is
 ignored; an item with a null id hits words but is not listed; repeated documents are
-scanned each for itself, and repeated items count once; empty tables give no rows, or
-no hits; other columns of the documents are left out.
+scanned each for itself, and repeated items count once; a very long text is scanned
+whole; empty tables give no rows, or no hits; other columns of the documents are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import hash_runs, mix
 
 WINDOW = 10
-MOST_BYTES = 32 << 20
+MOST_BYTES = 4 << 20
 #: Bytes to normalised bytes: separators become spaces, A-Z lower case, the rest stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+WORD_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN = "struct<first_word:int,end_word:int,first_char:int,end_char:int>"
 FOUND = f"doc_id long, n_words long, spans array<{SPAN}>, items array<long>"
+HIT = f"doc_id long, text_sha string, spans array<{SPAN}>, items array<long>"
+Item = tuple[int | None, str | None]
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows(items: list[tuple[int | None, str | None]], window: int) -> dict[str, tuple[int, list[int]]]:
-    """Each window, as the automaton's key, with its number of words and the items that have it."""
-    found: dict[str, tuple[int, list[int]]] = {}
-    for item_id, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            key = (b" " + b" ".join(part) + b" ").decode("latin-1")
-            ids = found.setdefault(key, (len(part), []))[1]
-            if item_id is not None and item_id not in ids:
-                ids.append(item_id)
-    return found
-
-
 class Scanner:
-    def __init__(self, found: dict[str, tuple[int, list[int]]]):
+    """The automaton of some items, and the table of their windows."""
+
+    def __init__(self, items: list[Item], window: int = WINDOW):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for key, value in found.items():
-            self.automaton.add_word(key, (len(key), *value))
-        self.any = bool(found)
-        if found:
+        self.window, self.block = window, (window + 1) // 2
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.short: dict[bytes, set[int]] = {}
+        long: list[tuple[int | None, list[bytes]]] = []
+        for item_id, text in items:
+            w = words(text)
+            if 0 < len(w) < window:
+                key = b" " + b" ".join(w) + b" "
+                self.automaton.add_word(key.decode("latin-1"))
+                self.short.setdefault(key, set()).update([] if item_id is None else [item_id])
+            elif w:
+                for i in range(0, len(w) - self.block + 1, self.block):
+                    self.automaton.add_word((b" " + b" ".join(w[i : i + self.block]) + b" ").decode("latin-1"))
+                long.append((item_id, w))
+        self._list_windows(long)
+        if len(self.automaton):
             self.automaton.make_automaton()
 
+    def _list_windows(self, items: list[tuple[int | None, list[bytes]]]) -> None:
+        """Distinct windows by hash, each with the place of one occurrence in the items' bytes and the ids of its items."""
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        self.bytes = b" " + b" ".join(x for _, w in items for x in w) + b" " if items else b""
+        spaces = np.flatnonzero(np.frombuffer(self.bytes, np.uint8) == 32)
+        owner = np.repeat(np.arange(len(items)), sizes)
+        starts = np.flatnonzero(owner[self.window - 1 :] == owner[: len(owner) - self.window + 1]) if len(owner) else np.zeros(0, np.int64)
+        self.salt = 0
+        while True:
+            found = self._hashes(self.bytes, spaces, starts)
+            order = np.argsort(found, kind="stable")
+            found, at = found[order], starts[order]
+            first, last = spaces[at] + 1, spaces[at + self.window]
+            same = np.flatnonzero(found[1:] == found[:-1]).tolist() if len(found) else []
+            if all(self.bytes[first[i] : last[i]] == self.bytes[first[i + 1] : last[i + 1]] for i in same):
+                break  # one hash, one window
+            self.salt += 1
+        new = np.concatenate(([True], found[1:] != found[:-1])) if len(found) else np.zeros(0, bool)
+        self.hashes, self.first, self.last = found[new], first[new], last[new]
+        known = np.array([i is not None for i, _ in items], bool)
+        ids = np.array([i or 0 for i, _ in items], np.int64)
+        pairs = np.stack([np.cumsum(new) - 1, ids[owner[at]]], axis=1)[known[owner[at]]] if len(at) else np.zeros((0, 2), np.int64)
+        pairs = np.unique(pairs, axis=0)
+        self.items, self.items_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.hashes) + 1))
+
+    def _hashes(self, normal: bytes, spaces: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at words starts. Word k stands between spaces[k] and spaces[k + 1]."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        word = hash_runs(np.frombuffer(normal, np.uint8), spaces[:-1] + 1, spaces[1:])
+        out = np.full(len(starts), self.salt, np.uint64)
+        for k in range(self.window):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[starts + k])
+        return out
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[int]]:
         """Number of words, merged (first, end) word ranges that are hit, and the items found."""
         w = words(text)
-        if not w or not self.any:
+        if not w or not len(self.automaton):
             return len(w), [], []
         normal = b" " + b" ".join(w) + b" "
         hits = list(self.automaton.iter(normal.decode("latin-1")))
         if not hits:
             return len(w), [], []
-        before = np.cumsum(np.frombuffer(normal, np.uint8) == 32)  # the number of the word after each space, from 1
-        ranges = sorted({(f := int(before[end - size + 1]) - 1, f + n) for end, (size, n, _) in hits})
+        spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
+        ends, sizes = np.array(hits, np.int64).T
+        first = np.searchsorted(spaces, ends - sizes + 1)
+        n = np.searchsorted(spaces, ends) - first
+        ranges: set[tuple[int, int]] = set()
+        found: set[int] = set()
+        if self.short:
+            for e, size, a, k in zip(ends.tolist(), sizes.tolist(), first.tolist(), n.tolist(), strict=True):
+                ids = self.short.get(normal[e - size + 1 : e + 1])
+                if ids is not None:
+                    ranges.add((a, a + k))
+                    found |= ids
+        around = first[n == self.block][:, None] - np.arange(self.window - self.block + 1)
+        starts = np.unique(around[(around >= 0) & (around <= len(w) - self.window)])
+        if len(starts) and len(self.hashes):
+            h = self._hashes(normal, spaces, starts)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            fine = self.hashes[at] == h
+            for s, g in zip(starts[fine].tolist(), at[fine].tolist(), strict=True):
+                if normal[spaces[s] + 1 : spaces[s + self.window]] == self.bytes[self.first[g] : self.last[g]]:
+                    ranges.add((s, s + self.window))
+                    found.update(self.items[self.items_from[g] : self.items_from[g + 1]].tolist())
         merged: list[tuple[int, int]] = []
-        for a, b in ranges:
+        for a, b in sorted(ranges):
             if merged and a <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        return len(w), merged, sorted({i for _, (_, _, ids) in hits for i in ids})
+        return len(w), merged, sorted(found)
+
 
+def _scanner(items: Broadcast) -> Scanner:
+    """One for each part of the benchmark and Python worker."""
+    key, held, window = items.value
+    return common.kept(key, lambda: Scanner(held, window))
+
+
+def _scan(items: Broadcast, hits_only: bool) -> Callable:
+    """doc_id, then n_words of each document, or text_sha of those that are hit, then spans and items."""
 
-def _scan(found: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(windows(*found.value))
+        scanner = _scanner(items)
         span = pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "first_char", "end_char")])
         for whole in batches:
             for batch in common.slices(whole, "text"):
-                counts, spans, items = [], [], []
+                counts, spans, listed = [], [], []
                 for text in batch.column("text").to_pylist():
                     n, merged, ids = scanner.scan(text)
+                    at = [m.span() for m in WORD.finditer(text)] if merged else []
                     counts.append(n)
-                    items.append(ids)
-                    if merged:
-                        at = [m.span() for m in WORD.finditer(text)]
-                        spans.append([{"first_word": a, "end_word": b, "first_char": at[a][0], "end_char": at[b - 1][1]} for a, b in merged])
-                    else:
-                        spans.append([])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    spans.append([{"first_word": a, "end_word": b, "first_char": at[a][0], "end_char": at[b - 1][1]} for a, b in merged])
+                    listed.append(ids)
+                second = batch.column("text_sha") if hits_only else pa.array(counts, pa.int64())
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), second, pa.array(spans, pa.list_(span)), pa.array(listed, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_sha" if hits_only else "n_words", "spans", "items"],
                 )
+                yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if hits_only else out
 
     return run
 
 
-def blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, at most most_bytes of text at a time (a longer item is a block of its own)."""
+def parts(benchmark: DataFrame, most_bytes: int) -> Iterator[list[Item]]:
+    """The items, at most most_bytes of text at a time (a longer item is a part of its own)."""
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         n = len((r.text or "").encode())
@@ -124,48 +195,56 @@ def blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | N
     yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word and character ranges that are hit) and items of each document."""
-    common.bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    source = docs.select("doc_id", "text")
-    parts = [source.mapInArrow(_scan(sc.broadcast((block, window))), FOUND) for block in blocks(benchmark, most_bytes)]
-    return parts[0] if len(parts) == 1 else _merge_blocks(source, sc, benchmark, window, most_bytes)
+def _sent(spark: SparkSession, items: list[Item], window: int) -> Broadcast:
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, items, window))
 
 
-def _scan_more(found: Broadcast) -> Callable:
-    """As _scan, for one block of several: the text and what earlier blocks found stay in the row."""
+def _one_part(benchmark: DataFrame, most_bytes: int) -> list[Item] | None:
+    """The whole benchmark, if it is one part."""
+    two = parts(benchmark, most_bytes)
+    first = next(two)
+    return first if next(two, None) is None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _scan(found)
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                new = list(one(iter([part])))[0]
-                spans, items = [], []
-                for old, more, had, has in zip(part.column("spans").to_pylist(), new.column("spans").to_pylist(), part.column("items").to_pylist(), new.column("items").to_pylist(), strict=True):
-                    merged: list[dict] = []
-                    for s in sorted([*old, *more], key=lambda s: (s["first_word"], s["end_word"])):
-                        if merged and s["first_word"] <= merged[-1]["end_word"]:
-                            if s["end_word"] > merged[-1]["end_word"]:
-                                merged[-1] |= {"end_word": s["end_word"], "end_char": s["end_char"]}
-                        else:
-                            merged.append(dict(s))
-                    spans.append(merged)
-                    items.append(sorted({*had, *has}))
-                yield pa.RecordBatch.from_arrays(
-                    [new.column("doc_id"), part.column("text"), new.column("n_words"), pa.array(spans, new.column("spans").type), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
-                )
 
-    return run
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, most_bytes: int) -> DataFrame:
+    """What each part of the benchmark hits, by doc_id and text. One part is sent at a time."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sha(F.col("text")).alias("text_sha"))
+    out = None
+    for items in parts(benchmark, most_bytes):
+        sent = _sent(docs.sparkSession, items, window)
+        found = common.staged(source.mapInArrow(_scan(sent, True), HIT), "decontamination-hits")
+        sent.destroy()
+        out = found if out is None else out.union(found)
+    return out
 
 
-def _merge_blocks(source: DataFrame, sc, benchmark: DataFrame, window: int, most_bytes: int) -> DataFrame:
-    schema = FOUND.replace("n_words", "text string, n_words", 1)
-    df = source.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
-    for block in blocks(benchmark, most_bytes):
-        df = common.staged(df.mapInArrow(_scan_more(sc.broadcast((block, window))), schema), "decontamination")
-    return df.drop("text")
+def _merged(spans: Column) -> Column:
+    """Spans of all parts, in order, those that overlap or touch made one."""
+
+    def add(held: Column, s: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        end = lambda name: F.when(s["end_word"] > last["end_word"], s[name]).otherwise(last[name]).alias(name)
+        joined = F.struct(last["first_word"].alias("first_word"), end("end_word"), last["first_char"].alias("first_char"), end("end_char"))
+        return F.when(s["first_word"] <= last["end_word"], F.concat(F.slice(held, 1, F.size(held) - 1), F.array(joined))).otherwise(F.concat(held, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.expr(f"cast(array() as array<{SPAN}>)"), add)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, n_words, spans (word and character ranges that are hit) and items of each document."""
+    whole = _one_part(benchmark, most_bytes)
+    if whole is not None:
+        return docs.select("doc_id", "text").mapInArrow(_scan(_sent(docs.sparkSession, whole, window), False), FOUND)
+    hits = _hits(docs, benchmark, window, most_bytes).groupBy("doc_id", "text_sha").agg(F.collect_set("spans").alias("s"), F.collect_set("items").alias("i"))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_sha").alias("hit_sha"), _merged(F.flatten("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("i"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count("text", F.lit(WORD_SQL)).cast("long").alias("n"), _sha(F.col("text")).alias("sha"))
+    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("s", none(SPAN)).alias("spans"), F.coalesce("i", none("long")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,16 +259,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    common.bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    for block in blocks(benchmark, most_bytes):
-        docs = docs.mapInArrow(_filter(sc.broadcast((block, window))), docs.schema)
-    return docs
+    whole = _one_part(benchmark, most_bytes)
+    if whole is not None:
+        return docs.mapInArrow(_filter(_sent(docs.sparkSession, whole, window)), docs.schema)
+    hits = _hits(docs, benchmark, window, most_bytes).select(F.col("doc_id").alias("hit_id"), F.col("text_sha").alias("hit_sha")).distinct()
+    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["hit_id"]) & (_sha(docs["text"]) == hits["hit_sha"]), "left_anti")
 
 
-def _filter(found: Broadcast) -> Callable:
+def _filter(items: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(windows(*found.value))
+        scanner = _scanner(items)
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 yield batch.filter(pa.array([not scanner.scan(t)[1] for t in batch.column("text").to_pylist()], pa.bool_()))
@@ -197,21 +276,6 @@ def _filter(found: Broadcast) -> Callable:
     return run
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
-    """What query() gives, word by word, for tests."""
-    out = []
-    patterns = [(i, w[k : k + window]) for i, t in items for w in [words(t)] for k in range(max(1, len(w) - window + 1) if w else 0)]
-    for doc_id, text in docs:
-        w, hit, ids = words(text), set(), set()
-        for i, p in patterns:
-            for k in range(len(w) - len(p) + 1):
-                if w[k : k + len(p)] == p:
-                    hit |= set(range(k, k + len(p)))
-                    ids.add(i)
-        out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
-    return out
-
-
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -257,7 +257,6 @@ def _predict(model: Broadcast) -> Callable:
 
 
 def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
-    common.bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_predict(model), SCHEMA)
 
 
@@ -271,7 +270,6 @@ def keep_known(docs: DataFrame, model: Broadcast) -> DataFrame:
                 langs, _ = identify(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([k != UNKNOWN for k in langs], pa.bool_()))
 
-    common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

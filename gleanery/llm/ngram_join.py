@@ -389,7 +389,6 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, node, n) and all links needed to connect nodes (a, b). docs: doc_id, text."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    common.bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = common.staged(source.mapInArrow(_first_scan, NODES), "ngram-nodes")
     told = first.where("kind = 0").select("doc_id", "node", "n")

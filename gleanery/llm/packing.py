@@ -75,7 +75,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, max_length: int = MAX_L
     """A row per piece, with its ids as little-endian unsigned 32-bit integers. docs: doc_id, text."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length has to be a power of two")
-    common.bounded_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     return docs.select("doc_id", "text").mapInArrow(_packer(path, max_length, end_id), SCHEMA)
 

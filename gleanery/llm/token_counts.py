@@ -87,7 +87,6 @@ def _counter(vocabulary: str, separator: bytes) -> Callable:
 
 def count(docs: DataFrame, vocabulary: str | None = None, separator: str = SEPARATOR) -> DataFrame:
     """A row for each section of each document: where it lies, its tokens, and how many of them cross its boundary. docs: doc_id, text."""
-    common.bounded_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     return docs.select("doc_id", "text").mapInArrow(_counter(path, separator.encode()), SCHEMA)
 

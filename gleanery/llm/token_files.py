@@ -212,7 +212,6 @@ def _writer(vocabulary: str, end_id: int, uri: str, percentile: float, ids_per_f
 def write(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int = END_ID, parts: int | None = None, percentile: float = 0.9, ids_per_file: int = 1 << 27) -> DataFrame:
     """Writes the files below uri, a folder that all executors see, and returns their manifest. docs: doc_id, text."""
     spark = docs.sparkSession
-    common.bounded_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     system, folder = _filesystem(uri)

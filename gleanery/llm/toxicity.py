@@ -338,7 +338,6 @@ def _predict(model: Broadcast) -> Callable:
 
 
 def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
-    common.bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_predict(model), SCHEMA)
 
 
@@ -351,7 +350,6 @@ def keep_clean(docs: DataFrame, model: Broadcast, threshold: float = THRESHOLD)
             for batch in common.slices(whole, "text"):
                 yield batch.filter(pa.array(score(batch.column("text").to_pylist()) < threshold))
 
-    common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with the odd cases."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -176,21 +177,65 @@ def test_sharding(spark):
     assert set(sharding.edit(sizes, now, 5).values()) == set(range(5))
 
 
+def brute_decontamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = decontamination.WINDOW) -> list[tuple]:
+    """What the query gives, word by word."""
+    out = []
+    patterns = [(i, w[k : k + window]) for i, t in items for w in [decontamination.words(t)] for k in range(max(1, len(w) - window + 1) if w else 0)]
+    for doc_id, text in docs:
+        w, hit, ids = decontamination.words(text), set(), set()
+        for i, p in patterns:
+            for k in range(len(w) - len(p) + 1):
+                if w[k : k + len(p)] == p:
+                    hit |= set(range(k, k + len(p)))
+                    ids.add(i)
+        out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
+    return out
+
+
 def test_decontamination(spark):
-    rows = [(i, t) for i, t in corpus() if i < 40] + [(99, None), (100, "Zwölf kurze!")]
-    items = [(7, rows[3][1]), (70, "x " + rows[3][1].upper()), (8, " ".join(rows[5][1].split()[2:30])), (9, "zwölf, KURZE"), (5, "..."), (6, None)]
+    rows = [(i, t) for i, t in corpus() if i < 40] + [(99, None), (100, "Zwölf kurze!"), (100, "Zwölf kurze!"), (None, "Zwölf kurze!"), (101, rows_text(40) * 300)]
+    items = [(7, rows[3][1]), (70, "x " + rows[3][1].upper()), (8, " ".join(rows[5][1].split()[2:30])), (9, "zwölf, KURZE"), (5, "..."), (6, None), (8, "other words, same id"), (None, rows[6][1]), (11, rows_text(40))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = decontamination.brute_force(rows, items)
-    for most in (1 << 20, 60):  # one automaton, or one for each block of the benchmark
+    want = brute_decontamination(rows, [(i, t) for i, t in items if i is not None])
+    hit = {w[0] for w in brute_decontamination(rows, [(i or 0, t) for i, t in items]) if w[5]}
+    for most in (1 << 20, 60):  # one automaton, or one for each part of the benchmark
         found = decontamination.find(frame(spark, rows), bench, most_bytes=most).collect()
-        got = sorted((r.doc_id, r.n_words, sum(s.end_word - s.first_word for s in r.spans), len(r.items)) for r in found)
-        assert got == sorted(w[:4] for w in want)
+        plain = sorted(((r.doc_id, r.n_words, len(r.items)) for r in found), key=str)
+        assert plain == sorted(((w[0], w[1], w[3]) for w in want), key=str) and len(found) == len(rows)
         texts = dict(rows)
         for r in found:
+            assert (len(r.spans) > 0) == (r.doc_id in hit) and r.items == sorted(r.items)
             for s in r.spans:
                 assert len(decontamination.words(texts[r.doc_id][s.first_char : s.end_char])) == s.end_word - s.first_word
-    kept = {r.doc_id for r in decontamination.keep_clean(frame(spark, rows), bench).collect()}
-    assert kept == {w[0] for w in want if not w[5]}
+        words_hit = {r.doc_id: sum(s.end_word - s.first_word for s in r.spans) for r in found}
+        assert words_hit == {w[0]: w[2] for w in brute_decontamination(rows, [(i or 0, t) for i, t in items])}
+        kept = [r.doc_id for r in decontamination.keep_clean(frame(spark, rows), bench, most_bytes=most).collect()]
+        assert sorted(kept) == sorted(i for i, _ in rows if i not in hit)
+
+
+def rows_text(n):
+    return sentence(random.Random(n), n) + " "
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_windows_by_blocks_equal_windows_by_brute_force(window):
+    rnd = random.Random(window)
+    text = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = [(i % 17, text(rnd.randint(0, 25))) for i in range(30)]
+    scanner = decontamination.Scanner(items, window)
+    rows = [(i, text(rnd.randint(0, 60))) for i in range(60)] + [(99, text(20_000))]
+    for (_, t), want in zip(rows, brute_decontamination(rows[:60], items, window), strict=False):
+        n, ranges, ids = scanner.scan(t)
+        assert (n, sum(b - a for a, b in ranges), len(ids)) == want[1:4]
+        assert hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest() == want[4]
+    assert decontamination.Scanner([], window).scan("a b") == (2, [], [])
+
+
+def test_the_automaton_grows_by_a_bounded_factor():
+    rnd = random.Random(0)
+    text = " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(3, 9))) for _ in range(30_000))
+    scanner = decontamination.Scanner([(1, text)])
+    assert scanner.automaton.get_stats()["total_size"] < 45 * len(text) and len(scanner.hashes) == 30_000 - 9
 
 
 def exact_join(rows):

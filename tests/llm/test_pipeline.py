@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from gleanery.llm import decontamination, queries
+from gleanery.llm import queries
+from test_operators import brute_decontamination
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -37,5 +38,5 @@ def test_stages(spark, sf, tmp_path):
             assert docs.columns == columns and docs.join(last, "doc_id", "left_anti").count() == 0
         if name == "benchmark decontamination":
             rows = [(r.doc_id, r.text) for r in last.select("doc_id", "text").collect()]
-            assert {r.doc_id for r in docs.collect()} == {w[0] for w in decontamination.brute_force(rows, bench) if not w[5]}
+            assert {r.doc_id for r in docs.collect()} == {w[0] for w in brute_decontamination(rows, bench) if not w[5]}
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in last.collect()}
