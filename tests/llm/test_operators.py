@@ -257,9 +257,10 @@ def exact_join(rows):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [256, 8])  # groups whole, and in blocks
-def test_ngram_join(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(("block", "long", "bucket"), [(512, 32, 1 << 23), (8, 3, 1 << 23), (8, 3, 600)])  # groups whole; in blocks; buckets dealt again
+def test_ngram_join(spark, monkeypatch, block, long, bucket):
+    for name, value in (("BLOCK", block), ("LONG", long), ("BUCKET_BYTES", bucket)):
+        monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(2)
     base = sentence(rnd, 60).split()
     rows = corpus()
@@ -267,11 +268,65 @@ def test_ngram_join(spark, monkeypatch, block):
         w = list(base)
         for _ in range(rnd.randint(0, 4)):
             w[rnd.randrange(len(w))] = rnd.choice(WORDS)
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w[: 60 - i % 14])))
+    rows += [(300 + i, f"sign up for our letter {rnd.choice(WORDS)} {rnd.choice(WORDS)}") for i in range(60)]  # short texts with a frequent shingle
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, rows).repartition(5)).collect()}
     assert got == exact_join(rows)
 
 
+def test_ngram_join_of_very_long_texts(spark):
+    long = sentence(random.Random(9), 30_000)
+    rows = [(5, long), (3, long + " one more word or two here"), (4, long[: len(long) // 2]), (6, "short")]
+    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()} == {3: 3, 4: 4, 5: 3, 6: 6}
+
+
+def test_each_pair_of_a_group_meets_once(spark, monkeypatch):
+    """The tasks of groups, counted: every pair of one class or of neighbour classes once, but those of one core."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rnd = random.Random(6)
+    nodes = [(g, 1000 * g + i, 10, rnd.choice([3, 4, 5, 7])) for g in (1, 2, 3) for i in range(25)]
+    groups = spark.createDataFrame(nodes, "g long, node long, n int, class int")
+    classes, tasks = ngram_join.star_tasks(groups)
+    met: dict = {}
+    held: dict = {}
+    for r in tasks.collect():
+        held.setdefault((r.g, r["class"], r.i), []).append(r)
+    for task in held.values():
+        (base,) = [r.node for r in task if r.is_base]
+        assert len(task) <= 4 * 3
+        for r in task:
+            if not r.is_base:
+                met[base, r.node] = met.get((base, r.node), 0) + 1
+    linked = {p for p in met if rnd.random() < 0.6}
+    stars = spark.createDataFrame(sorted(linked), "a long, b long")
+    at = {x: (g, c) for g, x, _, c in nodes}
+    bases = {r.base for r in classes.collect()}
+    core = bases | {b for _, b in linked}
+    held = {}
+    for r in ngram_join.block_tasks(groups, classes, stars).collect():
+        held.setdefault(tuple(r[k] for k in ngram_join.TASK), []).append(r)
+    for (_, c1, p1, c2, p2, i, j), task in held.items():
+        sides = [[r for r in task if r.right == side] for side in (False, True)]
+        one = (c1, p1, i) == (c2, p2, j)
+        pairs = [(x, y) for k, x in enumerate(sides[0]) for y in sides[0][:k]] if one else [(x, y) for x in sides[0] for y in sides[1]]
+        for x, y in pairs:
+            if (x.is_base or y.is_base) and (x["class"] == y["class"] or (x.is_base and y.is_base)):
+                continue
+            key = (min(x.node, y.node), max(x.node, y.node))
+            met[key] = met.get(key, 0) + 1
+    met = {(min(k), max(k)): n for k, n in met.items()}
+    up = {at[a] for a, b in linked if b in bases}
+    for x in at:
+        for y in at:
+            (g, c), (h, d) = sorted((at[x], at[y]))
+            if x < y and g == h and d - c <= 1:
+                one = x in core and y in core and not {x, y} & bases and (c == d or (g, c) in up)
+                maybe = x in core and y in core and (x in bases) != (y in bases) and c < d and (g, c) in up
+                assert met.get((x, y), 0) == (0 if one or maybe else 1), (x, y)
+            elif x < y:
+                assert (x, y) not in met
+
+
 def test_ngram_candidates_and_bounds():
     rng = np.random.default_rng(4)
     universe = hashing.mix(np.arange(1, 400, dtype=np.uint64))
@@ -289,6 +344,13 @@ def test_ngram_candidates_and_bounds():
     links = {(i, j) for j in range(60) for i in range(j) if ngram_join.links(len(sets[i]), len(sets[j]), ngram_join.overlap(sets[i], sets[j]))}
     pairs, edges = ngram_join.candidates(np.concatenate(entries), long=1000)
     assert links and links <= {tuple(p) for p in pairs.tolist()} and not len(edges)
+    halves = [ngram_join.thin(np.concatenate([e for e in entries if e["node"][0] % 2 == k]), 5) for k in (0, 1)]  # dealt by node, then met
+    pairs, edges = ngram_join.candidates(np.concatenate([h[0] for h in halves]), long=5)
+    met = {tuple(p) for p in pairs.tolist()}
+    joined = {i: i for i in range(60)}
+    for x, y in [*edges.tolist(), *halves[0][1].tolist(), *halves[1][1].tolist()]:
+        joined = {k: min(joined[x], joined[y]) if v in (joined[x], joined[y]) else v for k, v in joined.items()}
+    assert all((i, j) in met or joined[i] == joined[j] for i, j in links)
     for i in range(60):
         for j in range(60):
             distance = len(sets[i]) + len(sets[j]) - 2 * ngram_join.overlap(sets[i], sets[j])
