@@ -1,14 +1,18 @@
 """Sharding by fixed virtual slots.
 
-A record's virtual slot is a hash of its doc_id, one of ``slots``. Bytes and rows are
-summed per virtual slot, and a map from slots to shards, with a version, is stored in
-the shared folder: the heaviest slot goes to the lightest shard. Rebalancing edits the
-map: it moves as few slots as needed and writes the next version; records never
-change their slot. Only the map (``slots`` rows) comes to the driver and is broadcast.
+A record's virtual slot is a hash of its doc_id and its text's checksum, one of
+``slots``, so that many texts of one doc_id spread. Bytes and rows are summed per
+virtual slot, and a map from slots to shards, with a version, is stored in the shared
+folder: the heaviest slot goes to the lightest shard. Where a map is stored already,
+sharding loads the newest version, edits it for the sizes and the number of shards of
+now, which moves as few slots as needed, stores that as the next version and places by
+it; records never change their slot. Only the map (``slots`` rows) comes to the driver
+and is broadcast.
 
 Cases: a null text has size 1 and the checksum of no bytes; a null doc_id is hashed
-like any other value; repeated rows share a virtual slot, each with a place of its own
-in the shard; an empty table gives an empty result; other columns are left out.
+like any other value; rows of one doc_id and one text share a virtual slot, each with a
+place of its own in the shard; a text of any length is one record; an empty table gives
+an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from ..session import exists
 
 SLOTS = 4096
 SHARDS = 8
@@ -32,7 +37,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", F.crc32(raw)), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -75,6 +80,15 @@ def edit(sizes: list[tuple[int, int, int]], now: dict[int, int], shards: int) ->
     return found
 
 
+def newest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """The version and the map that were stored last below path, if any."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.schema(MAP).option("recursiveFileLookup", "true").parquet(path)
+    version = rows.agg(F.max("version")).first()[0]
+    return None if version is None else (version, {r.virtual_slot: r.shard for r in rows.where(F.col("version") == version).collect()})  # at most `slots` rows
+
+
 def store(spark: SparkSession, path: str, sizes: list[tuple[int, int, int]], found: dict[int, int], version: int) -> DataFrame:
     """Writes one version of the map and reads it back."""
     rows = [(slot, found[slot], n_bytes, n_rows, version) for slot, n_bytes, n_rows in sizes]
@@ -97,12 +111,15 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard and slot of each record, by a map newly made as version 1 below path."""
+    """doc_id, size, text_crc32, virtual_slot, shard and slot of each record, by the next version of the map below
+    path: an edit of the newest one, or a new map where there is none. A path stands for one number of slots."""
     spark = docs.sparkSession
     rows = records(docs, slots)
     sizes = [tuple(r) for r in slot_sizes(rows).collect()]  # at most `slots` rows
     path = path or common.fresh_path(spark, "slot-map")
-    return place(rows, store(spark, path, sizes, assign(sizes, shards), 1))
+    known = newest(spark, path)
+    version, found = (known[0] + 1, edit(sizes, known[1], shards)) if known else (1, assign(sizes, shards))
+    return place(rows, store(spark, path, sizes, found, version))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
