@@ -3,12 +3,14 @@
 Each document becomes its token ids and an end id. It is cut into as many pieces of
 ``max_length`` as fit, then into pieces whose lengths are the binary digits of the
 rest, longest first. A piece is a sequence of its own, so no sequence crosses
-documents, nothing is padded, and ``bucket`` (log2 of the length) gathers sequences
-of equal length into batches. Documents are independent: there is no shuffle.
+documents and nothing is padded. ``bucket`` is log2 of the length; write_buckets()
+gathers sequences of equal length into folders of files that hold one length alone,
+which is what a trainer reads batches of one shape from. Cutting needs no shuffle, the
+buckets one, whose tasks are levelled by size, since most pieces may be of one length.
 
 Cases: a null text counts as empty, and gives the one piece that holds the end id;
-repeated rows are packed once each; a null doc_id stays null; an empty table gives
-no rows; other columns of the input are left out. sequence_id is unique over the
+repeated rows are packed once each; a null doc_id stays null; a very long text gives as
+many pieces as it takes; an empty table gives no rows; other columns of the input are left out. sequence_id is unique over the
 result: the number of the input's partition times 2**36, plus a count.
 """
 
@@ -79,7 +81,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, max_length: int = MAX_L
     return docs.select("doc_id", "text").mapInArrow(_packer(path, max_length, end_id), SCHEMA)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Writes pieces below path, a folder bucket=b for each length 2**b, and reads them back. Each task has pieces of one
+    or a few buckets, and large buckets are split over tasks (rebalanced by adaptive execution)."""
+    spark = pieces.sparkSession
+    pieces.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    back = spark.read.schema(SCHEMA).parquet(path)
+    return back.select(*[x.split()[0] for x in SCHEMA.split(", ")])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents")).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
-    )
+    pieces = write_buckets(pack(common.table(spark, sf_dir, "documents")), common.fresh_path(spark, "packed"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
