@@ -5,7 +5,9 @@ packed into blocks inside the tasks that read them. For a pair of a candidate bl
 a query block, the candidates' postings (row, weight) of each term are scattered, times
 the query rows' weights, into dense score arrays; the k best of each query come out by
 partition selection, and the blocks' lists are merged. Rows meet by block pairs of an
-equi-join, so a task holds two blocks, whatever the table's size.
+equi-join, so a task holds two blocks, whatever the table's size. A block ends at a
+number of rows or of ``MOST_VALUES`` components (32 MB of weights), whichever comes
+first. Exhaustive search sends every candidate once to each query block.
 
 Cases: rows with a null vec_id, a null vector, or a null or non-finite component take no
 part; vectors may differ in length (a missing place is 0); a query's own row is every
@@ -31,6 +33,7 @@ K = 5
 SCALE = 256.0
 CANDIDATES_PER_BLOCK = 1 << 16
 QUERIES_PER_BLOCK = 1 << 14
+MOST_VALUES = 1 << 22
 BLOCK = "block long, ids binary, lengths binary, weights binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -71,18 +74,22 @@ def _least(flat: np.ndarray) -> str:
     return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
 
 
-def _block_packer(rows: int, scale: float) -> Callable:
+def _block_packer(rows: int, scale: float, most_values: int = MOST_VALUES) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        held, n = [], 0
+        held, n, values = [], 0, 0
         for batch in batches:
-            for i in range(0, batch.num_rows, rows - n if n else rows):
-                part = _quantised(batch.slice(i, rows), scale)
+            at = 0
+            wide = max(1, len(batch.column("embedding").flatten()) // max(1, batch.num_rows))
+            while at < batch.num_rows:
+                take = max(1, min(rows - n, (most_values - values) // wide))
+                part = _quantised(batch.slice(at, take), scale)
+                at += take
                 held.append(part)
-                n += len(part[0])
-                if n >= rows:
+                n, values = n + len(part[0]), values + len(part[2])
+                if n >= rows or values + wide > most_values:
                     yield _packed(block, held)
-                    held, n, block = [], 0, block + 1
+                    held, n, values, block = [], 0, 0, block + 1
         if n:
             yield _packed(block, held)
 
