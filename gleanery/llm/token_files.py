@@ -1,7 +1,7 @@
 """Token-id files in patched frame-of-reference blocks.
 
-Documents are ranged by doc_id, encoded in order, each closed by an end id, and
-written as files of blocks of 1024 ids: a block's minimum is subtracted, the rest is
+Documents are ranged by doc_id, about ``PART_BYTES`` of text a range, encoded in order,
+each closed by an end id, and written as files of blocks of 1024 ids: a block's minimum is subtracted, the rest is
 packed at the width that holds ``percentile`` of the block, and ids that need more
 bits go whole to the block's exception list. Behind the blocks stand the index of
 block starts and the index of documents.
@@ -17,8 +17,9 @@ Tasks write to a name of their own and move it into place, so a task that runs a
 leaves the same file. The driver sees one row per file.
 
 Cases: a null text counts as empty, so the document is its end id; a null doc_id comes
-first in order; rows of one doc_id keep an order by text; an empty table makes no file
-and reads back as no rows; other columns are left out.
+first in order; rows of one doc_id keep an order by text and stand in one file, since
+the order is by doc_id; a very long text is encoded in parts and spans blocks; an empty
+table makes no file and reads back as no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from .encoding import encoder, vocabulary_path
 
 BLOCK = 1024
 END_ID = 0
+PART_BYTES = 32 << 20
 MAGIC = b"GPF1"
 FOOTER = struct.Struct("<QQQQ4s")
 MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
@@ -213,7 +215,8 @@ def write(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int
     """Writes the files below uri, a folder that all executors see, and returns their manifest. docs: doc_id, text."""
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:  # a range for each PART_BYTES of text
+        parts = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
     system, folder = _filesystem(uri)
     system.create_dir(folder)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
