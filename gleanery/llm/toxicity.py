@@ -9,14 +9,14 @@ unit scores the window. A document's score is that of its highest window.
 
 The network is trained here, in numpy, on a sample of labelled documents: about
 ``positives`` of label 1 and ``negatives`` of label 0, taken by a hash of doc_id among
-those whose crc32(doc_id) mod 4 isn't 2, with at most ``LONGEST_SAMPLE`` bytes of text.
+those whose crc32(doc_id) mod 4 isn't 2, with at most ``longest_sample`` bytes of text.
 Labels stand for documents, so each update learns from each document's window that the
 network scores highest so far. The number of updates doesn't depend on the sample.
 
 Cases: a null text, or one without words, has score 0; a document with several labels
 is toxic if one of them is 1; null labels are left out; without labelled documents all
-scores are 0; repeated rows are scored alike; an empty table gives no rows; other
-columns are left out.
+scores are 0; repeated rows are scored alike; a very long text is scored window by window
+to its end; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -306,7 +306,7 @@ def _scorer(model: Broadcast) -> Scorer:
     return common.kept(key, lambda: Scorer(p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Broadcast:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, longest_sample: int = LONGEST_SAMPLE) -> Broadcast:
     """A broadcast model of fixed size, trained on the sample that the module's text describes."""
     marks = labels.where(F.col("toxic").isNotNull() & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     samples: list[tuple[str, int]] = []
     if rows:
         asked = F.broadcast(spark.createDataFrame(list(rows.items()), "doc_id long, toxic int"))
-        texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST_SAMPLE).join(asked, "doc_id")
+        texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest_sample).join(asked, "doc_id")
         once = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # rows that share an id are one document, however many
         samples = sorted((r.text, r.toxic) for r in once.select("text", "toxic").where("text is not null").collect())
     return spark.sparkContext.broadcast((uuid.uuid4().hex, train(samples)))
