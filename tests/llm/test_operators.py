@@ -510,3 +510,179 @@ def test_samples_take_an_id_once(spark, monkeypatch):
     once = {"first text 0"} - ({"first text 0"} if common.is_held_out(1) else set())
     assert len(seen["lang"]) == len({t for t, _ in seen["lang"]}) and {t for t, _ in seen["lang"]} == plain | once | {"nobody 0"}
     assert len(seen["toxic"]) == len(plain | once) and {t for t, _ in seen["toxic"]} == plain | once
+
+
+def test_a_stored_map_is_edited(spark):
+    """Version 1 is new, version 2 edits it for a grown table, version 3 for one more shard; bytes stay near equal."""
+    rnd = random.Random(4)
+    rows = [(i, sentence(rnd, rnd.randint(1, 60))) for i in range(3000)] + [(7, sentence(rnd, 40)) for _ in range(1500)] + [(None, "same")] * 5
+    path = common.fresh_path(spark, "maps")
+    levels = {}
+    placed: dict = {}
+    for version, (part, shards) in enumerate([(rows[:2000], 8), (rows, 8), (rows, 9)], 1):
+        got = sharding.shard(frame(spark, part), shards, path=path).collect()
+        assert sharding.newest(spark, path)[0] == version and len(got) == len(part)
+        held = [sum(r.size for r in got if r.shard == s) for s in range(shards)]
+        assert max(held) - min(held) < 0.1 * sum(held) / shards, held
+        for s in range(shards):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        placed, levels = {r.virtual_slot: r.shard for r in got}, placed
+        moved = [v for v in levels if placed[v] != levels[v]]
+        assert len(moved) < (1, 0.3 * len(placed), 0.3 * len(placed))[version - 1] or version == 1
+    assert all(placed[v] == 8 for v in moved)  # the new shard takes slots from the others, and nothing else moves
+    assert len({r.shard for r in got if r.doc_id == 7}) > 1  # many texts of one id spread
+
+
+def test_buckets_hold_one_length(spark):
+    df = frame(spark, corpus()).repartition(3)
+    path = common.fresh_path(spark, "buckets")
+    pieces = packing.pack(df, max_length=64)
+    back = packing.write_buckets(pieces, path)
+    key = lambda r: (r.doc_id, r.start, r.length, r.bucket, r.sequence_id, bytes(r.ids))
+    assert sorted(map(key, back.collect())) == sorted(map(key, pieces.collect()))
+    for b in range(7):
+        files = spark.read.parquet(f"{path}/bucket={b}")
+        assert {r.length for r in files.collect()} == {1 << b}
+    assert packing.write_buckets(pieces.where("false"), common.fresh_path(spark, "buckets")).count() == 0
+
+
+def test_wide_vectors_fill_small_blocks(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=40).tolist()) for i in range(60)], "vec_id long, embedding array<double>").coalesce(1)
+    packed = df.mapInArrow(topk._block_packer(1000, 256.0, 400), topk.BLOCK).collect()
+    assert len(packed) == 6 and sum(len(r.ids) // 8 for r in packed) == 60
+    ids, matrix = topk._matrix(packed[0].asDict())
+    assert ids.tolist() == list(range(10)) and matrix.shape == (10, 40)
+
+
+def test_tokens_of_many_bytes_across_a_boundary(spark):
+    """Against loops over bytes: sections end with a sign of two or three bytes, which tokens swallow."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(encoding.vocabulary_path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    rnd = random.Random(12)
+    for separator, alphabet in (("é", ["é", "éé", "caf", "és", " déjà", "è", "ü"]), ("…", ["…", "……", "x", " …", "日本", "😀", "…\n"])):
+        rows = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14)))) for i in range(60)]
+        got: dict = {}
+        for r in token_counts.count(frame(spark, rows), separator=separator).collect():
+            got.setdefault(r.doc_id, {})[r.section] = (r.first_char, r.n_chars, r.n_tokens, r.n_crossing)
+        crossed = 0
+        for i, t in rows:
+            lines = t.split(separator)
+            sections = [x + separator * (k + 1 < len(lines)) for k, x in enumerate(lines)]
+            owner = [k for k, x in enumerate(sections) for _ in x.encode()]
+            n, over, at = [0] * len(sections), [0] * len(sections), 0
+            for token in plain.encode(t, add_special_tokens=False).tokens:
+                own = owner[at : at + len(token)]
+                at += len(token)
+                best = max(sorted(set(own)), key=own.count)
+                n[best] += 1
+                over[best] += len(set(own)) > 1
+            assert at == len(owner)
+            firsts = [sum(map(len, sections[:k])) for k in range(len(sections))]
+            assert got[i] == {k: (firsts[k], len(sections[k]), n[k], over[k]) for k in range(len(sections))}
+            crossed += sum(over)
+        assert crossed > 5
+
+
+def test_scorer_equals_windows_one_by_one():
+    """With a cache that is emptied on the way, against each window by itself and plain loops over its words."""
+    rnd = random.Random(3)
+    p = toxicity.new_params(5)
+    texts = [sentence(rnd, n) for n in (1, 5, 63, 64, 65, 97, 200, 1000)] + [None, "", "...", "ÜBER über", sentence(rnd, 9)]
+    scorer = toxicity.Scorer(p, most_words=40)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def one(words):
+        x = toxicity.inputs(p, toxicity.word_features(words)).astype(float)
+        states = []
+        for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+            h, out = np.zeros(toxicity.HIDDEN), {}
+            for t in order:
+                g, u = x[t] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                k = toxicity.HIDDEN
+                z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+                n = np.tanh(g[2 * k :] + r * u[2 * k :])
+                h = out[t] = (1 - z) * n + z * h
+            states.append([out[t] for t in range(len(words))])
+        h = np.concatenate(states, axis=1)
+        w = np.exp(np.tanh(h @ p["A"]) @ p["v"])
+        return sig((w / w.sum()) @ h @ p["o"] + p["b"][0])
+
+    want = []
+    for t in texts:
+        words = toxicity.text_words(t)
+        want.append(max((one(words[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(words))), default=0.0))
+    got = [scorer.score([t])[0] for t in texts]
+    assert got == pytest.approx(want, abs=1e-5) and scorer.score(texts).tolist() == pytest.approx(want, abs=1e-5)
+
+
+def test_identifier_equals_all_segmentations():
+    """Words one by one, every way to cut each, by recursion; ties go to the first language in order."""
+    path = encoding.vocabulary_path("piece_bpe_32k.model")
+    pieces = language_id.load_pieces(path)
+    rng = np.random.default_rng(2)
+    p = rng.random((len(pieces) + 2, 3)) * 1e-3
+    p[-2:] = [[0.0] * 3, [language_id.OUTSIDE] * 3]
+    p[:, 2] = p[:, 1]  # two languages that always tie
+    said = language_id.Identifier(["a", "b", "c"], p, path, most_words=5)
+
+    def ways(word, at=0):
+        if at == len(word):
+            return np.ones(3)
+        total = np.zeros(3)
+        for end in range(at + 1, len(word) + 1):
+            piece = word[at:end]
+            if piece in pieces:
+                total += p[pieces[piece]] * ways(word, end)
+            elif len(piece) == 1:
+                total += language_id.OUTSIDE * ways(word, end)
+        return total
+
+    texts = ["The government", "naïve Zürich", "x", "a b c d e f g h", "ꔀz", None, "12 !", "the " * 400]
+    langs, scores = said.identify(texts)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        words = language_id.text_words(t)
+        if not words:
+            assert (lang, score) == ("und", 0)
+            continue
+        logs = sum(np.log(ways("▁" + w)) for w in words)
+        odds = np.exp(logs - logs.max())
+        assert score == pytest.approx(odds.max() / odds.sum(), abs=1e-6) and lang == ("a" if logs[0] >= logs[1] else "b")
+    assert [said.identify([t])[0][0] for t in texts] == langs
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, "the dog and the cat " * 3, "en") for i in range(40)] + [(100 + i, "der hund und die katze " * 3, "de") for i in range(40)] + [(200 + i, f"noise {i}", f"x{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, langs, p, _ = language_id.fit(df, most_languages=2).value
+    assert langs == ["de", "en"] and p.shape[1] == 2
+
+
+def test_very_long_texts(spark):
+    """One text of some MB among short ones: every operator takes it whole."""
+    from tokenizers import Tokenizer
+
+    long = sentence(random.Random(1), 200_000)
+    rows = [(1, long), (2, "short text of a few plain words here now ok"), (3, long[-300:])]
+    df = frame(spark, rows)
+    word, byte = (Tokenizer.from_file(encoding.vocabulary_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    n = len(word.encode(long, add_special_tokens=False).ids) + 1
+    got = packing.pack(df).where("doc_id = 1").agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert tuple(got) == (n, n)
+    uri = common.fresh_path(spark, "long")
+    ids = byte.encode(long, add_special_tokens=False).ids + [0]
+    back = {r.doc_id: r for r in token_files.read(token_files.write(df, uri), uri).collect()}
+    assert bytes(back[1].ids) == struct.pack(f"<{len(ids)}I", *ids) and back[2].start == len(ids)
+    assert token_counts.per_document(token_counts.count(df)).where("doc_id = 1").first().n_tokens == len(ids) - 1
+    assert {r.doc_id: r.size for r in sharding.shard(df).collect()}[1] == len(long) + 1
+    tail = " ".join(long.split()[-20:])
+    bench = spark.createDataFrame([(4, tail)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontamination.find(df, bench).collect()}
+    assert found[1].spans[-1].end_char >= len(long) - 1 and found[1].n_words == 200_000 and found[3].items == [4] and not found[2].spans
+    model = language_id.fit(spark.createDataFrame([(k, sentence(random.Random(k), 20), "en") for k in range(20)], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()} == {1: "en", 2: "en", 3: "en"}
+    p = toxicity.new_params(2)
+    scores = toxicity.Scorer(p).score([long, " ".join(long.split()[-64:])])
+    assert scores[0] >= scores[1] - 1e-6 > 0
