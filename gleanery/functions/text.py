@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +22,11 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 
@@ -51,30 +57,39 @@ def _folded(ch: str) -> str:
 
 
 @lru_cache(1)
-def _fold_tables() -> tuple[str, str, str, list[tuple[str, str]]]:
-    """By rule from the Unicode database: characters that fold to one, to none, and to more."""
-    single, gone, more = {}, [], []
-    for code in [*range(0x80, 0x2000), *range(0xFB00, 0xFB07)]:
+def _fold_tables() -> tuple[str, str, dict[str, str], str]:
+    """By rule from the Unicode database: characters below U+2000 that fold to one, to what; longer foldings and later
+    ones that hold ASCII; and what folds to nothing (accents on their own) as a class of a pattern."""
+    single, more, ranges = {}, {}, []
+    for code in (c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000):
         ch = chr(code)
         to = _folded(ch)
-        if to == ch:
-            continue
-        if len(to) == 1:
+        if not to:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+        elif to != ch and code < 0x2000 and len(to) == 1:
             single[ch] = to
-        elif not to:
-            gone.append(ch)
-        elif code < 0x250 or code >= 0xFB00:
-            more.append((ch, to))
-    return "".join(single), "".join(single.values()), "".join(gone), more
+        elif to != ch and any(x < "\x80" for x in to):
+            more[ch] = to
+    return "".join(single), "".join(single.values()), more, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+#: Text that one pass folds: up to U+024F, without the longer foldings there but for the German one.
+FOLDS_AT_ONCE = r"^[\x00-\xa7\xa9-\xae\xb0-\xb3\xb5-\xb7\xb9-\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u01c3\u01cd-\u01f0\u01f4-\u024f]*$"
 
 
 def fold(c: Column) -> Column:
-    """Case and accents folded inside the JVM: exact for text below U+0250, and for single-character foldings below U+2000."""
-    source, target, gone, more = _fold_tables()
-    c = F.translate(c, source + gone, target)
-    for ch, to in more:
-        c = F.replace(c, F.lit(ch), F.lit(to))
-    return F.lower(c)
+    """Case and accents folded inside the JVM. What is left of other scripts may differ from fold_full, ASCII never does."""
+    source, target, more, nothing = _fold_tables()
+    short = "".join(ch for ch in source if ch < "\u0250")
+    at_once = F.replace(F.translate(c, short, target[: len(short)]), F.lit("ß"), F.lit("ss"))
+    table = F.map_from_arrays(F.split(F.lit("\x00".join(more)), "\x00"), F.split(F.lit("\x00".join(more.values())), "\x00"))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"  # before the rest: a few signs fold to capitals
+    letters = F.regexp_extract_all(F.translate(F.regexp_replace(c, nothing, ""), upper + source, lower + target), F.lit("(?s)(.)"), F.lit(1))
+    rare = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(c.rlike(FOLDS_AT_ONCE), F.lower(at_once)).otherwise(rare)
 
 
 @F.pandas_udf(StringType())
@@ -83,8 +98,9 @@ def fold_full(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _folded(x))
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit(f"({TOKEN})"), F.lit(1))
+def tokens(c: Column, folded: bool = False) -> Column:
+    """The normalizers below take text that is folded already, too: a plan then folds each column once."""
+    return F.regexp_extract_all(c if folded else fold(c), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def without(array: Column, values: list[str]) -> Column:
@@ -93,19 +109,19 @@ def without(array: Column, values: list[str]) -> Column:
 
 
 def or_else(array: Column, other: Column) -> Column:
-    return F.when(F.size(array) > 0, array).otherwise(other)
+    return let(array, lambda a: F.when(F.size(a) > 0, a).otherwise(other))
 
 
 def unique_ordered(array: Column) -> Column:
     """Meaningful values in first-seen order; case doesn't tell values apart."""
-    kept = F.filter(F.transform(array, normalize_space), is_meaningful)
-    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
+    pairs = F.transform(F.filter(F.transform(array, normalize_space), is_meaningful), lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    return let(pairs, lambda kept: F.transform(F.filter(kept, lambda x, i: F.array_position(kept["low"], x["low"]) == i + 1), lambda x: x["x"]))
 
 
 def source_key(c: Column) -> Column:
-    text = F.trim(F.regexp_replace(fold(normalize_space(c)), "[^a-z0-9]+", " "))
     alias = F.create_map(*(F.lit(x) for kv in fixed.SOURCE_ALIASES.items() for x in kv))
-    return F.coalesce(F.try_element_at(alias, text), none_if_blank(F.replace(text, F.lit(" "), F.lit("_"))), F.lit("unknown"))
+    text = let(normalize_space(c), lambda x: F.trim(F.regexp_replace(fold(x), "[^a-z0-9]+", " ")))
+    return let(text, lambda t: F.coalesce(F.try_element_at(alias, t), none_if_blank(F.replace(t, F.lit(" "), F.lit("_"))), F.lit("unknown")))
 
 
 def source_label(c: Column) -> Column:
@@ -118,41 +134,43 @@ def source_rank(key: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(fixed.SOURCE_ORDER))
 
 
-def normalize_company(c: Column) -> Column:
-    found = tokens(c)
-    return F.array_join(or_else(without(found, fixed.LEGAL_SUFFIXES), found), " ")
+def normalize_company(c: Column, folded: bool = False) -> Column:
+    return let(tokens(c, folded), lambda found: F.array_join(or_else(without(found, fixed.LEGAL_SUFFIXES), found), " "))
 
 
-def normalize_title(c: Column) -> Column:
-    found = tokens(c)
-    return F.array_join(or_else(without(found, fixed.TITLE_NOISE), found), " ")
+def normalize_title(c: Column, folded: bool = False) -> Column:
+    return let(tokens(c, folded), lambda found: F.array_join(or_else(without(found, fixed.TITLE_NOISE), found), " "))
 
 
 def any_in(text: Column, values: list[str]) -> Column:
     return F.exists(words(values), lambda w: F.contains(text, w))
 
 
-def remote_mode(c: Column) -> Column:
-    text = fold(c)
-    return F.when(any_in(text, fixed.HYBRID_WORDS), "hybrid").when(any_in(text, fixed.REMOTE_WORDS), "remote").when(any_in(text, fixed.ONSITE_WORDS), "onsite")
+def remote_mode(c: Column, folded: bool = False) -> Column:
+    mode = lambda t: F.when(any_in(t, fixed.HYBRID_WORDS), "hybrid").when(any_in(t, fixed.REMOTE_WORDS), "remote").when(any_in(t, fixed.ONSITE_WORDS), "onsite")
+    return mode(c) if folded else let(fold(c), mode)
 
 
-def normalize_location(c: Column) -> Column:
+def normalize_location(c: Column, folded: bool = False) -> Column:
+    if not folded:
+        return let(fold(c), lambda x: normalize_location(x, True))
     alias = F.create_map(*(F.lit(x) for kv in fixed.CITY_ALIASES.items() for x in kv))
-    kept = F.transform(without(tokens(c), fixed.LOCATION_NOISE), lambda t: F.coalesce(F.try_element_at(alias, t), t))
-    named = F.array_join(or_else(without(kept, fixed.COUNTRY_TOKENS), kept), " ")
-    return F.when(named != "", named).when(remote_mode(c).isNotNull(), "remote").otherwise("")
+    kept = F.transform(without(tokens(c, True), fixed.LOCATION_NOISE), lambda t: F.coalesce(F.try_element_at(alias, t), t))
+    named = let(kept, lambda k: F.array_join(or_else(without(k, fixed.COUNTRY_TOKENS), k), " "))
+    return let(named, lambda n: F.when(n != "", n).when(remote_mode(c, True).isNotNull(), "remote").otherwise(""))
 
 
-def normalize_job_type(c: Column) -> Column:
-    text = fold(c)
-    hits = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in fixed.JOB_TYPES.items())))
+def normalize_job_type(c: Column, folded: bool = False) -> Column:
+    if not folded:
+        return let(fold(c), lambda x: normalize_job_type(x, True))
+    hits = F.array_compact(F.array(*(F.when(F.contains(c, F.lit(k)), F.lit(v)) for k, v in fixed.JOB_TYPES.items())))
     types = F.create_map(*(F.lit(x) for kv in fixed.JOB_TYPES.items() for x in kv))
-    spoken = F.filter(
-        tokens(c),
-        lambda t: ~(t.isin("full", "time") & F.array_contains(hits, "fulltime")) & ~(t.isin("part", "time") & F.array_contains(hits, "parttime")) & ~t.isin(fixed.JOB_TYPE_NOISE),
-    )
-    return F.when(is_meaningful(c), F.array_join(unique_ordered(F.concat(hits, F.transform(spoken, lambda t: F.coalesce(F.try_element_at(types, t), t)))), " ")).otherwise("")
+
+    def spoken(hits: Column) -> Column:
+        fine = lambda t: ~(t.isin("full", "time") & F.array_contains(hits, "fulltime")) & ~(t.isin("part", "time") & F.array_contains(hits, "parttime")) & ~t.isin(fixed.JOB_TYPE_NOISE)
+        return F.concat(hits, F.transform(F.filter(tokens(c, True), fine), lambda t: F.coalesce(F.try_element_at(types, t), t)))
+
+    return F.when(is_meaningful(c), F.array_join(unique_ordered(let(hits, spoken)), " ")).otherwise("")
 
 
 HYPERLINK = r'(?i)^=HYPERLINK\("((?:[^"]|"")*)"\s*[,;]\s*"((?:[^"]|"")*)"\)'

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from .resolve import normal_forms
 
 
 def _joined(*parts: Column) -> Column:
@@ -13,28 +14,48 @@ def _joined(*parts: Column) -> Column:
 
 
 def any_source_key(title: Column, company: Column, location: Column, job_type: Column, posted: Column) -> Column:
-    t, c, p = text.normalize_title(title), text.normalize_company(company), text.normalize_location(location)
-    kind = F.coalesce(text.normalize_job_type(job_type), F.lit(""))
-    return F.when((t != "") & (c != "") & (p != ""), _joined(F.lit("profile|any"), c, t, p, kind, dates.posted_identity(posted)))
+    """By profile, whatever the source, of texts."""
+    return _any_source(text.normalize_title(title), text.normalize_company(company), text.normalize_location(location), F.coalesce(text.normalize_job_type(job_type), F.lit("")), posted)
 
 
-def identity_keys(source: str = "source_label", title: str = "title", company: str = "company", location: str = "location", job_type: str = "job_type", posted: str = "posted", apply_url: str = "apply_url") -> Column:
-    """An array of keys: by apply link outside the job boards, by profile for each source, and by profile whatever the source."""
+def _any_source(title: Column, company: Column, location: Column, kind: Column, posted: Column) -> Column:
+    return F.when((title != "") & (company != "") & (location != ""), _joined(F.lit("profile|any"), company, title, location, kind, dates.posted_identity(posted)))
+
+
+def identity_keys(source: str = "source_label", title: str = "title", company: str = "company", location: str = "location", job_type: str = "job_type", posted: str = "posted", apply_url: str = "apply_url", forms: dict[str, Column] | None = None) -> Column:
+    """An array of keys: by apply link outside the job boards, by profile for each source, and by profile whatever the source.
+    forms: normal forms of title, company, location and job_type, where they are at hand; with_keys() has them."""
     cols = [F.col(x) for x in (title, company, location)]
     t, c, p = map(text.identity_value, cols)
-    kind = F.coalesce(text.normalize_job_type(F.col(job_type)), F.lit(""))
+    if forms is None:
+        forms = {"title": text.normalize_title(cols[0]), "company": text.normalize_company(cols[1]), "location": text.normalize_location(cols[2]), "job_type": F.coalesce(text.normalize_job_type(F.col(job_type)), F.lit(""))}
     posted_key = dates.posted_identity(F.col(posted))
     named = F.filter(F.transform(F.split(text.identity_value(F.col(source)), r"\s*\|\s*"), text.identity_value), lambda s: s != "")
     sources = text.or_else(named, F.array(F.lit("unknown")))
-    per_source = F.when((t != "") & (c != "") & (p != ""), F.transform(sources, lambda s: _joined(F.lit("profile"), s, t, c, p, kind, posted_key)))
-    more = F.array(F.concat(F.lit("apply|"), urls.external_apply_key(F.col(apply_url))), F.when(per_source.isNotNull(), any_source_key(*cols, F.col(job_type), F.col(posted))))
+    per_source = F.when((t != "") & (c != "") & (p != ""), F.transform(sources, lambda s: _joined(F.lit("profile"), s, t, c, p, forms["job_type"], posted_key)))
+    more = F.array(F.concat(F.lit("apply|"), urls.external_apply_key(F.col(apply_url))), F.when((t != "") & (c != "") & (p != ""), _any_source(forms["title"], forms["company"], forms["location"], forms["job_type"], F.col(posted))))
     return F.array_distinct(F.array_compact(F.concat(more, F.coalesce(per_source, F.array().cast("array<string>")))))
 
 
+def with_keys(df: DataFrame, name: str = "keys", source: str = "source_label", posted: str = "posted", apply_url: str = "apply_url") -> DataFrame:
+    """df (title, company, location, job_type and the named ones) with its identity keys. Each text is folded once."""
+    forms = {k: F.col(f"n_{k}") for k in ("title", "company", "location", "job_type")}
+    return normal_forms(df).withColumn(name, identity_keys(source, posted=posted, apply_url=apply_url, forms=forms)).select(*df.columns, name)
+
+
 def canonical_keys() -> Column:
     """The keys of a canonical row, for the anti-join and for what is appended: those of the row, and one for each apply link outside the job boards in its provenance."""
+    return _with_links(identity_keys(source="app"))
+
+
+def with_canonical_keys(df: DataFrame, name: str = "keys") -> DataFrame:
+    """Canonical rows with canonical_keys(), each text folded once."""
+    return with_keys(df, name, source="app").withColumn(name, _with_links(F.col(name)))
+
+
+def _with_links(keys: Column) -> Column:
     links = F.transform("provenance", lambda p: F.concat(F.lit("apply|"), urls.external_apply_key(p["apply_url"])))
-    return F.array_distinct(F.concat(identity_keys(source="app"), F.array_compact(F.coalesce(links, F.array().cast("array<string>")))))
+    return F.array_distinct(F.concat(keys, F.array_compact(F.coalesce(links, F.array().cast("array<string>")))))
 
 
 def expand_legacy(key: Column) -> Column:

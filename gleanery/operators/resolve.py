@@ -21,19 +21,23 @@ from ..functions import dates, similarity, text, urls
 from .components import components
 
 
+def normal_forms(df: DataFrame, job_type: str = "job_type") -> DataFrame:
+    """df with n_title, n_company, n_location and n_job_type, and the folded texts that they come from (f_*), each folded once."""
+    at = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    out = df.withColumns({f"f_{k}": text.fold(at(c)) for k, c in (("title", "title"), ("company", "company"), ("location", "location"), ("job_type", job_type))})
+    forms = {"title": text.normalize_title, "company": text.normalize_company, "location": text.normalize_location, "job_type": text.normalize_job_type}
+    return out.withColumns({f"n_{k}": F.coalesce(f(F.col(f"f_{k}"), True), F.lit("")) for k, f in forms.items()})
+
+
 def features(df: DataFrame, job_type: str = "job_type", posted: str = "posted", apply_url: str = "apply_url", description: str = "description") -> DataFrame:
     """The columns that matching looks at, beside those of df. df: idx, title, company, location and the named ones (NULL if absent)."""
     at = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    out = df.withColumns({
-        "n_title": blank(text.normalize_title(at("title"))), "n_company": blank(text.normalize_company(at("company"))),
-        "n_location": blank(text.normalize_location(at("location"))), "n_job_type": blank(text.normalize_job_type(at(job_type))),
-        "posted_at": dates.parse_datetime(at(posted)), "apply_key": urls.external_apply_key(at(apply_url)),
-        "mode": text.remote_mode(F.concat_ws(" ", at("title"), at("location"), at(description))),
-    })
     split = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.col(c), " "), lambda t: t != "")))
-    out = out.withColumns({"t_title": split("n_title"), "t_company": split("n_company")})
-    return out.withColumn("blocking_keys", blocking_keys())
+    out = normal_forms(df, job_type).withColumns({
+        "posted_at": dates.parse_datetime(at(posted)), "apply_key": urls.external_apply_key(at(apply_url)), "f_more": text.fold(at(description)),
+    })
+    out = out.withColumns({"t_title": split("n_title"), "t_company": split("n_company"), "mode": text.remote_mode(F.concat_ws(" ", "f_title", "f_location", "f_more"), True)})
+    return out.withColumn("blocking_keys", blocking_keys()).drop("f_title", "f_company", "f_location", "f_job_type", "f_more")
 
 
 def blocking_keys() -> Column:
@@ -147,7 +151,7 @@ def clusters(df: DataFrame) -> DataFrame:
 
 
 def exact_profiles(df: DataFrame) -> DataFrame:
-    """cluster_id of each row by equal profile alone: one hash aggregate and no Python."""
+    """idx and cluster_id of each row of normal_forms() by equal profile alone: one hash aggregate and no Python."""
     key = F.concat_ws("|", "n_company", "n_title", "n_location", "n_job_type")
     keyed = df.withColumn("profile_key", F.when((F.col("n_company") != "") & (F.col("n_title") != "") & (F.col("n_location") != ""), key))
     least = keyed.where("profile_key is not null").groupBy("profile_key").agg(F.min("idx").alias("cluster_id"))

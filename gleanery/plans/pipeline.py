@@ -36,5 +36,5 @@ def gather(items: DataFrame, seen_keys: DataFrame, title_terms: list[str] = (),
     out = filters.cap(out, F.col("applicant_count"), most_applicants)
     if first is not None:
         out = filters.within(out, dates.parse_datetime(F.col("posted")), first, last)
-    out = history.not_seen(out, history.canonical_keys(), seen_keys, "cluster_id")
+    out = history.not_seen(history.with_canonical_keys(out), F.col("keys"), seen_keys, "cluster_id").drop("keys")
     return export.newest_first(out, "posted", "cluster_id")

@@ -55,6 +55,7 @@ def test_salary(spark, said, want):
 def test_fold_and_tokens(spark):
     assert one(spark, "Straße ÇA Ĳ ﬁ", text.fold) == "strasse ca ij fi"
     assert one(spark, "Straße ÇA", text.fold_full) == "strasse ca"
+    assert one(spark, "ẞ Ａｂ９ ½ № e\u0301ﬃ 𝐛 ℌ x² İ", text.fold) == "ss ab9 1⁄2 No effi b H x2 i"
     assert one(spark, "C++ & GIS-Analyst (m/w/d)", text.tokens) == ["c", "gis", "analyst", "m", "w", "d"]
     assert one(spark, "München, Germany", text.normalize_location) == "munchen"
     assert one(spark, "Cologne", text.normalize_location) == one(spark, "Köln", text.normalize_location) == one(spark, "Koeln", text.normalize_location) == "koln"
@@ -63,11 +64,28 @@ def test_fold_and_tokens(spark):
     assert one(spark, "Acme GmbH", text.normalize_company) == "acme" and one(spark, "Group", text.normalize_company) == "group"
 
 
+def test_fold_equals_the_rule_for_all_characters(spark):
+    """Whatever stands between two letters: the tokens are those of the rule, and what fold_full gives differs in no ASCII."""
+    import re
+
+    rows = [(c, f"x{chr(c)}Y") for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or text._folded(chr(c)) != chr(c).lower())]
+    got = spark.createDataFrame(rows, "c int, t string").repartition(8).select("c", text.tokens(F.col("t")).alias("w")).collect()
+    assert {r.c: r.w for r in got} == {c: re.findall(text.TOKEN, text._folded(t)) for c, t in rows} and len(rows) > 20_000
+
+
 def test_urls(spark):
     key = lambda u: one(spark, u, urls.canonical_url)
     assert key("https://www.example.com//a/B/?utm_source=x&b=2&A=1#t") == "//example.com/a/b?a=1&b=2"
     assert key("https://de.indeed.com/viewjob?jk=ABC") == "indeed:job:abc" and key("no url") is None and key(None) is None
     assert one(spark, "https://www.xing.com/jobs/x-123", urls.external_apply_key) is None
+    assert one(spark, "https://jobs.xing.de/x", urls.external_apply_key) is None
+    assert key("https://a.b/Straße%20x~*/?q=a+b%26&Q=%C3%A9&q=~*") == "//a.b/stra%c3%9fe%20x~%2a?q=a+b%26&q=~%2A&q=%C3%A9"
+    assert key("https://www.linkedin.com/jobs/view/12/?x=1") == "linkedin:job:12" and key("https://linkedin.com/jobs/view/a-12") == "//linkedin.com/jobs/view/a-12"
+    assert key("https://www.xing.com/jobs/berlin-x-148355491.3c4997") == "//xing.com/jobs/berlin-x-148355491.3c4997"
+    old = lambda u: one(spark, u, urls.older_key)
+    assert old("https://www.LinkedIn.com/jobs/view/12/?x=1") == "linkedin:12" and old("https://de.indeed.com/viewjob?jk=Ab") == "indeed:ab"
+    assert old("https://www.xing.com/Jobs/x-1/") == "www.xing.com/jobs/x-1" and old("no url") is None and old(None) is None
+    assert one(spark, "https://www.stepstone.de/a--77-inline.html", urls.job_id_from_url) == "77" and one(spark, "https://a.b/c", urls.job_id_from_url) is None
     assert one(spark, 'https://x.y/"q"', lambda c: text.hyperlink_url(text.hyperlink_formula(c, "Open Job"))) == 'https://x.y/"q"'
 
 
@@ -136,7 +154,7 @@ def test_greedy_equals_one_global_pass(spark):
 def test_blocked_pairs_of_all_parts(spark, sf):
     parts = [(r.p_partkey, r.p_brand, set(r.p_name.split())) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
     want = {(a, b): round(len(x & y) / len(x | y), 6) for a, m, x in parts for b, n, y in parts if a < b and m == n and x & y}
-    got = {(r.a, r.b): r.title_overlap for r in queries.queries()["q55_blocked_pairs_whole"](spark, sf).collect()}
+    got = {(r.a, r.b): r.title_overlap for r in queries.queries()["q28_blocked_pairs_scored"](spark, sf).collect()}
     assert got == want and len(want) == 176
 
 
