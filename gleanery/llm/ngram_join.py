@@ -60,6 +60,8 @@ BLOCK, BLOCK_BYTES = 512, 2 << 20
 BUCKET_BYTES = 8 << 20
 CLASS_RATIO = 1.3
 SALTS = 32
+#: A node is hot from so many pairs on. So many hot nodes are sent to all tasks; with more, adaptive skew joins have to do.
+HOT, MOST_HOT = 256, 100_000
 MOST_BITMAP_BITS, BITMAP_CHUNK = 27, 17
 SLICE = 1 << 19
 #: In ENTRY.at: this entry stands for nodes that already have an edge to it.
@@ -422,7 +424,7 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         fine = []
         for i in range(0, whole.num_rows, 256):
             part = whole.slice(i, 256)
-            for a, b in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True):
+            for a, b in zip(part.column("members_a").to_pylist(), part.column("members_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 fine.append(bool(links(len(x), len(y), overlap(x, y))))
         kept = whole.filter(pa.array(fine, pa.bool_()))
@@ -517,6 +519,28 @@ def _salted_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
 
 
+def _hot(pairs: DataFrame) -> DataFrame | None:
+    """The nodes of many pairs, a table of bounded size; None if there are none, or too many for that."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    found = [(r.node,) for r in ends.limit(MOST_HOT + 1).collect()]
+    return F.broadcast(pairs.sparkSession.createDataFrame(found, "node long")) if 0 < len(found) <= MOST_HOT else None
+
+
+def _both_ends(pairs: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """pairs with the columns of table (node, ...) for a and for b. The pairs of a hot node are dealt over SALTS tasks, and its row is there in each."""
+    for side, other in (("a", "b"), ("b", "a")):
+        rows = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "node"))
+        if hot is None:
+            pairs = pairs.join(rows, side)
+            continue
+        mark = hot.select(F.col("node").alias(side), F.lit(True).alias("hot"))
+        pairs = pairs.join(mark, side, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+        copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        rows = rows.join(mark, side, "left").withColumn("salt", F.explode(copies)).drop("hot")
+        pairs = pairs.join(rows, [side, "salt"]).drop("salt")
+    return pairs
+
+
 def _blocks() -> Column:
     return F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
 
@@ -591,15 +615,15 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = entries.groupBy("bucket").applyInArrow(_meeter(LONG), PAIRS).distinct()
     met = common.staged(met if thinned is None else met.union(thinned.select("a", "b", F.lit(True).alias("whole"))), "ngram-candidates")
 
-    marks = second.where("bucket = -1").select("node", "n", "payload").dropDuplicates(["node"])
-    of = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("payload").alias(f"sig_{x}"))
+    marks = second.where("bucket = -1").select("node", "n", F.col("payload").alias("sig")).dropDuplicates(["node"])
     found = components(met.where("whole").select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("v").alias("g"), F.col("u").alias("node"))
     groups = found.union(found.select("g", F.col("g").alias("node")).distinct()).join(marks.select("node", "n"), "node")
     groups = common.staged(groups.select("g", "node", "n", F.floor(F.log("n") / F.log(F.lit(CLASS_RATIO))).cast("int").alias("class")), "ngram-groups")
     inside = lambda x: groups.select(F.col("node").alias(x), F.col("g").alias(f"g_{x}"))
     pairs = met.where("not whole").select("a", "b").join(inside("a"), "a", "left").join(inside("b"), "b", "left")
-    pairs = pairs.where("g_a is null or g_b is null or g_a <> g_b").select("a", "b")  # the rest is in a group
-    pairs = common.staged(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_suffix_filter, "a long, b long"), "ngram-pairs")
+    apart = common.staged(pairs.where("g_a is null or g_b is null or g_a <> g_b").select("a", "b"), "ngram-apart")  # the rest is in a group
+    hot = _hot(apart)
+    pairs = common.staged(_both_ends(apart, marks, hot).mapInArrow(_suffix_filter, "a long, b long"), "ngram-pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
     least = told.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
@@ -609,12 +633,12 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = scanned.mapInArrow(_third_scan(sc.broadcast(bitmap(ids.select("id"), bits))), SETS).join(ids.select("node"), "node", "left_semi")
     sets = common.staged(sets.dropDuplicates(["node"]), "ngram-sets")
 
-    linked = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b").mapInArrow(_verify_pairs, "a long, b long")
+    linked = _both_ends(pairs, sets, hot).mapInArrow(_verify_pairs, "a long, b long")
     classes, tasks = star_tasks(groups)
     stars = common.staged(tasks.join(sets, "node").groupBy("g", "class", "i").applyInArrow(_verify_star, "a long, b long"), "ngram-stars")
     rest = block_tasks(groups, classes, stars).join(sets, "node").groupBy(*TASK).applyInArrow(_verify_block, "a long, b long")
     links_ = common.staged(linked.union(stars).union(rest), "ngram-links")
-    common.discard(second, met, groups, pairs, ids, sets, stars)
+    common.discard(second, met, groups, apart, pairs, ids, sets, stars)
     return told, links_
 
 

@@ -257,9 +257,9 @@ def exact_join(rows):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("block", "long", "bucket"), [(512, 32, 1 << 23), (8, 3, 1 << 23), (8, 3, 600)])  # groups whole; in blocks; buckets dealt again
-def test_ngram_join(spark, monkeypatch, block, long, bucket):
-    for name, value in (("BLOCK", block), ("LONG", long), ("BUCKET_BYTES", bucket)):
+@pytest.mark.parametrize(("block", "long", "bucket", "hot"), [(512, 32, 1 << 23, 256), (8, 3, 1 << 23, 1), (8, 3, 600, 256)])  # groups whole; in blocks, nodes salted; buckets dealt again
+def test_ngram_join(spark, monkeypatch, block, long, bucket, hot):
+    for name, value in (("BLOCK", block), ("LONG", long), ("BUCKET_BYTES", bucket), ("HOT", hot)):
         monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(2)
     base = sentence(rnd, 60).split()
