@@ -59,6 +59,11 @@ DESCRIPTION_KEYS = [
     "jobDescriptionPlainText", "job_description_plain_text", "aboutTheJob", "about_the_job", "jobDescription", "job_description", "description",
     "descriptionHtml", "description_html", "jobDescriptionHtml", "job_description_html", "jobDetails", "job_details", "details", "summary", "snippet",
 ]
+#: Of which the longest counts.
+LONG_DESCRIPTION_KEYS = [
+    "descriptionText", "description_text", "jobDescriptionText", "job_description_text", "descriptionPlainText", "description_plain_text",
+    "jobDescriptionPlainText", "job_description_plain_text", "jobDescription", "job_description", "description",
+]
 DESCRIPTION_FIELDS = ["text", "html", "content", "value"]
 SALARY_KEYS = ["salary", "salaryText", "salary_text", "salarySnippet", "salary_snippet", "salaryRange", "salary_range"]
 SEARCH_URL_KEYS = ["inputUrl", "input_url", "searchUrl", "search_url", "startUrl", "start_url", "requestUrl", "request_url"]

@@ -282,8 +282,9 @@ def q31_richest_row(s, d):
 @query("""WITH r AS (SELECT conv_id, role, min(turn) AS o FROM conversations GROUP BY 1, 2), p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o FROM orders GROUP BY 1, 2)
 SELECT conv_id AS id, string_agg(role, ', ' ORDER BY o) AS listed FROM r GROUP BY 1 UNION ALL SELECT -o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o) FROM p GROUP BY 1""")
 def q32_merge_ordered_distinct(s, d):
-    roles = t(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_join(merge.ordered_distinct(F.col("role"), F.col("turn")), ", ").alias("listed"))
-    kinds = t(s, d, "orders").groupBy((-F.col("o_custkey")).alias("id")).agg(F.array_join(merge.ordered_distinct(F.col("o_orderpriority"), F.col("o_orderkey")), ", ").alias("listed"))
+    told = lambda df, value, order: merge.ordered_distinct(df, ["id"], value, order, "listed").select("id", F.array_join("listed", ", ").alias("listed"))
+    roles = told(t(s, d, "conversations").withColumn("id", F.col("conv_id")), "role", "turn")
+    kinds = told(t(s, d, "orders").withColumn("id", -F.col("o_custkey")), "o_orderpriority", "o_orderkey")
     return roles.union(kinds)
 
 

@@ -1,7 +1,9 @@
 """Raw items of four providers to one listing row.
 
 A raw item is JSON of any shape in a VARIANT column; a projection is a select of
-variant_get, so an absent field is NULL and a malformed item gives no row.
+variant_get, so an absent field is NULL and a malformed item gives no row. What a
+provider tells about the company and the listing beside the common columns is kept as
+JSON objects in ``company_details`` and ``metadata``, of the fields that say something.
 """
 
 from __future__ import annotations
@@ -10,44 +12,103 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import numbers, text, urls
+from ..functions import dates, numbers, text, urls
 
 TEXT = "string"
+TEXTS = "array<string>"
+PREFERRED = ["label", "name", "title", "value", "text"]
 
 
 def parsed(df: DataFrame, column: str = "json") -> DataFrame:
-    """The column `raw` of objects; what isn't a JSON object is dropped."""
-    out = df.withColumn("raw", F.try_parse_json(column))
+    """The columns `json` and `raw` of objects; what isn't a JSON object is dropped."""
+    out = df.withColumns({"json": F.col(column), "raw": F.try_parse_json(column)})
     return out.where(F.schema_of_variant("raw").startswith("OBJECT"))
 
 
-def field(path: str, raw: str = "raw") -> Column:
-    """A scalar as trimmed text; NULL for booleans, objects, arrays and blanks."""
-    value = F.try_variant_get(F.col(raw), "$." + path, "variant")
-    kind = F.schema_of_variant(value)
-    scalar = F.try_variant_get(F.col(raw), "$." + path, TEXT)
-    return text.none_if_blank(text.normalize_space(F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "BOOLEAN"), scalar)))
+def variant(path: str, raw: str = "raw") -> Column:
+    return F.try_variant_get(F.col(raw), "$." + path, "variant")
 
 
-def first_field(*paths: str) -> Column:
-    return F.coalesce(*(field(p) for p in paths))
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _scalar(v: Column) -> Column:
+    """Text of a scalar; NULL for booleans, objects and arrays."""
+    return F.when(~_kind(v).rlike("^(OBJECT|ARRAY|BOOLEAN)"), F.try_variant_get(v, "$", TEXT))
+
+
+def untagged(c: Column) -> Column:
+    return F.regexp_replace(c, "<[^>]+>", " ")
+
+
+def field(path: str, html: bool = False) -> Column:
+    """A scalar as trimmed text, without its tags if html; NULL for booleans, objects, arrays and blanks."""
+    said = _scalar(variant(path))
+    return text.none_if_blank(text.normalize_space(untagged(said) if html else said))
+
+
+def first_field(*paths: str, html: bool = False) -> Column:
+    return F.coalesce(*(field(p, html) for p in paths))
 
 
 def first_meaningful(paths: list[str]) -> Column:
     return F.coalesce(*(text.meaningful(field(p)) for p in paths))
 
 
-def values(path: str) -> Column:
-    """A list, a map or a scalar as an array of texts; objects in a list count by their label, name, value or text."""
-    raw = F.col("raw")
-    get = lambda kind: F.try_variant_get(raw, "$." + path, kind)
-    items = F.transform(get("array<variant>"), lambda v: F.coalesce(*(F.try_variant_get(v, f"$.{k}", TEXT) for k in ("label", "name", "value", "text")), F.try_variant_get(v, "$", TEXT)))
-    found = F.coalesce(items, F.map_values(get("map<string,string>")), F.when(field(path).isNotNull(), F.array(field(path))))
-    return F.coalesce(text.unique_ordered(F.array_compact(found)), F.array().cast("array<string>"))
+def values(path: str, prefer: list[str] = (), html: bool = False) -> Column:
+    """All texts of a scalar, a list or an object, three deep, in order. An object counts by the first of `prefer` that says something, if any."""
+
+    def inner(v: Column) -> Column:
+        fields = F.try_variant_get(v, "$", "map<string,variant>")
+        named = F.coalesce(*(F.when(F.coalesce(F.try_variant_get(v, f"$.{k}", TEXT), F.lit("x")) != "", F.try_variant_get(v, f"$.{k}", "variant")) for k in prefer)) if prefer else F.lit(None).cast("variant")
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(named.isNotNull(), F.array(named)), F.map_values(fields), F.array(v))
+
+    top = variant(path)
+    # an object's own order is that of its text; VARIANT sorts fields by name
+    fields = F.when(_kind(top).startswith("OBJECT"), F.map_values(F.from_json(F.get_json_object("json", "$." + path), "map<string,variant>")))
+    named = F.coalesce(*(F.when(F.coalesce(F.try_variant_get(top, f"$.{k}", TEXT), F.lit("x")) != "", F.try_variant_get(top, f"$.{k}", "variant")) for k in prefer)) if prefer else F.lit(None).cast("variant")
+    found = F.coalesce(F.when(named.isNotNull(), F.array(named)), fields, F.try_variant_get(top, "$", "array<variant>"), F.array(top))
+    for _ in range(2):
+        found = F.flatten(F.transform(found, inner))
+    said = F.filter(F.transform(F.filter(found, lambda v: v.isNotNull()), _scalar), lambda x: x.isNotNull() & ~x.isin("", "N/A"))
+    clean = F.transform(said, lambda x: text.normalize_space(untagged(x) if html else x))
+    return F.coalesce(F.filter(clean, lambda x: x != ""), F.array().cast(TEXTS))
+
+
+def unique(array: Column, limit: int | None = None) -> Column:
+    """In order of first appearance; case doesn't tell values apart."""
+    pairs = F.transform(array, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    kept = text.let(pairs, lambda p: F.transform(F.filter(p, lambda x, i: F.array_position(p["low"], x["low"]) == i + 1), lambda x: x["x"]))
+    return F.slice(kept, 1, limit) if limit else kept
+
+
+def listed(array: Column) -> Column:
+    return text.none_if_blank(F.array_join(array, ", "))
 
 
 def flag(path: str) -> Column:
-    return F.coalesce(F.try_variant_get(F.col("raw"), "$." + path, "boolean"), F.lit(False))
+    """Whether a field says yes: true, a number but 0, any text; NULL otherwise, so that an object lacks it."""
+    v = variant(path)
+    number = F.try_variant_get(v, "$", "double")
+    said = F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(_kind(v) == "STRING", F.try_variant_get(v, "$", TEXT) != "").otherwise(number != 0)
+    return F.when(said, F.lit(True))
+
+
+def raw_field(path: str) -> Column:
+    """A field as it stands; NULL for null, blanks, and empty objects and lists."""
+    v = variant(path)
+    return F.when(~F.coalesce(F.try_variant_get(v, "$", TEXT), F.lit("")).isin("", "{}", "[]"), v)
+
+
+def json_object(fields: dict[str, Column]) -> Column:
+    """JSON of the fields that say something; NULL if none does."""
+    said = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+    return F.when(said != "{}", said)
+
+
+def some(array: Column) -> Column:
+    return F.when(F.size(array) > 0, array)
 
 
 def tag_is(tag: Column, words: list[str]) -> Column:
@@ -63,15 +124,20 @@ def is_skill(tag: Column) -> Column:
     return low.isin(fixed.LANGUAGES) | F.endswith(low, F.lit(" skills")) | text.any_in(low, fixed.SKILL_WORDS)
 
 
-def work_mode(said: Column) -> Column:
-    """Hybrid before Remote before On-site; NULL without a hint."""
+def is_seniority(tag: Column) -> Column:
+    return F.contains(F.lower(tag), F.lit("level")) & tag_is(tag, fixed.SENIORITY_WORDS)
+
+
+def work_mode(said: Column, else_: Column, onsite: list[str] = fixed.ONSITE_WORDS) -> Column:
+    """Hybrid before Remote before else_ before On-site."""
     low = F.lower(said)
-    return F.when(text.any_in(low, fixed.HYBRID_WORDS), "Hybrid").when(text.any_in(low, fixed.REMOTE_WORDS), "Remote").when(low.rlike("on-?site|on site|in-person|vor ort|präsenz"), "On-site")
+    early = F.when(text.any_in(low, fixed.HYBRID_WORDS), "Hybrid").when(text.any_in(low, fixed.ITEM_REMOTE_WORDS), "Remote")
+    return F.coalesce(early, else_, F.when(text.any_in(low, onsite), "On-site"))
 
 
 def money_range(low: Column, high: Column, currency: Column, unit: Column) -> Column:
     amount = F.when(low.isNotNull() & high.isNotNull() & (low != high), F.concat(text.format_money(low), F.lit("-"), text.format_money(high))).otherwise(text.format_money(F.coalesce(low, high)))
-    return F.when(amount.isNotNull(), F.concat(F.coalesce(F.concat(currency, F.lit(" ")), F.lit("")), amount, F.coalesce(F.concat(F.lit(" / "), F.lower(unit)), F.lit(""))))
+    return F.when(amount.isNotNull(), F.concat(F.coalesce(F.concat(currency, F.lit(" ")), F.lit("")), amount, F.coalesce(F.concat(F.lit(" / "), unit), F.lit(""))))
 
 
 def number(path: str) -> Column:
@@ -82,13 +148,13 @@ def number(path: str) -> Column:
 def with_lines(description: Column, source: str, lines: list[tuple[str, Column]]) -> Column:
     """A description, then a block of labelled lines; empty ones are left out."""
     said = F.array_compact(F.array(*(F.when(c != "", F.concat(F.lit(f"- {name}: "), c)) for name, c in lines)))
-    block = F.when(F.size(said) > 0, F.concat(F.lit(f"{source} structured metadata:\n"), F.array_join(said, "\n")))
+    block = text.let(said, lambda s: F.when(F.size(s) > 0, F.concat(F.lit(f"{source} structured metadata:\n"), F.array_join(s, "\n"))))
     return text.none_if_blank(F.concat_ws("\n\n", text.none_if_blank(description), block))
 
 
 def applicants() -> Column:
     """The first meaningful value as text; lists and objects as JSON."""
-    said = lambda k: F.when(F.schema_of_variant(F.try_variant_get("raw", f"$.{k}", "variant")) != "BOOLEAN", F.try_variant_get("raw", f"$.{k}", TEXT))
+    said = lambda k: F.when(_kind(variant(k)) != "BOOLEAN", F.try_variant_get("raw", f"$.{k}", TEXT))
     return F.coalesce(*(text.meaningful(text.normalize_space(said(k))) for k in fixed.APPLICANT_KEYS))
 
 
@@ -101,7 +167,7 @@ def applicant_count() -> Column:
         return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), fields, F.array(v))
 
     def count(v: Column) -> Column:
-        kind, n = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+        kind, n = _kind(v), F.try_variant_get(v, "$", "double")
         return F.when(kind == "STRING", numbers.applicant_count(F.try_variant_get(v, "$", TEXT))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (n >= 0), n.cast("long"))
 
     def largest(v: Column) -> Column:
@@ -110,76 +176,171 @@ def applicant_count() -> Column:
             inner = F.flatten(F.transform(inner, items))
         return F.array_max(F.transform(inner, count))
 
-    said = F.array(*(F.try_variant_get(F.col("raw"), f"$.{k}", "variant") for k in fixed.APPLICANT_KEYS))
+    said = F.array(*(variant(k) for k in fixed.APPLICANT_KEYS))
     return F.get(F.array_compact(F.transform(F.array_compact(said), largest)), 0)
 
 
-LISTING = ["source", "source_label", "job_id", "title", "company", "company_url", "location", "job_type", "description", "posted", "salary", "work_mode", "skills", "tags", "job_url", "apply_url", "applicants", "applicant_count"]
+LISTING = ["source", "source_label", "job_id", "title", "company", "company_url", "location", "job_type", "description", "posted", "salary", "work_mode", "skills", "tags", "job_url", "apply_url", "applicants", "applicant_count", "company_details", "metadata"]
 
 
 def _row(source: str, **columns: Column) -> list[Column]:
     columns = {"source": F.lit(source), "source_label": F.lit(fixed.SOURCE_LABELS[source]), "applicants": applicants(), "applicant_count": applicant_count()} | columns
-    none = {"skills": F.array().cast("array<string>"), "tags": F.array().cast("array<string>")}
+    none = {"skills": F.array().cast(TEXTS), "tags": F.array().cast(TEXTS)}
     return [(columns[c] if c in columns else none.get(c, F.lit(None).cast("string"))).alias(c) for c in LISTING]
 
 
+def _indeed_salary(path: str) -> Column:
+    """A range with its unit, else the field's texts."""
+    return F.coalesce(money_range(number(f"{path}.minValue"), number(f"{path}.maxValue"), field(f"{path}.currencyCode"), F.lower(field(f"{path}.unitOfWork"))), listed(unique(values(path))))
+
+
 def indeed(df: DataFrame) -> DataFrame:
-    lists = ("attributes", "benefits", "jobTypes", "employerAttributes")
-    df = df.withColumns({f"_{c}": values(c) for c in lists})
-    df = df.withColumn("tags", text.unique_ordered(F.concat(*(F.slice(f"_{c}", 1, n) for c, n in zip(lists, (40, 12, 8, 12), strict=True)))))
-    t = F.col("tags")
-    place = F.coalesce(text.none_if_blank(F.array_join(text.unique_ordered(F.array_compact(F.array(field("location.city"), field("location.admin1Code"), first_field("location.countryName", "location.countryCode")))), ", ")), first_field("location.streetAddress", "location.formatted", "location.name", "location"))
-    salary = F.coalesce(money_range(number("baseSalary.minValue"), number("baseSalary.maxValue"), field("baseSalary.currencyCode"), field("baseSalary.unitOfWork")), first_field("baseSalary", "salary", "salaryText"))
-    skills = F.slice(F.filter(t, lambda x: is_skill(x) & ~tag_is(x, fixed.BENEFIT_WORDS) & ~tag_is(x, fixed.TAG_JOB_TYPES) & ~tag_is(x, fixed.EDUCATION_WORDS) & ~is_experience(x)), 1, 12)
-    df = df.withColumns({"_place": place, "_salary": salary, "_skills": skills})
-    df = df.withColumn("_mode", work_mode(F.concat_ws(" ", "_place", F.array_join(t, " "))))
-    place, salary, skills, mode = (F.col(c) for c in ("_place", "_salary", "_skills", "_mode"))
-    seniority = F.get(F.filter(t, lambda x: F.contains(F.lower(x), F.lit("level")) & tag_is(x, fixed.SENIORITY_WORDS)), 0)
-    education, experience = F.slice(F.filter(t, lambda x: tag_is(x, fixed.EDUCATION_WORDS)), 1, 5), F.slice(F.filter(t, is_experience), 1, 5)
-    kinds = F.array_join(text.or_else(F.col("_jobTypes"), F.filter("_employerAttributes", lambda x: tag_is(x, fixed.TAG_JOB_TYPES))), ", ")
+    lists = {"attributes": 40, "benefits": 12, "jobTypes": 8, "employerAttributes": 12}
+    df = df.withColumns({f"_{c}": unique(values(c), n) for c, n in lists.items()})
+    df = df.withColumns({"_tags": unique(F.concat(*(F.col(f"_{c}") for c in lists))), "_kinds": F.coalesce(listed(unique(values("jobTypes"))), listed(unique(F.filter(values("employerAttributes"), lambda x: tag_is(x, fixed.TAG_JOB_TYPES)))))})
+    parts = F.array_compact(F.array(field("location.city"), field("location.admin1Code"), first_field("location.countryName", "location.countryCode")))
+    place = F.coalesce(listed(unique(parts)), first_field("location.streetAddress", "location.formatted", "location.name", "location"))
+    df = df.withColumns({"_place": place, "_salary": F.coalesce(*map(_indeed_salary, ("baseSalary", "salary", "salaryText"))), "_seniority": F.get(F.filter("_tags", is_seniority), 0)})
+    t = F.col("_tags")
+    fine = lambda x: is_skill(x) & ~tag_is(x, fixed.BENEFIT_WORDS) & ~tag_is(x, fixed.TAG_JOB_TYPES) & ~tag_is(x, fixed.EDUCATION_WORDS) & ~is_experience(x) & (F.coalesce(F.col("_seniority"), F.lit("")) != x)
+    low = F.lower(F.concat_ws(" ", "_place", F.array_join("_tags", " ")))
+    mode = F.when(F.contains(low, F.lit("hybrid")), "Hybrid").when(low.rlike("remote|work from home"), "Remote").when(low.rlike("on-site|on site|in-person"), "On-site")
+    df = df.withColumns({"_skills": F.slice(F.filter(t, fine), 1, 12), "_mode": mode, "_education": F.slice(F.filter(t, lambda x: tag_is(x, fixed.EDUCATION_WORDS)), 1, 5), "_experience": F.slice(F.filter(t, is_experience), 1, 5)})
+    df = df.withColumn("_languages", F.slice(F.filter("_skills", lambda x: F.lower(x).isin(fixed.LANGUAGES)), 1, 6))
     rating = F.concat(field("employer.ratingsValue"), F.coalesce(F.concat(F.lit(" ("), field("employer.ratingsCount"), F.lit(" reviews)")), F.lit("")))
-    lines = [("Salary", salary), ("Work mode", mode), ("Seniority", seniority), ("Skills", F.array_join(skills, ", ")), ("Experience", F.array_join(experience, ", ")), ("Education", F.array_join(education, ", ")), ("Benefits", F.array_join(F.slice("_benefits", 1, 12), ", ")), ("Employer rating", rating), ("Company size", field("employer.employeesCount")), ("Industry", field("employer.industry"))]
-    key = F.coalesce(first_field("key", "jobKey", "jobId", "job_id", "id"), *(text.none_if_blank(F.regexp_extract(field(u), r"[?&]jk=([^&#]+)", 1)) for u in ("url", "jobUrl", "link")))
-    row = _row("indeed", job_id=key, title=first_field("title", "name"), company=first_field("employer.name", "companyName"), company_url=first_field("employer.url"), location=place, job_type=text.none_if_blank(kinds), description=with_lines(first_field("description.text", "description", "summary", "snippet"), "Indeed", lines), posted=first_field("datePublished", "dateOnIndeed", "postedAt"), salary=salary, work_mode=mode, skills=skills, tags=t, job_url=first_field("url", "link"), apply_url=first_field("jobUrl", "applyUrl"))
-    return df.select(*_keep(df), *row)
+    size, industry = field("employer.employeesCount"), field("employer.industry")
+    joined = lambda c: F.array_join(c, ", ")
+    lines = [
+        ("Salary", F.col("_salary")), ("Work mode", F.col("_mode")), ("Seniority", F.col("_seniority")), ("Employer rating", rating), ("Company size", size), ("Industry", industry),
+        ("Skills", joined("_skills")), ("Programming languages", joined("_languages")), ("Experience", joined("_experience")), ("Education", joined("_education")), ("Benefits", joined("_benefits")),
+    ]
+    metadata = json_object({
+        "salary": F.col("_salary"), "benefits": some(F.col("_benefits")), "skills": some(F.col("_skills")), "programming_languages": some(F.col("_languages")), "remote_work": F.col("_mode"), "seniority": F.col("_seniority"),
+        "experience_requirements": some(F.col("_experience")), "education_requirements": some(F.col("_education")), "employer_rating": rating, "company_size": size, "industry": industry,
+    })
+    company = json_object({k: raw_field(f"employer.{k}") for k in ("name", "industry", "employeesCount", "ratingsValue", "ratingsCount", "relativeCompanyPageUrl")})
+    key = F.coalesce(first_field("key", "jobKey", "jobId", "job_id", "id"), *(text.none_if_blank(F.trim(F.regexp_extract(field(u), r"[?&]jk=([^&#]+)", 1))) for u in ("url", "jobUrl", "link")))
+    return df.select(*_keep(df), *_row(
+        "indeed", job_id=key, title=first_field("title", "name"), company=first_field("employer.name", "companyName"), company_url=first_field("employer.url"), location=F.col("_place"), job_type=F.col("_kinds"),
+        description=with_lines(first_field("description.text", "description", "summary", "snippet"), "Indeed", lines), posted=first_field("datePublished", "dateOnIndeed", "postedAt"), salary=F.col("_salary"), work_mode=F.col("_mode"),
+        skills=F.col("_skills"), tags=t, job_url=first_field("url", "link"), apply_url=first_field("jobUrl", "applyUrl"), company_details=company, metadata=metadata,
+    ))
 
 
 STEPSTONE, XING = "https://www.stepstone.de", "https://www.xing.com"
 
 
 def stepstone(df: DataFrame) -> DataFrame:
-    labels = F.slice(text.unique_ordered(F.concat(values("labels"), values("topLabels"))), 1, 12)
-    said = F.lower(F.concat_ws(" ", field("title"), field("textSnippet"), F.array_join(values("labels"), " ")))
-    explicit = text.unique_ordered(F.concat(values("employmentType"), values("jobType"), values("jobTypes"), values("contractType")))
-    heard = F.filter(text.words(["full-time", "part-time", "vollzeit", "teilzeit", *fixed.TAG_JOB_TYPES[2:]]), lambda w: F.contains(said, w))
-    home = field("workFromHome")
-    mode = F.coalesce(work_mode(F.concat_ws(" ", home, field("location"), said)), F.when(~home.isin("0", "false", "False"), "Work from home available"))
-    salary = F.coalesce(field("salary"), money_range(number("unifiedSalary.min"), number("unifiedSalary.max"), field("unifiedSalary.currency"), field("unifiedSalary.period")))
-    skills = F.slice(values("skills"), 1, 16)
-    lines = [("Salary", salary), ("Work mode", mode), ("Labels", F.array_join(labels, ", ")), ("Skills", F.array_join(skills, ", ")), ("Category", first_field("category", "industry", "section"))]
-    df = df.withColumn("_body", text.normalize_space(text.html_unescape(F.regexp_replace(first_field("description", "descriptionText", "textSnippet"), "<[^>]+>", " "))))
-    body = F.col("_body")
-    link = lambda *p: urls.absolute(first_field(*p), STEPSTONE)
-    return df.select(*_keep(df), *_row("stepstone", job_id=first_field("id", "jobId", "job_id", "harmonisedId"), title=first_field("title", "jobTitle", "name"), company=first_field("companyName", "company"), company_url=link("companyUrl"), location=first_field("location", "formattedLocation"), job_type=text.none_if_blank(F.array_join(text.or_else(explicit, heard), ", ")), description=with_lines(body, "Stepstone", lines), posted=first_field("datePosted", "publishFromDate", "periodPostedDate", "postedAt"), salary=salary, work_mode=mode, skills=skills, tags=labels, job_url=link("url", "jobUrl", "link"), apply_url=link("applyUrl", "applicationUrl", "applicationLink")))
+    get = lambda *p: first_field(*p, html=True)
+    many = lambda path: values(path, ["label", "name", "value"], html=True)
+    link = lambda *p: urls.absolute(get(*p), STEPSTONE)
+    df = df.withColumns({
+        "_plain_labels": many("labels"), "_labels": unique(F.concat(many("labels"), many("topLabels")), 12), "_skills": unique(many("skills"), 16), "_company_url": link("companyUrl"),
+        "_body": text.normalize_space(text.html_unescape(untagged(_first_text("description", "jobDescription", "details", "textSnippet", "summary")))),
+    })
+    said = F.lower(F.concat_ws(" ", get("title"), get("textSnippet"), F.array_join("_plain_labels", " ")))
+    explicit = unique(F.concat(*map(many, ("employmentType", "jobType", "jobTypes", "contractType"))))
+    df = df.withColumns({"_said": said, "_explicit": explicit})
+    heard = F.filter(text.words(fixed.HEARD_JOB_TYPES), lambda w: F.contains(F.col("_said"), w))
+    home = get("workFromHome")
+    mode = work_mode(F.concat_ws(" ", home, get("location"), "_said"), F.when(~home.isin("0", "false", "False"), "Work from home available"))
+    salary = F.coalesce(get("salary"), money_range(number("unifiedSalary.min"), number("unifiedSalary.max"), get("unifiedSalary.currency"), get("unifiedSalary.period")))
+    df = df.withColumns({"_mode": mode, "_salary": salary, "_category": get("category", "industry", "section")})
+    lines = [("Salary", F.col("_salary")), ("Work mode", F.col("_mode")), ("Skills", F.array_join("_skills", ", ")), ("Category", F.col("_category")), ("Labels", F.array_join("_labels", ", "))]
+    flags = {"is_sponsored": "isSponsored", "is_highlighted": "isHighlighted", "is_top_job": "isTopJob", "is_partnership_job": "partnership.isPartnershipJob"}
+    metadata = json_object({
+        "salary": F.col("_salary"), "work_mode": F.col("_mode"), "labels": some(F.col("_labels")), "skills": some(F.col("_skills")), "category": F.col("_category"), "company_id": get("companyId"), "company_url": F.col("_company_url"),
+    } | {k: flag(p) for k, p in flags.items()})
+    company = json_object({k: raw_field(p) for k, p in {"name": "companyName", "id": "companyId", "logoUrl": "companyLogoUrl", "isAnonymous": "isAnonymous"}.items()} | {"url": F.col("_company_url")})
+    return df.select(*_keep(df), *_row(
+        "stepstone", job_id=get("id", "jobId", "job_id", "harmonisedId"), title=get("title", "jobTitle", "name"), company=get("companyName", "company"), company_url=F.col("_company_url"), location=get("location", "formattedLocation"),
+        job_type=listed(text.or_else(F.col("_explicit"), heard)), description=with_lines(F.col("_body"), "Stepstone", lines), posted=get("datePosted", "publishFromDate", "periodPostedDate", "postedAt"), salary=F.col("_salary"), work_mode=F.col("_mode"),
+        skills=F.col("_skills"), tags=F.col("_labels"), job_url=link("url", "jobUrl", "link"), apply_url=link("applyUrl", "applicationUrl", "applicationLink"), company_details=company, metadata=metadata,
+    ))
+
+
+def _first_text(*paths: str) -> Column:
+    """The first field with text beside its tags, tags and all."""
+    return F.coalesce(*(F.when(field(p, html=True).isNotNull(), _scalar(variant(p))) for p in paths))
 
 
 def xing(df: DataFrame) -> DataFrame:
-    facts, keywords = F.slice(values("matching_facts"), 1, 12), F.slice(values("keywords"), 1, 20)
-    place = text.none_if_blank(F.array_join(text.unique_ordered(F.array_compact(F.array(field("location"), field("location_region"), field("location_country")))), ", "))
-    df = df.withColumn("_html", text.normalize_space(text.html_unescape(F.regexp_replace(field("description_html"), "<[^>]+>", " "))))  # a column of its own, since lambdas can't hold Python
-    html = F.col("_html")
-    mode = F.coalesce(work_mode(F.concat_ws(" ", field("remote"), field("title"), field("location"), field("description_text"), html, F.array_join(facts, " "))), field("remote"))
-    lines = [("Salary", field("salary")), ("Work mode", mode), ("Discipline", field("discipline")), ("Category", field("job_category")), ("Company size", field("company_size")), ("Company industry", field("company_industry")), ("Language", field("language")), ("Application method", field("application_type")), ("Active until", field("active_until")), ("Keywords", F.array_join(keywords, ", ")), ("Matching facts", F.array_join(facts, ", "))]
-    key = F.coalesce(first_field("job_id", "jobId", "id", "global_id", "globalId", "slug"), text.none_if_blank(F.regexp_extract(field("url"), r"(\d+(?:\.[0-9a-f]+)?)$", 1)))
+    many = lambda path: values(path, PREFERRED, html=True)
     link = lambda *p: urls.absolute(first_field(*p), XING)
-    return df.select(*_keep(df), *_row("xing", job_id=key, title=field("title"), company=field("company"), company_url=link("company_public_profile"), location=place, job_type=first_field("job_type", "employment_type"), description=with_lines(F.coalesce(field("description_text"), html), "Xing", lines), posted=first_field("date_posted", "activated_at"), salary=field("salary"), work_mode=mode, skills=keywords, tags=facts, job_url=link("url"), apply_url=link("apply_url")))
-
-
-def plain(df: DataFrame, source: str = "linkedin") -> DataFrame:
+    df = df.withColumns({
+        "_all_facts": many("matching_facts"), "_facts": unique(many("matching_facts"), 12), "_keywords": unique(many("keywords"), 20),
+        "_html": text.normalize_space(text.html_unescape(untagged(field("description_html")))),  # a column of its own, since lambdas can't hold Python
+        "_place": listed(unique(F.array_compact(F.array(field("location"), field("location_region"), field("location_country"))))),
+    })
+    html = F.col("_html")
+    said = F.concat_ws(" ", field("remote"), field("title"), field("location"), field("description_text"), html, F.array_join("_all_facts", " "), F.array_join(many("non_matching_facts"), " "))
+    df = df.withColumn("_mode", F.coalesce(work_mode(said, F.lit(None).cast("string")), field("remote")))
+    flags = {"Paid listing": ("paid", "paid"), "Top job": ("top_job", "top_job"), "Redirects to third party": ("redirects_to_third_party", "redirects_to_third_party")}
+    raised = F.array_join(F.array_compact(F.array(*(F.when(flag(p), F.lit(name)) for name, (p, _) in flags.items()))), ", ")
+    plain_fields = {"Discipline": "discipline", "Category": "job_category", "Company size": "company_size", "Company industry": "company_industry", "Language": "language", "Application method": "application_type", "Active until": "active_until"}
+    lines = [("Salary", field("salary")), ("Work mode", F.col("_mode")), *((name, field(p)) for name, p in plain_fields.items()), ("Keywords", F.array_join("_keywords", ", ")), ("Matching facts", F.array_join("_facts", ", ")), ("Listing flags", raised), ("Detail error", field("detail_error"))]
+    metadata = json_object(
+        {"salary": field("salary"), "work_mode": F.col("_mode"), "discipline": field("discipline"), "job_category": field("job_category"), "keywords": some(F.col("_keywords")), "matching_facts": some(F.col("_facts"))}
+        | {k: field(k) for k in ("company_size", "company_industry", "language", "application_type", "active_until", "company_public_profile")}
+        | {k: flag(p) for p, k in flags.values()} | {"detail_error": field("detail_error")}
+    )
+    company = json_object({k: raw_field(p) for k, p in {"name": "company", "id": "company_id", "logoUrl": "company_logo", "size": "company_size", "industry": "company_industry", "city": "company_city", "country": "company_country", "url": "company_public_profile"}.items()})
+    key = F.coalesce(first_field("job_id", "jobId", "id", "global_id", "globalId", "slug"), text.none_if_blank(F.regexp_extract(urls.path(field("url")), urls.PROVIDER_IDS["xing.com"][1], 1)))
+    return df.select(*_keep(df), *_row(
+        "xing", job_id=key, title=field("title"), company=field("company"), company_url=link("company_public_profile"), location=F.col("_place"), job_type=first_field("job_type", "employment_type"),
+        description=with_lines(F.coalesce(field("description_text"), html), "Xing", lines), posted=first_field("date_posted", "activated_at"), salary=field("salary"), work_mode=F.col("_mode"), skills=F.col("_keywords"), tags=F.col("_facts"),
+        job_url=link("url"), apply_url=link("apply_url"), company_details=company, metadata=metadata,
+    ))
+
+
+def joined(path: str) -> Column:
+    """A scalar, or the parts of a list."""
+    items = F.filter(F.transform(F.try_variant_get(F.col("raw"), "$." + path, "array<variant>"), lambda v: F.try_variant_get(v, "$", TEXT)), lambda x: F.trim(x) != "")
+    return F.coalesce(text.meaningful(field(path)), listed(items))
+
+
+def described(key: str) -> Column:
+    """A description as it stands, lines and all: a text, the first of an object's fields that holds one, or a list's texts by lines."""
+    v = variant(key)
+    trimmed = lambda c: text.meaningful(text.strip(c))
+    within = F.coalesce(*(trimmed(_scalar(F.try_variant_get(v, f"$.{k}", "variant"))) for k in [*fixed.DESCRIPTION_KEYS, *fixed.DESCRIPTION_FIELDS]))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(trimmed(_scalar(x)), trimmed(_scalar(F.try_variant_get(x, "$.text", "variant")))))
+    return F.coalesce(trimmed(_scalar(v)), F.when(_kind(v).startswith("OBJECT"), within), text.none_if_blank(F.array_join(F.array_compact(items), "\n")))
+
+
+def longest_description() -> Column:
+    """The longest of the fields that hold whole descriptions (the first of equals), else the first of any that describes."""
+    texts = [*(text.meaningful(text.strip(F.when(_kind(variant(k)) == "STRING", _scalar(variant(k))))) for k in fixed.LONG_DESCRIPTION_KEYS), first_meaningful(fixed.DESCRIPTION_KEYS)]
+    ranked = F.transform(F.array_compact(F.array(*texts)), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    return F.coalesce(F.array_min(ranked)["x"], *map(described, fixed.DESCRIPTION_KEYS))
+
+
+def first_parseable(paths: list[str]) -> Column:
+    """The first field that is a time, else the first that says anything."""
+    said = F.array_compact(F.array(*(text.meaningful(field(p)) for p in paths)))
+    return text.let(said, lambda s: F.coalesce(F.get(F.filter(s, lambda x: dates.parse_datetime(x).isNotNull()), 0), F.get(s, 0)))
+
+
+def listing_url(source: str, country: str = "de") -> Column:
+    """The item's own link, else one made of what it says of itself."""
+    base = "https://" + fixed.INDEED_HOSTS.get(country.lower(), f"{country.lower()}.indeed.com")
+    direct = first_meaningful(fixed.JOB_URL_KEYS if source == "linkedin" else fixed.PROVIDER_URL_KEYS)
+    view, job_id = field("viewJobLink"), first_field(*fixed.LINK_ID_KEYS)
+    made = {"indeed": F.concat(F.lit(f"{base}/viewjob?jk="), job_id), "linkedin": F.concat(F.lit("https://www.linkedin.com/jobs/view/"), job_id, F.lit("/")), "xing": F.concat(F.lit(f"{XING}/jobs/"), F.when(job_id.isNotNull(), F.coalesce(field("slug"), job_id)))}
+    return F.coalesce(direct, F.when(F.startswith(view, F.lit("http")), view).otherwise(F.concat(F.lit(base), view)), made.get(source, F.lit(None).cast("string")))
+
+
+def plain(df: DataFrame, source: str = "linkedin", country: str = "de") -> DataFrame:
     """Items that keep the common aliases as they come."""
-    keys = fixed.JOB_URL_KEYS if source == "linkedin" else fixed.PROVIDER_URL_KEYS
     m = first_meaningful
-    return df.select(*_keep(df), *_row(source, job_id=m(fixed.JOB_ID_KEYS), title=m(fixed.TITLE_KEYS), company=m(fixed.COMPANY_KEYS), company_url=m(fixed.COMPANY_URL_KEYS), location=m(fixed.LOCATION_KEYS), job_type=m(fixed.JOB_TYPE_KEYS), description=m(fixed.DESCRIPTION_KEYS), posted=m(fixed.POSTED_KEYS), salary=m(fixed.SALARY_KEYS), job_url=m(keys), apply_url=m(fixed.APPLY_URL_KEYS)))
+    parts = listed(F.array_compact(F.array(*map(field, fixed.LOCATION_PARTS))))
+    df = df.withColumn("_url", listing_url(source, country))
+    row = _row(
+        source, job_id=F.coalesce(m(fixed.JOB_ID_KEYS), urls.job_id_from_key(urls.canonical_url(F.col("_url")))), title=m(fixed.TITLE_KEYS), company=m(fixed.COMPANY_KEYS), company_url=m(fixed.COMPANY_URL_KEYS),
+        location=F.coalesce(m(fixed.LOCATION_KEYS), m(fixed.LOCATION_FIELDS), parts), job_type=F.coalesce(*map(joined, fixed.JOB_TYPE_KEYS)), description=longest_description(), posted=first_parseable(fixed.POSTED_KEYS),
+        salary=m(fixed.SALARY_KEYS), job_url=F.col("_url"), apply_url=m(fixed.APPLY_URL_KEYS), company_details=F.when(_kind(variant("companyDetails")).startswith("OBJECT"), F.get_json_object("json", "$.companyDetails")),
+    )
+    return df.select(*_keep(df), *row)
 
 
 def _keep(df: DataFrame) -> list[str]:
