@@ -94,3 +94,15 @@ FONT_BLOCK = r"""\usepackage{fontspec}
 ]"""
 MAX_LOG, MAX_STEM, MAX_FILE_NAME = 4000, 156, 120
 MAX_PAGES, SHORTENINGS = 2, 2
+TERMINAL_STATES = ["SUCCEEDED", "FAILED", "ABORTED", "TIMED-OUT"]
+RETRYABLE_STATUSES = [408, 429, 500, 502, 503, 504]
+CREDIT_TERMS = [
+    "not enough credit", "no credit", "no credits", "out of credit", "out of credits", "credits exhausted", "credit balance", "not enough funds", "insufficient credit",
+    "insufficient funds", "insufficient balance", "account balance", "payment required", "billing", "prepaid", "usage limit", "out of funds", "add a payment method",
+]
+SOURCES_THAT_MAY_FAIL = ["stepstone", "xing"]
+#: Of a spreadsheet service: ranges in one read, requests in one write.
+RANGES_AT_ONCE, REQUESTS_AT_ONCE = 50, 500
+SEEN_SHEET, SEEN_HEADER = "_seen_keys", "Job Key"
+HISTORY_HEADERS = ["App", "Job Title", "Company", "Location", "Job Type", "Posted", "Apply URL"]
+POSTED_HEADERS = ["Posted", "Posted Date", "Date Posted"]

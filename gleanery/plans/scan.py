@@ -6,13 +6,15 @@ import json
 import math
 from datetime import datetime
 from typing import NamedTuple
-from urllib.parse import urlencode
+from urllib.parse import quote, urlencode
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import source_key
+from ..session import exists
 
 WINDOWS = {"since_previous_run": None, "last_24h": 86_400, "last_7d": 604_800, "backfill": 0}
 WINDOW_ALIASES = {"": "since_previous_run", "previous": "since_previous_run", "24h": "last_24h", "day": "last_24h", "7d": "last_7d", "week": "last_7d", "all": "backfill"}
@@ -46,21 +48,56 @@ def day_bucket(seconds: int | None, days: tuple[int, ...]) -> int | None:
     return next((d for d in days if needed and needed <= d), None)
 
 
-def payload(source: str, keyword: str, place: str = "", seconds: int | None = None, max_items: int = 500, **more: str) -> dict:
+def _said(known: dict) -> dict:
+    return {k: v for k, v in known.items() if v not in (None, "", [])}
+
+
+def linkedin_payload(urls: list[str], max_items: int = 500, company: bool = False, incognito: bool = True, country: str = "") -> dict:
+    """One scan of one or several searches, whose rows attributed() tells apart. It is split by place if a country is given."""
+    split = {"splitByLocation": True, "splitCountry": country} if country else {"splitByLocation": False}
+    return {"urls": list(urls), "count": max_items * len(urls), "scrapeCompany": company, "useIncognitoMode": incognito, **split}
+
+
+def indeed_payload(keyword: str, place: str = "", seconds: int | None = None, max_items: int = 500, country: str = "de") -> dict:
+    days = day_bucket(seconds, (1, 3, 7, 14))
+    known = {"country": country.lower(), "title": keyword, "location": place, "limit": max(1, min(1000, max_items))}
+    return known | ({"datePosted": str(days)} if days else {})
+
+
+def stepstone_payload(keyword: str = "", place: str = "", seconds: int | None = None, max_items: int = 500, category: str = "", urls: list[str] = (), concurrency: tuple[int, int] = (1, 10), retries: int = 3, proxy: bool = True, proxy_groups: list[str] = ()) -> dict:
+    """Of addresses, or else of a keyword with a place, or else of a category. concurrency: least and most."""
+    days = day_bucket(seconds, (1, 3, 7))
+    through = {"useApifyProxy": proxy} | ({"apifyProxyGroups": list(proxy_groups)} if proxy_groups else {})
+    base = {"maxItems": max_items, "maxConcurrency": concurrency[1], "minConcurrency": min(concurrency), "maxRequestRetries": retries, "proxy": through}
+    if urls:
+        return base | {"startUrls": [{"url": u} for u in urls]}
+    asked = {"keyword": slug(keyword), "location": slug(place)} if keyword else {"category": slug(category)}
+    return base | _said(asked | {"postedWithin": str(days) if days else None})
+
+
+def xing_payload(keyword: str = "", place: str = "", max_items: int = 500, max_pages: int = 10, discipline: str = "", remote: str = "", url: str = "", proxy: bool = True, proxy_groups: list[str] = ()) -> dict:
+    through = {"useApifyProxy": proxy} | ({"apifyProxyGroups": list(proxy_groups)} if proxy_groups else {})
+    base = {"results_wanted": max_items, "max_pages": max_pages, "proxyConfiguration": through}
+    return base | ({"startUrl": url} if url else _said({"keyword": keyword, "location": place, "discipline": discipline, "remote": remote}))
+
+
+def slug(said: str) -> str:
+    """A segment of a path: lower case, hyphens for white space, the rest percent-encoded."""
+    return quote("-".join(said.strip().lower().split()), safe="-_")
+
+
+def payload(source: str, keyword: str, place: str = "", seconds: int | None = None, max_items: int = 500, **more) -> dict:
     """What a provider's search is asked for; the time window is rounded up to what the provider knows."""
     if source == "linkedin":
-        known = {"keywords": keyword, "location": place, "f_TPR": f"r{seconds}" if seconds else None, "count": max_items}
-    elif source == "indeed":
-        days = day_bucket(seconds, (1, 3, 7, 14))
-        known = {"title": keyword, "location": place, "limit": max(1, min(1000, max_items)), "datePosted": str(days) if days else None}
-    elif source == "stepstone":
-        days = day_bucket(seconds, (1, 3, 7))
-        known = {"keyword": keyword, "location": place, "postedWithin": str(days) if days else "all", "maxItems": max_items}
-    elif source == "xing":
-        known = {"keyword": keyword, "location": place, "maxItems": max_items}
-    else:
-        raise ValueError(f"unknown source: {source}")
-    return {k: v for k, v in (known | more).items() if v not in (None, "")}
+        own = {k: more.pop(k) for k in ("geo_id", "levels", "kinds") if k in more}
+        return linkedin_payload([search_url(keyword, place, seconds, **own)], max_items, **more)
+    if source == "indeed":
+        return indeed_payload(keyword, place, seconds, max_items, **more)
+    if source == "stepstone":
+        return stepstone_payload(keyword, place, seconds, max_items, **more)
+    if source == "xing":
+        return xing_payload(keyword, place, max_items, **more)
+    raise ValueError(f"unknown source: {source}")
 
 
 def search_url(keyword: str, place: str = "", seconds: int | None = None, geo_id: str = "", levels: list[str] = (), kinds: list[str] = ()) -> str:
@@ -69,18 +106,12 @@ def search_url(keyword: str, place: str = "", seconds: int | None = None, geo_id
     return "https://www.linkedin.com/jobs/search/?" + urlencode(asked | ({"f_TPR": f"r{seconds}"} if seconds else {}))
 
 
-def batch_payload(urls: list[str], max_items: int = 500, country: str = "", **more: bool) -> dict:
-    """One scan of several LinkedIn searches, whose rows attributed() tells apart. It is split by place if a country is given."""
-    split = {"splitByLocation": True, "splitCountry": country} if country else {"splitByLocation": False}
-    return {"urls": list(urls), "count": max_items * len(urls), **split, **more}
-
-
-def direct_payload(source: str, urls: list[str], max_items: int = 500) -> dict:
+def direct_payload(source: str, urls: list[str], max_items: int = 500, seconds: int | None = None, **more) -> dict:
     """One scan of addresses that are configured, in place of keywords."""
-    if source == "stepstone":
-        return {"startUrls": list(urls), "maxItems": max_items}
+    if source == "stepstone" and urls:
+        return stepstone_payload(urls=urls, seconds=seconds, max_items=max_items, **more)
     if source == "xing" and len(urls) == 1:
-        return {"startUrl": urls[0], "maxItems": max_items}
+        return xing_payload(url=urls[0], max_items=max_items, **more)
     raise ValueError(f"{source} takes no {len(urls)} direct addresses")
 
 
@@ -137,3 +168,32 @@ def filter_config(spark: SparkSession, path: str) -> dict:
     if not isinstance(found, dict):
         raise ValueError(f"no JSON object: {path}")
     return found
+
+
+def read_env(lines: list[str]) -> dict[str, str]:
+    """KEY=value lines of a settings file; comments and other lines are left out, quotes around a value too."""
+    found = {}
+    for line in map(str.strip, lines):
+        line = line.removeprefix("export ").strip()
+        if line and not line.startswith("#") and "=" in line:
+            key, value = line.split("=", 1)
+            found[key.strip()] = value.strip().strip("\"'")
+    return found
+
+
+def local_env(spark: SparkSession, path: str) -> dict[str, str]:
+    """The settings of a file that needn't be there."""
+    return read_env([r.value for r in spark.read.text(path).collect()]) if exists(spark, path) else {}
+
+
+def time_zone(name: str, setting: str = "the time zone") -> ZoneInfo:
+    try:
+        return ZoneInfo(name)
+    except (ZoneInfoNotFoundError, ValueError) as e:
+        raise ValueError(f"{setting}: no time zone {name!r}") from e
+
+
+def pipeline_zone(env: dict[str, str], names: list[str], default: str = "Europe/Berlin") -> ZoneInfo:
+    """The zone that says which runs are of today: the first of some settings that is given."""
+    said = [env[n] for n in names if env.get(n)]
+    return time_zone(said[0] if said else default, names[0])

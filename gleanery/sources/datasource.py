@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import remote
+
 Fetch = Callable[[str, str, dict, int], list[dict]]
 _FETCHERS: dict[str, Fetch] = {}
 
@@ -29,45 +30,46 @@ def _fetcher(name: str) -> Fetch:
     return getattr(importlib.import_module(module), function)
 
 
-def retry_delay(attempt: int, base: float = 30, most: float = 300) -> float:
-    return min(most, base * 2**attempt)
-
-
-class Search(InputPartition):
-    def __init__(self, idx: int, source: str, keyword: str, payload: dict, max_items: int):
-        super().__init__(idx)
-        self.idx, self.source, self.keyword, self.payload, self.max_items = idx, source, keyword, payload, max_items
+class Searches(InputPartition):
+    def __init__(self, numbers: list[int], searches: list[dict]):
+        super().__init__(numbers[0])
+        self.numbers, self.searches = numbers, searches
 
 
 class SearchReader(DataSourceReader):
+    """A partition is a search, or the searches of one scan. What a source that may fail can't give is left out, and told in `outcome`."""
+
     def __init__(self, options: dict):
         self.searches = json.loads(options["searches"])
         self.fetch = options["fetcher"]
         self.retries = int(options.get("retries", 5))
         self.base = float(options.get("retrybase", 30))
-        self.skip = set(filter(None, options.get("skipfailed", "stepstone,xing").split(",")))
+        self.size = int(options.get("batch", 1))
+        self.report = options.get("report", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [Search(i, s["source"], s["keyword"], s.get("payload", {}), int(s.get("max_items", 500))) for i, s in enumerate(self.searches)]
+        asked = [{"payload": {}, "max_items": 500} | s for s in self.searches]
+        out, at = [], 0
+        for batch in remote.batches(asked, self.size):
+            out.append(Searches(list(range(at, at + len(batch))), batch))
+            at += len(batch)
+        return out
 
     def read(self, p: InputPartition) -> Iterator[tuple]:
         fetch = _fetcher(self.fetch)
-        for attempt in range(self.retries + 1):
-            try:
-                items = fetch(p.source, p.keyword, p.payload, p.max_items)
-                break
-            except (ConnectionError, TimeoutError):
-                if attempt == self.retries:
-                    if p.source in self.skip:
-                        return
-                    raise
-                time.sleep(retry_delay(attempt, self.base))
-        for pos, item in enumerate(items[: p.max_items]):
-            yield p.idx, p.source, p.keyword, pos, json.dumps(item)
+        keyword = ", ".join(s["keyword"] for s in p.searches)
+        rows, told = remote.run_searches(p.searches, lambda source, payload, n: fetch(source, keyword, payload, n), self.size, self.retries, self.base)
+        if self.report:
+            for t in told:
+                yield p.numbers[t.search_idx], t.source, p.searches[t.search_idx]["keyword"], t.items, json.dumps({"outcome": t.outcome, "error": t.error})
+        else:
+            for i, *rest in rows:
+                yield p.numbers[i], *rest
 
 
 class SearchSource(DataSource):
-    """spark.read.format("searches") with the options searches (JSON), fetcher, retries, retryBase, skipFailed."""
+    """spark.read.format("searches") with the options searches (JSON), fetcher, retries, retryBase, batch (LinkedIn searches a
+    scan) and report (true: a row a search, whose pos is the number of items and whose json has outcome and error)."""
 
     @classmethod
     def name(cls) -> str:

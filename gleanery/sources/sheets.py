@@ -1,0 +1,300 @@
+"""Remote spreadsheets over an injected call: runs as tabs, seen keys, evaluations written back.
+
+``call(action, **arguments)`` reaches one spreadsheet service; MemoryBook is such a call
+in memory, for trials and tests. Reads and writes go out in bounded portions. A tab holds
+what a worksheet holds, so its cells pass the driver; keys and rows become DataFrames at
+once, and everything else is a plan on them.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixed
+from ..functions import dates, text
+from ..operators import evaluate, history
+from .datasource import column_name, column_number, resolve_sheet
+
+Call = Callable[..., Any]
+
+
+def quoted(sheet: str) -> str:
+    return "'" + sheet.replace("'", "''") + "'"
+
+
+def portions(items: list, most: int) -> Iterator[list]:
+    for i in range(0, len(items), most):
+        yield items[i : i + most]
+
+
+def trimmed(headers: list) -> list[str]:
+    """Without the blank headers at the end."""
+    out = [str(h or "") for h in headers]
+    while out and not out[-1].strip():
+        out.pop()
+    return out
+
+
+class Sheet(NamedTuple):
+    sheet_id: int
+    title: str
+    hidden: bool
+
+
+class Book:
+    """One spreadsheet."""
+
+    def __init__(self, call: Call):
+        self.call = call
+
+    def sheets(self) -> list[Sheet]:
+        return [Sheet(*s) for s in self.call("sheets")]
+
+    def visible(self) -> list[str]:
+        return [s.title for s in self.sheets() if s.title.strip() and not s.hidden]
+
+    def values(self, ranges: list[str], formulas: bool = False) -> list[list[list]]:
+        """The rows of each range, in order."""
+        return [rows for some in portions(ranges, fixed.RANGES_AT_ONCE) for rows in self.call("values", ranges=some, formulas=formulas)]
+
+    def write(self, cells: list[tuple[str, list[list]]]) -> None:
+        for some in portions(cells, fixed.REQUESTS_AT_ONCE):
+            self.call("write", cells=some)
+
+    def append(self, sheet: str, rows: list[list]) -> None:
+        self.call("append", sheet=sheet, rows=rows)
+
+    def request(self, requests: list[dict]) -> None:
+        for some in portions(requests, fixed.REQUESTS_AT_ONCE):
+            self.call("request", requests=some)
+
+    def add(self, name: str, hidden: bool = False) -> Sheet:
+        """A new tab; a name that is taken gets a suffix, as export.unique_names gives it."""
+        taken, k, free = {s.title for s in self.sheets()}, 1, name
+        while free in taken:
+            k += 1
+            free = f"{name} ({k})"
+        return Sheet(self.call("add", title=free, hidden=hidden), free, hidden)
+
+
+def open_book(call: Call, run_name: str, title: str = "jobs") -> Book:
+    """The spreadsheet of a call; a new one, with the run's tab, where there is none yet."""
+    if not call("exists"):
+        call("create", title=title, sheet=run_name)
+    return Book(call)
+
+
+def read_input(spark: SparkSession, book: Book, asked: str = "") -> tuple[str, list[str], DataFrame]:
+    """A tab's name, its headers and its rows: row_number (data from 2) and cells."""
+    name = resolve_sheet([s.title for s in book.sheets()], asked)
+    rows = book.values([quoted(name)])[0]
+    headers = trimmed(rows[0]) if rows else []
+    if not headers:
+        raise ValueError(f"no headers: {name}")
+    cells = [(i, [str(c or "") for c in (r + [""] * len(headers))[: len(headers)]]) for i, r in enumerate(rows[1:], 2)]
+    return name, headers, spark.createDataFrame(cells, "row_number int, cells array<string>")
+
+
+def seen_keys(spark: SparkSession, book: Book) -> DataFrame:
+    """The keys of the index tab, those of older form with what they also stand for: a column key."""
+    rows = book.values([f"{quoted(fixed.SEEN_SHEET)}!A2:A"])[0]
+    said = spark.createDataFrame([(str(r[0]).strip(),) for r in rows if r and str(r[0] or "").strip()], "key string")
+    return said.select(F.explode(history.expand_legacy(F.col("key"))).alias("key")).distinct()
+
+
+def append_seen(spark: SparkSession, book: Book, keys: DataFrame) -> int:
+    """Appends the keys that the index lacks, and makes the index where it is missing. The number appended; a tab bounds it."""
+    if fixed.SEEN_SHEET not in {s.title for s in book.sheets()}:
+        book.add(fixed.SEEN_SHEET, hidden=True)
+        book.write([(f"{quoted(fixed.SEEN_SHEET)}!A1", [[fixed.SEEN_HEADER]])])
+    new = sorted(r.key for r in history.new_keys(keys, seen_keys(spark, book)).collect())
+    if new:
+        book.append(fixed.SEEN_SHEET, [[k] for k in new])
+    return len(new)
+
+
+def old_rows(spark: SparkSession, book: Book, names: list[str]) -> DataFrame:
+    """The columns of HISTORY_HEADERS of all tabs that have those of a profile, as formulas; sheet, row_number and one column each."""
+    plain = lambda h: " ".join(str(h or "").split()).lower()
+    heads = book.values([f"{quoted(n)}!1:1" for n in names])
+    wanted = []
+    for name, rows in zip(names, heads, strict=True):
+        have = {plain(h): i for i, h in enumerate(rows[0] if rows else [])}
+        at = {h: have[plain(h)] for h in fixed.HISTORY_HEADERS if plain(h) in have}
+        if {"App", "Job Title", "Company", "Location"} <= at.keys():
+            wanted += [(name, h, f"{quoted(name)}!{column_name(i + 1)}2:{column_name(i + 1)}") for h, i in at.items()]
+    cells = []
+    for (name, header, _), rows in zip(wanted, book.values([w[2] for w in wanted], formulas=True), strict=True):
+        cells += [(name, i, header, str(r[0])) for i, r in enumerate(rows, 2) if r and r[0] not in (None, "")]
+    table = spark.createDataFrame(cells, "sheet string, row_number int, header string, value string")
+    return table.groupBy("sheet", "row_number").pivot("header", fixed.HISTORY_HEADERS).agg(F.first("value"))
+
+
+def old_keys(spark: SparkSession, book: Book, names: list[str]) -> DataFrame:
+    """The identity keys of all rows of earlier runs' tabs: a column key."""
+    rows = old_rows(spark, book, names)
+    names_ = {"App": "source_label", "Job Title": "title", "Company": "company", "Location": "location", "Job Type": "job_type", "Posted": "posted"}
+    listing = rows.select(*(F.col(f"`{h}`").alias(c) for h, c in names_.items()), text.hyperlink_url(F.col("`Apply URL`")).alias("apply_url"))
+    return history.with_keys(listing).select(F.explode("keys").alias("key")).distinct()
+
+
+def latest_posted(spark: SparkSession, book: Book, names: list[str], now: Column, zone: str = "UTC") -> Any:
+    """The newest posted time of all tabs that isn't after now; None without one."""
+    plain = lambda h: " ".join(str(h or "").split()).lower()
+    ranges = []
+    for name, rows in zip(names, book.values([f"{quoted(n)}!1:1" for n in names]), strict=True):
+        have = {plain(h): i for i, h in enumerate(rows[0] if rows else [])}
+        at = next((have[plain(h)] for h in fixed.POSTED_HEADERS if plain(h) in have), None)
+        if at is not None:
+            ranges.append(f"{quoted(name)}!{column_name(at + 1)}2:{column_name(at + 1)}")
+    said = [(str(r[0]),) for rows in book.values(ranges) for r in rows if r and r[0] not in (None, "")]
+    table = spark.createDataFrame(said, "posted string").withColumn("ts", dates.parse_datetime(F.col("posted"), zone))
+    return history.high_water_mark(table, "ts", now).first()[0]
+
+
+class Context(NamedTuple):
+    names: list[str]
+    previous_run: Any
+    keys: DataFrame
+
+
+def context(spark: SparkSession, book: Book, now: Column, zone: str = "UTC", seed: bool = True) -> Context:
+    """What a run has to know of those before it: the tabs, where the last one ended (its newest posted time, else the time in
+    its name), and all seen keys, from the index or, once, from the old tabs, which then seed the index."""
+    names = [s.title for s in book.sheets() if s.title != fixed.SEEN_SHEET]
+    last = latest_posted(spark, book, names, now, zone)
+    if last is None:
+        last = history.previous_run(spark.createDataFrame([(n,) for n in names], "name string"), now).first()[0]
+    if fixed.SEEN_SHEET in {s.title for s in book.sheets()}:
+        return Context(names, last, seen_keys(spark, book))
+    keys = old_keys(spark, book, names)
+    if seed:
+        append_seen(spark, book, keys)
+    return Context(names, last, keys)
+
+
+def write_run(spark: SparkSession, book: Book, rows: DataFrame, keys: DataFrame, run_name: str, statuses: list[str] = ()) -> str:
+    """Writes exported rows (fixed.EXPORT_COLUMNS, in order) to a new tab, shapes it, then appends the keys. The tab's name."""
+    sheet = book.add(run_name)
+    cells = [list(fixed.EXPORT_COLUMNS), *(list(r) for r in rows.select(*(f"`{c}`" for c in fixed.EXPORT_COLUMNS)).collect())]  # what a tab holds
+    book.write([(f"{quoted(sheet.title)}!A1", cells)])
+    book.request(shape(sheet.sheet_id, len(cells), statuses))
+    append_seen(spark, book, keys)
+    return sheet.title
+
+
+def shape(sheet_id: int, n_rows: int, statuses: list[str] = ()) -> list[dict]:
+    """Requests for a run's tab: a frozen bold first row, a filter, fitted columns, a choice of statuses, times as times."""
+    wide, down = len(fixed.EXPORT_COLUMNS), max(n_rows, 1000)
+    column = lambda name: {"sheet": sheet_id, "first_row": 1, "end_row": down, "first_column": (i := fixed.EXPORT_COLUMNS.index(name)), "end_column": i + 1}
+    out: list[dict] = [
+        {"kind": "freeze", "sheet": sheet_id, "rows": 1}, {"kind": "header", "sheet": sheet_id, "bold": True, "align": "CENTER"},
+        {"kind": "filter", "sheet": sheet_id, "end_row": max(n_rows, 1), "end_column": wide}, {"kind": "fit", "sheet": sheet_id, "end_column": wide},
+        {"kind": "format", "range": column("Posted"), "pattern": "yyyy-mm-dd hh:mm"},
+    ]
+    return out + ([{"kind": "choice", "range": column("Application Status"), "values": list(statuses)}] if statuses else [])
+
+
+def delete(sheet_id: int, kind: str, places: list[int]) -> list[dict]:
+    """Requests that delete rows or columns, the last first, so that places stay right. places count from 0."""
+    return [{"kind": f"delete_{kind}", "sheet": sheet_id, "first": p, "end": p + 1} for p in sorted(set(places), reverse=True)]
+
+
+def write_evaluations(spark: SparkSession, book: Book, sheet: str, headers: list[str], evaluations: DataFrame, with_cv: bool = False, tidy: bool = True, drop_rejected: bool = True) -> None:
+    """Writes evaluations (row_number and columns of fixed.AI_COLUMNS) into a tab, then deletes rejected rows and columns that are done with."""
+    have = evaluate.header_places(headers)
+    name = lambda c: " ".join(re.findall("[a-z0-9]+", c.lower()))
+    headers = headers + [c for c in fixed.AI_COLUMNS if name(c) not in have]
+    have = evaluate.header_places(headers)
+    columns = [c for c in fixed.AI_COLUMNS if c in evaluations.columns]
+    at = {c: column_name(have[name(c)] + 1) for c in fixed.AI_COLUMNS}
+    cells = [(f"{quoted(sheet)}!{at[c]}1", [[headers[have[name(c)]]]]) for c in fixed.AI_COLUMNS]
+    for r in evaluations.select("row_number", *(F.col(f"`{c}`").cast("string") for c in columns)).toLocalIterator():
+        cells += [(f"{quoted(sheet)}!{at[c]}{r.row_number}", [[r[c] or ""]]) for c in columns]
+    book.write(cells)
+    if not tidy:
+        return
+    sheet_id = next(s.sheet_id for s in book.sheets() if s.title == sheet)
+    if drop_rejected:
+        _, now, rows = read_input(spark, book, sheet)
+        places = evaluate.header_places(now)
+        cell = lambda c: F.get(F.col("cells"), places[name(c)])
+        gone = rows.where(evaluate.is_rejected(cell("AI Verdict"), cell("AI Unsuitable Reasons"))).select("row_number").collect()
+        book.request(delete(sheet_id, "rows", [r.row_number - 1 for r in gone]))
+    gone_columns = evaluate.dropped_columns(headers, with_cv)
+    book.request(delete(sheet_id, "columns", [headers.index(c) for c in gone_columns]))
+
+
+class MemoryBook:
+    """A spreadsheet service in memory. Cells are texts; a formula stays as it is."""
+
+    def __init__(self, sheets: dict[str, list[list]] | None = None):
+        self.made = sheets is not None
+        self.tabs = {i: [t, False, [list(r) for r in rows]] for i, (t, rows) in enumerate((sheets or {}).items(), 1)}
+        self.requests: list[dict] = []
+
+    def __call__(self, action: str, **a: Any) -> Any:
+        return getattr(self, f"_{action}")(**a)
+
+    def rows(self, title: str) -> list[list]:
+        return next(t[2] for t in self.tabs.values() if t[0] == title)
+
+    def _exists(self) -> bool:
+        return self.made
+
+    def _create(self, title: str, sheet: str) -> None:
+        self.made = True
+        self._add(sheet, False)
+
+    def _sheets(self) -> list[tuple]:
+        return [(i, t, hidden) for i, (t, hidden, _) in self.tabs.items()]
+
+    def _add(self, title: str, hidden: bool) -> int:
+        number = max(self.tabs, default=0) + 1
+        self.tabs[number] = [title, hidden, []]
+        return number
+
+    def _range(self, said: str) -> tuple[str, int, int, int | None, int | None]:
+        """Title, first row, first column, end row and end column, from 0."""
+        sheet, _, cells = said.partition("!") if not said.startswith("'") else re.match(r"('(?:[^']|'')*')(!?)(.*)", said).groups()
+        title = sheet.strip("'").replace("''", "'")
+        if not cells:
+            return title, 0, 0, None, None
+        begin, _, end = cells.partition(":")
+        end = end or begin
+        digits = lambda x: int(re.sub(r"\D", "", x) or 0)
+        letters = lambda x: re.sub(r"\d", "", x)
+        return title, max(0, digits(begin) - 1), column_number(letters(begin)) if letters(begin) else 0, digits(end) or None, column_number(letters(end)) + 1 if letters(end) else None
+
+    def _values(self, ranges: list[str], formulas: bool) -> list[list[list]]:
+        out = []
+        for said in ranges:
+            title, r, c, r_end, c_end = self._range(said)
+            out.append([row[c:c_end] for row in self.rows(title)[r:r_end]])
+        return out
+
+    def _write(self, cells: list[tuple[str, list[list]]]) -> None:
+        for said, rows in cells:
+            title, r, c, _, _ = self._range(said)
+            table = self.rows(title)
+            for i, row in enumerate(rows, r):
+                table += [[] for _ in range(i + 1 - len(table))]
+                table[i] += [""] * (c + len(row) - len(table[i]))
+                table[i][c : c + len(row)] = row
+
+    def _append(self, sheet: str, rows: list[list]) -> None:
+        self.rows(sheet).extend(list(r) for r in rows)
+
+    def _request(self, requests: list[dict]) -> None:
+        self.requests += requests
+        for q in requests:
+            if q["kind"] == "delete_rows":
+                del self.tabs[q["sheet"]][2][q["first"] : q["end"]]
+            elif q["kind"] == "delete_columns":
+                for row in self.tabs[q["sheet"]][2]:
+                    del row[q["first"] : q["end"]]

@@ -244,14 +244,20 @@ def test_scan_plan(spark):
     assert scan.providers("xing jobs, linked in") == ["linkedin", "xing"] and scan.providers("?") == ["linkedin"] and len(scan.providers("all")) == 4
     now, before = datetime(2026, 5, 7, 9, 30), datetime(2026, 5, 6, 8, 30)
     assert scan.pushed_window("since_previous_run", now, before) == (25 * 3600 + 3600, True)
-    assert scan.payload("indeed", "k", seconds=90_000, max_items=1500) == {"title": "k", "limit": 1000, "datePosted": "3"}
+    assert scan.payload("indeed", "k", seconds=90_000, max_items=1500) == {"country": "de", "title": "k", "location": "", "limit": 1000, "datePosted": "3"}
     assert "datePosted" not in scan.payload("indeed", "k", seconds=2_592_000)
     assert scan.search_url("a b", "Köln", 3600, "7", ["2", "3"], ["F"]) == "https://www.linkedin.com/jobs/search/?keywords=a+b&location=K%C3%B6ln&geoId=7&f_E=2%2C3&f_JT=F&position=1&pageNum=0&f_TPR=r3600"
     assert "f_TPR" not in scan.search_url("a")
-    assert scan.batch_payload(["u", "v"], 50) == {"urls": ["u", "v"], "count": 100, "splitByLocation": False}
-    assert scan.batch_payload(["u"], 50, "DE")["splitCountry"] == "DE"
-    assert scan.direct_payload("stepstone", ["u", "v"], 9) == {"startUrls": ["u", "v"], "maxItems": 9}
-    assert scan.direct_payload("xing", ["u"], 9) == {"startUrl": "u", "maxItems": 9}
+    assert scan.linkedin_payload(["u", "v"], 50) == {"urls": ["u", "v"], "count": 100, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": False}
+    assert scan.linkedin_payload(["u"], 50, country="DE") == {"urls": ["u"], "count": 50, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": True, "splitCountry": "DE"}
+    assert scan.payload("linkedin", "a b", "Köln", 3600, 9, geo_id="7")["urls"] == [scan.search_url("a b", "Köln", 3600, "7")]
+    base = {"maxItems": 9, "maxConcurrency": 10, "minConcurrency": 1, "maxRequestRetries": 3, "proxy": {"useApifyProxy": True}}
+    assert scan.direct_payload("stepstone", ["u", "v"], 9, 60) == base | {"startUrls": [{"url": "u"}, {"url": "v"}]}
+    assert scan.payload("stepstone", "GIS Analyst", "Köln ", 90_000, 9) == base | {"keyword": "gis-analyst", "location": "k%C3%B6ln", "postedWithin": "3"}
+    assert scan.payload("stepstone", "k", seconds=None, max_items=9, proxy_groups=["G"]) == base | {"keyword": "k", "proxy": {"useApifyProxy": True, "apifyProxyGroups": ["G"]}}
+    assert scan.stepstone_payload(category="IT", max_items=9, concurrency=(20, 10)) == base | {"category": "it", "minConcurrency": 10}
+    assert scan.direct_payload("xing", ["u"], 9) == {"startUrl": "u", "results_wanted": 9, "max_pages": 10, "proxyConfiguration": {"useApifyProxy": True}}
+    assert scan.payload("xing", "k", "Berlin", 60, 9, max_pages=2, remote="FULL", proxy=False) == {"keyword": "k", "location": "Berlin", "remote": "FULL", "results_wanted": 9, "max_pages": 2, "proxyConfiguration": {"useApifyProxy": False}}
     with pytest.raises(ValueError):
         scan.direct_payload("indeed", ["u"])
     rows = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["c"])], "id int, candidate_urls array<string>")
@@ -327,12 +333,13 @@ def test_data_sources(spark, tmp_path):
     datasource.register_fetcher("fake", fake_fetch)
     reader = datasource.SearchReader({"searches": json.dumps(searches), "fetcher": "fake", "retries": "1", "retrybase": "0"})
     assert [len(list(reader.read(p))) for p in reader.partitions()] == [2, 0]
+    told = datasource.SearchReader({"searches": json.dumps(searches), "fetcher": "fake", "retries": "0", "retrybase": "0", "report": "true"})
+    assert [(r[0], r[3], json.loads(r[4])["outcome"]) for p in told.partitions() for r in told.read(p)] == [(0, 2, "done"), (1, 0, "failed")]
     path = str(tmp_path / "a.xlsx")
     datasource.write_sheet(path, "run", [["Job Title", "Company", ""], ["A & B", '=HYPERLINK("u", "x")'], ["", "C"]])
     got = spark.read.format("worksheet").option("path", path).load().collect()
     assert [(r.row_number, r.cells) for r in got] == [(2, ["A & B", '=HYPERLINK("u", "x")']), (3, ["", "C"])]
     assert datasource.column_name(28) == "AB" and datasource.column_number("AB7") == 27
-    assert [datasource.retry_delay(k) for k in (0, 1, 9)] == [30, 60, 300]
 
 
 def test_streaming(spark, tmp_path):
