@@ -1,8 +1,9 @@
 """What the operators of this subpackage share: tables, the shared folder, crc32 splits, Arrow slices.
 
 Texts reach Python in Arrow batches of at most spark.sql.execution.arrow.maxBytesPerBatch
-(64 MB unless the session says otherwise), and are worked on in slices of a few MB; no
-operator changes a setting of the session.
+and are worked on in slices of a few MB. Operators leave the session's settings alone; the
+registered queries and the pipeline, which own their sessions, lower that one by
+small_batches(), since a few MB a batch is what small executors can hold.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import clean, cut, discard, fresh_path, shared_dir, staged
 
-__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "shared_dir", "slices", "staged", "table"]
+__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "shared_dir", "slices", "small_batches", "staged", "table"]
 
 
 def give_back() -> None:
@@ -53,6 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Lowers the session's bytes per Arrow batch. For applications, not for operators."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > most_bytes:
+        spark.conf.set(key, most_bytes)
+
+
 def held_out(doc_id: Column) -> Column:
     """The documents that no model learns from: crc32(doc_id as text) mod 4 is 2. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -56,7 +56,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS, CHUNKS = 22, 64
 LONG = 32
-BLOCK, BLOCK_BYTES = 512, 2 << 20
+#: A block holds a sixteenth of its class, but LEAST_BLOCK nodes at least, and BLOCK nodes or BLOCK_BYTES of sets at most.
+LEAST_BLOCK, BLOCK, BLOCK_BYTES, SHARES = 32, 512, 2 << 20, 16
 BUCKET_BYTES = 8 << 20
 CLASS_RATIO = 1.3
 SALTS = 32
@@ -519,30 +520,38 @@ def _salted_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
 
 
-def _hot(pairs: DataFrame) -> DataFrame | None:
-    """The nodes of many pairs, a table of bounded size; None if there are none, or too many for that."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    found = [(r.node,) for r in ends.limit(MOST_HOT + 1).collect()]
-    return F.broadcast(pairs.sparkSession.createDataFrame(found, "node long")) if 0 < len(found) <= MOST_HOT else None
+def _hot(ends: DataFrame, most: int = 0) -> DataFrame | None:
+    """The values of the column node that stand in many rows, a table of bounded size; None if there are none, or too many for that."""
+    counts = ends.where("node is not null").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > (most or HOT))
+    found = [(r.node,) for r in counts.limit(MOST_HOT + 1).collect()]
+    return F.broadcast(ends.sparkSession.createDataFrame(found, "node long")) if 0 < len(found) <= MOST_HOT else None
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame | None) -> DataFrame:
+    """rows with the columns of the one row of table of each key. Rows of a hot key are dealt over SALTS tasks by the column `spread`, and the key's row is there in each."""
+    if hot is None:
+        return rows.join(table, key)
+    mark = hot.select(F.col("node").alias(key), F.lit(True).alias("hot"))
+    rows = rows.join(mark, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(table.join(mark, key, "left").withColumn("salt", F.explode(copies)).drop("hot"), [key, "salt"]).drop("salt")
 
 
 def _both_ends(pairs: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """pairs with the columns of table (node, ...) for a and for b. The pairs of a hot node are dealt over SALTS tasks, and its row is there in each."""
+    """pairs with the columns of table (node, ...) for a and for b."""
     for side, other in (("a", "b"), ("b", "a")):
         rows = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "node"))
-        if hot is None:
-            pairs = pairs.join(rows, side)
-            continue
-        mark = hot.select(F.col("node").alias(side), F.lit(True).alias("hot"))
-        pairs = pairs.join(mark, side, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-        copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        rows = rows.join(mark, side, "left").withColumn("salt", F.explode(copies)).drop("hot")
-        pairs = pairs.join(rows, [side, "salt"]).drop("salt")
+        pairs = _joined(pairs, rows, side, other, hot)
     return pairs
 
 
 def _blocks() -> Column:
-    return F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    n = F.count("*")
+    return F.greatest(F.least(F.lit(SHARES), F.ceil(n / F.lit(LEAST_BLOCK))), F.ceil(n / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int")
 
 
 def _at(k: str) -> Column:
@@ -622,7 +631,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = lambda x: groups.select(F.col("node").alias(x), F.col("g").alias(f"g_{x}"))
     pairs = met.where("not whole").select("a", "b").join(inside("a"), "a", "left").join(inside("b"), "b", "left")
     apart = common.staged(pairs.where("g_a is null or g_b is null or g_a <> g_b").select("a", "b"), "ngram-apart")  # the rest is in a group
-    hot = _hot(apart)
+    hot = _hot(_ends(apart))
     pairs = common.staged(_both_ends(apart, marks, hot).mapInArrow(_suffix_filter, "a long, b long"), "ngram-pairs")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
@@ -646,12 +655,13 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     told, found = find(docs)
     least = told.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
-    ends = found.join(least.select(F.col("node").alias("a"), F.col("id").alias("u")), "a").join(least.select(F.col("node").alias("b"), F.col("id").alias("v")), "b")
-    reached = components(ends.select("u", "v")).select(F.col("u").alias("id"), F.col("v").alias("component"))
+    ends = _both_ends(found, least, _hot(_ends(found)))
+    reached = components(ends.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).select(F.col("u").alias("id"), F.col("v").alias("component"))
     named = least.join(reached, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-    rows = told.join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    whole = told.where("node is not null and doc_id is not null")
+    rows = _joined(whole, named, "node", "doc_id", _hot(whole))  # many copies of one text share a node
+    alone = told.where("node is null or doc_id is null").withColumn("component", F.col("doc_id"))
+    return rows.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

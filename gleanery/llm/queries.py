@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language_id, ngram_join, packing, sharding, token_counts, token_files, topk, toxicity
+from . import chat, common, decontamination, language_id, ngram_join, packing, sharding, token_counts, token_files, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def configured(query: Query) -> Query:
+    """The query on a session whose Arrow batches are small."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op1_toxicity": toxicity.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_chat_formatting": chat.query,
@@ -24,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op9_token_files": token_files.query,
         "op10_language_id": language_id.query,
     }
+    return {name: configured(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
