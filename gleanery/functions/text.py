@@ -44,7 +44,7 @@ def is_meaningful(c: Column) -> Column:
 
 
 def meaningful(c: Column) -> Column:
-    return F.when(is_meaningful(c), c)
+    return let(c, lambda x: F.when(is_meaningful(x), x))
 
 
 def first_of(*columns: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -180,32 +183,55 @@ def verdict_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def answers(prompts: DataFrame, model: Callable[[str], str], per_second: float = 0.0, attempts: int = 3) -> DataFrame:
-    """row_number and response of rows (row_number, prompt). The model is a function of a prompt; it is called in
-    the tasks, at most per_second times a second over all of them, and again after an error; the last error becomes the response."""
-    tasks = max(1, prompts.rdd.getNumPartitions()) if per_second else 1
+class QuotaSpent(RuntimeError):
+    """A model raises it when no further call can succeed; the run then ends, and what has been answered is kept by its caller's checkpoints."""
+
+
+class Pace:
+    """Starts of calls at least `pause` seconds apart, for all threads of a task."""
+
+    def __init__(self, pause: float, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.pause, self.sleep, self.clock, self.next, self.lock = pause, sleep, clock, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            left = self.next - self.clock()
+            if self.pause > 0 and left > 0:
+                self.sleep(left)
+            self.next = max(self.clock(), self.next) + self.pause
+
+
+def asked(model: Callable[[str], str], prompt_: str, pace: Pace, attempts: int = 3, base: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The model's answer, or `Error: ...` after so many attempts. Between them it waits as long as the error asks for (retry_after), or twice as long each time, with some chance in it."""
+    said = ""
+    for k in range(attempts):
+        pace.wait()
+        try:
+            return model(prompt_)
+        except QuotaSpent:
+            raise
+        except Exception as e:  # a model may fail in any way; the row then says so and waits for the next run
+            said = f"Error: {e}"
+            if k + 1 < attempts:
+                told = getattr(e, "retry_after", None)
+                sleep(min(most, float(told) if told is not None else base * 2**k * random.uniform(0.5, 1.0)))
+    return said
+
+
+def answers(prompts: DataFrame, model: Callable[[str], str], per_second: float = 0.0, attempts: int = 3, at_once: int = 8, base: float = 1.0) -> DataFrame:
+    """row_number and response of rows (row_number, prompt). The model is a function of a prompt; it is called in the tasks, at_once
+    calls at a time in each, and again after an error; the last error becomes the response. With per_second there is one task, whose
+    calls start no faster than that: such a rate is far below what one task can do, so the pace is the whole run's."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pause, last = (tasks / per_second if per_second else 0.0), 0.0
-        for frame in frames:
-            given = []
-            for p in frame["prompt"]:
-                said = ""
-                for k in range(attempts):
-                    wait = last + pause - time.monotonic()
-                    if wait > 0:
-                        time.sleep(wait)
-                    last = time.monotonic()
-                    try:
-                        said = model(p)
-                        break
-                    except Exception as e:  # a model may fail in any way; the row then says so and waits for the next run
-                        said = f"Error: {e}"
-                        time.sleep(0 if k + 1 == attempts else 0.01 * 2**k)
-                given.append(said)
-            yield pd.DataFrame({"row_number": frame["row_number"], "response": given})
-
-    return prompts.select("row_number", "prompt").mapInPandas(run, "row_number long, response string")
+        pace = Pace(1 / per_second if per_second else 0.0)
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                given = list(pool.map(lambda p: asked(model, p, pace, attempts, base), frame["prompt"]))
+                yield pd.DataFrame({"row_number": frame["row_number"], "response": given})
+
+    rows = prompts.select("row_number", "prompt")
+    return (rows.coalesce(1) if per_second else rows).mapInPandas(run, "row_number long, response string")
 
 
 def evaluate(queue: DataFrame, model: Callable[[str], str], master: str, cv: str, per_second: float = 0.0, attempts: int = 3) -> DataFrame:

@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fixed
 from .functions import dates, filenames, latex, numbers, similarity, text, urls
 from .operators import evaluate, export, filters, history, merge, resolve
 from .plans import pipeline, scan
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    zoneless = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]  # the tables' times are UTC, as the session is
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
-
+from .registry import QUERIES, SQL, Query, query, t
 
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 NOW = "TIMESTAMP '2024-01-20 12:00:00'"
@@ -461,8 +439,11 @@ def q54_rejected_rows_removed(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import listing_queries  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)

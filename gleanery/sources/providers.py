@@ -20,9 +20,9 @@ PREFERRED = ["label", "name", "title", "value", "text"]
 
 
 def parsed(df: DataFrame, column: str = "json") -> DataFrame:
-    """The columns `json` and `raw` of objects; what isn't a JSON object is dropped."""
+    """The columns `json`, `raw` and `_fields` (its fields by name) of objects; what isn't a JSON object is dropped."""
     out = df.withColumns({"json": F.col(column), "raw": F.try_parse_json(column)})
-    return out.where(F.schema_of_variant("raw").startswith("OBJECT"))
+    return out.withColumn("_fields", F.try_variant_get("raw", "$", "map<string,variant>")).where(F.col("_fields").isNotNull())
 
 
 def variant(path: str, raw: str = "raw") -> Column:
@@ -42,18 +42,39 @@ def untagged(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
+def _filled(c: Column) -> Column:
+    return text.let(c, text.none_if_blank)
+
+
 def field(path: str, html: bool = False) -> Column:
     """A scalar as trimmed text, without its tags if html; NULL for booleans, objects, arrays and blanks."""
-    said = _scalar(variant(path))
-    return text.none_if_blank(text.normalize_space(untagged(said) if html else said))
+    said = text.let(variant(path), _scalar)
+    return _filled(text.normalize_space(untagged(said) if html else said))
 
 
 def first_field(*paths: str, html: bool = False) -> Column:
     return F.coalesce(*(field(p, html) for p in paths))
 
 
+def named(keys: list[str], fields: Column | None = None) -> Column:
+    """The values of those top-level fields that are there, in the order of keys. One expression, however many keys."""
+    return text.let(F.col("_fields") if fields is None else fields, lambda m: F.array_compact(F.transform(text.words(keys), lambda k: F.try_element_at(m, k))))
+
+
+def first(array: Column) -> Column:
+    return F.get(F.filter(array, lambda x: x.isNotNull()), 0)
+
+
 def first_meaningful(paths: list[str]) -> Column:
-    return F.coalesce(*(text.meaningful(field(p)) for p in paths))
+    """The first that says anything; paths of more than one step come one by one."""
+    parts: list[list[str]] = []
+    for p in paths:
+        if parts and "." not in p and "." not in parts[-1][0]:
+            parts[-1].append(p)
+        else:
+            parts.append([p])
+    clean = lambda v: text.meaningful(text.normalize_space(_scalar(v)))
+    return F.coalesce(*(text.meaningful(field(g[0])) if "." in g[0] else first(F.transform(named(g), clean)) for g in parts))
 
 
 def values(path: str, prefer: list[str] = (), html: bool = False) -> Column:
@@ -154,16 +175,16 @@ def with_lines(description: Column, source: str, lines: list[tuple[str, Column]]
 
 def applicants() -> Column:
     """The first meaningful value as text; lists and objects as JSON."""
-    said = lambda k: F.when(_kind(variant(k)) != "BOOLEAN", F.try_variant_get("raw", f"$.{k}", TEXT))
-    return F.coalesce(*(text.meaningful(text.normalize_space(said(k))) for k in fixed.APPLICANT_KEYS))
+    said = lambda v: text.meaningful(text.normalize_space(F.when(_kind(v) != "BOOLEAN", F.try_variant_get(v, "$", TEXT))))
+    return first(F.transform(named(fixed.APPLICANT_KEYS), said))
 
 
 def applicant_count() -> Column:
     """The count of the first key that has one. Of a list or an object, the largest in it, down to three lists or objects in one another."""
-    named = text.words([*fixed.APPLICANT_KEYS, "count", "value", "text", "label"])
+    known = text.words([*fixed.APPLICANT_KEYS, "count", "value", "text", "label"])
 
     def items(v: Column) -> Column:
-        fields = F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.array_contains(named, k)))
+        fields = F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.array_contains(known, k)))
         return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), fields, F.array(v))
 
     def count(v: Column) -> Column:
@@ -176,8 +197,7 @@ def applicant_count() -> Column:
             inner = F.flatten(F.transform(inner, items))
         return F.array_max(F.transform(inner, count))
 
-    said = F.array(*(variant(k) for k in fixed.APPLICANT_KEYS))
-    return F.get(F.array_compact(F.transform(F.array_compact(said), largest)), 0)
+    return first(F.transform(named(fixed.APPLICANT_KEYS), largest))
 
 
 LISTING = ["source", "source_label", "job_id", "title", "company", "company_url", "location", "job_type", "description", "posted", "salary", "work_mode", "skills", "tags", "job_url", "apply_url", "applicants", "applicant_count", "company_details", "metadata"]
@@ -285,7 +305,7 @@ def xing(df: DataFrame) -> DataFrame:
         | {k: flag(p) for p, k in flags.values()} | {"detail_error": field("detail_error")}
     )
     company = json_object({k: raw_field(p) for k, p in {"name": "company", "id": "company_id", "logoUrl": "company_logo", "size": "company_size", "industry": "company_industry", "city": "company_city", "country": "company_country", "url": "company_public_profile"}.items()})
-    key = F.coalesce(first_field("job_id", "jobId", "id", "global_id", "globalId", "slug"), text.none_if_blank(F.regexp_extract(urls.path(field("url")), urls.PROVIDER_IDS["xing.com"][1], 1)))
+    key = F.coalesce(first_field("job_id", "jobId", "id", "global_id", "globalId", "slug"), text.none_if_blank(F.regexp_extract(F.regexp_replace(field("url"), "[?#].*$", ""), urls.PROVIDER_IDS["xing.com"][1], 1)))
     return df.select(*_keep(df), *_row(
         "xing", job_id=key, title=field("title"), company=field("company"), company_url=link("company_public_profile"), location=F.col("_place"), job_type=first_field("job_type", "employment_type"),
         description=with_lines(F.coalesce(field("description_text"), html), "Xing", lines), posted=first_field("date_posted", "activated_at"), salary=field("salary"), work_mode=F.col("_mode"), skills=F.col("_keywords"), tags=F.col("_facts"),
@@ -293,31 +313,34 @@ def xing(df: DataFrame) -> DataFrame:
     ))
 
 
-def joined(path: str) -> Column:
+def joined(v: Column) -> Column:
     """A scalar, or the parts of a list."""
-    items = F.filter(F.transform(F.try_variant_get(F.col("raw"), "$." + path, "array<variant>"), lambda v: F.try_variant_get(v, "$", TEXT)), lambda x: F.trim(x) != "")
-    return F.coalesce(text.meaningful(field(path)), listed(items))
+    items = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", TEXT)), lambda x: F.trim(x) != "")
+    return F.coalesce(text.meaningful(text.normalize_space(_scalar(v))), _filled(F.array_join(items, ", ")))
+
+
+def _as_it_stands(v: Column) -> Column:
+    return text.meaningful(text.strip(_scalar(v)))
 
 
-def described(key: str) -> Column:
+def described(v: Column) -> Column:
     """A description as it stands, lines and all: a text, the first of an object's fields that holds one, or a list's texts by lines."""
-    v = variant(key)
-    trimmed = lambda c: text.meaningful(text.strip(c))
-    within = F.coalesce(*(trimmed(_scalar(F.try_variant_get(v, f"$.{k}", "variant"))) for k in [*fixed.DESCRIPTION_KEYS, *fixed.DESCRIPTION_FIELDS]))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(trimmed(_scalar(x)), trimmed(_scalar(F.try_variant_get(x, "$.text", "variant")))))
-    return F.coalesce(trimmed(_scalar(v)), F.when(_kind(v).startswith("OBJECT"), within), text.none_if_blank(F.array_join(F.array_compact(items), "\n")))
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    within = text.let(fields, lambda m: first(F.transform(named([*fixed.DESCRIPTION_KEYS, *fixed.DESCRIPTION_FIELDS], m), _as_it_stands)))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(_as_it_stands(x), _as_it_stands(F.try_variant_get(x, "$.text", "variant"))))
+    return F.coalesce(_as_it_stands(v), within, _filled(F.array_join(F.array_compact(items), "\n")))
 
 
 def longest_description() -> Column:
     """The longest of the fields that hold whole descriptions (the first of equals), else the first of any that describes."""
-    texts = [*(text.meaningful(text.strip(F.when(_kind(variant(k)) == "STRING", _scalar(variant(k))))) for k in fixed.LONG_DESCRIPTION_KEYS), first_meaningful(fixed.DESCRIPTION_KEYS)]
-    ranked = F.transform(F.array_compact(F.array(*texts)), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
-    return F.coalesce(F.array_min(ranked)["x"], *map(described, fixed.DESCRIPTION_KEYS))
+    texts = F.transform(named(fixed.LONG_DESCRIPTION_KEYS), lambda v: F.when(_kind(v) == "STRING", _as_it_stands(v)))
+    ranked = F.transform(F.array_compact(F.concat(texts, F.array(first_meaningful(fixed.DESCRIPTION_KEYS)))), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    return F.coalesce(F.array_min(ranked)["x"], first(F.transform(named(fixed.DESCRIPTION_KEYS), described)))
 
 
-def first_parseable(paths: list[str]) -> Column:
+def first_parseable(keys: list[str]) -> Column:
     """The first field that is a time, else the first that says anything."""
-    said = F.array_compact(F.array(*(text.meaningful(field(p)) for p in paths)))
+    said = F.array_compact(F.transform(named(keys), lambda v: text.meaningful(text.normalize_space(_scalar(v)))))
     return text.let(said, lambda s: F.coalesce(F.get(F.filter(s, lambda x: dates.parse_datetime(x).isNotNull()), 0), F.get(s, 0)))
 
 
@@ -337,7 +360,7 @@ def plain(df: DataFrame, source: str = "linkedin", country: str = "de") -> DataF
     df = df.withColumn("_url", listing_url(source, country))
     row = _row(
         source, job_id=F.coalesce(m(fixed.JOB_ID_KEYS), urls.job_id_from_key(urls.canonical_url(F.col("_url")))), title=m(fixed.TITLE_KEYS), company=m(fixed.COMPANY_KEYS), company_url=m(fixed.COMPANY_URL_KEYS),
-        location=F.coalesce(m(fixed.LOCATION_KEYS), m(fixed.LOCATION_FIELDS), parts), job_type=F.coalesce(*map(joined, fixed.JOB_TYPE_KEYS)), description=longest_description(), posted=first_parseable(fixed.POSTED_KEYS),
+        location=F.coalesce(m(fixed.LOCATION_KEYS), m(fixed.LOCATION_FIELDS), parts), job_type=first(F.transform(named(fixed.JOB_TYPE_KEYS), joined)), description=longest_description(), posted=first_parseable(fixed.POSTED_KEYS),
         salary=m(fixed.SALARY_KEYS), job_url=F.col("_url"), apply_url=m(fixed.APPLY_URL_KEYS), company_details=F.when(_kind(variant("companyDetails")).startswith("OBJECT"), F.get_json_object("json", "$.companyDetails")),
     )
     return df.select(*_keep(df), *row)

@@ -1,0 +1,49 @@
+"""A search service in memory, to try a plan without a remote one: its items tell what was asked."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from . import remote
+
+
+def items(source: str, payload: dict, n: int) -> list[dict]:
+    """Two items a search, or a searched address; none where the payload asks for nothing."""
+    asked = payload.get("urls") or [payload.get("keyword") or payload.get("title")]
+    out = []
+    for said in asked:
+        more = {"inputUrl": said} if payload.get("urls") else {}
+        out += [{"title": said, "n": k, "source": source} | more for k in range(2) if said]
+    return out[:n]
+
+
+def echo(source: str, keyword: str, payload: dict, n: int) -> list[dict]:
+    """A fetcher for the data source `searches`."""
+    if payload.get("refused"):
+        raise remote.Refused("refused")
+    return items(source, payload, n)
+
+
+class Service:
+    """Runs that succeed at the second look. The token `broke` has no credit."""
+
+    def __init__(self) -> None:
+        self.runs: list[list] = []
+
+    def __call__(self, method: str, path: str, params: dict, body: dict | None, token: str) -> tuple[int, Any]:
+        if token == "broke":
+            return 402, {"error": {"message": "Not enough credit"}}
+        if method == "POST":
+            self.runs.append([items(path.split("/")[1], body or {}, params["maxItems"]), 0])
+            return 201, {"data": {"id": str(len(self.runs) - 1)}}
+        kind, number, *_ = path.split("/")
+        run = self.runs[int(number)]
+        if kind == "datasets":
+            return 200, {"items": run[0][: params["limit"]]}
+        run[1] += 1
+        return 200, {"data": {"status": "SUCCEEDED" if run[1] > 1 else "RUNNING", "defaultDatasetId": number}}
+
+
+def through_runs(source: str, keyword: str, payload: dict, n: int) -> list[dict]:
+    """As echo(), through runs of a remote client whose first token is retired."""
+    return remote.Remote(Service(), remote.Tokens(["broke", "fine"]), poll=0).run(source, payload, n)

@@ -158,27 +158,100 @@ def test_blocked_pairs_of_all_parts(spark, sf):
     assert got == want and len(want) == 176
 
 
+class Plain:
+    """Matching said once more, in plain loops over all rows, with nothing of the engine in it."""
+
+    WEIGHTS = {"company": 0.30, "title": 0.34, "location": 0.18, "job_type": 0.10, "posted": 0.08}
+    LEAST = {"company": 0.90, "title": 0.82, "location": 0.82, "job_type": 0.70, "posted": 0.55}
+
+    @staticmethod
+    def alike(a, b):
+        from difflib import SequenceMatcher
+
+        if a and a == b:
+            return 1.0
+        seq = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+        x, y = set(a.split()), set(b.split())
+        return max(seq, 0.65 * (len(x & y) / len(x | y) if x and y else 0) + 0.35 * seq)
+
+    @staticmethod
+    def place(a, b):
+        x, y = set(a.split()), set(b.split())
+        return 0.75 if not a or not b else 1.0 if a == b else 0.92 if x <= y or y <= x else Plain.alike(a, b)
+
+    @classmethod
+    def sure(cls, new, old):
+        """Of (title, company, location): how sure a match is; None without one. Job types and links are missing, all are posted on one day."""
+        scores = {"company": cls.alike(new[1], old[1]), "title": cls.alike(new[0], old[0]), "location": cls.place(new[2], old[2]), "job_type": 0.75, "posted": 1.0}
+        fine = all(scores[k] >= n for k, n in cls.LEAST.items())
+        if all(new) and new == old:
+            return 0.96 if fine else None
+        total = sum(scores[k] * w for k, w in cls.WEIGHTS.items())
+        return total if fine and total >= 0.88 else None
+
+    @classmethod
+    def near(cls, new, old):
+        """Whether two rows share a key: the profile, the company with a title word, or the title with the company's words."""
+        words = lambda t: sorted(set(t.split()))
+        return bool(new[1] == old[1] and set(words(new[0])[:8]) & set(words(old[0])[:8])) or (new[0] == old[0] and words(new[1])[:3] == words(old[1])[:3])
+
+    @classmethod
+    def clusters(cls, rows):
+        found = {}
+        for i, mine in rows:
+            best = None
+            for c, members in sorted(found.items()):
+                if any(cls.near(mine, m) for m in members):
+                    said = [x for m in members if (x := cls.sure(mine, m)) is not None]
+                    if said and (best is None or max(said) > best[0]):
+                        best = (max(said), c)
+            found.setdefault(best[1] if best else i, []).append(mine)
+            yield i, best[1] if best else i
+
+
+def test_greedy_clusters_equal_a_plain_greedy(spark, sf):
+    parts = sorted((r.p_partkey, (r.p_name, f"{r.p_brand} {r.p_type}".lower(), r.p_type.lower())) for r in spark.read.parquet(f"{sf}/part.parquet").collect())
+    got = {r.idx: r.cluster_id for r in queries.queries()["q30_greedy_clusters"](spark, sf).collect()}
+    assert got == dict(Plain.clusters(parts)) and len(set(got.values())) < len(parts)
+
+
 def test_canonical_rows_equal_a_plain_greedy(spark, tmp_path):
-    """Each row against all clusters so far that hold a row of its brand with a word of its name, without components."""
     import random
 
     rnd = random.Random(5)
     parts = [(1, "cold bolt", "Brand#1", "STEEL"), (2, "old bolt", "Brand#1", "STEEL"), (3, "cold bolt", "Brand#2", "STEEL")]
     parts += [(i, f"{rnd.choice(['cold', 'old', 'gold', 'red'])} {rnd.choice(['bolt', 'bolts', 'nut'])}", rnd.choice(["Brand#1", "Brand#2"]), rnd.choice(["STEEL", "TIN"])) for i in range(4, 40)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    found: dict[int, list] = {}
-    for i, name, brand, kind in parts:
-        mine = (name, brand.lower(), kind.lower(), "", 0.0, f"//jobs.example.com/a/{i}", None)
-        near = {c: rows for c, rows in found.items() if any(old[1][1] == mine[1] and set(old[0].split()) & set(name.split()) for old in rows)}
-        scored = {c: max((d[1] for old in rows if (d := resolve.decide(mine, old[1]))[0]), default=0.0) for c, rows in near.items()}
-        best = max(sorted(scored), key=scored.get, default=None)
-        found.setdefault(best if best is not None and scored[best] > 0 else i, []).append((name, mine))
-    want = {c: len(rows) for c, rows in found.items()}
+    want: dict[int, int] = {}
+    for _, c in Plain.clusters([(i, (name, brand.lower(), kind.lower())) for i, name, brand, kind in parts]):
+        want[c] = want.get(c, 0) + 1
     got = {r.cluster_id: r for r in queries.queries()["q45_canonical_rows"](spark, str(tmp_path)).collect()}
     assert {c: r.input_rows for c, r in got.items()} == want
     assert 2 not in got and 3 in got and {c: r.company for c, r in got.items()} == {c: dict((p[0], p[2]) for p in parts)[c] for c in want}
 
 
+def test_pace_and_retries():
+    slept, now = [], [0.0]
+    pace = evaluate.Pace(2.0, lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)), lambda: now[0])
+    for _ in range(3):
+        pace.wait()
+    assert slept == [2.0, 2.0]
+    left = [OSError("a"), type("Busy", (Exception,), {"retry_after": 7})("b"), None]
+
+    def model(prompt):
+        if e := left.pop(0):
+            raise e
+        return prompt.upper()
+
+    waited: list = []
+    assert evaluate.asked(model, "x", evaluate.Pace(0), 3, 1.0, sleep=waited.append) == "X" and 0.5 <= waited[0] <= 1 and waited[1] == 7
+    left[:] = [OSError("a"), OSError("b")]
+    assert evaluate.asked(model, "x", evaluate.Pace(0), 2, sleep=waited.append) == "Error: b"
+    left[:] = [evaluate.QuotaSpent("no")]
+    with pytest.raises(evaluate.QuotaSpent):
+        evaluate.asked(model, "x", evaluate.Pace(0), sleep=waited.append)
+
+
 def test_ratio_is_asymmetric_and_blended(spark):
     df = spark.createDataFrame([("abcd", "bcde", ["a"], ["a", "b"])], "a string, b string, x array<string>, y array<string>")
     r = df.select(similarity.sequence_ratio("a", "b").alias("r"), similarity.jaccard(F.col("x"), F.col("y")).alias("j"), similarity.blend(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("m")).first()
