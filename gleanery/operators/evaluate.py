@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import latex, text
+from . import numbering
 from ..session import cut
 
 
@@ -262,5 +263,5 @@ def evaluations(queue: DataFrame, model: Callable[[str], str], master: str, cv:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """row_number as in a sheet whose first row is the header, so data begin at 2. One order over a worksheet, which is bounded."""
-    return df.withColumn("row_number", F.row_number().over(Window.orderBy(order)) + 1)
+    """row_number as in a sheet whose first row is the header, so data begin at 2."""
+    return numbering.numbered(df, order, "row_number", first=2)

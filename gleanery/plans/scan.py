@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import source_key
+from ..operators.numbering import numbered
 from ..session import exists
 
 WINDOWS = {"since_previous_run": None, "last_24h": 86_400, "last_7d": 604_800, "backfill": 0}
@@ -136,8 +137,9 @@ def searches(sources: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def tiles(df: DataFrame, order: str, size: int, within: str | None = None) -> DataFrame:
     """Rows in batches of `size`, in order, within a column's values if given."""
-    w = Window.partitionBy(within).orderBy(order) if within else Window.orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    if within:
+        return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(within).orderBy(order)) - 1) / size).cast("long"))
+    return numbered(df, order, "_number").withColumn("batch", F.floor(F.col("_number") / size).cast("long")).drop("_number")
 
 
 def attributed(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -340,6 +340,13 @@ def test_scan_plan(spark):
         scan.window_name("someday")
 
 
+def test_numbers_over_a_whole_table(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert sorted((r.k, r.row_number) for r in evaluate.numbered(df, "k").collect()) == [(i, i + 2) for i in range(1000)]
+    assert {(r.k, r.batch) for r in scan.tiles(df, "k", 40).collect()} == {(i, i // 40) for i in range(1000)}
+    assert evaluate.numbered(df.where("false"), "k").count() == 0
+
+
 def test_configuration(spark, tmp_path):
     for name, said in {"good.json": '{"final_filters": {"max_applicants": 3}}', "list.json": "[1]", "bad.json": "{", "empty.txt": " \n"}.items():
         (tmp_path / name).write_text(said)
