@@ -3,7 +3,7 @@
 Texts reach Python in Arrow batches of at most spark.sql.execution.arrow.maxBytesPerBatch
 and are worked on in slices of a few MB. Operators leave the session's settings alone; the
 registered queries and the pipeline, which own their sessions, lower that one by
-small_batches(), since a few MB a batch is what small executors can hold.
+small_batches(), since one MB a batch is what small executors can hold.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import clean, cut, discard, fresh_path, shared_dir, staged
 
-__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "shared_dir", "slices", "small_batches", "staged", "table"]
+__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "let_go", "shared_dir", "slices", "small_batches", "staged", "table"]
 
 
 def give_back() -> None:
@@ -40,21 +40,27 @@ _KEPT: dict = {}
 def kept(key, make: Callable):
     """What a Python worker keeps between tasks, made when asked for first. One thing at a time: the next one takes its place."""
     if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drops what is kept, for tasks that need the room and keep nothing."""
+    if _KEPT:
         _KEPT.clear()
         gc.collect()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (OSError, AttributeError):
             pass
-        _KEPT[key] = make()
-    return _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = 1 << 20) -> None:
     """Lowers the session's bytes per Arrow batch. For applications, not for operators."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key).rstrip("b"))

@@ -85,7 +85,7 @@ class UnitEncoder:
         self.spaced = sum(t.endswith("</w>") for t in tokens) < size // 4
         self.edge = np.array([t.startswith("Ġ") if self.spaced else t.endswith("</w>") for t in tokens])
         self.token_bytes = np.array([len(t) for t in tokens])  # of byte-level files, whose tokens write each byte as one character
-        self.table = HashTable()
+        self.table = HashTable(21)
         self.forget()
 
     def forget(self) -> None:

@@ -146,7 +146,7 @@ def lift(values: np.ndarray, lifts: np.ndarray, at: int, before: int, reach: sli
         lifts[reach] += low
 
 
-def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 2048) -> Iterator[list[int]]:
     """Numbers of words of one length, at most `most` at a time."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):

@@ -58,7 +58,7 @@ SKETCH_BITS, CHUNKS = 22, 64
 LONG = 32
 #: A block holds a sixteenth of its class, but LEAST_BLOCK nodes at least, and BLOCK nodes or BLOCK_BYTES of sets at most.
 LEAST_BLOCK, BLOCK, BLOCK_BYTES, SHARES = 32, 512, 2 << 20, 16
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 CLASS_RATIO = 1.3
 SALTS = 32
 #: A node is hot from so many pairs on. So many hot nodes are sent to all tasks; with more, adaptive skew joins have to do.
@@ -141,7 +141,7 @@ def least_distance(a: bytes, b: bytes) -> int:
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    common.kept(None, lambda: None)  # what other operators have kept goes
+    common.let_go()
     for whole in batches:
         for batch in common.slices(whole, "text", SLICE):
             yield batch, shingles(batch.column("text").to_pylist())
@@ -150,7 +150,7 @@ def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 class _Once:
     """Whether a node is new here; forgets what it knows when it is full."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.seen: set[int] = set()
         self.most = most
 
@@ -204,6 +204,7 @@ def _reduced(kind: str, add: np.ufunc) -> Callable:
     """Streams rows of CHUNK_ROW into one array a chunk, whatever the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         total: dict[int, np.ndarray] = {}
         most = np.iinfo(kind).max
         for batch in batches:
@@ -358,6 +359,7 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
 
 def _meeter(long: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
+        common.let_go()
         pairs, edges = candidates(np.concatenate([np.frombuffer(p, ENTRY) for p in table.column("payload").to_pylist()]), long)
         both = np.concatenate([pairs, edges])
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "whole": pa.array(np.arange(len(both)) >= len(pairs))})
@@ -366,6 +368,7 @@ def _meeter(long: int) -> Callable:
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.let_go()
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "sig_a", "sig_b")]
         fine = []
@@ -421,6 +424,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.let_go()
     for whole in batches:
         fine = []
         for i in range(0, whole.num_rows, 256):
@@ -487,6 +491,7 @@ def _links_table(found: list[tuple[int, int]]) -> pa.Table:
 
 def _verify_star(table: pa.Table) -> pa.Table:
     """Links of the base with the other nodes of a block: length filter, suffix filter, then the sets."""
+    common.let_go()
     rows = list(zip(table.column("node").to_pylist(), [np.frombuffer(s, "<u8") for s in table.column("members").to_pylist()], table.column("is_base").to_pylist(), strict=True))
     out = []
     for base, b, _ in (r for r in rows if r[2]):
