@@ -85,7 +85,7 @@ def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
     """Writes pieces below path, a folder bucket=b for each length 2**b, and reads them back. Each task has pieces of one
     or a few buckets, and large buckets are split over tasks (rebalanced by adaptive execution)."""
     spark = pieces.sparkSession
-    pieces.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    pieces.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     back = spark.read.schema(SCHEMA).parquet(path)
     return back.select(*[x.split()[0] for x in SCHEMA.split(", ")])
 
