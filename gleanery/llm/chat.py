@@ -25,6 +25,7 @@ from . import common
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 LOSS_ROLE = "assistant"
+CHUNK = 256
 
 
 def escape(c: Column) -> Column:
@@ -46,22 +47,39 @@ def format_chats(turns: DataFrame) -> DataFrame:
     told = told.select("conv_id", merged.alias("blocks"))
     head = lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT))
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END))), "")
+    told = told.select("conv_id", formatted.alias("formatted"), _pieces(head).alias("pieces"))
+    chunk = lambda c: F.slice("pieces", c * CHUNK + 1, F.lit(CHUNK))
+    told = told.withColumn("chunks", F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int")), lambda c: _chunk_spans(chunk(c))))
+    bases = F.aggregate("chunks", F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c["at"])))
+    told = told.withColumn("bases", F.slice(bases, F.lit(1), F.size("chunks")))
+    spans = F.flatten(F.zip_with("chunks", "bases", lambda c, base: F.transform(c["spans"], lambda s: F.struct((s["first"] + base).alias("first"), s["n_chars"].alias("n_chars")))))
+    return told.select("conv_id", "formatted", spans.alias("loss_spans"))
+
+
+def _pieces(head) -> Column:
+    """Each text in order: characters before it and behind it that are the template's, its own, and whether it is under the mask."""
+
+    def of(b: Column) -> Column:
+        return F.transform(
+            b["texts"],
+            lambda t, i: F.struct(
+                F.when(i == 0, F.length(head(b))).otherwise(len(NEXT)).alias("before"), F.length(t).alias("n"),
+                F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("behind"), (b["role"] == LOSS_ROLE).alias("loss"),
+            ),
+        )
+
+    return F.flatten(F.transform("blocks", of))
+
+
+def _chunk_spans(pieces: Column) -> Column:
+    """Spans of some pieces, from the first one's begin, and all their characters. Chunks keep this growing in proportion: spans are appended to a short list."""
     none = F.expr("cast(array() as array<struct<first:int,n_chars:int>>)")
 
-    def through(state: Column, block: Column) -> Column:
-        first = state["at"] + F.length(head(block))
-        inside = F.aggregate(
-            block["texts"],
-            F.struct(first.alias("at"), state["spans"].alias("spans")),
-            lambda s, t: F.struct(
-                (s["at"] + F.length(t) + len(NEXT)).alias("at"),
-                F.when(block["role"] == LOSS_ROLE, F.concat(s["spans"], F.array(F.struct(s["at"].alias("first"), F.length(t).alias("n_chars"))))).otherwise(s["spans"]).alias("spans"),
-            ),
-        )
-        return F.struct((inside["at"] - len(NEXT) + len(END)).alias("at"), inside["spans"].alias("spans"))
+    def through(s: Column, p: Column) -> Column:
+        span = F.array(F.struct((s["at"] + p["before"]).alias("first"), p["n"].alias("n_chars")))
+        return F.struct((s["at"] + p["before"] + p["n"] + p["behind"]).alias("at"), F.when(p["loss"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    spans = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), none.alias("spans")), through, lambda s: s["spans"])
-    return told.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), through)
 
 
 def read_chats(formatted: Column) -> Column:

@@ -380,6 +380,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_long_chats(spark):
+    """A conversation of thousands of turns: spans behind the first chunk are right, too."""
+    rows = [(1, k, ("user", "assistant", "assistant")[k % 3], "x<|" * (k % 5) + str(k)) for k in range(3000)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = got.select(chat.read_chats(F.col("formatted")).alias("turns"), "loss_spans", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in back.turns] == [(r, t) for _, _, r, t in rows]
+    assert back.loss == "".join(t for _, _, r, t in rows if r == "assistant") and len(back.loss_spans) == 2000
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(120)]
