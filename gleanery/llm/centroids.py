@@ -88,7 +88,8 @@ def _summer(centroids, scale: float, dimensions: int) -> Callable:
             for c in np.flatnonzero(counts).tolist():
                 sums[c] += vectors[cluster == c].sum(axis=0)
         met = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": met.astype(np.int32), "n": n[met], "sums": sums[met].tolist()})
+        if len(met):
+            yield pd.DataFrame({"cluster": met.astype(np.int32), "n": n[met], "sums": sums[met].tolist()})
 
     return run
 
