@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, common, decontamination, language_id, ngram_join, packing, sharding, token_counts, token_files, topk, toxicity
+from . import centroids, chat, common, decontamination, language_id, ngram_join, packing, pieces, sharding, token_counts, token_files, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op9_token_files": token_files.query,
         "op10_language_id": language_id.query,
         "op11_centroid_clustering": centroids.query,
+        "op12_sentencepiece": pieces.query,
     }
     return {name: configured(query) for name, query in found.items()}
 
