@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, common, decontamination, language_id, ngram_join, packing, pieces, sharding, token_counts, token_files, topk, toxicity
+from . import centroids, chat, common, decontamination, language_id, lexical, ngram_join, packing, pieces, sharding, token_counts, token_files, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,9 +35,10 @@ def queries() -> dict[str, Query]:
         "op10_language_id": language_id.query,
         "op11_centroid_clustering": centroids.query,
         "op12_sentencepiece": pieces.query,
+        "op13_lexical_search": lexical.query,
     }
     return {name: configured(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op3_chat_formatting": chat.SQL, "op4_exact_topk": topk.SQL, "op5_benchmark_decontamination": decontamination.SQL, "op11_centroid_clustering": centroids.SQL}
+    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op3_chat_formatting": chat.SQL, "op4_exact_topk": topk.SQL, "op5_benchmark_decontamination": decontamination.SQL, "op11_centroid_clustering": centroids.SQL, "op13_lexical_search": lexical.SQL}
