@@ -35,6 +35,35 @@ def blend(text_a: Column, text_b: Column, tokens_a: Column, tokens_b: Column) ->
     return F.when((text_a == text_b) & (text_a != ""), 1.0).otherwise(F.greatest(seq, 0.65 * jaccard(tokens_a, tokens_b) + 0.35 * seq))
 
 
+#: The characters that bounds tell apart; all others count as one.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789+# "
+
+
+def letters(text: Column) -> Column:
+    """A number for each character of a text: which of LETTERS it is (all others are one), and the how many-eth of them. Two texts
+    share as many numbers as they share letters, each as often as the text that has fewer of it."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    upto = lambda k, n: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: k * F.lit(1 << 24) + i))
+    told = F.array_compact(F.transform(F.array(*map(F.lit, LETTERS)), lambda c, k: upto(k, count(c))))
+    rest = F.length(F.translate(text, LETTERS, ""))
+    return F.concat(F.flatten(told), F.coalesce(upto(F.lit(len(LETTERS)), rest), F.array().cast("array<int>")))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """Never below the ratio of texts of two lengths: matching blocks are no longer than the shorter text."""
+    return 2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1))
+
+
+def letter_bound(a: Column, b: Column) -> Column:
+    """Never below the ratio of texts with these letters(): no letter is matched more often than both texts hold it."""
+    return 2.0 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1))
+
+
+def blend_reaches(ratio_bound: Column, overlap: Column, least: float) -> Column:
+    """Whether blend() of unequal texts may reach `least`: it is never above the larger of the ratio and the overlap."""
+    return (ratio_bound >= least) | (overlap >= least - 1e-9)
+
+
 def conflicting_seniority(a: Column, b: Column) -> Column:
     junior, senior = words(fixed.SENIORITY_JUNIOR), words(fixed.SENIORITY_SENIOR)
     return (F.arrays_overlap(a, junior) & F.arrays_overlap(b, senior)) | (F.arrays_overlap(b, junior) & F.arrays_overlap(a, senior))

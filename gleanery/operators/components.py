@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def _digest(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of longs: each vertex u that isn't the smallest of its component, with the smallest v. Edges
-    are unordered; loops and repeats do no harm; vertices without an edge don't appear. Each round is
-    checkpointed, and the rounds end when nothing changes."""
-    now = cut(edges.where("u <> v").select("u", "v").distinct())
+    are unordered; loops and repeats do no harm; vertices without an edge don't appear. Each round is a
+    table in the shared folder, in place of the one before, and the rounds end when nothing changes."""
+    now = staged(edges.where("u <> v").select("u", "v").distinct(), "edges")
     if now.isEmpty():
         return now
     before = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, staged(_small_star(_large_star(now)), "edges")
+        discard(last)
         digest = _digest(now)
         if digest == before:
             return now

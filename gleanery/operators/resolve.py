@@ -1,23 +1,34 @@
-"""Entity resolution: blocking keys, components of the blocking graph, greedy clusters inside each.
-
-A row can only meet clusters that share one of its keys, so clusters of different
-components never meet; within a component, rows are taken in order of idx and go to
-the matching cluster of highest confidence, ties to the older one. A component is
-one group of a grouped map: its rows have to fit a worker. Rows with one feature
-tuple are scored once.
+"""Entity resolution: blocking keys, their components, and greedy clusters in parallel rounds.
+
+One pass over all rows in order of idx would give each row to the cluster that matches it
+with highest confidence, ties to the older one, among those that hold one of its keys; a
+cluster matches as its best member does. Here nothing is gathered by key, employer or component:
+
+1. Rows of one feature tuple are one profile. No pair matches without close companies and
+   close titles, so profiles meet by rare words and bigrams of titles within a class of
+   close companies, and bounds on all cells leave few pairs to the scorer (links()).
+2. A row's cluster depends on rows before it alone. Each round gives every row the cluster
+   that the present clusters of those say, by joins and aggregates. When a round changes
+   nothing, the clusters are those of the one pass: by induction over idx, only one assignment
+   is left as it is.
+
+Work and shuffles grow with the matching pairs of different profiles; rounds with the longest chain of decisions
+that hang on each other, not with the size of a component.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .. import fixed
 from ..functions import dates, similarity, text, urls
+from ..session import discard, staged
+from . import closeness
 from .components import components
 
 
@@ -121,33 +132,98 @@ def decide(new: Row, old: Row) -> tuple[bool, float, str]:
 
 FEATURES = ["n_title", "n_company", "n_location", "n_job_type", "posted", "apply_key", "mode"]
 CLUSTERS = "idx long, cluster_id long, stage string, confidence double"
+SAID = "n_title <> '' and n_company <> '' and n_location <> ''"  # no pair matches without these
+
+
+def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (idx, profile, blocking_keys) and their different feature tuples (profile: the smallest idx, features, blocking_keys, n_rows)."""
+    told = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in FEATURES), F.array_join("blocking_keys", "\x1d"))
+    keyed = staged(rows.withColumn("_key", told), "keyed")
+    once = staged(keyed.groupBy("_key").agg(F.min("idx").alias("profile"), F.count("*").alias("n_rows"), *(F.first(c).alias(c) for c in (*FEATURES, "blocking_keys"))), "profiles")
+    named = staged(keyed.join(once.select("_key", "profile"), "_key").select("idx", "profile", "blocking_keys"), "rows")
+    discard(keyed)
+    return named, once.drop("_key")
 
 
-def greedy(group: pd.DataFrame) -> pd.DataFrame:
-    members: dict[int, dict[Row, None]] = {}
-    holders: dict[str, set[int]] = defaultdict(set)
+@F.pandas_udf(StructType([StructField("forth", DoubleType()), StructField("forth_stage", StringType()), StructField("back", DoubleType()), StructField("back_stage", StringType())]))
+def _decisions(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Confidence and stage of a as the new row beside b, and of b beside a; NULL where they don't match."""
+    plain = lambda x: [tuple(None if v is None or v != v else v for v in r) for r in x[FEATURES].itertuples(index=False)]
     out = []
-    for row in group.sort_values("idx").itertuples(index=False):
-        mine = tuple(None if v is None or v != v else v for v in (getattr(row, f) for f in FEATURES))
-        near = sorted(set().union(*(holders[k] for k in row.blocking_keys)) if len(row.blocking_keys) else ())
-        best: tuple[float, int, str] | None = None
-        for c in near:
-            found = [d for old in members[c] if (d := decide(mine, old))[0]]
-            if found and (best is None or max(d[1] for d in found) > best[0]):
-                top = max(found, key=lambda d: d[1])
-                best = (top[1], c, top[2])
-        cluster = best[1] if best else int(row.idx)
-        members.setdefault(cluster, {})[mine] = None
-        for k in row.blocking_keys:
-            holders[k].add(cluster)
-        out.append((int(row.idx), cluster, best[2] if best else "first", best[0] if best else 1.0))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in CLUSTERS.split(", ")])
+    for x, y in zip(plain(a), plain(b), strict=True):
+        out.append([z for found, sure, stage in (decide(x, y), decide(y, x)) for z in ((sure, stage) if found else (None, None))])
+    return pd.DataFrame(out, columns=["forth", "forth_stage", "back", "back_stage"])
+
+
+def _blended(cell: str, least: float) -> Column:
+    """Whether the blend of a cell of p and q may reach `least`."""
+    x, y = F.col(f"p_n_{cell}"), F.col(f"q_n_{cell}")
+    overlap = similarity.jaccard(F.col(f"p_w_{cell}"), F.col(f"q_w_{cell}"))
+    by_length = similarity.blend_reaches(similarity.length_bound(F.length(x), F.length(y)), overlap, least)
+    return (x == y) | (by_length & similarity.blend_reaches(similarity.letter_bound(F.col(f"p_l_{cell}"), F.col(f"q_l_{cell}")), overlap, least))
+
+
+def candidates(once: DataFrame) -> DataFrame:
+    """Pairs of profiles (p < q, and a profile of several rows with itself) that may match: close companies, close titles, and bounds on the other cells."""
+    said = once.where(SAID)
+    alike = closeness.close_pairs(said.select(F.lit(0).alias("grp"), F.col("n_company").alias("text")), fixed.THRESHOLDS["company"])
+    ids = components(alike.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))  # hashes that meet only make a class larger
+    said = said.withColumn("_h", F.xxhash64("n_company")).join(ids.withColumnsRenamed({"u": "_h", "v": "_c"}), "_h", "left").withColumn("grp", F.coalesce("_c", "_h")).drop("_h", "_c")
+    cells = ("company", "location", "job_type")
+    said = staged(said.withColumns({f"w_{c}": closeness.words(F.col(f"n_{c}")) for c in cells} | {f"l_{c}": similarity.letters(F.col(f"n_{c}")) for c in cells}), "classes")
+    titles = closeness.close_pairs(said.select("grp", F.col("n_title").alias("text")), fixed.THRESHOLDS["title"])
+    same = said.select("grp", F.col("n_title").alias("a"), F.col("n_title").alias("b")).distinct()
+    both = titles.union(titles.select("grp", F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
+    side = lambda name: said.select("grp", *(F.col(c).alias(f"{name}_{c}") for c in ("profile", "n_rows", *FEATURES, "blocking_keys", *(f"{k}_{c}" for k in "wl" for c in cells))))
+    pairs = both.join(side("p").withColumn("a", F.col("p_n_title")), ["grp", "a"]).join(side("q").withColumn("b", F.col("q_n_title")), ["grp", "b"])
+    p, q = F.col("p_w_location"), F.col("q_w_location")
+    inside = (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
+    place = inside | ((F.col("p_mode") != "") & (F.col("p_mode") == F.col("q_mode"))) | _blended("location", fixed.THRESHOLDS["location"])
+    kind = (F.col("p_n_job_type") == "") | (F.col("q_n_job_type") == "") | _blended("job_type", fixed.THRESHOLDS["job_type"])
+    time = F.coalesce(F.abs(F.col("p_posted") - F.col("q_posted")) / 86_400 <= 45, F.lit(True))
+    return pairs.where((F.col("p_profile") < F.col("q_profile")) | ((F.col("p_profile") == F.col("q_profile")) & (F.col("p_n_rows") > 1))).where(time & _blended("company", fixed.THRESHOLDS["company"]) & kind & place)
+
+
+def links(once: DataFrame) -> DataFrame:
+    """new, old, confidence, stage and whether they share a key, of all profiles that match when a row of `new` comes after one of `old`."""
+    side = lambda name: F.struct(*(F.col(f"{name}_{c}").alias(c) for c in FEATURES))
+    shares = F.arrays_overlap("p_blocking_keys", "q_blocking_keys")
+    told = staged(candidates(once).select("p_profile", "q_profile", shares.alias("shares"), _decisions(side("p"), side("q")).alias("d")), "decisions")
+    way = lambda new, old, d: told.where(f"d.{d} is not null").select(F.col(f"{new}_profile").alias("new"), F.col(f"{old}_profile").alias("old"), F.col(f"d.{d}").alias("confidence"), F.col(f"d.{d}_stage").alias("stage"), "shares")
+    return way("p", "q", "forth").union(way("q", "p", "back").where("new <> old"))
+
+
+def _round(state: DataFrame, link: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Each row's cluster, as the present clusters of the rows before it give it."""
+    held = state.groupBy("profile", "cluster_id").agg(F.min("idx").alias("since")).withColumnRenamed("profile", "old")
+    offers = state.select("idx", F.col("profile").alias("new")).join(link, "new").join(held, "old").where("since < idx").select("idx", "cluster_id", "confidence", "stage", "shares")
+    if keys is not None:  # a match may share no key itself, as long as another row of its cluster does
+        known = keys.join(state.select("idx", "cluster_id"), "idx").groupBy("key", "cluster_id").agg(F.min("idx").alias("since"))
+        asked = offers.where("not shares").select("idx", "cluster_id").distinct()
+        let = asked.join(keys, "idx").join(known, ["key", "cluster_id"]).where("since < idx").select("idx", "cluster_id").distinct()
+        offers = offers.where("shares").union(offers.where("not shares").join(let, ["idx", "cluster_id"], "left_semi").select(offers.columns))
+    best = offers.groupBy("idx").agg(F.max_by(F.struct("cluster_id", "stage", "confidence"), F.struct(F.col("confidence"), -F.col("cluster_id"))).alias("best"))
+    now = state.select("idx", "profile", F.col("cluster_id").alias("was")).join(best, "idx", "left")
+    return now.select("idx", "profile", F.coalesce("best.cluster_id", "idx").alias("cluster_id"), F.coalesce("best.stage", F.lit("first")).alias("stage"), F.coalesce("best.confidence", F.lit(1.0)).alias("confidence"), "was")
 
 
 def clusters(df: DataFrame) -> DataFrame:
     """idx, cluster_id (the smallest idx of the cluster), stage and confidence of each row of features()."""
-    rows = df.withColumn("posted", F.unix_micros("posted_at") / 1e6).select("idx", "blocking_keys", *FEATURES)
-    return rows.join(block_components(df), "idx").groupBy("comp").applyInPandas(lambda g: greedy(g), CLUSTERS)
+    rows = df.withColumn("posted", F.unix_micros("posted_at") / 1e6 if "posted_at" in df.columns else F.col("posted")).select("idx", "blocking_keys", *FEATURES)
+    rows, once = profiles(rows)
+    link = staged(links(once), "links")
+    met = link.select(F.col("new").alias("profile")).union(link.select(F.col("old").alias("profile"))).distinct()
+    alone = rows.join(met, "profile", "left_anti").select("idx", F.col("idx").alias("cluster_id"), F.lit("first").alias("stage"), F.lit(1.0).alias("confidence"))
+    open_rows = staged(rows.join(met, "profile", "left_semi"), "open-rows")
+    keys = open_rows.select("idx", F.explode("blocking_keys").alias("key")) if link.where("not shares").limit(1).count() else None
+    copies = link.where("new = old").select(F.col("new").alias("profile"), F.lit(True).alias("again"))
+    state = staged(open_rows.join(copies, "profile", "left").select("idx", "profile", F.when(F.col("again"), F.col("profile")).otherwise(F.col("idx")).alias("cluster_id")), "clusters")
+    while True:
+        last, state = state, staged(_round(state, link, keys), "clusters")
+        discard(last)
+        if not state.where("was <> cluster_id").limit(1).count():
+            break
+    return state.select(alone.columns).union(alone)
 
 
 def exact_profiles(df: DataFrame) -> DataFrame:

@@ -38,7 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which clean() deletes with what has been written there."""
+    path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +50,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    _STAGED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -59,10 +61,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what staged() has written for these, once nothing reads them any more."""
+    """Deletes what staged() or cut() has written for these, once nothing reads them any more."""
     for df in tables:
         _delete(df.sparkSession, df._staged_at)
-        _STAGED.remove(df._staged_at)
+        if df._staged_at in _STAGED:
+            _STAGED.remove(df._staged_at)
 
 
 def clean(spark: SparkSession) -> None:
@@ -77,6 +80,5 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df without its lineage: a table in the shared folder, which clean() or discard() deletes."""
+    return staged(df, "cut")

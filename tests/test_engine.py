@@ -139,18 +139,6 @@ def test_greedy_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
 
 
-def test_greedy_equals_one_global_pass(spark):
-    """Clusters by component against one pass over all rows."""
-    import random
-
-    rnd = random.Random(3)
-    rows = [(i, f"{rnd.choice(['data', 'geo', 'map'])} {rnd.choice(['analyst', 'engineer', 'planner'])} {rnd.choice(['', 'senior', 'one'])}", rnd.choice(["acme", "geoco", "acme geo"]), rnd.choice(["berlin", "berlin mitte", "bonn"])) for i in range(60)]
-    feats = resolve.features(spark.createDataFrame(rows, "idx long, title string, company string, location string")).withColumn("posted", F.lit(None).cast("double"))
-    got = {r.idx: r.cluster_id for r in resolve.clusters(feats).collect()}
-    whole = resolve.greedy(feats.select("idx", "blocking_keys", *resolve.FEATURES).toPandas())
-    assert got == dict(zip(whole.idx.tolist(), whole.cluster_id.tolist(), strict=True))
-
-
 def test_blocked_pairs_of_all_parts(spark, sf):
     parts = [(r.p_partkey, r.p_brand, set(r.p_name.split())) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
     want = {(a, b): round(len(x & y) / len(x | y), 6) for a, m, x in parts for b, n, y in parts if a < b and m == n and x & y}
