@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
 from .functions import latex, similarity, text, urls
-from .operators import evaluate, merge, resolve
-from .plans import scan
+from .operators import evaluate, history, merge, resolve
+from .plans import payloads, scan
 from .registry import query, t
-from .sources import datasource, providers, sheets
+from .sources import datasource, providers
 
 def none() -> Column:
     return F.lit(None).cast("string")
@@ -130,60 +128,75 @@ def q59_aliases(s, d):
     return rows.select("o_orderkey", "title", "company", "location", "job_type", "description", "posted", "salary", "job_url", "job_id", "apply_url", "applicant_count", "applicants")
 
 
-_URL = "'https://www.linkedin.com/jobs/search/?keywords=' || n_name || '&location=Berlin&geoId=&f_E=2%2C3&f_JT=F&position=1&pageNum=0&f_TPR=r90000'"
+_MODES = "CASE n_nationkey % 4 WHEN 0 THEN 86400 WHEN 1 THEN 604800 WHEN 3 THEN 93600 END"
+_PLAN = f"""WITH n AS (SELECT *, {_MODES} AS seconds, n_nationkey * 100 + 1 AS most, CASE n_nationkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '7' WHEN 3 THEN '3' END AS days FROM nation),
+u AS (SELECT *, 'https://www.linkedin.com/jobs/search/?keywords=' || replace(n_name, ' ', '+') || '&location=K%C3%B6ln+%26+more&geoId=&f_E=2%2C3&f_JT=F&position=1&pageNum=0' || coalesce('&f_TPR=r' || seconds, '') AS url FROM n),
+s AS (SELECT n_nationkey AS search_idx, 'linkedin' AS source, * FROM u UNION ALL SELECT n_nationkey + 100, 'indeed', * FROM u UNION ALL SELECT n_nationkey + 200, 'stepstone', * FROM u UNION ALL SELECT n_nationkey + 300, 'xing', * FROM u) """
 
 
-def _plan(s, d) -> list[dict]:
+def _plan(s, d) -> DataFrame:
     """Each nation's name searched at each source."""
-    nations = [r.n_name for r in t(s, d, "nation").orderBy("n_nationkey").collect()]  # the keywords of a plan are configuration
-    more = {"linkedin": {"levels": ["2", "3"], "kinds": ["F"]}}
-    return [{"source": source, "keyword": k, "max_items": 9, "payload": scan.payload(source, k, "Berlin", 90_000, 9, **more.get(source, {}))} for source in scan.providers("all") for k in nations]
-
-
-@query(f"""SELECT row_number() OVER (ORDER BY r, n_nationkey) - 1 AS search_idx, source, keyword, payload FROM (
-SELECT 1 AS r, n_nationkey, 'linkedin' AS source, n_name AS keyword, '{{"count": 9, "scrapeCompany": false, "splitByLocation": false, "urls": ["' || {_URL} || '"], "useIncognitoMode": true}}' AS payload FROM nation
-UNION ALL SELECT 2, n_nationkey, 'indeed', n_name, '{{"country": "de", "datePosted": "3", "limit": 9, "location": "Berlin", "title": "' || n_name || '"}}' FROM nation
-UNION ALL SELECT 3, n_nationkey, 'stepstone', n_name, '{{"keyword": "' || lower(n_name) || '", "location": "berlin", "maxConcurrency": 10, "maxItems": 9, "maxRequestRetries": 3, "minConcurrency": 1, "postedWithin": "3", "proxy": {{"useApifyProxy": true}}}}' FROM nation
-UNION ALL SELECT 4, n_nationkey, 'xing', n_name, '{{"keyword": "' || n_name || '", "location": "Berlin", "max_pages": 10, "proxyConfiguration": {{"useApifyProxy": true}}, "results_wanted": 9}}' FROM nation)""")
-def q60_scan_payloads(s, d):
-    rows = [(i, x["source"], x["keyword"], json.dumps(x["payload"], sort_keys=True)) for i, x in enumerate(_plan(s, d))]
-    return s.createDataFrame(rows, "search_idx long, source string, keyword string, payload string")
-
-
-_ITEMS = f"""WITH p AS (SELECT 1 AS r, 'linkedin' AS source, n_nationkey, n_name AS keyword, {_URL} AS said FROM nation UNION ALL SELECT 2, 'indeed', n_nationkey, n_name, n_name FROM nation
-UNION ALL SELECT 3, 'stepstone', n_nationkey, n_name, lower(n_name) FROM nation UNION ALL SELECT 4, 'xing', n_nationkey, n_name, n_name FROM nation), i AS (SELECT row_number() OVER (ORDER BY r, n_nationkey) - 1 AS search_idx, * FROM p) """
-
-
-@query(_ITEMS + "SELECT search_idx, source, keyword, pos, said AS title FROM i, (SELECT unnest([0, 1]) AS pos)")
-def q61_batched_scans(s, d):
-    """The plan through the data source, five LinkedIn searches a scan, whose items are told apart by the addresses that they name."""
+    mode = F.element_at(F.array(*map(F.lit, ["24h", "last-7d", "backfill", "since_previous_run"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    span = payloads.window(mode, F.expr("TIMESTAMP '2026-05-07 09:00:00'"), F.expr("TIMESTAMP '2026-05-06 08:00:00'"))
+    named = t(s, d, "nation").select("n_nationkey", "n_name", F.posexplode(payloads.providers(F.lit("all"))).alias("place_of", "source"), span.alias("seconds"))
+    levels, kinds = (F.when(F.col("source") == "linkedin", F.array(*map(F.lit, x))) for x in (["2", "3"], ["F"]))
+    return named.select((F.col("n_nationkey") + F.col("place_of") * 100).cast("long").alias("search_idx"), "n_nationkey", "source", F.col("n_name").alias("keyword"), F.lit("Köln & more").alias("place"), "seconds", (F.col("n_nationkey") * 100 + 1).alias("max_items"), levels.alias("levels"), kinds.alias("kinds"))
+
+
+@query(_PLAN + """SELECT search_idx, source, n_name AS keyword, CASE source WHEN 'linkedin' THEN '{"urls":["' || url || '"],"count":' || most || ',"scrapeCompany":false,"useIncognitoMode":true,"splitByLocation":false}'
+ WHEN 'indeed' THEN '{"country":"de","title":"' || n_name || '","location":"Köln & more","limit":' || least(1000, most) || coalesce(',"datePosted":"' || days || '"', '') || '}'
+ WHEN 'stepstone' THEN '{"maxItems":' || most || ',"maxConcurrency":10,"minConcurrency":1,"maxRequestRetries":3,"proxy":{"useApifyProxy":true},"keyword":"' || replace(lower(n_name), ' ', '-') || '","location":"k%C3%B6ln-%26-more"' || coalesce(',"postedWithin":"' || days || '"', '') || '}'
+ ELSE '{"results_wanted":' || most || ',"max_pages":10,"proxyConfiguration":{"useApifyProxy":true},"keyword":"' || n_name || '","location":"Köln & more"}' END AS payload FROM s""")
+def q74_scan_payloads(s, d):
+    return payloads.with_payloads(_plan(s, d)).select("search_idx", "source", "keyword", "payload")
+
+
+@query(_PLAN + """, b AS (SELECT *, CASE WHEN source = 'linkedin' THEN n_nationkey // 5 * 5 ELSE search_idx END AS batch FROM s)
+SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN search_idx END AS search_idx, CASE WHEN c_custkey % 10 > 0 THEN batch END AS batch, CASE WHEN c_custkey % 10 > 0 THEN (SELECT count(*) FROM b AS o WHERE o.batch = b.batch) END AS searches
+FROM customer JOIN b ON b.n_nationkey = c_nationkey AND b.source = 'linkedin'""")
+def q75_batched_scans(s, d):
+    """Five LinkedIn searches share a scan; customers are its items, and each goes back to the search whose address it names, some to none."""
+    plan = payloads.batches(payloads.with_payloads(_plan(s, d)), 5)
+    asked = plan.where("source = 'linkedin'").select("n_nationkey", "search_url")
+    named = F.to_json(F.struct(F.when(F.col("c_custkey") % 10 > 0, F.col("search_url")).otherwise("ftp://nowhere").alias("inputUrl"), F.when(F.col("c_custkey") % 3 == 0, F.col("search_url")).alias("start_url"), F.col("c_name").alias("title")))
+    items = t(s, d, "customer").join(asked, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.parse_json(F.when(F.col("c_custkey") % 10 == 0, F.lit('{"inputUrl":"ftp://nowhere"}')).otherwise(named)).alias("item"))
+    found = scan.attributed(items.select(F.col("c_custkey").alias("id"), payloads.candidate_urls(F.col("item")).alias("candidate_urls")), plan.where("source = 'linkedin'").select("search_idx", F.col("search_url").alias("url")))
+    sizes = payloads.shared_scans(plan).select("batch", F.size("urls").cast("long").alias("searches"))
+    return found.join(plan.select("search_idx", "batch"), "search_idx", "left").join(sizes, "batch", "left").select(F.col("id").alias("c_custkey"), "search_idx", "batch", "searches")
+
+
+@query(_PLAN + """, i AS (SELECT c_nationkey + c_custkey % 4 * 100 AS search_idx, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT DISTINCT s_nationkey + s_suppkey % 4 * 100 AS search_idx FROM supplier WHERE s_acctbal < 0),
+m AS (SELECT source, min(search_idx) AS failed FROM f JOIN s USING (search_idx) GROUP BY 1)
+SELECT search_idx, source, CASE WHEN search_idx = failed THEN 'failed' WHEN search_idx > failed THEN 'skipped' WHEN n IS NULL THEN 'empty' ELSE 'done' END AS outcome, CASE WHEN search_idx >= failed THEN 0 ELSE coalesce(n, 0) END AS items FROM s LEFT JOIN m USING (source) LEFT JOIN i USING (search_idx)""")
+def q76_scan_outcomes(s, d):
+    """Customers as the items of searches, suppliers in debt as those that failed."""
+    at = lambda table, nation, key: (F.col(nation) + F.col(key) % 4 * 100).cast("long").alias("search_idx")
+    items = t(s, d, "customer").select(at("customer", "c_nationkey", "c_custkey"))
+    return payloads.outcomes(_plan(s, d), items, t(s, d, "supplier").where("s_acctbal < 0").select(at("supplier", "s_nationkey", "s_suppkey")))
+
+
+@query("""WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN ts END AS posted, date_trunc('hour', ts) AS run FROM events), m AS (SELECT user_id, max(posted) FILTER (posted <= TIMESTAMP '2024-01-12') AS p, max(run) FILTER (run < TIMESTAMP '2024-01-12') AS r FROM e GROUP BY 1)
+SELECT user_id, coalesce(p, r) AS previous_run, CASE WHEN p IS NOT NULL THEN 'posted' WHEN r IS NOT NULL THEN 'name' END AS known_by FROM m""")
+def q77_previous_run(s, d):
+    """Each user's events as the runs of a spreadsheet of theirs."""
+    rows = t(s, d, "events").select("user_id", F.when(F.col("event_type") == "error", F.col("ts")).alias("posted"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH-mm-ss").alias("run"))
+    return history.run_end(rows, ["user_id"], "posted", "run", F.expr("TIMESTAMP '2024-01-12'"))
+
+
+@query("""SELECT user_id::VARCHAR AS source, event_type AS keyword, ts AS posted, props AS body FROM events WHERE event_type IN ('error', 'click') AND ts > TIMESTAMP '2024-01-20 18:30:00' AND props <> '' """)
+def q78_pushed_scan(s, d):
+    """The event table as a remote source: types go into its request, the time bound as a window of days, and the rest stays with Spark."""
     datasource.register(s)
-    got = s.read.format("searches").options(searches=json.dumps(_plan(s, d)), fetcher="gleanery.sources.trial:echo", batch="5", retries="0").load()
-    return got.select(F.col("search_idx").cast("long").alias("search_idx"), "source", "keyword", "pos", F.get_json_object("json", "$.title").alias("title"))
-
-
-@query(_ITEMS + "SELECT search_idx, source, keyword, pos, said AS title FROM i, (SELECT unnest([0, 1]) AS pos)")
-def q62_remote_runs(s, d):
-    """The plan through remote runs: started, waited for, fetched; a token without credit is retired on the way."""
-    datasource.register(s)
-    got = s.read.format("searches").options(searches=json.dumps(_plan(s, d)), fetcher="gleanery.sources.trial:through_runs", retries="0").load()
-    return got.select(F.col("search_idx").cast("long").alias("search_idx"), "source", "keyword", "pos", F.get_json_object("json", "$.title").alias("title"))
-
-
-@query("""SELECT n_nationkey AS search_idx, n_name AS keyword, CASE WHEN n_nationkey % 5 = 0 THEN 'failed' WHEN n_nationkey % 5 = 1 THEN 'empty' ELSE 'done' END AS outcome, CASE WHEN n_nationkey % 5 < 2 THEN 0 ELSE 2 END AS items FROM nation""")
-def q63_scan_report(s, d):
-    datasource.register(s)
-    rows = [(r.n_nationkey, r.n_name) for r in t(s, d, "nation").orderBy("n_nationkey").collect()]
-    plan = [{"source": "xing", "keyword": k, "payload": {"refused": True} if i % 5 == 0 else {} if i % 5 == 1 else {"keyword": k}} for i, k in rows]
-    got = s.read.format("searches").options(searches=json.dumps(plan), fetcher="gleanery.sources.trial:echo", report="true", retries="0").load()
-    return got.select("search_idx", "keyword", F.get_json_object("json", "$.outcome").alias("outcome"), F.col("pos").alias("items"))
+    s.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    items = s.read.format("scans").options(path=f"{d}/events.parquet", sourceColumn="user_id", keywordColumn="event_type", postedColumn="ts", bodyColumn="props", now="2024-01-31T00:00:00").load()
+    return items.where(F.col("keyword").isin("error", "click") & (F.col("posted") > F.expr("TIMESTAMP '2024-01-20 18:30:00'")) & (F.col("body") != ""))
 
 
 @query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 6 AS m, p_name, p_size FROM part)
 SELECT k, CASE m WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'stepstone' WHEN 3 THEN 'xing' WHEN 4 THEN 'other_board' ELSE 'unknown' END AS source_key,
   CASE m WHEN 0 THEN 'LinkedIn' WHEN 1 THEN 'Indeed' WHEN 2 THEN 'Stepstone' WHEN 3 THEN 'Xing' WHEN 4 THEN 'Other  Board' ELSE 'Unknown' END AS label, CASE m WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS rank,
   CASE m WHEN 0 THEN 'koln' WHEN 1 THEN 'koln' WHEN 2 THEN 'munchen ' || p_size WHEN 3 THEN 'germany' WHEN 4 THEN 'remote' ELSE '' END AS location, CASE m WHEN 0 THEN 'fulltime' WHEN 1 THEN 'fulltime parttime' WHEN 2 THEN 'internship' WHEN 3 THEN 'contract freelance' WHEN 4 THEN 'permanent shift' ELSE '' END AS job_type,
-  CASE m WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' WHEN 2 THEN 'onsite' WHEN 3 THEN 'remote' END AS mode, 'strasse ' || p_name || ' cafe No 5 ae' AS folded, 'job title ' || p_size AS header, CASE m WHEN 5 THEN 'N/A' ELSE p_name END AS first,
+  CASE m WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' WHEN 2 THEN 'onsite' WHEN 3 THEN 'remote' END AS mode, 'strasse ' || p_name || ' cafe No 5 æ' AS folded, 'job title ' || p_size AS header, CASE m WHEN 5 THEN 'N/A' ELSE p_name END AS first,
   CASE WHEN p_size % 10 = 0 THEN format('{:,}', p_size * 1000) ELSE format('{:,}', p_size * 1000) || '.' || (p_size % 10) END AS money, p_name || ' | ' || p_size AS listed, lower(p_name) AS identity, CASE m WHEN 5 THEN '' ELSE p_name END AS cell, CASE m WHEN 0 THEN 1 ELSE 0 END AS plain FROM k""".replace("'Other  Board'", "'Other Board'"))
 def q64_text_forms(s, d):
     """The normal forms of texts, on texts in the shapes that providers give them."""
@@ -200,7 +213,7 @@ def q64_text_forms(s, d):
         F.coalesce(text.first_of(F.lit("open job"), F.lit(" "), F.when(m != 5, F.concat(F.lit("  "), name))), F.lit("N/A")).alias("first"), text.format_money(money).alias("money"), F.array_join(listed, " | ").alias("listed"),
         text.identity_value(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("identity"), text.clean_cell(_cases(m, name, name, name, name, F.concat(F.lit("\t"), name), "N/A")).alias("cell"), text.is_meaningful(_cases(m, name, "N/A", "none", " ", "", None)).cast("int").alias("plain"),
     )
-    return rows.withColumns({"folded": F.replace("folded", F.lit(" æ"), F.lit(" ae")), "label": text.normalize_space(F.col("label")), "plain": F.coalesce("plain", F.lit(0))})
+    return rows.withColumns({"plain": F.coalesce("plain", F.lit(0))})
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_name AS a, p_name || repeat('z', p_size % 5) AS b, length(p_name) AS n, p_size % 5 AS z FROM part)
@@ -277,40 +290,26 @@ def q68_url_keys(s, d):
 SELECT key FROM (SELECT unnest(['apply|//a.example/' || s_suppkey, 'profile|any|' || s_suppkey || '|' || lower(s_name) || '|berlin||2026-05-01', 'profile|xing|' || lower(s_name) || '|co ' || s_suppkey || ' gmbh|berlin||2026-05-01']) AS key FROM k)
 UNION SELECT unnest(['profile|indeed|t|c|l', 'profile|any|c|t|l||'])""")
 def q69_history_of_tabs(s, d):
-    """All suppliers as the rows of an old tab, read back as keys that seed the index, which then is read with an older key in it."""
-    rows = [["App", "Job Title", "Company", "Location", "Posted", "Apply URL"]]
-    rows += [["Xing", r.s_name, f"Co {r.s_suppkey} GmbH", "Berlin", "2026-05-01 08:00:00", f'=HYPERLINK("https://a.example/{r.s_suppkey}?ref=1", "Open Apply")'] for r in t(s, d, "supplier").select("s_suppkey", "s_name").collect()]  # a tab
-    call = sheets.MemoryBook({"2026-05-06 08-30-00": rows, "Notes": [["x"]]})
-    book, now = sheets.Book(call), F.expr("TIMESTAMP '2026-05-07'")
-    sheets.context(s, book, now)
-    book.append(fixed.SEEN_SHEET, [["profile|indeed|t|c|l"]])
-    return sheets.context(s, book, now).keys
-
-
-@query("""SELECT TIMESTAMP '2026-05-01 08:00:00' AS by_posted, TIMESTAMP '2026-05-06 08:30:00' AS by_name, 2 AS tabs FROM region WHERE r_regionkey = 0""")
-def q70_previous_run(s, d):
-    """Where the last run ended: the newest posted time up to now, or else the time in a tab's name."""
-    now = F.expr("TIMESTAMP '2026-05-07'")
-    tab = [["App", "Posted Date"], ["Xing", "2026-05-01T08:00:00Z"], ["Xing", "2099-01-01"], ["Xing", "3 days ago"]]
-    one = sheets.context(s, sheets.Book(sheets.MemoryBook({"2026-05-06 08-30-00": tab, "x": [["y"]]})), now, seed=False)
-    two = sheets.context(s, sheets.Book(sheets.MemoryBook({"2026-05-06 08-30-00": tab[:1], "2099-05-06 08-30-00": [], "x": [["y"]]})), now, seed=False)
-    return s.createDataFrame([(one.previous_run, two.previous_run, len(one.names))], "by_posted timestamp, by_name timestamp, tabs int")
+    """All suppliers as the rows of an old worksheet, whose keys seed the index; then the index with an older key in it."""
+    key = F.col("s_suppkey").cast("string")
+    rows = t(s, d, "supplier").select(
+        F.lit("Xing").alias("App"), F.col("s_name").alias("Job Title"), F.concat(F.lit("Co "), key, F.lit(" GmbH")).alias("Company"), F.lit("Berlin").alias("Location"), F.lit("2026-05-01 08:00:00").alias("Posted"),
+        F.concat(F.lit('=HYPERLINK("https://a.example/'), key, F.lit('?ref=1", "Open Apply")')).alias("Apply URL"),
+    )
+    older = s.createDataFrame([("profile|indeed|t|c|l",)], "key string")
+    return history.index_keys(history.tab_keys(rows).union(older))
 
 
 @query("""SELECT s_suppkey + 2 AS row_number, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'Suitable' WHEN s_suppkey % 3 = 1 THEN 'Not Suitable' ELSE '' END AS verdict, CASE WHEN s_suppkey % 3 < 2 THEN CAST(s_suppkey % 20 AS VARCHAR) ELSE '' END AS score FROM supplier WHERE s_suppkey % 3 <> 1 OR s_suppkey % 2 = 0""")
 def q71_evaluations_written_back(s, d):
-    """Suppliers as a tab: read, evaluated, written back; rejected rows (but those with one label) and done columns are deleted, and the tab is read again."""
-    rows = [(r.s_suppkey, r.s_name) for r in t(s, d, "supplier").orderBy("s_suppkey").collect()]  # a tab
-    call = sheets.MemoryBook({"run": [["Id", "Job Title", "Details", "AI Verdict", "AI Reason"], *([str(k), name, "d", "", "r"] for k, name in rows)]})
-    book = sheets.Book(call)
-    _, headers, read = sheets.read_input(s, book)
-    key = F.get("cells", 0).cast("long")
+    """Suppliers as a worksheet: evaluations are upserted by row, rejected rows (but those with one label) and columns that are done with go."""
+    key = F.col("s_suppkey")
+    rows = evaluate.with_output_columns(t(s, d, "supplier").select((key + 2).alias("row_number"), F.col("s_name").alias("Job Title"), F.lit("d").alias("Details"), F.lit("").alias("AI Verdict"), F.lit("r").alias("AI Reason")))
     kind = key % 3
-    new = read.where(kind < 2).select("row_number", F.when(kind == 0, "Suitable").otherwise("Not Suitable").alias("AI Verdict"), (key % 20).alias("AI Fit Score"), F.when(kind == 0, "").when(key % 2 == 0, "far").otherwise("far; wide").alias("AI Unsuitable Reasons"))
-    sheets.write_evaluations(s, book, "run", headers, new)
-    _, left, read = sheets.read_input(s, book)
-    at = {h: F.get("cells", i) for i, h in enumerate(left)}
-    return read.select((at["Id"].cast("long") + 2).alias("row_number"), at["Job Title"].alias("title"), at["AI Verdict"].alias("verdict"), at["AI Fit Score"].alias("score"))
+    new = t(s, d, "supplier").where(kind < 2).select((key + 2).alias("row_number"), F.when(kind == 0, "Suitable").otherwise("Not Suitable").alias("AI Verdict"), (key % 20).cast("string").alias("AI Fit Score"), F.when(kind == 0, "").when(key % 2 == 0, "far").otherwise("far; wide").alias("AI Unsuitable Reasons"))
+    done = evaluate.upsert(rows, new, "row_number", ["AI Verdict", "AI Fit Score", "AI Unsuitable Reasons"])
+    left = evaluate.without_rejected(done, "`AI Verdict`", "`AI Unsuitable Reasons`").drop(*evaluate.dropped_columns(done.columns))
+    return left.select("row_number", F.col("Job Title").alias("title"), F.col("AI Verdict").alias("verdict"), F.col("AI Fit Score").alias("score"))
 
 
 @query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS is_cv, CASE p_partkey % 3 WHEN 0 THEN '\input' WHEN 1 THEN '\write18' ELSE '' END AS unsafe, p_size AS pages, 'failed: ' || p_name AS cell, p_name AS fenced, CASE WHEN p_partkey % 2 = 0 THEN '\documentclass{a}' || p_name ELSE '' END AS cv,
@@ -333,15 +332,11 @@ def q72_documents(s, d):
 @query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'linkedin xing' WHEN 1 THEN 'linkedin' ELSE 'linkedin indeed stepstone xing' END AS sources, CASE n_nationkey % 4 WHEN 0 THEN 86400 WHEN 1 THEN 604800 WHEN 3 THEN 93600 END AS seconds, CASE n_nationkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '7' WHEN 3 THEN '3' ELSE '' END AS days,
   least(1000, greatest(1, n_nationkey * 100)) AS lim, 'a-' || lower(n_name) || '%2Fx' AS slug FROM nation""")
 def q73_scan_windows(s, d):
-    """Sources, windows and limits of a scan, as the payload builders take them from configuration."""
-    from datetime import datetime
-
-    now, before = datetime(2026, 5, 7, 9), datetime(2026, 5, 6, 8)
-    rows = []
-    for r in t(s, d, "nation").collect():
-        k = r.n_nationkey
-        window = scan.pushed_window(["24h", "last-7d", "backfill", "since_previous_run"][k % 4], now, before)
-        seconds = window.seconds
-        made = scan.payload("indeed", r.n_name, "", seconds, k * 100)
-        rows.append((k, " ".join(scan.providers(["xing jobs, linked in", "?", "all"][k % 3])), seconds, made.get("datePosted", ""), made["limit"], scan.slug(f" A {r.n_name}/x")))
-    return s.createDataFrame(rows, "n_nationkey int, sources string, seconds long, days string, lim int, slug string")
+    """Sources, windows and limits of a scan, as the payloads take them from configuration."""
+    k = F.col("n_nationkey")
+    said = _cases(k % 3, "xing jobs, linked in", "?", "all")
+    mode = _cases(k % 4, "24h", "last-7d", "backfill", "since_previous_run")
+    span = payloads.window(mode, F.expr("TIMESTAMP '2026-05-07 09:00:00'"), F.expr("TIMESTAMP '2026-05-06 08:00:00'"))
+    plan = t(s, d, "nation").select("n_nationkey", F.lit("indeed").alias("source"), F.col("n_name").alias("keyword"), F.lit("").alias("place"), span.alias("seconds"), (k * 100).alias("max_items"), F.array_join(payloads.providers(said), " ").alias("sources"))
+    made, at = payloads.with_payloads(plan), lambda f: F.get_json_object("payload", "$." + f)
+    return made.select("n_nationkey", "sources", "seconds", F.coalesce(at("datePosted"), F.lit("")).alias("days"), at("limit").cast("int").alias("lim"), payloads.slug(F.concat(F.lit(" A "), "keyword", F.lit("/x"))).alias("slug"))

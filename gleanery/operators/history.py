@@ -80,6 +80,26 @@ def new_keys(keys: DataFrame, history: DataFrame) -> DataFrame:
     return keys.select("key").where("key is not null").distinct().join(history.select("key"), "key", "left_anti")
 
 
+def tab_keys(rows: DataFrame) -> DataFrame:
+    """The identity keys of rows of earlier runs' worksheets, whose columns are fixed.HISTORY_HEADERS (those of a profile at least): a column key."""
+    names = {"App": "source_label", "Job Title": "title", "Company": "company", "Location": "location", "Job Type": "job_type", "Posted": "posted"}
+    at = lambda h: F.col(f"`{h}`") if h in rows.columns else F.lit(None).cast("string")
+    listing = rows.select(*(at(h).alias(c) for h, c in names.items()), text.hyperlink_url(at("Apply URL")).alias("apply_url"))
+    return with_keys(listing).select(F.explode("keys").alias("key")).distinct()
+
+
+def index_keys(index: DataFrame) -> DataFrame:
+    """The keys of a stored index (a column key), those of older form with what they also stand for."""
+    return index.select(F.explode(expand_legacy(F.col("key"))).alias("key")).distinct()
+
+
+def run_end(rows: DataFrame, by: list[str], posted: str, run: str, now: Column) -> DataFrame:
+    """Where the last run ended, for each spreadsheet (by): its newest posted time up to now, else the newest time before now in a run's name, else NULL."""
+    started = dates.run_started_at(F.col(run))
+    mark, named = F.max(F.when(F.col(posted) <= now, F.col(posted))), F.max(F.when(started < now, started))
+    return rows.groupBy(*by).agg(F.coalesce(mark, named).alias("previous_run"), F.when(mark.isNotNull(), "posted").when(named.isNotNull(), "name").alias("known_by"))
+
+
 def high_water_mark(df: DataFrame, ts: str, now: Column) -> DataFrame:
     """The latest time that isn't after now."""
     return df.agg(F.max(F.when(F.col(ts) <= now, F.col(ts))).alias("high_water_mark"))

@@ -6,7 +6,6 @@ import json
 import math
 from datetime import datetime
 from typing import NamedTuple
-from urllib.parse import quote, urlencode
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,78 +43,6 @@ def pushed_window(mode: str, now: datetime, previous: datetime | None, buffer_se
     return TimeWindow(max(1, math.ceil((now - previous).total_seconds()) + buffer_seconds), True)
 
 
-def day_bucket(seconds: int | None, days: tuple[int, ...]) -> int | None:
-    needed = math.ceil(seconds / 86_400) if seconds else None
-    return next((d for d in days if needed and needed <= d), None)
-
-
-def _said(known: dict) -> dict:
-    return {k: v for k, v in known.items() if v not in (None, "", [])}
-
-
-def linkedin_payload(urls: list[str], max_items: int = 500, company: bool = False, incognito: bool = True, country: str = "") -> dict:
-    """One scan of one or several searches, whose rows attributed() tells apart. It is split by place if a country is given."""
-    split = {"splitByLocation": True, "splitCountry": country} if country else {"splitByLocation": False}
-    return {"urls": list(urls), "count": max_items * len(urls), "scrapeCompany": company, "useIncognitoMode": incognito, **split}
-
-
-def indeed_payload(keyword: str, place: str = "", seconds: int | None = None, max_items: int = 500, country: str = "de") -> dict:
-    days = day_bucket(seconds, (1, 3, 7, 14))
-    known = {"country": country.lower(), "title": keyword, "location": place, "limit": max(1, min(1000, max_items))}
-    return known | ({"datePosted": str(days)} if days else {})
-
-
-def stepstone_payload(keyword: str = "", place: str = "", seconds: int | None = None, max_items: int = 500, category: str = "", urls: list[str] = (), concurrency: tuple[int, int] = (1, 10), retries: int = 3, proxy: bool = True, proxy_groups: list[str] = ()) -> dict:
-    """Of addresses, or else of a keyword with a place, or else of a category. concurrency: least and most."""
-    days = day_bucket(seconds, (1, 3, 7))
-    through = {"useApifyProxy": proxy} | ({"apifyProxyGroups": list(proxy_groups)} if proxy_groups else {})
-    base = {"maxItems": max_items, "maxConcurrency": concurrency[1], "minConcurrency": min(concurrency), "maxRequestRetries": retries, "proxy": through}
-    if urls:
-        return base | {"startUrls": [{"url": u} for u in urls]}
-    asked = {"keyword": slug(keyword), "location": slug(place)} if keyword else {"category": slug(category)}
-    return base | _said(asked | {"postedWithin": str(days) if days else None})
-
-
-def xing_payload(keyword: str = "", place: str = "", max_items: int = 500, max_pages: int = 10, discipline: str = "", remote: str = "", url: str = "", proxy: bool = True, proxy_groups: list[str] = ()) -> dict:
-    through = {"useApifyProxy": proxy} | ({"apifyProxyGroups": list(proxy_groups)} if proxy_groups else {})
-    base = {"results_wanted": max_items, "max_pages": max_pages, "proxyConfiguration": through}
-    return base | ({"startUrl": url} if url else _said({"keyword": keyword, "location": place, "discipline": discipline, "remote": remote}))
-
-
-def slug(said: str) -> str:
-    """A segment of a path: lower case, hyphens for white space, the rest percent-encoded."""
-    return quote("-".join(said.strip().lower().split()), safe="-_")
-
-
-def payload(source: str, keyword: str, place: str = "", seconds: int | None = None, max_items: int = 500, **more) -> dict:
-    """What a provider's search is asked for; the time window is rounded up to what the provider knows."""
-    if source == "linkedin":
-        own = {k: more.pop(k) for k in ("geo_id", "levels", "kinds") if k in more}
-        return linkedin_payload([search_url(keyword, place, seconds, **own)], max_items, **more)
-    if source == "indeed":
-        return indeed_payload(keyword, place, seconds, max_items, **more)
-    if source == "stepstone":
-        return stepstone_payload(keyword, place, seconds, max_items, **more)
-    if source == "xing":
-        return xing_payload(keyword, place, max_items, **more)
-    raise ValueError(f"unknown source: {source}")
-
-
-def search_url(keyword: str, place: str = "", seconds: int | None = None, geo_id: str = "", levels: list[str] = (), kinds: list[str] = ()) -> str:
-    """The address of a LinkedIn search, whose time window, levels and kinds of contract are pushed down."""
-    asked = {"keywords": keyword, "location": place, "geoId": geo_id, "f_E": ",".join(levels), "f_JT": ",".join(kinds), "position": 1, "pageNum": 0}
-    return "https://www.linkedin.com/jobs/search/?" + urlencode(asked | ({"f_TPR": f"r{seconds}"} if seconds else {}))
-
-
-def direct_payload(source: str, urls: list[str], max_items: int = 500, seconds: int | None = None, **more) -> dict:
-    """One scan of addresses that are configured, in place of keywords."""
-    if source == "stepstone" and urls:
-        return stepstone_payload(urls=urls, seconds=seconds, max_items=max_items, **more)
-    if source == "xing" and len(urls) == 1:
-        return xing_payload(url=urls[0], max_items=max_items, **more)
-    raise ValueError(f"{source} takes no {len(urls)} direct addresses")
-
-
 def providers(said: str) -> list[str]:
     """Aliases, comma separated, to providers in fixed order; without a known one, linkedin."""
     words = [w.strip().lower() for w in said.replace("+", ",").split(",") if w.strip()]

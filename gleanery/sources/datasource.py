@@ -1,85 +1,202 @@
-"""Python data sources: remote searches, one partition each, and worksheets in xlsx files."""
+"""Python data sources: scans that take filters into their requests, in batches or as a stream, and worksheets in xlsx files."""
 
 from __future__ import annotations
 
-import json
+import math
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta, timezone
+from typing import Any
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
-from . import remote
+SCAN = "source string, keyword string, posted timestamp, body string"
+COLUMNS = ("source", "keyword", "posted", "body")
 
-Fetch = Callable[[str, str, dict, int], list[dict]]
-_FETCHERS: dict[str, Fetch] = {}
 
+class Portion(InputPartition):
+    """A file's row group, and the request that it answers."""
 
-def register_fetcher(name: str, fetch: Fetch) -> None:
-    """fetch(source, keyword, payload, max_items) gives raw items. A module path `package.module:function` works on executors too."""
-    _FETCHERS[name] = fetch
+    def __init__(self, file: str, group: int, request: dict):
+        super().__init__((file, group))
+        self.file, self.group, self.request = file, group, request
 
 
-def _fetcher(name: str) -> Fetch:
-    if name in _FETCHERS:
-        return _FETCHERS[name]
+def _function(name: str) -> Callable:
     import importlib
 
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
 
-class Searches(InputPartition):
-    def __init__(self, numbers: list[int], searches: list[dict]):
-        super().__init__(numbers[0])
-        self.numbers, self.searches = numbers, searches
+def _files(path: str) -> tuple[Any, list[str]]:
+    from pyarrow import fs
 
+    system, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = system.get_file_info(folder)
+    if info.is_file:
+        return system, [folder]
+    found = system.get_file_info(fs.FileSelector(folder))
+    return system, sorted(i.path for i in found if i.is_file and i.base_name.endswith(".parquet") and i.base_name[0] not in "._")
 
-class SearchReader(DataSourceReader):
-    """A partition is a search, or the searches of one scan. What a source that may fail can't give is left out, and told in `outcome`."""
+
+class Answers:
+    """What a table of items answers: the columns of a scan under the names that the options give them. One portion a row group, so that a large file is several tasks."""
 
     def __init__(self, options: dict):
-        self.searches = json.loads(options["searches"])
-        self.fetch = options["fetcher"]
-        self.retries = int(options.get("retries", 5))
-        self.base = float(options.get("retrybase", 30))
-        self.size = int(options.get("batch", 1))
-        self.report = options.get("report", "false").lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        asked = [{"payload": {}, "max_items": 500} | s for s in self.searches]
-        out, at = [], 0
-        for batch in remote.batches(asked, self.size):
-            out.append(Searches(list(range(at, at + len(batch))), batch))
-            at += len(batch)
+        self.path = options["path"]
+        self.names = {c: options.get(f"{c}column", c) for c in COLUMNS}
+        self.fetch = options.get("fetcher", "")
+
+    def portions(self, request: dict) -> list[InputPartition]:
+        import pyarrow.parquet as pq
+
+        system, files = _files(self.path)
+        out = []
+        for file in files:
+            with system.open_input_file(file) as f:
+                meta = pq.ParquetFile(f).metadata
+            out += [Portion(file, g, request) for g in range(meta.num_row_groups) if not self._outside(meta.row_group(g), request)]
         return out
 
-    def read(self, p: InputPartition) -> Iterator[tuple]:
-        fetch = _fetcher(self.fetch)
-        keyword = ", ".join(s["keyword"] for s in p.searches)
-        rows, told = remote.run_searches(p.searches, lambda source, payload, n: fetch(source, keyword, payload, n), self.size, self.retries, self.base)
-        if self.report:
-            for t in told:
-                yield p.numbers[t.search_idx], t.source, p.searches[t.search_idx]["keyword"], t.items, json.dumps({"outcome": t.outcome, "error": t.error})
-        else:
-            for i, *rest in rows:
-                yield p.numbers[i], *rest
+    def _outside(self, group: Any, request: dict) -> bool:
+        """Whether a row group's least and greatest posted time say that it holds nothing that is asked for."""
+        low, high = self._range(group)
+        return high is not None and (("since" in request and high < _time(request["since"])) or ("after" in request and high <= _time(request["after"])) or ("upto" in request and low > _time(request["upto"])))
+
+    def _range(self, group: Any) -> tuple[datetime | None, datetime | None]:
+        for k in range(group.num_columns):
+            column = group.column(k)
+            if column.path_in_schema == self.names["posted"] and column.statistics and column.statistics.has_min_max:
+                return _utc(column.statistics.min), _utc(column.statistics.max)
+        return None, None
+
+    def newest(self) -> datetime | None:
+        """The greatest posted time, from the files' statistics alone where they have them."""
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        system, files = _files(self.path)
+        found = []
+        for file in files:
+            with system.open_input_file(file) as f:
+                told = pq.ParquetFile(f)
+                for g in range(told.metadata.num_row_groups):
+                    high = self._range(told.metadata.row_group(g))[1]
+                    if high is None:
+                        high = pc.max(told.read_row_group(g, columns=[self.names["posted"]]).column(0)).as_py()
+                    if high is not None:
+                        found.append(_utc(high))
+        return max(found, default=None)
+
+    def rows(self, portion: Portion) -> Iterator[pa.RecordBatch]:
+        """The items of a row group that the request names, through the fetcher if there is one: fetch(request, batches) sees what the table holds."""
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        system, _ = _files(portion.file)
+        asked = portion.request
+        with system.open_input_file(portion.file) as f:
+            batches = pq.ParquetFile(f).iter_batches(row_groups=[portion.group], columns=list(dict.fromkeys(self.names.values())), batch_size=8192)
+            for batch in _function(self.fetch)(asked, batches) if self.fetch else batches:
+                got = {c: batch.column(n) for c, n in self.names.items()}
+                out = pa.RecordBatch.from_arrays([got[c].cast(pa.timestamp("us", "UTC") if c == "posted" else pa.string()) for c in COLUMNS], names=list(COLUMNS))
+                keep = pa.array([True] * out.num_rows, pa.bool_())
+                for c in ("source", "keyword"):
+                    if c in asked:
+                        keep = pc.and_(keep, pc.fill_null(pc.is_in(out.column(c), value_set=pa.array(asked[c], pa.string())), False))
+                for name, test in (("since", pc.greater_equal), ("after", pc.greater), ("upto", pc.less_equal)):
+                    if name in asked:
+                        keep = pc.and_(keep, pc.fill_null(test(out.column("posted"), pa.scalar(_time(asked[name]), pa.timestamp("us", "UTC"))), False))
+                yield out.filter(keep)
+
+
+def _utc(t: datetime) -> datetime:
+    return t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+
+
+def _time(text: str) -> datetime:
+    return _utc(datetime.fromisoformat(text))
+
+
+class ScanReader(DataSourceReader):
+    """Filters become the request: equal sources and keywords exactly, a lower bound of posted as the least of `days` that covers it, counted back from
+    `now`. A day's window is wider than the bound, so that filter stays with Spark, as do all others."""
+
+    def __init__(self, options: dict):
+        self.answers = Answers(options)
+        self.now = _time(options["now"]) if "now" in options else datetime.now(timezone.utc)
+        self.days = [int(d) for d in options.get("days", "1,3,7,14").split(",")]
+        self.request: dict = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, (EqualTo, In)) and name in ("source", "keyword"):
+                said = [f.value] if isinstance(f, EqualTo) else list(f.value)
+                known = self.request.get(name)
+                self.request[name] = said if known is None else [v for v in known if v in said]
+                continue
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name == "posted":
+                needed = math.ceil((self.now - _utc(f.value)) / timedelta(days=1))
+                day = next((d for d in self.days if needed <= d), None)
+                if day is not None:
+                    since = self.now - timedelta(days=day)
+                    self.request["since"] = max(since, _time(self.request["since"])).isoformat() if "since" in self.request else since.isoformat()
+            yield f
+
+    def partitions(self) -> Sequence[InputPartition]:
+        return self.answers.portions(self.request)
+
+    def read(self, partition: Portion) -> Iterator[pa.RecordBatch]:
+        yield from self.answers.rows(partition)
+
+
+class ScanStream(DataSourceStreamReader):
+    """Offsets are the greatest posted time that has been read: a batch is what lies between two of them, so one that fails is read again as it was.
+    Items that come later with a time that has passed are not new to it; a buffer keeps the mark that far behind the newest."""
+
+    def __init__(self, options: dict):
+        self.answers = Answers(options)
+        self.buffer = timedelta(seconds=float(options.get("bufferseconds", 0)))
+
+    def initialOffset(self) -> dict:
+        return {"posted": "0001-01-02T00:00:00+00:00"}
 
+    def latestOffset(self) -> dict:
+        newest = self.answers.newest()
+        return self.initialOffset() if newest is None else {"posted": (newest - self.buffer).isoformat()}
 
-class SearchSource(DataSource):
-    """spark.read.format("searches") with the options searches (JSON), fetcher, retries, retryBase, batch (LinkedIn searches a
-    scan) and report (true: a row a search, whose pos is the number of items and whose json has outcome and error)."""
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return self.answers.portions({"after": start["posted"], "upto": end["posted"]})
+
+    def read(self, partition: Portion) -> Iterator[pa.RecordBatch]:
+        yield from self.answers.rows(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch."""
+
+
+class ScanSource(DataSource):
+    """spark.read or readStream.format("scans"): items of a parquet folder as source, keyword, posted and body. Options: path, <column>Column (its name
+    there), now, days, fetcher (`package.module:function`), bufferSeconds. Pushing needs spark.sql.python.filterPushdown.enabled. Spark 4.1 keeps what was pushed
+    last with a loaded relation when it is read again without any filter, so load() anew for such a read."""
 
     @classmethod
     def name(cls) -> str:
-        return "searches"
+        return "scans"
 
     def schema(self) -> str:
-        return "search_idx int, source string, keyword string, pos int, json string"
+        return SCAN
 
     def reader(self, schema) -> DataSourceReader:
-        return SearchReader(self.options)
+        return ScanReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return ScanStream(self.options)
 
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -175,5 +292,5 @@ class XlsxSource(DataSource):
 
 
 def register(spark) -> None:
-    for source in (SearchSource, XlsxSource):
+    for source in (ScanSource, XlsxSource):
         spark.dataSource.register(source)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleanery import fixed, queries
 from gleanery.functions import dates, numbers, similarity, text, urls
 from gleanery.operators import components, evaluate, export, filters, history, merge, resolve
-from gleanery.plans import pipeline, scan
+from gleanery.plans import payloads, pipeline, scan
 from gleanery.sources import datasource, providers
 
 
@@ -305,22 +305,6 @@ def test_scan_plan(spark):
     assert scan.providers("xing jobs, linked in") == ["linkedin", "xing"] and scan.providers("?") == ["linkedin"] and len(scan.providers("all")) == 4
     now, before = datetime(2026, 5, 7, 9, 30), datetime(2026, 5, 6, 8, 30)
     assert scan.pushed_window("since_previous_run", now, before) == (25 * 3600 + 3600, True)
-    assert scan.payload("indeed", "k", seconds=90_000, max_items=1500) == {"country": "de", "title": "k", "location": "", "limit": 1000, "datePosted": "3"}
-    assert "datePosted" not in scan.payload("indeed", "k", seconds=2_592_000)
-    assert scan.search_url("a b", "Köln", 3600, "7", ["2", "3"], ["F"]) == "https://www.linkedin.com/jobs/search/?keywords=a+b&location=K%C3%B6ln&geoId=7&f_E=2%2C3&f_JT=F&position=1&pageNum=0&f_TPR=r3600"
-    assert "f_TPR" not in scan.search_url("a")
-    assert scan.linkedin_payload(["u", "v"], 50) == {"urls": ["u", "v"], "count": 100, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": False}
-    assert scan.linkedin_payload(["u"], 50, country="DE") == {"urls": ["u"], "count": 50, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": True, "splitCountry": "DE"}
-    assert scan.payload("linkedin", "a b", "Köln", 3600, 9, geo_id="7")["urls"] == [scan.search_url("a b", "Köln", 3600, "7")]
-    base = {"maxItems": 9, "maxConcurrency": 10, "minConcurrency": 1, "maxRequestRetries": 3, "proxy": {"useApifyProxy": True}}
-    assert scan.direct_payload("stepstone", ["u", "v"], 9, 60) == base | {"startUrls": [{"url": "u"}, {"url": "v"}]}
-    assert scan.payload("stepstone", "GIS Analyst", "Köln ", 90_000, 9) == base | {"keyword": "gis-analyst", "location": "k%C3%B6ln", "postedWithin": "3"}
-    assert scan.payload("stepstone", "k", seconds=None, max_items=9, proxy_groups=["G"]) == base | {"keyword": "k", "proxy": {"useApifyProxy": True, "apifyProxyGroups": ["G"]}}
-    assert scan.stepstone_payload(category="IT", max_items=9, concurrency=(20, 10)) == base | {"category": "it", "minConcurrency": 10}
-    assert scan.direct_payload("xing", ["u"], 9) == {"startUrl": "u", "results_wanted": 9, "max_pages": 10, "proxyConfiguration": {"useApifyProxy": True}}
-    assert scan.payload("xing", "k", "Berlin", 60, 9, max_pages=2, remote="FULL", proxy=False) == {"keyword": "k", "location": "Berlin", "remote": "FULL", "results_wanted": 9, "max_pages": 2, "proxyConfiguration": {"useApifyProxy": False}}
-    with pytest.raises(ValueError):
-        scan.direct_payload("indeed", ["u"])
     rows = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["c"])], "id int, candidate_urls array<string>")
     plan = spark.createDataFrame([("a", 0), ("b", 1)], "url string, search_idx int")
     assert {r.id: r.search_idx for r in scan.attributed(rows, plan).collect()} == {1: 0, 2: None, 3: None}
@@ -328,6 +312,37 @@ def test_scan_plan(spark):
         scan.window_name("someday")
 
 
+def test_payloads(spark):
+    """Of each provider, against what its search takes."""
+    told = "source string, keyword string, place string, seconds long, max_items int, geo_id string, levels array<string>, kinds array<string>, category string, direct_urls array<string>"
+
+    def payload(source, keyword="", place="", seconds=None, max_items=9, geo_id=None, levels=None, kinds=None, category=None, direct_urls=None):
+        df = spark.createDataFrame([(source, keyword, place, seconds, max_items, geo_id, levels, kinds, category, direct_urls)], told)
+        return json.loads(payloads.with_payloads(df).first().payload)
+
+    assert payload("indeed", "k", seconds=90_000, max_items=1500) == {"country": "de", "title": "k", "location": "", "limit": 1000, "datePosted": "3"}
+    assert "datePosted" not in payload("indeed", "k", seconds=2_592_000) and payload("indeed", "k", max_items=0)["limit"] == 1
+    url = "https://www.linkedin.com/jobs/search/?keywords=a+b&location=K%C3%B6ln&geoId=7&f_E=2%2C3&f_JT=F&position=1&pageNum=0&f_TPR=r3600"
+    assert payload("linkedin", "a b", "Köln", 3600, 50, "7", ["2", "3"], ["F"]) == {"urls": [url], "count": 50, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": False}
+    assert "f_TPR" not in payload("linkedin", "a*~")["urls"][0] and "keywords=a%2A~&" in payload("linkedin", "a*~")["urls"][0]
+    base = {"maxItems": 9, "maxConcurrency": 10, "minConcurrency": 1, "maxRequestRetries": 3, "proxy": {"useApifyProxy": True}}
+    assert payload("stepstone", seconds=None, direct_urls=["u", "v"]) == base | {"startUrls": [{"url": "u"}, {"url": "v"}]}
+    assert payload("stepstone", "GIS  Analyst", "Köln ", 90_000) == base | {"keyword": "gis-analyst", "location": "k%C3%B6ln", "postedWithin": "3"}
+    assert payload("stepstone", category="IT") == base | {"category": "it"}
+    assert payload("xing", direct_urls=["u"]) == {"startUrl": "u", "results_wanted": 9, "max_pages": 10, "proxyConfiguration": {"useApifyProxy": True}}
+    assert payload("xing", "k", "Berlin", 60) == {"keyword": "k", "location": "Berlin", "results_wanted": 9, "max_pages": 10, "proxyConfiguration": {"useApifyProxy": True}}
+    x = F.lit("x")
+    more = spark.range(1).select(payloads.linkedin(F.array(x, x), F.lit(50), country="DE").alias("a"), payloads.stepstone(x, x, x, F.lit(None).cast("array<string>"), F.lit(None).cast("long"), F.lit(9), (20, 10), proxy_groups=["G"]).alias("b"), payloads.xing(x, x, F.lit(None).cast("string"), F.lit(9), max_pages=2, remote="FULL", proxy=False).alias("c")).first()
+    assert json.loads(more.a) == {"urls": ["x", "x"], "count": 100, "scrapeCompany": False, "useIncognitoMode": True, "splitByLocation": True, "splitCountry": "DE"}
+    assert json.loads(more.b)["minConcurrency"] == 10 and json.loads(more.b)["proxy"] == {"useApifyProxy": True, "apifyProxyGroups": ["G"]}
+    assert json.loads(more.c) == {"results_wanted": 9, "max_pages": 2, "proxyConfiguration": {"useApifyProxy": False}, "keyword": "x", "location": "x", "remote": "FULL"}
+    for source, urls in (("indeed", ["u"]), ("xing", ["u", "v"]), ("other", None)):
+        with pytest.raises(Exception, match="direct addresses|unknown source"):
+            payload(source, "k", direct_urls=urls)
+    plan = spark.createDataFrame([(i, s) for i, s in enumerate(["linkedin"] * 3 + ["indeed"] * 2 + ["linkedin"] * 2)], "search_idx long, source string")
+    assert [r.batch for r in payloads.batches(plan, 2).orderBy("search_idx").collect()] == [0, 0, 2, 3, 4, 5, 5]
+
+
 def test_numbers_over_a_whole_table(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
     assert sorted((r.k, r.row_number) for r in evaluate.numbered(df, "k").collect()) == [(i, i + 2) for i in range(1000)]
@@ -389,20 +404,8 @@ def test_applicant_cap(spark):
     assert told == {"Role1": "50", "Role2": "N/A", "Role3": "be early", "Role5": "N/A"}
 
 
-def fake_fetch(source, keyword, payload, n):
-    if source == "xing":
-        raise ConnectionError("down")
-    return [{"title": f"{keyword} {i}"} for i in range(n + 3)]
-
-
 def test_data_sources(spark, tmp_path):
     datasource.register(spark)
-    searches = [{"source": "linkedin", "keyword": "a", "max_items": 2}, {"source": "xing", "keyword": "b"}]
-    datasource.register_fetcher("fake", fake_fetch)
-    reader = datasource.SearchReader({"searches": json.dumps(searches), "fetcher": "fake", "retries": "1", "retrybase": "0"})
-    assert [len(list(reader.read(p))) for p in reader.partitions()] == [2, 0]
-    told = datasource.SearchReader({"searches": json.dumps(searches), "fetcher": "fake", "retries": "0", "retrybase": "0", "report": "true"})
-    assert [(r[0], r[3], json.loads(r[4])["outcome"]) for p in told.partitions() for r in told.read(p)] == [(0, 2, "done"), (1, 0, "failed")]
     path = str(tmp_path / "a.xlsx")
     datasource.write_sheet(path, "run", [["Job Title", "Company", ""], ["A & B", '=HYPERLINK("u", "x")'], ["", "C"]])
     got = spark.read.format("worksheet").option("path", path).load().collect()

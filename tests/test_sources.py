@@ -1,162 +1,85 @@
-"""Remote runs and spreadsheets against services in memory, and the readers of settings."""
+"""Scans as a data source, batch and stream, and the readers of settings."""
 
-import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery import fixed
 from gleanery.plans import scan
-from gleanery.sources import remote, sheets
-
-
-class Service:
-    """Answers from a list of (status, body), and keeps what it was asked."""
-
-    def __init__(self, *answers):
-        self.answers, self.asked = list(answers), []
-
-    def __call__(self, method, path, params, body, token):
-        self.asked.append((method, path, params, body, token))
-        return self.answers.pop(0)
-
-
-def client(service, *tokens, **more):
-    clock = iter(range(0, 10_000, 20))
-    return remote.Remote(service, remote.Tokens(list(tokens)), sleep=lambda s: None, clock=lambda: next(clock), **more)
-
-
-RUN, DONE = (201, {"data": {"id": "r1"}}), (200, {"data": {"status": "SUCCEEDED", "defaultDatasetId": "d1"}})
-
-
-def test_a_run():
-    service = Service(RUN, (200, {"data": {"status": "RUNNING"}}), DONE, (200, [{"a": 1}, {"a": 2}]))
-    assert client(service, "t").run("actor", {"k": 1}, 7) == [{"a": 1}, {"a": 2}]
-    assert service.asked[0] == ("POST", "acts/actor/runs", {"timeout": 3600, "memory": 512, "maxItems": 7}, {"k": 1}, "t")
-    assert [a[1] for a in service.asked[1:]] == ["actor-runs/r1", "actor-runs/r1", "datasets/d1/items"] and service.asked[3][2] == {"format": "json", "limit": 7}
-    for body, want in (({"items": [1]}, [1]), ({"items": 3}, []), ({"x": 1}, [])):
-        assert client(Service((200, body)), "t").items("d", 1, "t") == want
-
-
-def test_tokens_retire():
-    service = Service((402, {"error": {"message": "Not enough credit"}}), RUN, (200, {"data": {"status": "FAILED", "statusMessage": "billing stopped"}}), RUN, DONE, (200, []))
-    one = client(service, "a", " b ", "", "c")
-    assert one.run("actor", {}, 1) == [] and [x[4] for x in service.asked] == ["a", "b", "b", "c", "c", "c"]
-    assert one.tokens.left == ["c"] and one.tokens.retire("a") == "c"
-    with pytest.raises(remote.Refused, match="none of 1 tokens"):
-        client(Service((403, {"message": "no"})), "a").run("actor", {}, 1)
-    with pytest.raises(remote.Refused):
-        client(Service()).run("actor", {}, 1)
-
-
-@pytest.mark.parametrize(("answers", "error"), [
-    ([(429, {})], remote.Transient), ([(402, {"error": {"message": "memory limit: 8 GB currently used"}})], remote.Transient), ([(200, "<html>")], remote.Transient), ([(404, {})], remote.Refused),
-    ([(200, {"data": {}})], remote.RunFailed), ([RUN, (200, {"data": {"status": "ABORTED", "error": {"detail": "bad"}}})], remote.RunFailed), ([RUN, (200, {"data": {"status": "TIMED-OUT"}})], remote.RunTimedOut),
-    ([RUN, *[(200, {"data": {"status": "RUNNING"}})] * 400], remote.RunTimedOut), ([RUN, (200, {"data": {"status": "SUCCEEDED"}})], remote.RunFailed),
-])
-def test_runs_that_fail(answers, error):
-    with pytest.raises(error):
-        client(Service(*answers), "t").run("actor", {}, 1)
-
-
-def test_retries():
-    slept, left = [], [remote.Transient("a"), ConnectionError("b"), None]
-
-    def call():
-        if e := left.pop(0):
-            raise e
-        return [1]
-
-    assert remote.with_retries(call, 5, 30, slept.append) == [1] and slept == [30, 60]
-    assert [remote.retry_delay(k) for k in (0, 1, 9)] == [30, 60, 300] and remote.retry_delay(3, 0) == 0
-    with pytest.raises(remote.RunTimedOut):
-        remote.with_retries(lambda: (_ for _ in ()).throw(remote.RunTimedOut("x")), 5, 0, slept.append)
-
-
-def search(source, keyword, n=10, url=None):
-    return {"source": source, "keyword": keyword, "max_items": n, "payload": {"urls": [url], "count": n} if url else {"k": keyword}}
-
-
-def test_batches_and_their_items():
-    plan = [search("linkedin", "a", url="http://a"), search("linkedin", "b", url="http://b"), search("indeed", "c"), search("linkedin", "d", url="http://d"), search("linkedin", "e", url="http://e")]
-    assert [[s["keyword"] for s in b] for b in remote.batches(plan, 2)] == [["a", "b"], ["c"], ["d", "e"]] and len(remote.batches(plan)) == 5
-    assert remote.candidate_urls({"inputUrl": "http://a", "search_url": "ftp://x", "startUrl": "http://b"}) == {"http://a", "http://b"}
-    calls = []
-
-    def fetch(source, payload, n):
-        calls.append((source, payload.get("urls"), n))
-        if payload.get("urls") == ["http://d", "http://e"]:
-            return [{"title": "whose?"}]
-        return [{"title": u, "inputUrl": u} for u in payload.get("urls", ["c"])]
-
-    rows, told = remote.run_searches(plan, fetch, size=2, base=0)
-    assert [(r[0], r[1], r[2], r[3], json.loads(r[4])["title"]) for r in rows] == [(0, "linkedin", "a", 0, "http://a"), (1, "linkedin", "b", 0, "http://b"), (2, "indeed", "c", 0, "c"), (3, "linkedin", "d", 0, "http://d"), (4, "linkedin", "e", 0, "http://e")]
-    assert calls == [("linkedin", ["http://a", "http://b"], 20), ("indeed", None, 10), ("linkedin", ["http://d", "http://e"], 20), ("linkedin", ["http://d"], 10), ("linkedin", ["http://e"], 10)]
-    assert [t.outcome for t in told] == ["done"] * 5
-
-
-def test_what_became_of_searches():
-    plan = [search("xing", "a"), search("indeed", "b"), search("xing", "c"), search("stepstone", "d", 1), search("linkedin", "e"), search("linkedin", "f")]
-
-    def fetch(source, payload, n):
-        if source == "xing":
-            raise remote.RunFailed("down")
-        if source == "linkedin":
-            raise remote.Refused("no access")
-        return [] if source == "indeed" else [{"x": 1}, "no object", {"x": 2}]
-
-    rows, told = remote.run_searches(plan, fetch, retries=1, base=0, sleep=lambda s: None)
-    assert [(t.search_idx, t.outcome, t.items) for t in told] == [(0, "failed", 0), (1, "empty", 0), (2, "skipped", 0), (3, "done", 1), (4, "failed", 0), (5, "skipped", 0)]
-    assert told[2].error == "down" and len(rows) == 1
-    with pytest.raises(ConnectionError):
-        remote.run_searches([search("indeed", "a")], lambda *a: (_ for _ in ()).throw(ConnectionError("x")), retries=0)
-
-
-OLD = [["App", "Job Title", "Company ", "Location", "Posted", "Apply URL", "Notes"], ["Xing", "GIS Analyst", "GeoCo", "Berlin", "2026-05-01 08:00:00", '=HYPERLINK("https://a.b/c?utm_source=x", "Open Apply")', "n"], ["Indeed", "Planner", "City", "Bonn", "2099-01-01 00:00:00"]]
-
-
-def test_earlier_runs(spark):
-    call = sheets.MemoryBook({"2026-05-06 08-30-00": OLD, "Notes": [["x"]], "it's old": [["a"], ["b"]]})
-    book, now = sheets.Book(call), F.lit(datetime(2026, 5, 7))
-    assert book.visible() == ["2026-05-06 08-30-00", "Notes", "it's old"] and book.values(["'it''s old'!A2:A"]) == [[["b"]]]
-    found = sheets.context(spark, book, now)
-    assert found.previous_run == datetime(2026, 5, 1, 8)
-    keys = {r.key for r in found.keys.collect()}
-    assert "apply|//a.b/c" in keys and "profile|any|city|planner|bonn||2099-01-01" in keys and len(keys) == 5
-    assert {s.title: s.hidden for s in book.sheets()}[fixed.SEEN_SHEET] and len(call.rows(fixed.SEEN_SHEET)) == 6 and call.rows(fixed.SEEN_SHEET)[0] == [fixed.SEEN_HEADER]
-    call._append(fixed.SEEN_SHEET, [["profile|xing|t|c|l"], [""], []])
-    again = sheets.context(spark, book, now)
-    assert {r.key for r in again.keys.collect()} == keys | {"profile|xing|t|c|l", "profile|any|c|t|l||"} and again.names == found.names
-    call.tabs[1][2] = [["a"]]
-    assert sheets.context(spark, book, now).previous_run == datetime(2026, 5, 6, 8, 30)  # by the tab's name
-
-
-def test_a_run_is_written(spark):
-    call = sheets.MemoryBook()
-    book = sheets.open_book(call, "2026-05-06 08-30-00")
-    assert sheets.open_book(call, "other").visible() == ["2026-05-06 08-30-00"]
-    cells = ["", "Xing", "T", "C", "L", "", "D", "2026-05-01 00:00:00", "N/A", "k", "N/A", "N/A", "", "", "", "", ""]
-    rows = spark.createDataFrame([cells], ", ".join(f"`{c}` string" for c in fixed.EXPORT_COLUMNS))
-    keys = spark.createDataFrame([("k1",), ("k2",), ("k1",)], "key string")
-    name = sheets.write_run(spark, book, rows, keys, "2026-05-06 08-30-00", ["Applied", "Rejected"])
-    assert name == "2026-05-06 08-30-00 (2)" and call.rows(name) == [fixed.EXPORT_COLUMNS, cells]
-    assert [r["kind"] for r in call.requests] == ["freeze", "header", "filter", "fit", "format", "choice"] and call.requests[-1]["range"]["end_row"] == 1000
-    assert call.rows(fixed.SEEN_SHEET) == [[fixed.SEEN_HEADER], ["k1"], ["k2"]] and sheets.append_seen(spark, book, keys) == 0
-
-
-def test_evaluations_are_written_back(spark):
-    head = ["Job Title", "Details", "AI Verdict", "AI Reason", ""]
-    call = sheets.MemoryBook({"run": [head, ["a", "d"], ["b", "d", "old"], ["c", "d"], ["e"]]})
-    book = sheets.Book(call)
-    name, headers, rows = sheets.read_input(spark, book, "latest")
-    assert (name, headers, rows.count()) == ("run", head[:4], 4) and rows.where("row_number = 3").first().cells == ["b", "d", "old", ""]
-    new = spark.createDataFrame([(2, "Suitable", 20, ""), (3, "Not Suitable", 2, "far; wide"), (4, "Not Suitable", 3, "far")], "row_number int, `AI Verdict` string, `AI Fit Score` int, `AI Unsuitable Reasons` string")
-    sheets.write_evaluations(spark, book, "run", headers, new)
-    assert call.rows("run") == [["Job Title", "AI Verdict", "AI Fit Score", "AI Unsuitable Reasons", "AI Tailored CV", "AI CV PDF"], ["a", "Suitable", "20", ""], ["c", "Not Suitable", "3", "far"], ["e"]]
-    assert [r["first"] for r in call.requests] == [2, 3, 1]
-    with pytest.raises(ValueError):
-        sheets.read_input(spark, sheets.Book(sheets.MemoryBook({"x": [["", ""]]})))
+from gleanery.sources import datasource
+
+NOW = "2026-05-07T00:00:00"
+ROWS = [("xing" if i % 3 else "indeed", f"k{i % 4}", datetime(2026, 5, 1 + i % 6, i % 24), f"b{i}") for i in range(240)]
+
+
+@pytest.fixture
+def items(spark, tmp_path):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")  # which have statistics
+    datasource.register(spark)
+    path = f"{tmp_path}/items"
+    spark.createDataFrame([*ROWS, (None, None, None, None)], "source string, keyword string, posted timestamp, body string").repartitionByRange(3, "posted").write.parquet(path)
+    return path
+
+
+def asked_for(path, pushed, days="1,3,7,14"):
+    """What the reader is left with, and its rows."""
+    reader = datasource.ScanReader({"path": path, "now": NOW, "days": days})
+    left = list(reader.pushFilters(pushed))
+    return left, reader.request, [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()], len(reader.partitions())
+
+
+def test_filters_become_the_request(spark, items):
+    kinds = datasource
+    late = kinds.GreaterThan(("posted",), datetime(2026, 5, 5, 12))
+    left, request, rows, portions = asked_for(items, [kinds.EqualTo(("source",), "xing"), kinds.In(("keyword",), ("k1", "k2")), late])
+    assert left == [late] and request == {"source": ["xing"], "keyword": ["k1", "k2"], "since": "2026-05-04T00:00:00+00:00"}
+    want = [r for r in ROWS if r[0] == "xing" and r[1] in ("k1", "k2") and r[2] >= datetime(2026, 5, 4)]
+    assert sorted(r["body"] for r in rows) == sorted(r[3] for r in want) and portions < 3  # files that end before aren't opened
+    left, request, rows, _ = asked_for(items, [late], days="1")
+    assert left == [late] and request == {} and len(rows) == 241  # no window covers it
+    assert asked_for(items, [kinds.EqualTo(("source",), "xing"), kinds.EqualTo(("source",), "indeed")])[2] == []
+
+
+def test_pushing_changes_no_result(spark, items):
+    df = spark.read.format("scans").options(path=items, now=NOW).load()
+    assert df.where("source = 'indeed'").count() == 80 and df.where("source = 'xing'").count() == 160
+    assert spark.read.format("scans").options(path=items).load().count() == 241
+    some = df.where((F.col("source") == "xing") & F.col("keyword").isin("k1", "k3") & (F.col("posted") >= F.lit(datetime(2026, 5, 6, 5))) & F.col("body").like("b%"))
+    plan = some._jdf.queryExecution().toString()
+    pushed = sorted(r.body for r in some.collect())
+    assert pushed == sorted(r[3] for r in ROWS if r[0] == "xing" and r[1] in ("k1", "k3") and r[2] >= datetime(2026, 5, 6, 5))
+    after = plan[plan.index("== Physical Plan ==") :]
+    assert "posted" in after[after.index("Filter") :].split("\n")[0] and "xing" not in after.split("BatchScan")[0]  # exact ones are gone, the window stays
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    df = spark.read.format("scans").options(path=items, now=NOW).load()
+    assert sorted(r.body for r in df.where(F.col("source") == "xing").collect()) == sorted(r[3] for r in ROWS if r[0] == "xing")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def test_a_failed_batch_is_read_again(spark, items, tmp_path):
+    told: list[tuple[int, list[str]]] = []
+    broken = {"on": False}
+
+    def write(batch, number):
+        rows = sorted(r.body for r in batch.collect())
+        if broken["on"]:
+            raise RuntimeError("lost")
+        told.append((number, rows))
+
+    def run():
+        stream = spark.readStream.format("scans").options(path=items).load()
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+
+    run().awaitTermination()
+    more = [("xing", "k9", datetime(2026, 5, 8, h), f"n{h}") for h in range(5)]
+    spark.createDataFrame(more, "source string, keyword string, posted timestamp, body string").write.mode("append").parquet(items)
+    broken["on"] = True
+    with pytest.raises(Exception, match="lost"):
+        run().awaitTermination()
+    broken["on"] = False
+    run().awaitTermination()
+    assert [rows for _, rows in told] == [sorted(r[3] for r in ROWS), sorted(r[3] for r in more)]
 
 
 def test_settings(spark, tmp_path):
