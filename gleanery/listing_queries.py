@@ -10,6 +10,7 @@ from .functions import latex, similarity, text, urls
 from .operators import evaluate, history, merge, resolve
 from .plans import payloads, scan
 from .registry import query, t
+from .session import spread
 from .sources import datasource, providers
 
 def none() -> Column:
@@ -55,7 +56,7 @@ def q56_indeed_items(s, d):
         "attributes": tags, "benefits": F.array(F.lit("Health insurance"), F.lit("Health  Insurance")), "applicantsCount": F.when(even, F.lit("Over 50 applicants")), "applicants": F.struct(F.col("p_size").alias("count")),
     })
     item = F.concat(F.lit('{"location":'), location, F.lit(","), F.substring(body, F.lit(2), F.length(body)))
-    rows = providers.normalise(t(s, d, "part").select(item.alias("json")), "indeed")
+    rows = providers.normalise(spread(t(s, d, "part")).select(item.alias("json")), "indeed")
     return rows.select("job_id", "title", "company", "location", "job_type", "salary", "work_mode", F.array_join("skills", "|").alias("skills"), "posted", "job_url", "apply_url", "applicant_count", "source_label", "description", "company_details", "metadata")
 
 
@@ -81,7 +82,7 @@ def q57_stepstone_items(s, d):
     })
     kinds = F.when(n % 5 == 0, F.lit('"employmentType":["Teilzeit",{"label":"Festanstellung"}],')).otherwise("")
     item = F.concat(F.lit('{"labels":[{"type":"x","label":"Schnelle Bewerbung"},{"name":"Top"}],"skills":["SQL",["GIS","sql"]],'), kinds, F.substring(body, F.lit(2), F.length(body)))
-    rows = providers.normalise(t(s, d, "supplier").select(item.alias("json")), "stepstone")
+    rows = providers.normalise(spread(t(s, d, "supplier")).select(item.alias("json")), "stepstone")
     return rows.select("job_id", "title", "company", "location", "job_type", "salary", "work_mode", F.array_join("skills", "|").alias("skills"), F.array_join("tags", "|").alias("tags"), "posted", "job_url", "apply_url", "company_url", "description", "company_details", "metadata")
 
 
@@ -103,7 +104,7 @@ def q58_xing_items(s, d):
         "description_html": "<p>Do <b>it</b> now</p>", "activated_at": "2026-05-06", "employment_type": "Full-time", "company_public_profile": F.concat(F.lit("/companies/"), F.col("c_nationkey").cast("string")), "detail_error": F.when(n % 5 == 0, F.lit("late")),
     })
     item = F.concat(F.lit('{"matching_facts":['), fact, F.lit("],"), F.substring(body, F.lit(2), F.length(body)))
-    rows = providers.normalise(t(s, d, "customer").select(item.alias("json")), "xing")
+    rows = providers.normalise(spread(t(s, d, "customer")).select(item.alias("json")), "xing")
     return rows.select("job_id", "title", "company", "location", "job_type", "work_mode", F.array_join("skills", "|").alias("skills"), F.array_join("tags", "|").alias("tags"), "posted", "job_url", "company_url", "description", "company_details", "metadata")
 
 
@@ -124,7 +125,7 @@ def q59_aliases(s, d):
         "externalApplyLink": F.when(n % 2 == 0, F.concat(F.lit("https://x.example/"), key)), "applicantsLabel": F.when(n % 4 == 0, F.lit("1.2k applicants")), "num_applicants": F.when(n % 4 == 1, F.lit("25+")).when(n % 4 == 2, F.lit("7")),
     })
     place = _cases(n % 4, '"location":"Berlin"', '"location":{"formatted":{"long":"Bonn, NW"}}', '"location":{"fullAddress":"Road 1"}', '"location":{"admin1Code":"NW","countryName":"Germany"}')
-    rows = providers.normalise(t(s, d, "orders").select(n, F.concat(F.lit("{"), place, F.lit(","), F.substring(body, F.lit(2), F.length(body))).alias("json")), "linkedin")
+    rows = providers.normalise(spread(t(s, d, "orders")).select(n, F.concat(F.lit("{"), place, F.lit(","), F.substring(body, F.lit(2), F.length(body))).alias("json")), "linkedin")
     return rows.select("o_orderkey", "title", "company", "location", "job_type", "description", "posted", "salary", "job_url", "job_id", "apply_url", "applicant_count", "applicants")
 
 

@@ -74,6 +74,12 @@ def clean(spark: SparkSession) -> None:
         _delete(spark, _STAGED.pop())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it has fewer partitions: a small file of one row group is one task otherwise, however much each row takes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -77,6 +77,26 @@ def first_meaningful(paths: list[str]) -> Column:
     return F.coalesce(*(text.meaningful(field(g[0])) if "." in g[0] else first(F.transform(named(g), clean)) for g in parts))
 
 
+#: A scalar of a JSON text, or a name with its colon, which no scalar ends with.
+_SCALARS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|-?[0-9][-+.0-9eE]*|true|false|null'
+
+
+def scalars(raw: Column) -> Column:
+    """Texts of the strings and numbers of a JSON text in its order, however deep they stand. One pass, whatever the shape."""
+    found = F.filter(F.regexp_extract_all(raw, F.lit(_SCALARS), F.lit(0)), lambda x: ~F.endswith(x, F.lit(":")) & ~x.isin("true", "false", "null"))
+    plain = lambda x: F.when(F.contains(x, F.lit("\\")), F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")).otherwise(F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), plain(x)).otherwise(x))
+
+
+def all_values(path: str) -> Column:
+    """As values() without preferred names, at any depth."""
+    top = variant(path)
+    deep = text.let(F.get_json_object("json", "$." + path), scalars)
+    found = F.when(top.isNull(), F.lit(None)).when(_kind(top).rlike("^(OBJECT|ARRAY)"), deep).otherwise(F.array(_scalar(top)))
+    clean = F.transform(F.filter(found, lambda x: x.isNotNull() & ~x.isin("", "N/A")), text.normalize_space)
+    return F.coalesce(F.filter(clean, lambda x: x != ""), F.array().cast(TEXTS))
+
+
 def values(path: str, prefer: list[str] = (), html: bool = False) -> Column:
     """All texts of a scalar, a list or an object, three deep, in order. An object counts by the first of `prefer` that says something, if any."""
 
@@ -211,13 +231,14 @@ def _row(source: str, **columns: Column) -> list[Column]:
 
 def _indeed_salary(path: str) -> Column:
     """A range with its unit, else the field's texts."""
-    return F.coalesce(money_range(number(f"{path}.minValue"), number(f"{path}.maxValue"), field(f"{path}.currencyCode"), F.lower(field(f"{path}.unitOfWork"))), listed(unique(values(path))))
+    return F.coalesce(money_range(number(f"{path}.minValue"), number(f"{path}.maxValue"), field(f"{path}.currencyCode"), F.lower(field(f"{path}.unitOfWork"))), listed(unique(all_values(path))))
 
 
 def indeed(df: DataFrame) -> DataFrame:
     lists = {"attributes": 40, "benefits": 12, "jobTypes": 8, "employerAttributes": 12}
-    df = df.withColumns({f"_{c}": unique(values(c), n) for c, n in lists.items()})
-    df = df.withColumns({"_tags": unique(F.concat(*(F.col(f"_{c}") for c in lists))), "_kinds": F.coalesce(listed(unique(values("jobTypes"))), listed(unique(F.filter(values("employerAttributes"), lambda x: tag_is(x, fixed.TAG_JOB_TYPES)))))})
+    df = df.withColumns({f"_{c}": unique(all_values(c)) for c in lists})
+    kinds = F.coalesce(listed(F.col("_jobTypes")), listed(F.filter("_employerAttributes", lambda x: tag_is(x, fixed.TAG_JOB_TYPES))))
+    df = df.withColumns({"_tags": unique(F.concat(*(F.slice(f"_{c}", 1, n) for c, n in lists.items()))), "_kinds": kinds, "_benefits": F.slice("_benefits", 1, lists["benefits"])})
     parts = F.array_compact(F.array(field("location.city"), field("location.admin1Code"), first_field("location.countryName", "location.countryCode")))
     place = F.coalesce(listed(unique(parts)), first_field("location.streetAddress", "location.formatted", "location.name", "location"))
     df = df.withColumns({"_place": place, "_salary": F.coalesce(*map(_indeed_salary, ("baseSalary", "salary", "salaryText"))), "_seniority": F.get(F.filter("_tags", is_seniority), 0)})
