@@ -13,7 +13,7 @@ Cases: rows with a null vec_id, a null vector, or a null or non-finite component
 part; vectors may differ in length (a missing place is 0); a query's own row is every
 row of its vec_id; rows that repeat count once; ties go to the smaller vec_id; a query
 without candidates gives no rows; an empty table gives none; other columns are left
-out. Scores have to fit in a signed 64-bit integer.
+out. Scores have to fit in a signed 64-bit integer; a weight beyond 2**55 is an error.
 """
 
 from __future__ import annotations
@@ -48,7 +48,10 @@ def _quantised(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndar
     flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
     bad = np.zeros(len(ids), bool)
     bad[np.repeat(np.arange(len(ids)), lengths)[~np.isfinite(flat)]] = True
-    flat = np.floor(scale * flat[np.repeat(~bad, lengths)]).astype(np.int64)
+    flat = np.floor(scale * flat[np.repeat(~bad, lengths)])
+    if len(flat) and np.abs(flat).max() >= 2.0**55:
+        raise ValueError(f"a component times {scale} lies beyond 2**55")
+    flat = flat.astype(np.int64)
     return ids[~bad], lengths[~bad], flat
 
 
@@ -156,16 +159,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SC
     parts = max(1, math.ceil(queries.count() / queries_per_block))
     asked = common.staged(pack(queries.repartition(parts), queries_per_block), "topk-queries")
     held = common.staged(pack(vectors, candidates_per_block), "topk-candidates")
-    each = lambda df, name: F.explode(F.array(*(F.lit(r.block) for r in df.select("block").collect()))).alias(name)  # noqa: E731  numbers of blocks only
-    if asked.isEmpty() or held.isEmpty():
+    n_asked, n_held = asked.count(), held.count()
+    if not n_asked or not n_held:
         return spark_empty(vectors)
-    left = held.select(F.col("block").alias("c"), each(asked, "q"), "ids", "lengths", "weights")
-    right = asked.select(each(held, "c"), F.col("block").alias("q"), "ids", "lengths", "weights")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = _placed(held, "c").select("c", each(n_asked, "q"), "ids", "lengths", "weights")
+    right = _placed(asked, "q").select(each(n_held, "c"), "q", "ids", "lengths", "weights")
     found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(_searcher(k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _placed(blocks: DataFrame, name: str) -> DataFrame:
+    """blocks with their places from 0. Only numbers of blocks, one for many thousand rows, are put in one order."""
+    place = (F.row_number().over(Window.orderBy("block")) - 1).alias(name)
+    return blocks.join(blocks.select("block", place), "block")
+
+
 def spark_empty(vectors: DataFrame) -> DataFrame:
     return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
