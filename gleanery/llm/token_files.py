@@ -1,7 +1,7 @@
 """Token-id files in patched frame-of-reference blocks.
 
-Documents are ranged by doc_id, about ``PART_BYTES`` of text a range, encoded in order,
-each closed by an end id, and written as files of blocks of 1024 ids: a block's minimum is subtracted, the rest is
+Documents are ranged by doc_id, about ``PART_BYTES`` of text a range but at least as many
+ranges as cores and at most ``MOST_PARTS``, encoded in order, each closed by an end id, and written as files of blocks of 1024 ids: a block's minimum is subtracted, the rest is
 packed at the width that holds ``percentile`` of the block, and ids that need more
 bits go whole to the block's exception list. Behind the blocks stand the index of
 block starts and the index of documents.
@@ -41,6 +41,7 @@ from .encoding import encoder, vocabulary_path
 BLOCK = 1024
 END_ID = 0
 PART_BYTES = 32 << 20
+MOST_PARTS = 10_000  # larger ranges end in several files
 MAGIC = b"GPF1"
 FOOTER = struct.Struct("<QQQQ4s")
 MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
@@ -215,8 +216,9 @@ def write(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int
     """Writes the files below uri, a folder that all executors see, and returns their manifest. docs: doc_id, text."""
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    if not parts:  # a range for each PART_BYTES of text
+    if not parts:
         parts = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
+        parts = min(MOST_PARTS, max(spark.sparkContext.defaultParallelism, parts))
     system, folder = _filesystem(uri)
     system.create_dir(folder)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
