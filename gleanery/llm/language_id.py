@@ -3,10 +3,12 @@
 The pieces of a fixed public vocabulary get a probability in each language. A word's
 probability is the sum, over all ways to cut it into pieces, of the product of their
 probabilities; the forward algorithm gives it without listing the ways. A text's log
-probability is the sum over its words (runs of letters, lower-cased, with the word mark
-in front; longer runs than ``LONGEST`` characters are cut every ``LONGEST``), and the
-score is the posterior of the best language under equal priors. Words are scored once
-per Python worker and kept in a cache of bounded size.
+probability is the sum over its words (runs of letters of any length, lower-cased, with
+the word mark in front), and the score is the posterior of the best language under equal
+priors. The forward pass looks back no farther than the longest piece: words of up to
+``TOGETHER`` characters go through it together, those of one length at a time, and
+longer ones, as in scripts without spaces, one by one with as many sums held as a piece
+is long. Words are scored once per Python worker and kept in a cache of bounded size.
 
 Learning is EM on the expected piece counts of a sample: of each language about
 ``per_language`` documents, taken by a hash of doc_id among those with a language, at
@@ -40,7 +42,7 @@ UNKNOWN = "und"
 PER_LANGUAGE = 300
 LONGEST_SAMPLE = 100_000
 MOST_LANGUAGES = 200
-LONGEST = 48
+TOGETHER = 48
 ROUNDS = 4
 SMOOTH = 0.05
 OUTSIDE = 1e-8
@@ -71,11 +73,7 @@ def longest_piece(pieces: dict[str, int]) -> int:
 
 def text_words(text: str | None) -> list[str]:
     found = WORD.findall((text or "").lower())
-    if not any(c.isalpha() for w in found for c in w):
-        return []
-    if max(map(len, found)) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 class Lattice:
@@ -146,14 +144,34 @@ def lift(values: np.ndarray, lifts: np.ndarray, at: int, before: int, reach: sli
         lifts[reach] += low
 
 
+def long_log_probability(word: str, pieces: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """Of one word of any length in each language. sums[l - 1] belongs to the place l characters back."""
+    marked, get, none = "▁" + word, pieces.get, len(pieces)
+    sums, lifts = np.zeros((longest, p.shape[1])), np.zeros(p.shape[1])
+    sums[0] = 1
+    for j in range(1, len(marked) + 1):
+        ids = [get(marked[j - l : j], none) for l in range(1, min(longest, j) + 1)]
+        if ids[0] == none:
+            ids[0] = none + 1
+        new = (sums[: len(ids)] * p[ids]).sum(axis=0)
+        sums[1:] = sums[:-1].copy()
+        sums[0] = new
+        low = new < 1 / LIFT
+        if low.any():
+            sums[:, low] *= LIFT
+            lifts += low
+    return np.log(sums[0]) - lifts * np.log(LIFT)
+
+
 def by_length(words: list[str], most: int = 2048) -> Iterator[list[int]]:
-    """Numbers of words of one length, at most `most` at a time."""
+    """Numbers of words of one length, at most `most` at a time, and fewer of long ones."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    for g in groups.values():
-        for i in range(0, len(g), most):
-            yield g[i : i + most]
+    for n, g in groups.items():
+        some = max(1, min(most, most * TOGETHER // max(1, n)))
+        for i in range(0, len(g), some):
+            yield g[i : i + some]
 
 
 def learn(samples: list[tuple[str, str]], pieces: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -186,22 +204,29 @@ class Identifier:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.long_held = 0  # characters of long words in the cache
         self.scores = np.zeros((1 << 14, max(1, len(self.langs))))
 
     def _add(self, words: list[str]) -> None:
         n = len(self.known)
         while n + len(words) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        for g in by_length(words):
-            lattice = Lattice([words[i] for i in g], self.pieces, self.longest)
-            self.scores[n + np.array(g)] = lattice.log_probability(self.p)
+        short = [i for i, w in enumerate(words) if len(w) <= TOGETHER]
+        for g in by_length([words[i] for i in short]):
+            at = [short[i] for i in g]
+            lattice = Lattice([words[i] for i in at], self.pieces, self.longest)
+            self.scores[n + np.array(at)] = lattice.log_probability(self.p)
+        for i, w in enumerate(words):
+            if len(w) > TOGETHER:
+                self.scores[n + i] = long_log_probability(w, self.pieces, self.longest, self.p)
+                self.long_held += len(w)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and score of each text."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if len(self.known) > self.most_words:
+        if len(self.known) > self.most_words or self.long_held > 4 * self.most_words:
             self.forget()
         found = [text_words(t) for t in texts]
         words = list(chain.from_iterable(found))

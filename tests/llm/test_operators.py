@@ -662,6 +662,47 @@ def test_identifier_equals_all_segmentations():
     assert [said.identify([t])[0][0] for t in texts] == langs
 
 
+def test_long_words_are_summed_whole():
+    """A run of 60 letters by recursion, and longer ones against the words that go together."""
+    from functools import lru_cache
+
+    pieces = language_id.load_pieces(encoding.vocabulary_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    p = rng.random((len(pieces) + 2, 2)) * 1e-3
+    p[-2:] = [[0.0] * 2, [language_id.OUTSIDE] * 2]
+    longest = language_id.longest_piece(pieces)
+    word = ("theinternationalisation" * 3)[:60]
+    marked = "▁" + word
+
+    @lru_cache(None)
+    def ways(at):
+        if at == len(marked):
+            return (1.0, 1.0)
+        total = [0.0, 0.0]
+        for end in range(at + 1, len(marked) + 1):
+            row = pieces.get(marked[at:end], len(pieces) + 1 if end == at + 1 else None)
+            if row is not None:
+                total = [t + x * y for t, x, y in zip(total, p[row].tolist(), ways(end), strict=True)]
+        return tuple(total)
+
+    got = language_id.long_log_probability(word, pieces, longest, p)
+    assert np.allclose(got, np.log(ways(0)), rtol=1e-12)
+    for w in (word[:7], "ꔀ" * 700, word * 40):  # beyond what a double holds
+        assert np.allclose(language_id.long_log_probability(w, pieces, longest, p), language_id.Lattice([w], pieces, longest).log_probability(p)[0], rtol=1e-12)
+    said = language_id.Identifier(["a", "b"], p, encoding.vocabulary_path("piece_bpe_32k.model"), most_words=20)
+    alone = [said.identify([t])[1][0] for t in (word * 3, "the", word * 2)]
+    assert np.allclose(said.identify([word * 3, "the", word * 2])[1], alone)
+
+
+def test_blocks_have_no_literals_in_the_plan(spark):
+    rows = [(i, [float(i % 7), float(i % 5) - 2.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(df, df.where("vec_id % 50 = 0"), candidates_per_block=10, queries_per_block=2)
+    assert found.count() == 30 and len(found._jdf.queryExecution().toString()) < 60_000
+    with pytest.raises(Exception, match="beyond"):
+        topk.search(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), df)
+
+
 def test_languages_are_bounded(spark):
     rows = [(i, "the dog and the cat " * 3, "en") for i in range(40)] + [(100 + i, "der hund und die katze " * 3, "de") for i in range(40)] + [(200 + i, f"noise {i}", f"x{i}") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
