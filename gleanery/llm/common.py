@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import clean, cut, discard, fresh_path, shared_dir, staged
+from ..session import clean, cut, discard, fresh_path, shared_dir, spread, staged
 
-__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "let_go", "shared_dir", "slices", "small_batches", "staged", "table"]
+__all__ = ["clean", "cut", "discard", "fresh_path", "held_out", "is_held_out", "kept", "let_go", "shared_dir", "slices", "small_batches", "spread", "staged", "table"]
 
 
 def give_back() -> None:
@@ -57,7 +57,9 @@ def let_go() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents, whose rows take long, are dealt to all cores where their file is too small to be split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def small_batches(spark: SparkSession, most_bytes: int = 1 << 20) -> None:

@@ -308,7 +308,7 @@ def _scorer(model: Broadcast) -> Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, longest_sample: int = LONGEST_SAMPLE) -> Broadcast:
     """A broadcast model of fixed size, trained on the sample that the module's text describes."""
-    marks = labels.where(F.col("toxic").isNotNull() & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     share = lambda most, y: min(1.0, most / n[y]) if n.get(y) else 0.0
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
