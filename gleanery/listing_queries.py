@@ -341,3 +341,17 @@ def q73_scan_windows(s, d):
     plan = t(s, d, "nation").select("n_nationkey", F.lit("indeed").alias("source"), F.col("n_name").alias("keyword"), F.lit("").alias("place"), span.alias("seconds"), (k * 100).alias("max_items"), F.array_join(payloads.providers(said), " ").alias("sources"))
     made, at = payloads.with_payloads(plan), lambda f: F.get_json_object("payload", "$." + f)
     return made.select("n_nationkey", "sources", "seconds", F.coalesce(at("datePosted"), F.lit("")).alias("days"), at("limit").cast("int").alias("lim"), payloads.slug(F.concat(F.lit(" A "), "keyword", F.lit("/x"))).alias("slug"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def q79_remembered_keys(s, d):
+    """The event table as a stream against keyed state, whose keys expire a year after they came last."""
+    from .session import fresh_path
+    from .streaming import incremental
+
+    incremental.use_rocksdb(s)
+    rows = s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/events.parq*").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    at = fresh_path(s, "remembered")
+    fresh = incremental.remembered(rows, ["user_id", "event_type"], "ts", 365 * 86_400, late="60 days", renew=True)
+    fresh.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(fresh.schema).parquet(f"{at}/out").select("user_id", "event_type")

@@ -9,7 +9,10 @@ Texts whose blend reaches `least` have a word overlap or a matching-block ratio
   the other, so 3 L - 1 - s bigrams or more stand in both, and prefixes of rare bigrams meet likewise.
 
 Rarity is counted within a group, so a word that is common in one group may lead in
-another. What meets goes through the length bound, then through letter counts.
+another. A mark that more than ``HOT`` texts of a group have brings nobody together by
+itself: texts that have to share two marks or more share two of those that lead when one more
+leads, so a hot mark is joined with each other one, and only such pairs meet. What meets goes
+through the length bound, then through letter counts.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 
 SLACK = 1e-9
+HOT = 1000
 
 
 def words(text: Column) -> Column:
@@ -36,15 +40,30 @@ def _marks(least: float) -> Column:
     return F.concat(mark("w", told), mark("g", F.array_distinct(pairs)))
 
 
-def close_pairs(texts: DataFrame, least: float) -> DataFrame:
+def _keys(hot: int) -> Column:
+    """What brings a text together with others, of its marks `m` (n, mark; rare ones first), of which `lead` lead."""
+    lead, several = F.greatest("lead", F.lit(1)), F.col("lead") < F.size("m")
+    alone = F.transform(F.filter(F.slice("m", 1, lead), lambda x: (x["n"] > 1) & ((x["n"] <= hot) | ~several)), lambda x: x["mark"])
+    more = F.filter(F.slice("m", 1, lead + 1), lambda x: x["n"] > 1)
+    joined = lambda x, y: F.concat(F.least(x["mark"], y["mark"]), F.lit("\x00"), F.greatest(x["mark"], y["mark"]))
+    pairs = F.flatten(F.transform(F.filter(more, lambda x: x["n"] > hot), lambda x: F.transform(F.filter(more, lambda y: y["mark"] != x["mark"]), lambda y: joined(x, y))))
+    return F.concat(alone, F.when(several, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")))
+
+
+def keyed(texts: DataFrame, least: float, hot: int = HOT) -> DataFrame:
+    """grp, kind, mark and text: texts of a group that may reach `least` share a mark of a kind. texts: grp, text, each once."""
+    marked = texts.select("grp", "text", F.explode(_marks(least)).alias("m")).select("grp", "text", "m.*")
+    rare = marked.groupBy("grp", "kind", "mark").agg(F.count("*").alias("n")).where("n > 1")  # what one text has leads to none
+    ordered = marked.join(rare, ["grp", "kind", "mark"], "left").groupBy("grp", "text", "kind").agg(F.first("lead").alias("lead"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "mark"))).alias("m"))
+    return ordered.select("grp", "text", "kind", F.explode(_keys(hot)).alias("mark"))
+
+
+def close_pairs(texts: DataFrame, least: float, hot: int = HOT) -> DataFrame:
     """grp, a and b of all pairs a < b of different texts of one group whose blend may reach `least` (0.8 or more). texts: grp, text."""
     if least < 0.8:
         raise ValueError("texts of a lower likeness need not share a bigram")
     once = texts.where(F.col("text") != "").select("grp", "text").distinct()
-    marked = once.select("grp", "text", F.explode(_marks(least)).alias("m")).select("grp", "text", "m.*")
-    rare = marked.groupBy("grp", "kind", "mark").agg(F.count("*").alias("n")).where("n > 1")  # what one text has leads to none
-    ordered = marked.join(rare, ["grp", "kind", "mark"], "left").groupBy("grp", "text", "kind").agg(F.first("lead").alias("lead"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "mark"))).alias("m"))
-    first = ordered.select("grp", "text", "kind", F.explode(F.slice("m", 1, F.greatest("lead", F.lit(1)))).alias("m")).where("m.n > 1").select("grp", "kind", "m.mark", "text")
+    first = keyed(once, least, hot)
     a, b = first.withColumnRenamed("text", "a"), first.withColumnRenamed("text", "b")
     sized = similarity.length_bound(F.length("a"), F.length("b")) >= least
     met = a.join(b, ["grp", "kind", "mark"]).where((F.col("a") < F.col("b")) & ((F.col("kind") == "w") | sized)).select("grp", "a", "b").distinct()

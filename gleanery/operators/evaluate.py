@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,6 +203,23 @@ class Pace:
             self.next = max(self.clock(), self.next) + self.pause
 
 
+class Lane(Pace):
+    """Starts of one of several tasks that share a pace: the wall clock is dealt out in turns of `pause`, and a lane starts a call at its own turns
+    alone, one of `lanes`. So no two lanes start within a pause of each other, whenever their tasks begin, end or run again."""
+
+    def __init__(self, pause: float, lane: int, lanes: int, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time):
+        super().__init__(pause, sleep, clock)
+        self.lane, self.lanes, self.turn = lane, lanes, -1
+
+    def wait(self) -> None:
+        with self.lock:
+            now = int(self.clock() / self.pause) + 1  # the first turn that lies ahead
+            after = max(now, self.turn + 1)
+            self.turn = after + (self.lane - after) % self.lanes
+            while (left := self.turn * self.pause - self.clock()) > 0:
+                self.sleep(left)
+
+
 def asked(model: Callable[[str], str], prompt_: str, pace: Pace, attempts: int = 3, base: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """The model's answer, or `Error: ...` after so many attempts. Between them it waits as long as the error asks for (retry_after), or twice as long each time, with some chance in it."""
     said = ""
@@ -219,20 +237,20 @@ def asked(model: Callable[[str], str], prompt_: str, pace: Pace, attempts: int =
     return said
 
 
-def answers(prompts: DataFrame, model: Callable[[str], str], per_second: float = 0.0, attempts: int = 3, at_once: int = 8, base: float = 1.0) -> DataFrame:
+def answers(prompts: DataFrame, model: Callable[[str], str], per_second: float = 0.0, attempts: int = 3, at_once: int = 8, base: float = 1.0, lanes: int = 4) -> DataFrame:
     """row_number and response of rows (row_number, prompt). The model is a function of a prompt; it is called in the tasks, at_once
-    calls at a time in each, and again after an error; the last error becomes the response. With per_second there is one task, whose
-    calls start no faster than that: such a rate is far below what one task can do, so the pace is the whole run's."""
+    calls at a time in each, and again after an error; the last error becomes the response. With per_second, calls of the whole run start
+    no faster than that: rows are dealt to `lanes` tasks, and each starts calls at its own turns."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace(1 / per_second if per_second else 0.0)
+        pace = Lane(1 / per_second, TaskContext.get().partitionId(), lanes) if per_second else Pace(0.0)
         with ThreadPoolExecutor(at_once) as pool:
             for frame in frames:
                 given = list(pool.map(lambda p: asked(model, p, pace, attempts, base), frame["prompt"]))
                 yield pd.DataFrame({"row_number": frame["row_number"], "response": given})
 
     rows = prompts.select("row_number", "prompt")
-    return (rows.coalesce(1) if per_second else rows).mapInPandas(run, "row_number long, response string")
+    return (rows.repartition(lanes) if per_second else rows).mapInPandas(run, "row_number long, response string")
 
 
 def evaluate(queue: DataFrame, model: Callable[[str], str], master: str, cv: str, per_second: float = 0.0, attempts: int = 3) -> DataFrame:

@@ -341,14 +341,12 @@ def q42_resume_newest_incomplete(s, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def q43_incremental_dedupe(s, d):
     """The event table as a stream, one pass over what is there."""
-    import uuid
-
-    from .session import shared_dir
+    from .session import fresh_path
     from .streaming import incremental
 
     schema = t(s, d, "events").schema
     rows = s.readStream.schema(schema).parquet(f"{d}/events.parq*").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    at = fresh_path(s, "stream")
     fresh = incremental.first_seen(rows, "key").select("user_id", "event_type")
     fresh.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{at}/out")
