@@ -11,8 +11,9 @@ Texts whose blend reaches `least` have a word overlap or a matching-block ratio
 Rarity is counted within a group, so a word that is common in one group may lead in
 another. A mark that more than ``HOT`` texts of a group have brings nobody together by
 itself: texts that have to share two marks or more share two of those that lead when one more
-leads, so a hot mark is joined with each other one, and only such pairs meet. What meets goes
-through the length bound, then through letter counts.
+leads, so a hot mark is joined with each other one, and only such pairs meet. (Two hot marks
+of the same texts still make one long list.) What meets goes through the length bound, then
+through letter counts.
 """
 
 from __future__ import annotations
