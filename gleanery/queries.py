@@ -437,7 +437,7 @@ def q54_rejected_rows_removed(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import listing_queries  # noqa: F401  registers its own
+    from . import listing_queries, stage_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
