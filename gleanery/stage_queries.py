@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import filenames, text
-from .operators import documents, evaluate, export, merge, resolve
+from .operators import deltas, documents, evaluate, export, merge, resolve
 from .registry import query, t
+from .session import fresh_path
 
 
 def _word(block, letters: str):
@@ -93,3 +94,16 @@ def q86_output_columns(s, d):
     rows = t(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("Job Title"), F.lit("old").alias("ai verdict"), F.lit("r").alias("AI Reason"), F.lit("d").alias("Job Description"), F.lit("m").alias("AI Model"))
     out = evaluate.with_output_columns(rows)
     return out.drop(*evaluate.dropped_columns(out.columns))
+
+
+@query("SELECT d.doc_id, d.source, coalesce(l.q, d.lang) AS lang FROM documents d LEFT JOIN (SELECT doc_id, 'q' || quality AS q FROM labels) l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.doc_id % 7 > 0")
+def q87_upserts_in_deltas(s, d):
+    """Documents as a table of ranged files, labels as a delta, and a second delta that takes every seventh labelled document out; half of it compacted."""
+    at = fresh_path(s, "deltas")
+    docs, labels = t(s, d, "documents").select("doc_id", "source", "lang"), t(s, d, "labels")
+    deltas.create(docs, at, "doc_id", 16)
+    new = labels.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "source", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"))
+    deltas.upsert(new, at, "doc_id")
+    deltas.compact(s, at, "doc_id")
+    deltas.upsert(new.limit(0), at, "doc_id", labels.where("doc_id % 7 = 0").select("doc_id"))
+    return deltas.read(s, at, "doc_id")
