@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import filenames, text
 from .operators import deltas, documents, evaluate, export, merge, resolve
 from .registry import query, t
-from .session import fresh_path
+from .session import dealt, fresh_path
 
 
 def _word(block, letters: str):
@@ -20,7 +20,7 @@ def q80_blocked_clusters(s, d):
     k = F.col("s_suppkey")
     m, block = k % 6, F.floor(k / 6)
     kind = F.when(m == 1, "Junior Platform Engineer").when(m == 2, "Senior Platform Analyst").otherwise("Senior Platform Engineer")
-    rows = t(s, d, "supplier").select(
+    rows = dealt(t(s, d, "supplier"), "s_suppkey").select(
         k.alias("idx"), F.concat(kind, F.lit(" for International Operations "), _word(block, "klmnopqrst")).alias("title"), F.concat(F.lit("Firm "), _word(block, "abcdefghij")).alias("company"), F.when(m == 3, "Bonn").otherwise("Berlin").alias("location"),
         F.when(m == 4, "2026-09-01").otherwise("2026-05-01").alias("posted"), F.when(m.isin(0, 2), F.concat(F.lit("https://apply.example/"), block.cast("string"))).alias("apply_url"),
     )
