@@ -47,6 +47,14 @@ def held(spark, folder, name, **tables):
     return got
 
 
+def test_work_queue_of_short_and_missing_texts(spark, tmp_path):
+    """Every pair of labels beside a text that is short, long or null; short texts of suitable rows are unusable."""
+    pairs = "SELECT t * 5 + l + 1 AS doc_id, [NULL, '', 'short', 'a text of more than twenty characters'][t + 1] AS text FROM range(4) a(t), range(5) b(l)"
+    kinds = "SELECT t * 5 + l + 1 AS doc_id, l % 2 AS quality, l // 2 AS toxic FROM range(4) a(t), range(4) b(l)"
+    got = held(spark, tmp_path, "q36_work_queue", documents=pairs, labels=kinds)
+    assert len(got) == 20 and set(got["state"]) == {"queued", "skipped", "unusable"}
+
+
 def test_blocked_pairs_of_copies_are_not_squared(spark, tmp_path):
     """Copies of three sets of words: two links between the classes of a brand, and one row for each copy but the first."""
     part = "SELECT i AS p_partkey, ['red bolt', 'bolt  RED', 'red nut', 'old nut', ''][i % 5 + 1] AS p_name, 'Brand#' || i % 2 AS p_brand, 'SMALL' AS p_type FROM range(600) r(i)"
