@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, normalize_space
+from .text import fold, let, normalize_space
 
 
 def salary_number(text: Column) -> Column:
     """A number with American or European separators and an optional k."""
-    t = F.lower(F.replace(F.trim(text), F.lit(" "), F.lit("")))
-    k = F.endswith(t, F.lit("k"))
-    t = F.regexp_replace(t, "k$", "")
+    return let(F.lower(F.replace(F.trim(text), F.lit(" "), F.lit(""))), lambda t: let(F.regexp_replace(t, "k$", ""), _plain_number) * F.when(F.endswith(t, F.lit("k")), 1000).otherwise(1))
+
+
+def _plain_number(t: Column) -> Column:
     both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
     comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
     bare = F.regexp_replace(t, "[.,]", "")
@@ -22,7 +23,7 @@ def salary_number(text: Column) -> Column:
         .when(t.rlike(r"[.,]\d{3}$"), bare)
         .otherwise(F.replace(t, F.lit(","), F.lit(".")))
     )
-    return plain.try_cast("double") * F.when(k, 1000).otherwise(1)
+    return plain.try_cast("double")
 
 
 PLAUSIBLE = {"hour": (5, 1_000), "month": (100, 100_000), "year": (1_000, 1_000_000)}
@@ -30,19 +31,27 @@ PLAUSIBLE = {"hour": (5, 1_000), "month": (100, 100_000), "year": (1_000, 1_000_
 
 def parse_salary(value: Column) -> Column:
     """A struct of minimum, maximum, currency, period and raw; only raw if no number is plausible."""
-    raw = normalize_space(value)
-    low = fold(raw)
+    return let(normalize_space(value), lambda raw: let(fold(raw), lambda low: _salary(raw, low)))
+
+
+def _salary(raw: Column, low: Column) -> Column:
     has = lambda *xs: low.rlike("|".join(xs))
     period = F.when(has("hour", "stunde"), "hour").when(has("month", "monat"), "month").otherwise("year")
     currency = F.when(F.contains(raw, F.lit("€")) | has("eur"), "EUR").when(F.contains(raw, F.lit("$")) | has("usd"), "USD").when(F.contains(raw, F.lit("£")) | has("gbp"), "GBP")
     found = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+(?:[.,]\d+)?\s*k?)"), F.lit(1)), salary_number)
-    low_end, high_end = (F.when(period == "hour", PLAUSIBLE["hour"][i]).when(period == "month", PLAUSIBLE["month"][i]).otherwise(PLAUSIBLE["year"][i]) for i in (0, 1))
-    numbers = F.filter(found, lambda n: n.between(low_end, high_end))
-    fit = F.size(numbers) > 0
-    return F.struct(
-        F.when(fit, F.array_min(numbers)).alias("minimum"), F.when(fit, F.array_max(numbers)).alias("maximum"),
-        F.when(fit, currency).alias("currency"), F.when(fit, period).alias("period"), F.when(raw != "", raw).alias("raw"),
-    )
+
+    def told(period: Column) -> Column:
+        low_end, high_end = (F.when(period == "hour", PLAUSIBLE["hour"][i]).when(period == "month", PLAUSIBLE["month"][i]).otherwise(PLAUSIBLE["year"][i]) for i in (0, 1))
+        return let(F.filter(found, lambda n: n.between(low_end, high_end)), lambda numbers: ranged(period, numbers))
+
+    def ranged(period: Column, numbers: Column) -> Column:
+        fit = F.size(numbers) > 0
+        return F.struct(
+            F.when(fit, F.array_min(numbers)).alias("minimum"), F.when(fit, F.array_max(numbers)).alias("maximum"),
+            F.when(fit, currency).alias("currency"), F.when(fit, period).alias("period"), F.when(raw != "", raw).alias("raw"),
+        )
+
+    return let(period, told)
 
 
 def midpoint(salary: Column) -> Column:

@@ -3,8 +3,11 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery import queries as engine
+from gleanery import session
+from gleanery.functions import numbers
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -60,3 +63,39 @@ def test_blocked_pairs_of_copies_are_not_squared(spark, tmp_path):
     part = "SELECT i AS p_partkey, ['red bolt', 'bolt  RED', 'red nut', 'old nut', ''][i % 5 + 1] AS p_name, 'Brand#' || i % 2 AS p_brand, 'SMALL' AS p_type FROM range(600) r(i)"
     got = held(spark, tmp_path, "q28_blocked_pairs_scored", part=part)
     assert len(got) == 2 * (2 + 240 - 3)
+
+
+@pytest.fixture(scope="module")
+def one_group(tmp_path_factory):
+    """Tables of one row group each, which Spark splits into more pieces than it has cores: all rows but for one piece are in none."""
+    at = tmp_path_factory.mktemp("group")
+    c = duckdb.connect()
+    part = "SELECT i AS p_partkey, 'old bolt ' || i AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, (i % 50)::INT AS p_size, 900.0 + i AS p_retailprice FROM range(4000) r(i)"
+    orders = "SELECT i AS o_orderkey, i % 99 AS o_custkey, 'O' AS o_orderstatus, 1.0 AS o_totalprice, DATE '1998-01-01' + (i % 900)::INT AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(4000) r(i)"
+    for name, select in (("part", part), ("orders", orders)):
+        c.execute(f"COPY ({select}) TO '{at}/{name}.parquet' (FORMAT parquet, ROW_GROUP_SIZE 100000)")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["q12_parse_salary", "q64_text_forms", "q56_indeed_items", "q59_aliases"])
+def test_one_row_group_is_many_tasks(spark, one_group, name):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        assert len(set(spark.read.parquet(f"{one_group}/part.parquet").groupBy(F.spark_partition_id()).count().collect())) == 1
+        sizes = [r["count"] for r in engine.queries()[name](spark, one_group).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) >= 4 and max(sizes) < 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tasks_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "AT_ONCE", 100)
+    assert session.dealt(spark.range(4000), "id").rdd.getNumPartitions() == 40
+    assert session.dealt(spark.range(10), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_salary_is_folded_once(spark):
+    """Before, each of its parts folded and split the text again."""
+    plan = spark.createDataFrame([("1 EUR",)], "x string").select(numbers.parse_salary(F.col("x")).alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2  # of the fold, and of the numbers
