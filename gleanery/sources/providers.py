@@ -34,8 +34,14 @@ def _kind(v: Column) -> Column:
 
 
 def _scalar(v: Column) -> Column:
-    """Text of a scalar; NULL for booleans, objects and arrays."""
-    return F.when(~_kind(v).rlike("^(OBJECT|ARRAY|BOOLEAN)"), F.try_variant_get(v, "$", TEXT))
+    return _scalar_at(v, "$")
+
+
+def _scalar_at(v: Column, path: str) -> Column:
+    """Text of a scalar at a path; NULL for booleans, objects and arrays. Only what reads like one of these is asked for its kind."""
+    kind = _kind(v if path == "$" else F.try_variant_get(v, path, "variant"))
+    other = lambda s: F.substring(s, 1, 1).isin("{", "[") | s.isin("true", "false")
+    return text.let(F.try_variant_get(v, path, TEXT), lambda s: F.when(s.isNull(), F.lit(None).cast(TEXT)).when(~other(s), s).when(~kind.rlike("^(OBJECT|ARRAY|BOOLEAN)"), s))
 
 
 def untagged(c: Column) -> Column:
@@ -48,7 +54,7 @@ def _filled(c: Column) -> Column:
 
 def field(path: str, html: bool = False) -> Column:
     """A scalar as trimmed text, without its tags if html; NULL for booleans, objects, arrays and blanks."""
-    said = text.let(variant(path), _scalar)
+    said = _scalar_at(F.col("raw"), "$." + path)
     return _filled(text.normalize_space(untagged(said) if html else said))
 
 

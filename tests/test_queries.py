@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery import queries as engine
 from gleanery import session
 from gleanery.functions import numbers
+from gleanery.sources import providers
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -99,3 +100,13 @@ def test_a_salary_is_folded_once(spark):
     """Before, each of its parts folded and split the text again."""
     plan = spark.createDataFrame([("1 EUR",)], "x string").select(numbers.parse_salary(F.col("x")).alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 2  # of the fold, and of the numbers
+
+
+def test_scalars_that_read_like_other_kinds(spark):
+    """One access a field: its kind is asked only where its text begins like an object or a list, or is a boolean's."""
+    items = ['{"x":"true"}', '{"x":true}', '{"x":"{a"}', '{"x":{"a":1}}', '{"x":"[b"}', '{"x":[1]}', '{"x":""}', '{"x":null}', '{"x":7}', '{"y":1}', '{"x":false}', '{"x":" plain  text "}']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "i int, json string").withColumn("raw", F.try_parse_json("json"))
+    got = [r.x for r in rows.select("i", providers.field("x").alias("x")).orderBy("i").collect()]
+    assert got == ["true", None, "{a", None, "[b", None, None, None, "7", None, None, "plain text"]
+    plan = rows.select(providers.field("x").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("try_variant_get(raw") < plan.index("schema_of_variant")
